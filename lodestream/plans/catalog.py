@@ -1,7 +1,10 @@
 """Named queries over the parquet tables, each (spark, sf_dir) -> DataFrame."""
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from lodestream import schemas
 from lodestream.functions import batches, draws, text, weighted
@@ -37,14 +40,12 @@ def query(fn):
 def _action_records(spark, sf):
     """Events as topic records; an error event is an undecodable record."""
     fields = F.struct("user_id", "item_id", "action_type", "ts", F.lit(None).cast("string").alias("context"))
-    value = F.to_json(fields, topics._TIMES)
+    value = F.to_json(fields, topics.TIMES)
     return D.events(spark, sf).select("event_id", value.alias("value"))
 
 
 def _action_schema():
-    from pyspark.sql import types as types
-
-    return schemas.user_action(types.LongType())
+    return schemas.user_action(LongType())
 
 
 @query
@@ -68,11 +69,9 @@ def sink_actions_json(spark, sf):
 
 @query
 def topic_features(spark, sf):
-    from pyspark.sql import types as types
-
     made = A.action_feature_vectors(D.actions(spark, sf))
     sent = topics.encode(made, topics.FEATURE_TOPIC)
-    good, _ = topics.decode(sent, schemas.feature_vector(types.LongType()))
+    good, _ = topics.decode(sent, schemas.feature_vector(LongType()))
     return good.select(
         "id",
         F.get_json_object("metadata", "$.action_type").alias("action_type"),
@@ -84,11 +83,8 @@ def topic_features(spark, sf):
 
 @query
 def topic_training(spark, sf):
-    from pyspark.sql import types as types
-
     sent = topics.encode(D.full_examples(spark, sf), topics.TRAINING_TOPIC)
-    good, _ = topics.decode(sent, schemas.training_example(types.LongType()))
-    # FLOAT on the wire: compared through the label and sizes, and the features to four decimals
+    good, _ = topics.decode(sent, schemas.training_example(LongType()))
     total = F.aggregate(V.as_double("item_features"), F.lit(0.0), lambda t, x: t + x)
     return good.select(
         "user_id",
@@ -742,9 +738,6 @@ def topk_indices(spark, sf):
 
 @query
 def batch_scores(spark, sf):
-    import numpy as np
-    import pandas as pd
-
     def lengths(chunk):
         m = np.stack(chunk["embedding"].to_numpy()).astype(np.float64)
         return pd.DataFrame({"item_id": chunk["item_id"].to_numpy(), "length": np.sqrt((m * m).sum(axis=1)).round(6)})

@@ -8,6 +8,9 @@ import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+_own_dirs = {}
+_shipped = set()
+
 
 def local_session(cores="*", shuffle_partitions=8, memory="8g", app="lodestream"):
     """Session for tests and the bench; a cluster brings its own."""
@@ -33,9 +36,10 @@ def shared_dir(spark: SparkSession) -> str:
         return named
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    own = tempfile.mkdtemp(prefix="run-", dir="/tmp" if os.path.isdir("/tmp") else None)
-    spark.conf.set("spark.checkpoint.dir", own)
-    return own
+    application = spark.sparkContext.applicationId
+    if application not in _own_dirs:
+        _own_dirs[application] = tempfile.mkdtemp(prefix="run-")
+    return _own_dirs[application]
 
 
 def fresh_dir(spark: SparkSession, name: str) -> str:
@@ -50,9 +54,6 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-_shipped = set()
-
-
 def ship_package(spark: SparkSession) -> None:
     """Make this package importable in Python workers, once per application."""
     context = spark.sparkContext

@@ -24,11 +24,11 @@ LAYOUTS = {
     TRAINING_TOPIC: schemas.training_example,
 }
 
-_TIMES = {
+TIMES = {
     "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
     "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
 }
-_BROKEN = "_broken"
+BROKEN = "_broken"
 
 
 def read_topic(spark: SparkSession, topic: str, path_or_servers: str, format: str = "parquet", stream: bool = True, **options):
@@ -48,11 +48,11 @@ def decode(raw: DataFrame, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
     Other columns of raw, such as an offset, are kept in front.
     """
     kept = [c for c in raw.columns if c not in ("key", "value")]
-    with_broken = T.StructType([*schema.fields, T.StructField(_BROKEN, T.StringType())])
+    with_broken = T.StructType([*schema.fields, T.StructField(BROKEN, T.StringType())])
     parsed = raw.filter(F.col("value").isNotNull()).withColumn(
-        "record", F.from_json("value", with_broken, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _BROKEN, **_TIMES})
+        "record", F.from_json("value", with_broken, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": BROKEN, **TIMES})
     )
-    fine = F.col("record").isNotNull() & F.col(f"record.{_BROKEN}").isNull()
+    fine = F.col("record").isNotNull() & F.col(f"record.{BROKEN}").isNull()
     for name in ("user_id", "item_id", "id"):
         if name in schema.names:
             fine = fine & F.col(f"record.{name}").isNotNull()
@@ -64,10 +64,16 @@ def decode(raw: DataFrame, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
 
 
 def encode(records: DataFrame, topic: str, fields: list[str] | None = None) -> DataFrame:
-    """(key, value) for a topic: the record as JSON under its id."""
-    names = fields or [n for n in LAYOUTS[topic]().names if n in records.columns]
+    """(key, value) for a topic: the record as JSON under its id. Numbers go out as FLOAT, like the layout's."""
+    layout = LAYOUTS[topic]()
+    names = fields or [n for n in layout.names if n in records.columns]
+    floats = (T.FloatType(), T.ArrayType(T.FloatType()))
+    sent = [
+        F.col(n).cast(layout[n].dataType).alias(n) if n in layout.names and layout[n].dataType in floats else F.col(n)
+        for n in names
+    ]
     return records.select(
-        F.col(KEYS[topic]).cast("string").alias("key"), F.to_json(F.struct(*names), _TIMES).alias("value")
+        F.col(KEYS[topic]).cast("string").alias("key"), F.to_json(F.struct(*sent), TIMES).alias("value")
     )
 
 
