@@ -51,13 +51,10 @@ def fold(
     """
     counted = applied(actions, items)
     recent = Window.partitionBy("user_id").orderBy(F.col("ts").desc(), F.col(tie).desc())
-    tail = counted.withColumn("age", F.row_number().over(recent) - 1).filter(
-        F.col("age") < horizon(learning_rate)
-    )
+    tail = counted.withColumn("place", F.row_number().over(recent)).filter(F.col("place") <= horizon(learning_rate))
     keep = 1.0 - learning_rate
-    shares = tail.groupBy("user_id", "item_id").agg(
-        F.sum(F.lit(learning_rate) * F.col("weight") * F.pow(F.lit(keep), F.col("age"))).alias("share")
-    )
+    share = F.lit(learning_rate) * F.col("weight") * F.pow(F.lit(keep), F.col("place") - 1)
+    shares = tail.groupBy("user_id", "item_id").agg(F.sum(share).alias("share"))
     vectors = (
         shares.join(items.select("item_id", "embedding"), "item_id")
         .groupBy("user_id")
