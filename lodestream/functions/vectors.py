@@ -104,13 +104,14 @@ def top_indices(scores, k: int) -> Column:
     return F.transform(F.slice(F.array_sort(tagged), 1, k), lambda t: t["i"])
 
 
-def vector_sum(vector) -> Column:
-    """Element-wise sum as an aggregate expression.
+def vector_sum(vector, weight: Column | None = None) -> Column:
+    """Element-wise sum as an aggregate expression, weights (not negative, not all zero) applied.
 
     One buffer of doubles per group with map-side combine, so a hot group
     costs one partial buffer per task and nothing is exploded by dimension.
     """
-    return vector_to_array(Summarizer.sum(array_to_vector(as_double(vector))))
+    points = array_to_vector(as_double(vector))
+    return vector_to_array(Summarizer.sum(points) if weight is None else Summarizer.sum(points, weight))
 
 
 def is_finite(x: Column) -> Column:

@@ -58,7 +58,7 @@ def fold(
     vectors = (
         shares.join(items.select("item_id", "embedding"), "item_id")
         .groupBy("user_id")
-        .agg(V.vector_sum(V.scale("embedding", F.col("share"))).alias("embedding"))
+        .agg(V.vector_sum("embedding", F.col("share")).alias("embedding"))
     )
     totals = counted.groupBy("user_id").agg(
         F.count("*").alias("interaction_count"), F.max("ts").alias("last_updated")
@@ -101,7 +101,7 @@ def history(
     # a complete chunk's own result, and how far back it still matters
     last = F.lit(HISTORY_CHUNK - 1)
     ends = rows.groupBy("user_id", "chunk").agg(
-        V.vector_sum(V.scale("x", step(F.pow(F.lit(keep), last - F.col("pos"))))).alias("end")
+        V.vector_sum("x", step(F.pow(F.lit(keep), last - F.col("pos")))).alias("end")
     )
     reach = math.ceil(horizon(learning_rate) / HISTORY_CHUNK) + 1
     ahead = F.explode(F.sequence(F.lit(1), F.lit(reach)))

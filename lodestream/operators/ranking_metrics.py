@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestream.functions import vectors as V
+from lodestream.session import cut_lineage
 
 # fixed value: the longest list a request may ask for
 MAX_LIST = 1000
@@ -150,7 +151,11 @@ def novelty(recs: DataFrame, popularity: DataFrame, users: DataFrame) -> DataFra
 
 
 def all_metrics(recs: DataFrame, relevant: DataFrame, items: DataFrame, popularity: DataFrame, users: DataFrame, k: int):
-    """One row: per-user metrics averaged over users, and catalogue coverage."""
+    """One row: per-user metrics averaged over users, and catalogue coverage.
+
+    The lists are written once to the shared folder, as every metric reads them.
+    """
+    recs = cut_lineage(recs)
     per_user = (
         precision_recall(recs, relevant, users, k)
         .join(ndcg(recs, relevant, users, k), "user_id")

@@ -56,21 +56,19 @@ def recommend(
     """
     asked = requests.groupBy("user_id").agg((F.max("num_recommendations") * 2).alias("depth"))
     vectors = get_or_create(requests, profiles, dim).select("user_id", "embedding").join(asked, "user_id")
-    found = top_k(vectors, items, F.col("depth"), "cosine", **grid).withColumnRenamed("rank", "place")
-    details = items.select("item_id", "category", F.sqrt(_square("embedding")).alias("item_norm"))
-    norms = vectors.select("user_id", F.sqrt(_square("embedding")).alias("user_norm"))
+    found = top_k(
+        vectors, items, F.col("depth"), "cosine", query_rows=asked.count(), **grid
+    ).withColumnRenamed("rank", "place")
     wanted = requests.select(
         *dict.fromkeys([request_id, "user_id"]), "num_recommendations", "filter_categories", "exclude_items"
-    ).join(norms, "user_id")
-    # dot product = cosine x both norms
-    blended = (F.col("score") + F.col("score") * F.col("user_norm") * F.col("item_norm")) / 2
+    )
     kept = (
-        found.join(details, "item_id")
+        found.join(items.select("item_id", "category"), "item_id")
         .join(wanted, "user_id")
         .filter(F.col("place") <= F.col("num_recommendations") * 2)
         .filter(F.col("exclude_items").isNull() | ~F.array_contains("exclude_items", F.col("item_id")))
         .filter(F.col("filter_categories").isNull() | F.array_contains("filter_categories", F.col("category")))
-        .withColumn("score", blended)
+        .withColumn("score", (F.col("score") + F.col("dot")) / 2)
         .filter(F.col("score") >= threshold)
     )
     # user_id leads both windows, so they reuse the search's partitioning
@@ -85,10 +83,6 @@ def recommend(
     )
 
 
-def _square(vector):
-    return F.aggregate(V.as_double(vector), F.lit(0.0), lambda total, x: total + x * x)
-
-
 def nested(recommended: DataFrame, request_id: str = "user_id") -> DataFrame:
     """One row per request with its ranked list; at most N entries by construction."""
     entry = F.struct("rank", "item_id", "score", "reason", "category")
@@ -100,7 +94,7 @@ def unseen(
 ) -> DataFrame:
     """Best k items by dot product that the user never acted on, above the threshold."""
     acted = actions.select("user_id", "item_id")
-    found = top_k(profiles.select("user_id", "embedding"), items, k, "dot", seen=acted, **grid)
+    found = top_k(profiles.select("user_id", "embedding"), items, k, "dot", seen=acted, **grid).drop("dot")
     return found.filter(F.col("score") > threshold)
 
 

@@ -15,6 +15,7 @@ lanes.
 
 import math
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -51,6 +52,31 @@ def _unit(matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.where(norms > 0, norms, 1.0), norms > 0
 
 
+class _Found(NamedTuple):
+    """Chosen pairs: query row, item position, score, dot product, rank key."""
+
+    rows: np.ndarray
+    cols: np.ndarray
+    score: np.ndarray
+    dot: np.ndarray
+    key: np.ndarray
+
+    @classmethod
+    def joined(cls, parts):
+        """parts as one, by query, key descending and item position."""
+        whole = cls(*(np.concatenate(columns) for columns in zip(*parts)))
+        return whole.taken(np.lexsort((whole.cols, -whole.key, whole.rows)))
+
+    def taken(self, chosen):
+        return _Found(*(column[chosen] for column in self))
+
+    def places(self):
+        return np.arange(len(self.rows)) - np.searchsorted(self.rows, self.rows, side="left")
+
+    def first(self, k):
+        return self.taken(self.places() < k)
+
+
 class _Cell:
     """Items of one cell, sorted by id, and the pairs it must leave out."""
 
@@ -93,7 +119,7 @@ class _Cell:
         return np.concatenate(rows).astype(np.int64), np.concatenate(cols).astype(np.int64)
 
     def best(self, queries, metric, drop_self):
-        """Best ks[q] items of each query: (query row, item position, score, rank key, place)."""
+        """Best k items of each query, where k is the query's own."""
         if not self.ready:
             self._prepare()
         if self.ids is None:
@@ -107,32 +133,26 @@ class _Cell:
         for q0 in range(0, len(qmat), QUERY_BLOCK):
             q1 = min(q0 + QUERY_BLOCK, len(qmat))
             found.append(self._block(qmat[q0:q1], q0, max(1, int(ks[q0:q1].max())), metric, hidden))
-        rows, cols, score, key = (np.concatenate(parts) for parts in zip(*found))
-        order = np.lexsort((cols, -key, rows))
-        rows, cols, score, key = rows[order], cols[order], score[order], key[order]
-        starts = np.searchsorted(rows, rows, side="left")
-        place = np.arange(len(rows)) - starts
-        keep = place < ks[rows]
-        return rows[keep], cols[keep], score[keep], key[keep], place[keep] + 1
+        best = _Found.joined(found)
+        return best.first(ks[best.rows])
 
     def _block(self, q, q0, k, metric, hidden):
         q_norm, q_live = _unit(q)
-        rows, cols, scores, keys = [], [], [], []
+        parts = []
         for i0 in range(0, len(self.matrix), ITEM_BLOCK):
             part = self.matrix[i0 : i0 + ITEM_BLOCK].astype(np.float64)
-            score = q @ part.T
+            dots = q @ part.T
             if metric == "cosine":
                 i_norm, i_live = _unit(part)
-                score /= q_norm[:, None]
+                score = dots / q_norm[:, None]
                 score /= i_norm[None, :]
                 score[~q_live] = 0.0
                 score[:, ~i_live] = 0.0
             elif metric == "l2":
-                score *= -2.0
-                score += np.einsum("ij,ij->i", q, q)[:, None]
-                score += np.einsum("ij,ij->i", part, part)[None, :]
-                np.maximum(score, 0.0, out=score)
-                np.negative(score, out=score)
+                squares = np.einsum("ij,ij->i", q, q)[:, None] + np.einsum("ij,ij->i", part, part)[None, :]
+                score = -np.maximum(squares - 2.0 * dots, 0.0)
+            else:
+                score = dots
             key = np.round(score, RANK_DIGITS)
             if hidden is not None:
                 r, c = hidden
@@ -144,15 +164,8 @@ class _Cell:
             else:
                 take = key > -np.inf
             r, c = np.nonzero(take)
-            rows.append(r + q0)
-            cols.append(c + i0)
-            scores.append(score[r, c])
-            keys.append(key[r, c])
-        rows, cols, scores, keys = (np.concatenate(x) for x in (rows, cols, scores, keys))
-        order = np.lexsort((cols, -keys, rows))
-        rows, cols, scores, keys = rows[order], cols[order], scores[order], keys[order]
-        keep = np.arange(len(rows)) - np.searchsorted(rows, rows, side="left") < k
-        return rows[keep], cols[keep], scores[keep], keys[keep]
+            parts.append(_Found(r + q0, c + i0, score[r, c], dots[r, c], key[r, c]))
+        return _Found.joined(parts).first(k)
 
 
 def _scan(metric, drop_self, schema):
@@ -175,14 +188,14 @@ def _scan(metric, drop_self, schema):
                 best = cell.best(part, metric, drop_self)
                 if best is None:
                     continue
-                rows, cols, score, rank_key, place = best
                 yield pa.RecordBatch.from_arrays(
                     [
-                        part.column("qid").take(pa.array(rows)),
-                        cell.ids.take(pa.array(cols)),
-                        pa.array(score),
-                        pa.array(rank_key),
-                        pa.array(place.astype(np.int32)),
+                        part.column("qid").take(pa.array(best.rows)),
+                        cell.ids.take(pa.array(best.cols)),
+                        pa.array(best.score),
+                        pa.array(best.dot),
+                        pa.array(best.key),
+                        pa.array((best.places() + 1).astype(np.int32)),
                     ],
                     schema=schema,
                 )
@@ -247,6 +260,7 @@ def _result_types(queries, items):
         T.StructField("qid", queries.schema["qid"].dataType),
         T.StructField("iid", items.schema["iid"].dataType),
         T.StructField("score", T.DoubleType()),
+        T.StructField("dot", T.DoubleType()),
         T.StructField("rank_key", T.DoubleType()),
         T.StructField("place", T.IntegerType()),
     ]
@@ -265,7 +279,7 @@ def _inputs(queries, items, query_id, query_vec, item_id, item_vec, k):
 
 def _renamed(ranked, query_id, item_id):
     left = query_id if query_id != item_id else f"query_{query_id}"
-    return ranked.select(F.col("qid").alias(left), F.col("iid").alias(item_id), "score", "rank")
+    return ranked.select(F.col("qid").alias(left), F.col("iid").alias(item_id), "score", "dot", "rank")
 
 
 def _merge(found):
@@ -285,8 +299,10 @@ def top_k(
     exclude_self: bool = False,
     seen: DataFrame | None = None,
     items_per_cell: int = ITEMS_PER_CELL,
+    query_rows: int | None = None,
+    item_rows: int | None = None,
 ) -> DataFrame:
-    """Exact best k items per query: (query id, item id, score, rank).
+    """Exact best k items per query: (query id, item id, score, dot, rank).
 
     metric is cosine, dot or l2 (negative squared distance). k is a number or
     a column of queries. Ties on the score rounded to nine digits go to the
@@ -294,11 +310,12 @@ def top_k(
     seen is a frame of (query id, item id) pairs to leave out. When query and
     item ids have the same name, the query's becomes query_<name>.
 
-    Only row counts reach the driver; they size the grid.
+    query_rows and item_rows, exact or estimated, size the grid; a missing one
+    is counted, which is all that reaches the driver.
     """
     q, i = _inputs(queries, items, query_id, query_vec, item_id, item_vec, k)
-    item_lanes = max(1, math.ceil(i.count() / items_per_cell))
-    query_lanes = max(1, math.ceil(q.count() / QUERIES_PER_CELL))
+    item_lanes = max(1, math.ceil((i.count() if item_rows is None else item_rows) / items_per_cell))
+    query_lanes = max(1, math.ceil((q.count() if query_rows is None else query_rows) / QUERIES_PER_CELL))
     slots = int(q.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     query_lanes = min(query_lanes, max(1, math.ceil(slots / item_lanes)))
 
@@ -352,6 +369,7 @@ def ann_top_k(
     item_id: str = "item_id",
     item_vec: str = "embedding",
     items_per_cell: int = ITEMS_PER_CELL,
+    query_rows: int | None = None,
 ) -> DataFrame:
     """Approximate best k by cosine: each query searches its n_probe nearest lists.
 
@@ -364,8 +382,11 @@ def ann_top_k(
     lists = centroids(i, n_lists, "ivec")
     units = i.select("iid", V.normalize("ivec").alias("unit"))
     asks = q.select("qid", V.normalize("qvec").alias("unit"))
-    home = cut_lineage(top_k(units, lists, 1, "l2", "iid", "unit", "list_id", "centroid").select("iid", "list_id"))
-    probes = top_k(asks, lists, n_probe, "l2", "qid", "unit", "list_id", "centroid")
+    nearest = top_k(units, lists, 1, "l2", "iid", "unit", "list_id", "centroid", item_rows=n_lists)
+    home = cut_lineage(nearest.select("iid", "list_id"))
+    probes = top_k(
+        asks, lists, n_probe, "l2", "qid", "unit", "list_id", "centroid", query_rows=query_rows, item_rows=n_lists
+    )
     lanes = home.groupBy("list_id").agg(F.ceil(F.count("*") / F.lit(items_per_cell)).cast("int").alias("lanes"))
     stored = (
         i.join(home, "iid")

@@ -18,7 +18,7 @@ from lodestream.operators import ranking_metrics as M
 from lodestream.operators import similarity as S
 from lodestream.operators import training as T
 from lodestream.plans.shape import as_bigint, long, print_of, r6, rounded
-from lodestream.session import fresh_dir
+from lodestream.session import cut_lineage, fresh_dir
 from lodestream.sources import snapshots
 from lodestream.sources import tables as D
 from lodestream.sources import topics
@@ -425,8 +425,12 @@ def _recommended(spark, sf, profiles=None):
     return recommend.recommend(D.requests(spark, sf), stored, D.items(spark, sf), D.DIM, D.THRESHOLD)
 
 
-def _flat(df: DataFrame, *more) -> DataFrame:
-    return as_bigint(rounded(df, "score"), "rank", *more)
+def _flat(df: DataFrame) -> DataFrame:
+    return as_bigint(rounded(df, "score"), "rank").drop("dot")
+
+
+def _n_users(spark, sf) -> int:
+    return D.users(spark, sf).count()
 
 
 @query
@@ -452,7 +456,7 @@ def explain_recommendations(spark, sf):
 
 @query
 def topk_items_for_users(spark, sf):
-    return _flat(S.top_k(D.profiles(spark, sf), D.items(spark, sf), 10))
+    return _flat(S.top_k(D.profiles(spark, sf), D.items(spark, sf), 10, query_rows=_n_users(spark, sf)))
 
 
 @query
@@ -463,18 +467,19 @@ def topk_cosine(spark, sf):
 
 @query
 def topk_l2(spark, sf):
-    found = S.top_k(D.profiles(spark, sf), D.items(spark, sf), 10, "l2")
+    found = S.top_k(D.profiles(spark, sf), D.items(spark, sf), 10, "l2", query_rows=_n_users(spark, sf))
     return _flat(found.withColumn("score", -F.col("score"))).withColumnRenamed("score", "distance")
 
 
 @query
 def ann_topk(spark, sf):
-    return _flat(S.ann_top_k(D.profiles(spark, sf), D.items(spark, sf), 10, n_lists=16, n_probe=8))
+    people = cut_lineage(D.profiles(spark, sf))
+    return _flat(S.ann_top_k(people, D.items(spark, sf), 10, n_lists=16, n_probe=8))
 
 
 @query
 def similar_users(spark, sf):
-    people = D.profiles(spark, sf)
+    people = cut_lineage(D.profiles(spark, sf))
     out = recommend.similar_users(people, D.users(spark, sf), 5)
     return _flat(out.withColumnRenamed("user_id", "other_id").withColumnRenamed("query_user_id", "user_id"))
 
@@ -488,7 +493,10 @@ def similar_items(spark, sf):
 
 @query
 def recommend_unseen(spark, sf):
-    return _flat(recommend.unseen(D.profiles(spark, sf), D.items(spark, sf), D.actions(spark, sf), 5, 0.05))
+    found = recommend.unseen(
+        D.profiles(spark, sf), D.items(spark, sf), D.actions(spark, sf), 5, 0.05, query_rows=_n_users(spark, sf)
+    )
+    return _flat(found)
 
 
 @query
