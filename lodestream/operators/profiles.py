@@ -23,11 +23,10 @@ def horizon(learning_rate: float) -> int:
 
 def applied(actions: DataFrame, items: DataFrame) -> DataFrame:
     """Actions that count: known variant and known item."""
-    known = items.select("item_id").distinct()
     return (
         actions.withColumn("weight", action_weight(F.col("action_type")))
         .filter(F.col("weight").isNotNull())
-        .join(known, "item_id", "left_semi")
+        .join(items.select("item_id"), "item_id", "left_semi")
     )
 
 

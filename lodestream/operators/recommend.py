@@ -57,14 +57,13 @@ def recommend(
     asked = requests.groupBy("user_id").agg((F.max("num_recommendations") * 2).alias("depth"))
     vectors = get_or_create(requests, profiles, dim).select("user_id", "embedding").join(asked, "user_id")
     found = top_k(
-        vectors, items, F.col("depth"), "cosine", query_rows=asked.count(), **grid
+        vectors, items, F.col("depth"), "cosine", query_rows=asked.count(), carry=("category",), **grid
     ).withColumnRenamed("rank", "place")
     wanted = requests.select(
         *dict.fromkeys([request_id, "user_id"]), "num_recommendations", "filter_categories", "exclude_items"
     )
     kept = (
-        found.join(items.select("item_id", "category"), "item_id")
-        .join(wanted, "user_id")
+        found.join(wanted, "user_id")
         .filter(F.col("place") <= F.col("num_recommendations") * 2)
         .filter(F.col("exclude_items").isNull() | ~F.array_contains("exclude_items", F.col("item_id")))
         .filter(F.col("filter_categories").isNull() | F.array_contains("filter_categories", F.col("category")))
@@ -154,7 +153,7 @@ def personalized_trending(
 ) -> DataFrame:
     """Closest k items of each user with a profile; the trending list for the others."""
     known = users.select("user_id").distinct().join(profiles.select("user_id", "embedding"), "user_id")
-    close = top_k(known, items, k, "cosine", **grid).join(items.select("item_id", "category"), "item_id")
+    close = top_k(known, items, k, "cosine", carry=("category",), **grid)
     personal = close.select(
         "user_id", "rank", "item_id", "score", X.reason(F.col("score"), X.TRENDING_FORMAT).alias("reason"), "category"
     )

@@ -32,6 +32,7 @@ from lodestream.session import cut_lineage
 
 ITEMS_PER_CELL = 65536
 QUERIES_PER_CELL = 1024
+QUERIES_PER_BUCKET = 8192
 QUERY_BLOCK = 512
 ITEM_BLOCK = 4096
 RANK_DIGITS = 9
@@ -78,10 +79,10 @@ class _Found(NamedTuple):
 
 
 class _Cell:
-    """Items of one cell, sorted by id, and the pairs it must leave out."""
+    """Items of one cell, sorted by id, and the pairs the current bucket must leave out."""
 
-    def __init__(self):
-        self.item_parts, self.seen_parts, self.ready = [], [], False
+    def __init__(self, carry):
+        self.carry, self.item_parts, self.seen_parts, self.ready = carry, [], [], False
 
     def add(self, side, part):
         (self.item_parts if side == ITEM else self.seen_parts).append(part)
@@ -93,12 +94,15 @@ class _Cell:
             self.ids = ids.take(order)
             matrix = np.concatenate([_matrix(p.column("ivec")) for p in self.item_parts])
             self.matrix = matrix[order.to_numpy()]
+            self.carried = [
+                pa.concat_arrays([p.column(c) for p in self.item_parts]).take(order) for c in self.carry
+            ]
         else:
             self.ids = None
-        if self.seen_parts:
-            self.seen_q = pa.concat_arrays([p.column("qid") for p in self.seen_parts])
-            self.seen_i = pa.concat_arrays([p.column("iid") for p in self.seen_parts])
-        self.ready = True
+        self.item_parts, self.ready = [], True
+
+    def forget_seen(self):
+        self.seen_parts = []
 
     def _hidden(self, qids, drop_self):
         """(query row, item position) pairs that must not be returned."""
@@ -109,8 +113,8 @@ class _Cell:
             rows.append(np.flatnonzero(found))
             cols.append(at.drop_null().to_numpy())
         if self.seen_parts:
-            row = pc.index_in(self.seen_q, value_set=qids)
-            col = pc.index_in(self.seen_i, value_set=self.ids)
+            row = pc.index_in(pa.concat_arrays([p.column("qid") for p in self.seen_parts]), value_set=qids)
+            col = pc.index_in(pa.concat_arrays([p.column("iid") for p in self.seen_parts]), value_set=self.ids)
             both = pc.and_(pc.is_valid(row), pc.is_valid(col))
             rows.append(row.filter(both).to_numpy())
             cols.append(col.filter(both).to_numpy())
@@ -168,19 +172,22 @@ class _Cell:
         return _Found.joined(parts).first(k)
 
 
-def _scan(metric, drop_self, schema):
+def _scan(metric, drop_self, schema, carry):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, cell = None, None
+        current, bucket, cell = None, None, None
         for batch in batches:
-            cells = batch.column("cell").to_numpy()
-            sides = batch.column("side").to_numpy()
-            turns = (cells[1:] != cells[:-1]) | (sides[1:] != sides[:-1])
+            if batch.num_rows == 0:
+                continue
+            marks = np.stack([batch.column(c).to_numpy() for c in ("cell", "bucket", "side")])
+            cells, buckets, sides = marks
+            turns = (marks[:, 1:] != marks[:, :-1]).any(axis=0)
             cuts = [0, *(np.flatnonzero(turns) + 1), len(cells)]
             for start, stop in zip(cuts, cuts[1:]):
-                if start == stop:
-                    continue
                 if cells[start] != current:
-                    current, cell = cells[start], _Cell()
+                    current, cell = cells[start], _Cell(carry)
+                if buckets[start] != bucket:
+                    bucket = buckets[start]
+                    cell.forget_seen()
                 part = batch.slice(start, stop - start)
                 if sides[start] != QUERY:
                     cell.add(sides[start], part)
@@ -196,6 +203,7 @@ def _scan(metric, drop_self, schema):
                         pa.array(best.dot),
                         pa.array(best.key),
                         pa.array((best.places() + 1).astype(np.int32)),
+                        *[column.take(pa.array(best.cols)) for column in cell.carried],
                     ],
                     schema=schema,
                 )
@@ -207,55 +215,25 @@ def _lane(column, lanes):
     return F.pmod(F.xxhash64(column), F.lit(lanes)).cast("int")
 
 
-def _sides(queries, items, seen, item_cells, query_cells, seen_cells):
-    """One frame of items, left-out pairs and queries, tagged with their cells."""
-    q_type = queries.schema["qid"].dataType
-    i_type = items.schema["iid"].dataType
-    qvec_type = queries.schema["qvec"].dataType
-    ivec_type = items.schema["ivec"].dataType
-
-    def null(kind):
-        return F.lit(None).cast(kind)
-
-    frames = [
-        items.select(
-            item_cells.alias("cell"),
-            F.lit(ITEM).alias("side"),
-            null(q_type).alias("qid"),
-            "iid",
-            null(qvec_type).alias("qvec"),
-            "ivec",
-            null("int").alias("k"),
-        ),
-        queries.select(
-            query_cells.alias("cell"),
-            F.lit(QUERY).alias("side"),
-            "qid",
-            null(i_type).alias("iid"),
-            "qvec",
-            null(ivec_type).alias("ivec"),
-            "k",
-        ),
-    ]
-    if seen is not None:
-        frames.append(
-            seen.select(
-                seen_cells.alias("cell"),
-                F.lit(SEEN).alias("side"),
-                "qid",
-                "iid",
-                null(qvec_type).alias("qvec"),
-                null(ivec_type).alias("ivec"),
-                null("int").alias("k"),
-            )
-        )
-    out = frames[0]
-    for frame in frames[1:]:
-        out = out.unionByName(frame)
-    return out
-
-
-def _result_types(queries, items):
+def _sides(items, queries, seen=None):
+    """One frame of items, queries and left-out pairs, ordered within each cell.
+
+    Items come first, then bucket by bucket the pairs to leave out and the
+    queries, so that only one bucket's pairs are held at a time.
+    """
+    shape = {f.name: f.dataType for frame in (items, queries) for f in frame.schema.fields}
+
+    def tagged(frame, side):
+        bucket = F.lit(-1) if side == ITEM else F.col("bucket")
+        own = {"side": F.lit(side), "bucket": bucket.cast("int")}
+        rest = {n: F.col(n) if n in frame.columns else F.lit(None).cast(t) for n, t in shape.items()}
+        return frame.select(*[c.alias(n) for n, c in {**rest, **own}.items()])
+
+    out = tagged(items, ITEM).unionByName(tagged(queries, QUERY))
+    return out if seen is None else out.unionByName(tagged(seen, SEEN))
+
+
+def _result_types(queries, items, carry):
     fields = [
         T.StructField("qid", queries.schema["qid"].dataType),
         T.StructField("iid", items.schema["iid"].dataType),
@@ -263,23 +241,24 @@ def _result_types(queries, items):
         T.StructField("dot", T.DoubleType()),
         T.StructField("rank_key", T.DoubleType()),
         T.StructField("place", T.IntegerType()),
+        *[T.StructField(c, items.schema[c].dataType) for c in carry],
     ]
     schema = T.StructType(fields)
     return schema, to_arrow_schema(schema)
 
 
-def _inputs(queries, items, query_id, query_vec, item_id, item_vec, k):
+def _inputs(queries, items, query_id, query_vec, item_id, item_vec, k, carry=()):
     depth = k if not isinstance(k, int) else F.lit(k)
     q = queries.select(
         F.col(query_id).alias("qid"), F.col(query_vec).alias("qvec"), depth.cast("int").alias("k")
     )
-    i = items.select(F.col(item_id).alias("iid"), F.col(item_vec).alias("ivec"))
+    i = items.select(F.col(item_id).alias("iid"), F.col(item_vec).alias("ivec"), *carry)
     return q, i
 
 
-def _renamed(ranked, query_id, item_id):
+def _renamed(ranked, query_id, item_id, carry=()):
     left = query_id if query_id != item_id else f"query_{query_id}"
-    return ranked.select(F.col("qid").alias(left), F.col("iid").alias(item_id), "score", "dot", "rank")
+    return ranked.select(F.col("qid").alias(left), F.col("iid").alias(item_id), "score", "dot", "rank", *carry)
 
 
 def _merge(found):
@@ -301,8 +280,9 @@ def top_k(
     items_per_cell: int = ITEMS_PER_CELL,
     query_rows: int | None = None,
     item_rows: int | None = None,
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
-    """Exact best k items per query: (query id, item id, score, dot, rank).
+    """Exact best k items per query: (query id, item id, score, dot, rank, carried item columns).
 
     metric is cosine, dot or l2 (negative squared distance). k is a number or
     a column of queries. Ties on the score rounded to nine digits go to the
@@ -310,36 +290,41 @@ def top_k(
     seen is a frame of (query id, item id) pairs to leave out. When query and
     item ids have the same name, the query's becomes query_<name>.
 
+    carry names item columns to return along, which saves joining them back.
     query_rows and item_rows, exact or estimated, size the grid; a missing one
     is counted, which is all that reaches the driver.
     """
-    q, i = _inputs(queries, items, query_id, query_vec, item_id, item_vec, k)
-    item_lanes = max(1, math.ceil((i.count() if item_rows is None else item_rows) / items_per_cell))
-    query_lanes = max(1, math.ceil((q.count() if query_rows is None else query_rows) / QUERIES_PER_CELL))
+    q, i = _inputs(queries, items, query_id, query_vec, item_id, item_vec, k, carry)
+    n_items = i.count() if item_rows is None else item_rows
+    n_queries = q.count() if query_rows is None else query_rows
+    item_lanes = max(1, math.ceil(n_items / items_per_cell))
     slots = int(q.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    query_lanes = min(query_lanes, max(1, math.ceil(slots / item_lanes)))
+    query_lanes = min(max(1, math.ceil(n_queries / QUERIES_PER_CELL)), max(1, math.ceil(slots / item_lanes)))
+    buckets = max(1, math.ceil(n_queries / query_lanes / QUERIES_PER_BUCKET))
 
     def cell(item_lane, query_lane):
         return (item_lane * F.lit(query_lanes) + query_lane).cast("int")
 
-    every_query_lane = F.explode(F.sequence(F.lit(0), F.lit(query_lanes - 1)))
-    every_item_lane = F.explode(F.sequence(F.lit(0), F.lit(item_lanes - 1)))
-    items_in = i.select("*", every_query_lane.alias("ql"))
-    queries_in = q.select("*", every_item_lane.alias("il"))
+    def each(lanes):
+        return F.explode(F.sequence(F.lit(0), F.lit(lanes - 1)))
+
+    bucket = F.pmod(F.xxhash64("qid", F.lit("bucket")), F.lit(buckets)).alias("bucket")
+    item_lane, query_lane = _lane("iid", item_lanes), _lane("qid", query_lanes)
+    items_in = i.select("*", each(query_lanes).alias("_l")).withColumn("cell", cell(item_lane, F.col("_l"))).drop("_l")
+    queries_in = q.select("*", each(item_lanes).alias("_l")).select(
+        "qid", "qvec", "k", cell(F.col("_l"), query_lane).alias("cell"), bucket
+    )
     seen_in = None
     if seen is not None:
-        seen_in = seen.select(F.col(query_id).alias("qid"), F.col(item_id).alias("iid")).distinct()
-    sides = _sides(
-        queries_in,
-        items_in,
-        seen_in,
-        cell(_lane("iid", item_lanes), F.col("ql")),
-        cell(F.col("il"), _lane("qid", query_lanes)),
-        cell(_lane("iid", item_lanes), _lane("qid", query_lanes)),
+        pairs = seen.select(F.col(query_id).alias("qid"), F.col(item_id).alias("iid")).distinct()
+        seen_in = pairs.select("*", cell(item_lane, query_lane).alias("cell"), bucket)
+    cells = (
+        _sides(items_in, queries_in, seen_in)
+        .repartitionById(item_lanes * query_lanes, F.col("cell"))
+        .sortWithinPartitions("cell", "bucket", "side")
     )
-    cells = sides.repartitionById(item_lanes * query_lanes, F.col("cell")).sortWithinPartitions("cell", "side")
-    schema, arrow_schema = _result_types(q, i)
-    found = cells.mapInArrow(_scan(metric, exclude_self, arrow_schema), schema)
+    schema, arrow_schema = _result_types(q, i, carry)
+    found = cells.mapInArrow(_scan(metric, exclude_self, arrow_schema, carry), schema)
     if item_lanes == 1:
         ranked = found.withColumn("rank", F.col("place"))
     elif isinstance(k, int):
@@ -347,7 +332,7 @@ def top_k(
     else:
         depth = q.select("qid", F.col("k").alias("depth"))
         ranked = _merge(found).join(depth, "qid").filter(F.col("rank") <= F.col("depth"))
-    return _renamed(ranked, query_id, item_id)
+    return _renamed(ranked, query_id, item_id, carry)
 
 
 def centroids(items: DataFrame, n_lists: int, vector: str = "embedding", seed: int = 7) -> DataFrame:
@@ -398,11 +383,11 @@ def ann_top_k(
         .join(lanes, "list_id")
         .withColumn("lane", F.explode(F.sequence(F.lit(0), F.col("lanes") - 1)))
     )
-    cell = F.xxhash64("list_id", "lane")
-    sides = _sides(asked, stored, None, cell, cell, None)
-    cells = sides.repartition("cell").sortWithinPartitions("cell", "side")
-    schema, arrow_schema = _result_types(q, i)
-    found = cells.mapInArrow(_scan("cosine", False, arrow_schema), schema)
+    cell = F.xxhash64("list_id", "lane").alias("cell")
+    sides = _sides(stored.select("iid", "ivec", cell), asked.select("qid", "qvec", "k", cell, F.lit(0).alias("bucket")))
+    cells = sides.repartition("cell").sortWithinPartitions("cell", "bucket", "side")
+    schema, arrow_schema = _result_types(q, i, ())
+    found = cells.mapInArrow(_scan("cosine", False, arrow_schema, ()), schema)
     return _renamed(_merge(found).filter(F.col("rank") <= k), query_id, item_id)
 
 

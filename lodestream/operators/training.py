@@ -1,7 +1,7 @@
 """Matrix factorisation: loss, gradient step, training loop, negative sampling."""
 
 from pyspark.ml.recommendation import ALS
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestream.functions import draws
@@ -169,9 +169,11 @@ def catalogue_negatives(
     """(key, user_id, item_id, draw): items the user has not acted on, for each positive example.
 
     The catalogue is hashed into slices of about per_slice items; a positive
-    draws one slice and takes its unseen items in md5 order. Work per positive
-    is one slice, independent of the catalogue's size, and an item is drawn
-    evenly whatever its popularity. Only the catalogue's row count reaches the driver.
+    draws one slice and takes its unseen items in md5 order. A slice's items,
+    and those of them a user has seen, are arrays of slice length, so a
+    positive stays one row until its draws are made, and a hot user is spread
+    over the slices. Work per positive does not grow with the catalogue. Only
+    the catalogue's row count reaches the driver.
     """
     n_slices = max(1, items.count() // per_slice)
     n = negatives_per_positive(ratio)
@@ -182,20 +184,28 @@ def catalogue_negatives(
     def tag(column, label):
         return F.concat_ws(":", F.col(column).cast("string"), F.lit(f"{label}{seed}"))
 
-    slices = items.select("item_id", slot(tag("item_id", "slice")).alias("_slice"))
+    item_slice = slot(tag("item_id", "slice")).alias("_slice")
+    offers = items.select("item_id", item_slice).groupBy("_slice").agg(F.collect_list("item_id").alias("_offer"))
+    known = (
+        seen.select("user_id", "item_id", item_slice)
+        .groupBy("user_id", "_slice")
+        .agg(F.collect_set("item_id").alias("_seen"))
+    )
     wanted = examples.filter(F.col("label") > POSITIVE_LABEL).select(
         key, "user_id", slot(tag(key, "pick")).alias("_slice")
     )
-    offered = wanted.join(slices, "_slice").join(
-        seen.select("user_id", "item_id").distinct(), ["user_id", "item_id"], "left_anti"
-    )
-    order = F.md5(F.concat_ws(":", F.col(key).cast("string"), F.col("item_id").cast("string"), F.lit(str(seed))))
-    by_order = Window.partitionBy(key).orderBy("_order", "item_id")
+    unseen = F.when(F.col("_seen").isNull(), F.col("_offer")).otherwise(F.array_except("_offer", "_seen"))
+
+    def ordered(item):
+        name = F.concat_ws(":", F.col(key).cast("string"), item.cast("string"), F.lit(str(seed)))
+        return F.struct(F.md5(name).alias("order"), item.alias("item_id"))
+
+    drawn = F.slice(F.array_sort(F.transform(unseen, ordered)), 1, n)
     return (
-        offered.withColumn("_order", order)
-        .withColumn("draw", F.row_number().over(by_order))
-        .filter(F.col("draw") <= n)
-        .select(key, "user_id", "item_id", "draw")
+        wanted.join(known, ["user_id", "_slice"], "left")
+        .join(offers, "_slice")
+        .select(key, "user_id", F.posexplode(drawn).alias("draw", "_item"))
+        .select(key, "user_id", F.col("_item.item_id").alias("item_id"), (F.col("draw") + 1).alias("draw"))
     )
 
 
