@@ -85,3 +85,17 @@ def training_examples(actions: DataFrame, items: DataFrame, profiles: DataFrame,
         V.as_double("item_features").alias("item_features"),
         context_features(F.col("action_type"), F.col("ts")).alias("context_features"),
     )
+
+
+def post_update_examples(history: DataFrame, items: DataFrame) -> DataFrame:
+    """Training examples whose user features are the profile right after the action.
+
+    history is the output of profiles.history: one row per applied action with
+    its label and the updated embedding.
+    """
+    features = items.select("item_id", V.as_double("embedding").alias("item_features"))
+    return (
+        history.withColumnRenamed("embedding", "user_features")
+        .join(features, "item_id")
+        .withColumn("context_features", context_features(F.col("action_type"), F.col("ts")))
+    )

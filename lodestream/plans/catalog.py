@@ -12,9 +12,10 @@ from lodestream.functions import vectors as V
 from lodestream.operators import actions as A
 from lodestream.operators import keyed_tables as K
 from lodestream.operators import online_metrics as O
-from lodestream.operators import optimizers, ordering, quality, recommend
+from lodestream.operators import optimizers, ordering, quality
 from lodestream.operators import profiles as P
 from lodestream.operators import ranking_metrics as M
+from lodestream.operators import recommend as R
 from lodestream.operators import similarity as S
 from lodestream.operators import training as T
 from lodestream.plans.shape import as_bigint, long, print_of, r6, rounded
@@ -241,7 +242,7 @@ def parse_requests(spark, sf):
             ),
         ).alias("exclude_items"),
     )
-    out = recommend.parse_requests(raw)
+    out = R.parse_requests(raw)
     return out.select(
         "user_id",
         F.col("num_recommendations").cast("bigint").alias("num_recommendations"),
@@ -409,6 +410,22 @@ def build_training_examples(spark, sf):
     )
 
 
+@query
+def build_training_examples_post(spark, sf):
+    items = D.items(spark, sf)
+    out = A.post_update_examples(P.history(D.actions(spark, sf), items, D.DIM), items)
+    return out.select(
+        "event_id",
+        "user_id",
+        "item_id",
+        "label",
+        "ts",
+        *print_of("user_features", "user"),
+        *print_of("item_features", "item"),
+        *print_of("context_features", "context"),
+    )
+
+
 def _pairs(spark, sf):
     """(user, item) pairs with ids outside both tables, from order lines."""
     lines = D.table(spark, sf, "lineitem").select("l_suppkey", "l_partkey")
@@ -417,12 +434,12 @@ def _pairs(spark, sf):
 
 @query
 def predict_pairs(spark, sf):
-    return rounded(recommend.predict_pairs(_pairs(spark, sf), D.profiles(spark, sf), D.items(spark, sf)), "score")
+    return rounded(R.predict_pairs(_pairs(spark, sf), D.profiles(spark, sf), D.items(spark, sf)), "score")
 
 
 def _recommended(spark, sf, profiles=None):
     stored = D.profiles(spark, sf) if profiles is None else profiles
-    return recommend.recommend(D.requests(spark, sf), stored, D.items(spark, sf), D.DIM, D.THRESHOLD)
+    return R.recommend(D.requests(spark, sf), stored, D.items(spark, sf), D.DIM, D.THRESHOLD)
 
 
 def _flat(df: DataFrame) -> DataFrame:
@@ -433,6 +450,18 @@ def _n_users(spark, sf) -> int:
     return D.users(spark, sf).count()
 
 
+@query
+def recommend(spark, sf):
+    """Three items for everyone, without filters and at a low threshold."""
+    plain = D.users(spark, sf).select(
+        "user_id",
+        F.lit(3).alias("num_recommendations"),
+        F.lit(None).cast("array<string>").alias("filter_categories"),
+        F.lit(None).cast("array<bigint>").alias("exclude_items"),
+    )
+    return _flat(R.recommend(plain, D.profiles(spark, sf), D.items(spark, sf), D.DIM, -1.0))
+
+
 @query
 def recommend_batch(spark, sf):
     return _flat(_recommended(spark, sf))
@@ -440,7 +469,7 @@ def recommend_batch(spark, sf):
 
 @query
 def reason_text(spark, sf):
-    pairs = recommend.predict_pairs(_pairs(spark, sf), D.profiles(spark, sf), D.items(spark, sf))
+    pairs = R.predict_pairs(_pairs(spark, sf), D.profiles(spark, sf), D.items(spark, sf))
     return pairs.select("user_id", "item_id", text.reason(F.col("score")).alias("reason"))
 
 
@@ -450,7 +479,7 @@ def explain_recommendations(spark, sf):
     stranger = D.table(spark, sf, "customer").select(
         (F.col("c_custkey") + 1000000).alias("user_id"), F.lit(1).alias("rank"), F.col("c_custkey").alias("item_id")
     )
-    out = recommend.explain(shown.unionByName(stranger), D.profiles(spark, sf), D.item_features(spark, sf))
+    out = R.explain(shown.unionByName(stranger), D.profiles(spark, sf), D.item_features(spark, sf))
     return as_bigint(out, "rank")
 
 
@@ -480,20 +509,20 @@ def ann_topk(spark, sf):
 @query
 def similar_users(spark, sf):
     people = cut_lineage(D.profiles(spark, sf))
-    out = recommend.similar_users(people, D.users(spark, sf), 5)
+    out = R.similar_users(people, D.users(spark, sf), 5)
     return _flat(out.withColumnRenamed("user_id", "other_id").withColumnRenamed("query_user_id", "user_id"))
 
 
 @query
 def similar_items(spark, sf):
     asked = D.table(spark, sf, "part").select(F.col("p_partkey").alias("item_id"))
-    out = recommend.similar_items(D.items(spark, sf), asked, 5)
+    out = R.similar_items(D.items(spark, sf), asked, 5)
     return _flat(out.withColumnRenamed("item_id", "other_id").withColumnRenamed("query_item_id", "item_id"))
 
 
 @query
 def recommend_unseen(spark, sf):
-    found = recommend.unseen(
+    found = R.unseen(
         D.profiles(spark, sf), D.items(spark, sf), D.actions(spark, sf), 5, 0.05, query_rows=_n_users(spark, sf)
     )
     return _flat(found)
@@ -501,19 +530,19 @@ def recommend_unseen(spark, sf):
 
 @query
 def trending_items(spark, sf):
-    return _flat(recommend.trending(D.actions(spark, sf), D.items(spark, sf), D.as_of(), 20))
+    return _flat(R.trending(D.actions(spark, sf), D.items(spark, sf), D.as_of(), 20))
 
 
 @query
 def trending_in_category(spark, sf):
-    return _flat(recommend.trending(D.actions(spark, sf), D.items(spark, sf), D.as_of(), 5, category="c3"))
+    return _flat(R.trending(D.actions(spark, sf), D.items(spark, sf), D.as_of(), 5, category="c3"))
 
 
 @query
 def personalized_trending(spark, sf):
     early = _half_profiles(spark, sf, late=False)
     asked = D.users(spark, sf).union(D.table(spark, sf, "customer").select((F.col("c_custkey") + 1000000)))
-    out = recommend.personalized_trending(asked, early, D.items(spark, sf), D.actions(spark, sf), D.as_of(), 5)
+    out = R.personalized_trending(asked, early, D.items(spark, sf), D.actions(spark, sf), D.as_of(), 5)
     return _flat(out)
 
 
@@ -793,8 +822,7 @@ def negative_samples_synthetic(spark, sf):
 
 @query
 def als_recommend(spark, sf):
-    rows = D.examples(spark, sf).select(F.col("user_id").cast("int"), F.col("item_id").cast("int"), "label")
-    return _flat(T.als_recommend(rows, 8, 5))
+    return _flat(T.als_recommend(D.interactions(spark, sf), 8, 5))
 
 
 def _optimizer_table(spark, sf):

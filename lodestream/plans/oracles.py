@@ -175,6 +175,11 @@ CTES = {
     "requests": """SELECT user_id, CASE WHEN user_id % 3 = 0 THEN ['c1', 'c3', 'c5', 'c7', 'c8'] END AS cats,
       CASE WHEN user_id % 5 = 0 THEN range(50) END AS gone FROM people""",
     "candidates": top("profiles", "items", "user_id", "item_id", cos("q.embedding", "v.embedding"), 20),
+    "plain_candidates": """
+      SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY round(score, 9) DESC, item_id) AS rank
+      FROM (SELECT u.user_id, v.item_id, coalesce(%s, 0.0) AS score, coalesce(%s, 0.0) AS flat
+            FROM people u LEFT JOIN profiles q USING (user_id), items v) QUALIFY rank <= 6"""
+    % (cos("q.embedding", "v.embedding"), dot("q.embedding", "v.embedding")),
     "recs": f"""
       SELECT user_id, item_id, final AS score, category,
         row_number() OVER (PARTITION BY user_id ORDER BY round(final, 9) DESC, rank) AS rank FROM (
@@ -489,12 +494,26 @@ add(
       coalesce(p.embedding, list_transform(range(64), lambda x: 0.0::DOUBLE)) AS u
     FROM weighted w JOIN items i USING (item_id) LEFT JOIN early_profiles p ON p.user_id = w.user_id)""",
 )
+add(
+    "build_training_examples_post",
+    f"""SELECT event_id, h.user_id, item_id, label, ts, 64::BIGINT AS user_n, embedding_sum AS user_sum,
+      embedding_moment AS user_moment, {prints('i.embedding', 'item')}, {prints('c', 'context')}
+    FROM ({ORACLES['profile_history']}) h
+    JOIN (SELECT event_id, ts, {CONTEXT} AS c FROM actions) USING (event_id) JOIN items i USING (item_id)""",
+)
 add("predict_pairs", f"SELECT user_id, item_id, {r6('score')} AS score FROM pair_scores")
 add(
     "reason_text",
     """SELECT user_id, item_id, printf('Similar to your preferences (score: %.3f)', round(score, 3) + 0.0) AS reason
     FROM pair_scores""",
 )
+add(
+    "recommend",
+    f"""SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY round(final, 9) DESC, rank) AS rank, item_id,
+      {r6('final')} AS score, printf('Similar to your preferences (score: %.3f)', round(final, 3) + 0.0) AS reason, category
+    FROM (SELECT c.*, (score + flat) / 2 AS final, category FROM plain_candidates c JOIN items USING (item_id)
+      WHERE rank <= 3)""",
+)
 add(
     "recommend_batch",
     f"""SELECT user_id, rank, item_id, {r6('score')} AS score, category,

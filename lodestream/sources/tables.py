@@ -125,6 +125,17 @@ def examples(spark, sf) -> DataFrame:
     return counted.select("event_id", "user_id", "item_id", F.col("weight").alias("label"), "ts")
 
 
+def interactions(spark, sf) -> DataFrame:
+    """(user_id, item_id, label): customers and the parts they ordered, by quantity."""
+    orders = table(spark, sf, "orders").select("o_orderkey", F.col("o_custkey").cast("int").alias("user_id"))
+    lines = table(spark, sf, "lineitem").select(
+        F.col("l_orderkey").alias("o_orderkey"),
+        F.col("l_partkey").cast("int").alias("item_id"),
+        (F.col("l_quantity") / 50).alias("label"),
+    )
+    return lines.join(orders, "o_orderkey").drop("o_orderkey")
+
+
 def full_examples(spark, sf) -> DataFrame:
     return training_examples(actions(spark, sf), items(spark, sf), profiles(spark, sf), DIM)
 

@@ -18,7 +18,7 @@ from lodestream.functions import vectors as V
 from lodestream.operators import training as T
 from lodestream.operators.actions import action_feature_vectors, action_weight, training_examples
 from lodestream.operators.online_metrics import funnel_counts, funnel_rates
-from lodestream.operators.profiles import LEARNING_RATE
+from lodestream.operators.profiles import LEARNING_RATE, horizon
 from lodestream.operators.quality import example_error, quarantine
 from lodestream.sources import keyed_log, snapshots
 
@@ -52,22 +52,28 @@ def running_profiles(actions: DataFrame, items: DataFrame, dim: int, learning_ra
 
     Rows of a micro-batch are applied in time order, after all earlier batches:
     a row that arrives late is applied on arrival, since earlier state is gone.
-    The sink keeps the row with the largest count per user.
+    Of a hot user's rows, no more than the horizon's latest are held; older
+    ones only count. The sink keeps the row with the largest count per user.
     """
     keep = 1.0 - learning_rate
     weighted = actions.withColumn("weight", action_weight(F.col("action_type"))).filter("weight IS NOT NULL")
+    order = [c for c in ("ts", "event_id") if c in actions.columns]
     rows = weighted.join(items.select("item_id", V.as_double("embedding").alias("x")), "item_id").select(
-        "user_id", "ts", "weight", "x"
+        "user_id", "weight", "x", *order
     )
+    held = horizon(learning_rate)
     user_type = rows.schema["user_id"].dataType.simpleString()
 
     def advance(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         vector, count = state.get if state.exists else ([0.0] * dim, 0)
-        batch = pd.concat(list(frames)).sort_values("ts", kind="stable")
-        age = np.arange(len(batch) - 1, -1, -1)
-        share = learning_rate * batch["weight"].to_numpy() * keep**age
-        moved = np.asarray(vector) * keep ** len(batch) + share @ np.stack(batch["x"].to_numpy())
-        out = (moved.tolist(), int(count) + len(batch))
+        latest, n = None, 0
+        for frame in frames:
+            n += len(frame)
+            latest = pd.concat([latest, frame]).sort_values(order).tail(held)
+        age = np.arange(len(latest) - 1, -1, -1)
+        share = learning_rate * latest["weight"].to_numpy() * keep**age
+        moved = np.asarray(vector) * keep**n + share @ np.stack(latest["x"].to_numpy())
+        out = (moved.tolist(), int(count) + n)
         state.update(out)
         yield pd.DataFrame({"user_id": [key[0]], "embedding": [out[0]], "interaction_count": [out[1]]})
 
