@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def numbered(df: DataFrame, key: str, order: list[str], slice_by: str, name: str = "seq") -> DataFrame:
+def numbered(df: DataFrame, key: str, order: list[str], slice_by: str = "minute", name: str = "seq") -> DataFrame:
     """1-based position of each row within its key, by the order columns.
 
     The first order column is a timestamp. Rows are numbered inside (key, time
@@ -55,7 +55,7 @@ def sessions(events: DataFrame, key: str = "user_id", ts: str = "ts", gap_minute
 
 
 def latest_before(
-    left: DataFrame, right: DataFrame, key: str, ts: str, value: str, slice_by: str, within_seconds: int
+    left: DataFrame, right: DataFrame, key: str, ts: str, value: str, within_seconds: int, slice_by: str = "minute"
 ) -> DataFrame:
     """left rows with right's latest (value, time) at or before their time and within the limit; inner.
 

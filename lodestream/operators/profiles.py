@@ -78,7 +78,7 @@ def history(
     dim: int,
     learning_rate: float = LEARNING_RATE,
     tie: str = "event_id",
-    slice_by: str = "hour",
+    slice_by: str = "minute",
 ) -> DataFrame:
     """The profile right after each action, beginning at zero: one row per applied action.
 
@@ -99,8 +99,10 @@ def history(
 
     # a complete chunk's own result, and how far back it still matters
     last = F.lit(HISTORY_CHUNK - 1)
-    ends = rows.groupBy("user_id", "chunk").agg(
-        V.vector_sum("x", step(F.pow(F.lit(keep), last - F.col("pos")))).alias("end")
+    ends = (
+        rows.groupBy("user_id", "chunk")
+        .agg(V.vector_sum("x", step(F.pow(F.lit(keep), last - F.col("pos")))).alias("end"), F.count("*").alias("n"))
+        .filter(F.col("n") == HISTORY_CHUNK)
     )
     reach = math.ceil(horizon(learning_rate) / HISTORY_CHUNK) + 1
     ahead = F.explode(F.sequence(F.lit(1), F.lit(reach)))

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 from lodestream.functions import text as X
 from lodestream.functions import vectors as V
 from lodestream.operators.actions import action_weight
-from lodestream.operators.profiles import get_or_create
 from lodestream.operators.similarity import similar, top_k
 
 DEFAULT_COUNT = 10
@@ -55,7 +54,9 @@ def recommend(
     the depth of the deepest of the user's requests.
     """
     asked = requests.groupBy("user_id").agg((F.max("num_recommendations") * 2).alias("depth"))
-    vectors = get_or_create(requests, profiles, dim).select("user_id", "embedding").join(asked, "user_id")
+    vectors = asked.join(profiles.select("user_id", "embedding"), "user_id", "left").select(
+        "user_id", "depth", F.coalesce(V.as_double("embedding"), V.zeros(dim)).alias("embedding")
+    )
     found = top_k(
         vectors, items, F.col("depth"), "cosine", query_rows=asked.count(), carry=("category",), **grid
     ).withColumnRenamed("rank", "place")

@@ -203,6 +203,7 @@ def _scan(metric, drop_self, schema, carry):
                         pa.array(best.dot),
                         pa.array(best.key),
                         pa.array((best.places() + 1).astype(np.int32)),
+                        part.column("k").take(pa.array(best.rows)),
                         *[column.take(pa.array(best.cols)) for column in cell.carried],
                     ],
                     schema=schema,
@@ -241,6 +242,7 @@ def _result_types(queries, items, carry):
         T.StructField("dot", T.DoubleType()),
         T.StructField("rank_key", T.DoubleType()),
         T.StructField("place", T.IntegerType()),
+        T.StructField("depth", T.IntegerType()),
         *[T.StructField(c, items.schema[c].dataType) for c in carry],
     ]
     schema = T.StructType(fields)
@@ -327,11 +329,8 @@ def top_k(
     found = cells.mapInArrow(_scan(metric, exclude_self, arrow_schema, carry), schema)
     if item_lanes == 1:
         ranked = found.withColumn("rank", F.col("place"))
-    elif isinstance(k, int):
-        ranked = _merge(found).filter(F.col("rank") <= k)
     else:
-        depth = q.select("qid", F.col("k").alias("depth"))
-        ranked = _merge(found).join(depth, "qid").filter(F.col("rank") <= F.col("depth"))
+        ranked = _merge(found).filter(F.col("rank") <= (k if isinstance(k, int) else F.col("depth")))
     return _renamed(ranked, query_id, item_id, carry)
 
 

@@ -45,38 +45,56 @@ def pair_totals(examples: DataFrame) -> DataFrame:
     return examples.groupBy("user_id", "item_id").agg(F.sum("label").alias("label_sum"), F.count("*").alias("n"))
 
 
-def gradients(examples: DataFrame, users: DataFrame, items: DataFrame, reg: float) -> tuple[DataFrame, DataFrame]:
-    """Ascent directions (user_id, vector, grad) and (item_id, vector, grad) from the same old factors.
+def residuals(totals: DataFrame, users: DataFrame, items: DataFrame) -> DataFrame:
+    """(user_id, item_id, n, err) by pair: label sum less n times the prediction."""
+    err = F.col("label_sum") - F.col("n") * V.dot("u", "i")
+    return _with_factors(totals, users, items).select("user_id", "item_id", "n", err.alias("err"))
+
+
+def gradient(residual: DataFrame, key: str, own: DataFrame, other_key: str, other: DataFrame, reg: float) -> DataFrame:
+    """(key, vector, grad): ascent direction of one side from the old factors of both.
 
     Summed over the batch: error times the other side's factor, less reg times
     the own factor for each example. With one example per user and item this
     is the sequential rule; otherwise it is the summed-gradient step.
     """
-    totals = pair_totals(examples)
-    pairs = _with_factors(totals, users, items).withColumn(
-        "err", F.col("label_sum") - F.col("n") * V.dot("u", "i")
+    far = other.select(other_key, V.as_double("vector").alias("far"))
+    pull = (
+        residual.join(far, other_key)
+        .groupBy(key)
+        .agg(V.vector_sum(V.scale("far", F.col("err"))).alias("pull"), F.sum("n").alias("n"))
     )
+    drag = V.scale("vector", F.col("n") * F.lit(-reg))
+    old = own.select(key, V.as_double("vector").alias("vector"))
+    return old.join(pull, key).select(key, "vector", V.add("pull", drag).alias("grad"))
 
-    def side(key, other, factors):
-        pull = pairs.groupBy(key).agg(V.vector_sum(V.scale(other, F.col("err"))).alias("pull"), F.sum("n").alias("n"))
-        own = factors.select(key, V.as_double("vector").alias("vector"))
-        drag = V.scale("vector", F.col("n") * F.lit(-reg))
-        return own.join(pull, key).select(key, "vector", V.add("pull", drag).alias("grad"))
-
-    return side("user_id", "i", users), side("item_id", "u", items)
 
-
-def sgd_step(
-    examples: DataFrame, users: DataFrame, items: DataFrame, lr: float = LEARNING_RATE, reg: float = REGULARIZATION
+def step_totals(
+    totals: DataFrame, users: DataFrame, items: DataFrame, lr: float, reg: float
 ) -> tuple[DataFrame, DataFrame]:
-    """New (user_id, vector) and (item_id, vector); ids without examples keep their factor."""
+    """One gradient step from pair totals.
+
+    The residuals are written once, as narrow rows; each side then joins only
+    the other side's factors, and vectors are shuffled along with pairs once
+    instead of twice.
+    """
+    narrow = cut_lineage(residuals(totals, users, items))
 
     def moved(key, old, graded):
         new = graded.select(key, V.add("vector", V.scale("grad", F.lit(lr))).alias("_new"))
         return old.join(new, key, "left").select(key, F.coalesce("_new", V.as_double("vector")).alias("vector"))
 
-    user_side, item_side = gradients(examples, users, items, reg)
-    return moved("user_id", users, user_side), moved("item_id", items, item_side)
+    return (
+        moved("user_id", users, gradient(narrow, "user_id", users, "item_id", items, reg)),
+        moved("item_id", items, gradient(narrow, "item_id", items, "user_id", users, reg)),
+    )
+
+
+def sgd_step(
+    examples: DataFrame, users: DataFrame, items: DataFrame, lr: float = LEARNING_RATE, reg: float = REGULARIZATION
+) -> tuple[DataFrame, DataFrame]:
+    """New (user_id, vector) and (item_id, vector); ids without examples keep their factor."""
+    return step_totals(pair_totals(examples), users, items, lr, reg)
 
 
 def train(
@@ -91,23 +109,22 @@ def train(
 ) -> tuple[DataFrame, DataFrame]:
     """epochs gradient steps; factors missing at the start are drawn by id.
 
-    Factors are written to the shared folder after each step, so the plan
+    Pair totals are written once and factors after each step, so the plan
     stays one step long.
     """
     spark = examples.sparkSession
-    none = "vector array<double>"
     kind = examples.schema
 
     def start(key, factors):
         if factors is None:
-            factors = spark.createDataFrame([], f"{key} {kind[key].dataType.simpleString()}, {none}")
+            factors = spark.createDataFrame([], f"{key} {kind[key].dataType.simpleString()}, vector array<double>")
         wanted = examples.select(key).union(factors.select(key))
         return cut_lineage(factors_or_init(wanted, factors, key, dim, seed))
 
     u, i = start("user_id", users), start("item_id", items)
-    totals = cut_lineage(examples.select("user_id", "item_id", "label"))
+    totals = cut_lineage(pair_totals(examples))
     for _ in range(epochs):
-        u, i = sgd_step(totals, u, i, lr, reg)
+        u, i = step_totals(totals, u, i, lr, reg)
         u, i = cut_lineage(u), cut_lineage(i)
     return u, i
 

@@ -366,9 +366,7 @@ def dq_summary(spark, sf):
 
 @query
 def actions_with_items(spark, sf):
-    # half the catalogue is absent, so that some actions have no item
-    known = D.items(spark, sf).filter(F.col("category") < "c5")
-    return A.with_items(D.actions(spark, sf), known).select(
+    return A.with_items(D.actions(spark, sf), D.items(spark, sf)).select(
         "event_id", "user_id", "item_id", "category", A.action_weight(F.col("action_type")).alias("weight")
     )
 
@@ -552,7 +550,7 @@ def interval_join(spark, sf):
     strong = F.col("action_type").isin("Purchase", "Convert")
     features = acted.filter(~strong).select("user_id", "ts", F.col("event_id").alias("feature_id"))
     return ordering.latest_before(
-        acted.filter(strong), features, "user_id", "ts", "feature_id", "hour", within_seconds=86400
+        acted.filter(strong), features, "user_id", "ts", "feature_id", within_seconds=86400
     )
 
 
@@ -644,9 +642,7 @@ def intra_list_diversity(spark, sf):
 @query
 def category_diversity(spark, sf):
     recs, _, users = _evaluation(spark, sf)
-    # items of some categories are unknown here
-    named = D.items(spark, sf).filter(F.col("category") < "c7")
-    return rounded(M.category_diversity(recs, named, users), "category_diversity")
+    return rounded(M.category_diversity(recs, D.items(spark, sf), users), "category_diversity")
 
 
 @query
@@ -827,8 +823,10 @@ def als_recommend(spark, sf):
 
 def _optimizer_table(spark, sf):
     """Item factors with the gradient of the squared error, pre-summed by item."""
-    _, items = T.gradients(D.examples(spark, sf), D.user_factors(spark, sf), D.item_factors(spark, sf), REG)
-    return items.select(
+    users, items = D.user_factors(spark, sf), D.item_factors(spark, sf)
+    residual = T.residuals(T.pair_totals(D.examples(spark, sf)), users, items)
+    graded = T.gradient(residual, "item_id", items, "user_id", users, REG)
+    return graded.select(
         F.col("item_id").alias("key"), F.col("vector").alias("params"), V.scale("grad", F.lit(-1.0)).alias("grad")
     )
 

@@ -464,7 +464,7 @@ add(
 add("dq_summary", "SELECT coalesce(error, 'valid') AS rule, count(*) AS n FROM item_errors GROUP BY 1")
 add(
     "actions_with_items",
-    "SELECT event_id, user_id, item_id, category, weight FROM weighted JOIN items USING (item_id) WHERE category < 'c5'",
+    "SELECT event_id, user_id, item_id, category, weight FROM weighted JOIN items USING (item_id)",
 )
 add("user_profiles", unrolled("profiles", "user_id, interaction_count", "embedding"))
 add(
@@ -639,7 +639,7 @@ add(
     f"""SELECT user_id, {r6('coalesce(d, 0.0)')} AS category_diversity FROM people LEFT JOIN (
     SELECT r.user_id, CASE WHEN count(*) <= 1 THEN 0.0
       ELSE count(DISTINCT i.category) / nullif(count(i.category), 0)::DOUBLE END AS d
-    FROM recs r LEFT JOIN (SELECT * FROM items WHERE category < 'c7') i USING (item_id) GROUP BY r.user_id) USING (user_id)""",
+    FROM recs r LEFT JOIN items i USING (item_id) GROUP BY r.user_id) USING (user_id)""",
 )
 add("novelty", f"SELECT user_id, {r6('novelty')} AS novelty FROM list_novelty")
 add(

@@ -158,7 +158,7 @@ def test_fold_is_cut_before_the_shuffle(spark):
 def test_numbered_and_sessions_with_hot_key(spark):
     log = _busy_log(3000)
     df = _log(spark, log).select("event_id", "user_id", "ts")
-    got = {r.event_id: r.seq for r in ordering.numbered(df, "user_id", ["ts", "event_id"], "hour").collect()}
+    got = {r.event_id: r.seq for r in ordering.numbered(df, "user_id", ["ts", "event_id"]).collect()}
     want, per = {}, {}
     for e, u, _, _, ts in sorted(log, key=lambda r: (r[4], r[0])):
         per[u] = per.get(u, 0) + 1

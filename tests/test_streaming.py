@@ -87,7 +87,7 @@ def test_interval_join_equals_batch(spark, sf, feed):
     want = ordering.latest_before(
         actions.filter(strong),
         actions.filter(~strong).select("user_id", "ts", F.col("event_id").alias("feature_id")),
-        "user_id", "ts", "feature_id", "hour", 86400,
+        "user_id", "ts", "feature_id", 86400,
     ).select("event_id", "feature_id")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
 
