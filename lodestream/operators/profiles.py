@@ -2,6 +2,8 @@
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -75,7 +77,6 @@ def fold(
 def history(
     actions: DataFrame,
     items: DataFrame,
-    dim: int,
     learning_rate: float = LEARNING_RATE,
     tie: str = "event_id",
     slice_by: str = "minute",
@@ -113,27 +114,39 @@ def history(
         .groupBy("user_id", "chunk")
         .agg(V.vector_sum("part").alias("start"))
     )
-    # within a chunk: running sums of shares scaled to the chunk's first action
-    so_far = (
-        Window.partitionBy("user_id", "chunk").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    rising = V.scale("x", step(F.pow(F.lit(1.0 / keep), F.col("pos"))))
-    scaled = rows.withColumn("y", rising).select(
-        *[c for c in rows.columns if c != "x"],
-        *[F.sum(F.col("y")[i]).over(so_far).alias(f"y{i}") for i in range(dim)],
-    )
-    out = scaled.join(starts, ["user_id", "chunk"], "left")
-    fall = F.pow(F.lit(keep), F.col("pos"))
-    own = V.scale(F.array(*[f"y{i}" for i in range(dim)]), fall)
-    faded = V.scale("start", fall * F.lit(keep))
-    return out.select(
-        *[c for c in actions.columns],
+    kept = [c for c in rows.columns if c != "x"]
+    schema = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in kept) + ", own array<double>"
+    own = rows.groupBy("user_id", "chunk").applyInArrow(_running(learning_rate), schema)
+    faded = V.scale("start", F.pow(F.lit(keep), F.col("pos") + 1))
+    return own.join(starts, ["user_id", "chunk"], "left").select(
+        *actions.columns,
         F.col("weight").alias("label"),
         F.col("seq").alias("interaction_count"),
-        F.when(F.col("start").isNull(), own).otherwise(V.add(own, faded)).alias("embedding"),
+        F.when(F.col("start").isNull(), F.col("own")).otherwise(V.add("own", faded)).alias("embedding"),
     )
 
 
+def _running(learning_rate: float):
+    """Fold of one chunk from zero, after each of its rows.
+
+    Running sums of shares scaled up to the chunk's first row, scaled back;
+    a chunk is short enough for the scale to stay far from overflow.
+    """
+    keep = 1.0 - learning_rate
+
+    def run(chunk: pa.Table) -> pa.Table:
+        chunk = chunk.sort_by("pos")
+        pos = chunk["pos"].to_numpy().astype(np.float64)
+        x = chunk["x"].combine_chunks().flatten().to_numpy().reshape(len(pos), -1)
+        rising = learning_rate * chunk["weight"].to_numpy() * keep**-pos
+        own = np.cumsum(x * rising[:, None], axis=0) * (keep**pos)[:, None]
+        offsets = np.arange(0, own.size + 1, own.shape[1], dtype=np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(own.ravel()))
+        return chunk.drop_columns(["x"]).append_column("own", lists)
+
+    return run
+
+
 def get_or_create(users: DataFrame, profiles: DataFrame, dim: int) -> DataFrame:
     """Profile of each asked user; a zero one where none is stored."""
     return (

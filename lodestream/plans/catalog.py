@@ -378,7 +378,7 @@ def user_profiles(spark, sf):
 
 @query
 def profile_history(spark, sf):
-    out = P.history(D.actions(spark, sf), D.items(spark, sf), D.DIM)
+    out = P.history(D.actions(spark, sf), D.items(spark, sf))
     return out.select(
         "event_id", "user_id", "item_id", "label", F.col("interaction_count").cast("bigint").alias("interaction_count"),
         *print_of("embedding", "embedding"),
@@ -411,7 +411,7 @@ def build_training_examples(spark, sf):
 @query
 def build_training_examples_post(spark, sf):
     items = D.items(spark, sf)
-    out = A.post_update_examples(P.history(D.actions(spark, sf), items, D.DIM), items)
+    out = A.post_update_examples(P.history(D.actions(spark, sf), items), items)
     return out.select(
         "event_id",
         "user_id",

@@ -144,7 +144,7 @@ def test_profile_fold_with_hot_user_equals_sequential(spark):
     start = spark.createDataFrame([(2, [100.0, 0.0, -7.0])], "user_id bigint, embedding array<double>")
     moved = {r.user_id: r.embedding for r in profiles.fold(_log(spark, log), items, start=start).collect()}
     assert np.allclose(moved[2], want[2][0] + np.array([100.0, 0.0, -7.0]) * 0.9 ** want[2][1], atol=1e-12)
-    after = {r.event_id: r.embedding for r in profiles.history(_log(spark, log), items, 3).collect()}
+    after = {r.event_id: r.embedding for r in profiles.history(_log(spark, log), items).collect()}
     assert len(after) == len(steps)
     assert all(np.allclose(after[e], v, atol=1e-12) for e, v in steps)
 
