@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from lodestream.functions import draws
 from lodestream.functions import vectors as V
 from lodestream.schemas import ACTION_WEIGHTS, DIM
+from lodestream.sources.topics import wire_time
 
 CONTEXT_DIM = 10
 
@@ -36,9 +37,6 @@ def action_features(action_type: Column, ts: Column, noise_key: Column, dim: int
     generator, so a replayed action yields the same vector.
     """
     one_hot = [F.when(action_type == name, F.lit(1.0)).otherwise(F.lit(0.0)) for name in ACTION_WEIGHTS]
-    # fixed values: positions of the six variants
-    order = ["View", "Click", "Like", "Share", "Purchase", "Convert"]
-    assert list(ACTION_WEIGHTS) == order
     hour, weekday = _clock(ts)
     noise = F.transform(
         F.sequence(F.lit(8), F.lit(dim - 1)), lambda i: draws.between(noise_key, i, seed, -1.0, 1.0)
@@ -48,10 +46,7 @@ def action_features(action_type: Column, ts: Column, noise_key: Column, dim: int
 
 def action_feature_vectors(actions: DataFrame, dim: int = DIM, seed=0, noise_key: str = "event_id") -> DataFrame:
     """Feature records (id = user, vector, metadata JSON) of actions; other columns are kept."""
-    metadata = F.to_json(
-        F.struct("action_type", F.col("ts").alias("timestamp"), "item_id"),
-        {"timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"},
-    )
+    metadata = F.to_json(F.struct("action_type", wire_time("ts").alias("timestamp"), "item_id"))
     return actions.select(
         "*",
         F.col("user_id").alias("id"),

@@ -27,6 +27,25 @@ def numbered(df: DataFrame, key: str, order: list[str], slice_by: str = "minute"
     )
 
 
+def last_rows(df: DataFrame, key: str, order: list[str], n: int, name: str = "place", lanes: int = 64) -> DataFrame:
+    """The n last rows of each key by the order columns, numbered from the last.
+
+    Below the session's group-limit threshold Spark itself keeps only n rows
+    of a key per task before the shuffle. Above it the same is done in two
+    steps: n per (key, lane), then n per key.
+    """
+    latest = [F.col(c).desc() for c in order]
+    limit = int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000"))
+    rows = df
+    if n >= limit:
+        lane = F.pmod(F.xxhash64(*order), F.lit(lanes))
+        by_lane = Window.partitionBy(key, "_lane").orderBy(*latest)
+        rows = df.withColumn("_lane", lane).withColumn("_n", F.row_number().over(by_lane))
+        rows = rows.filter(F.col("_n") <= n).drop("_lane", "_n")
+    by_key = Window.partitionBy(key).orderBy(*latest)
+    return rows.withColumn(name, F.row_number().over(by_key)).filter(F.col(name) <= n)
+
+
 def sessions(events: DataFrame, key: str = "user_id", ts: str = "ts", gap_minutes: int = 30) -> DataFrame:
     """(key, session, started, ended, n_events, duration_seconds, bounced) split at gaps longer than the limit.
 

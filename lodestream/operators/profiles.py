@@ -4,12 +4,12 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestream.functions import vectors as V
 from lodestream.operators.actions import action_weight
-from lodestream.operators.ordering import numbered
+from lodestream.operators.ordering import last_rows, numbered
 
 LEARNING_RATE = 0.1
 HISTORY_CHUNK = 256
@@ -51,8 +51,7 @@ def fold(
     item) first, so each pair brings its vector once.
     """
     counted = applied(actions, items)
-    recent = Window.partitionBy("user_id").orderBy(F.col("ts").desc(), F.col(tie).desc())
-    tail = counted.withColumn("place", F.row_number().over(recent)).filter(F.col("place") <= horizon(learning_rate))
+    tail = last_rows(counted, "user_id", ["ts", tie], horizon(learning_rate))
     keep = 1.0 - learning_rate
     share = F.lit(learning_rate) * F.col("weight") * F.pow(F.lit(keep), F.col("place") - 1)
     shares = tail.groupBy("user_id", "item_id").agg(F.sum(share).alias("share"))

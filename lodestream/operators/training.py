@@ -229,7 +229,7 @@ def catalogue_negatives(
 def with_negatives(examples: DataFrame, items: DataFrame, seen: DataFrame, key: str = "event_id", **how) -> DataFrame:
     """examples and their catalogue negatives: label 0, same user, context and time.
 
-    Replaces phantom items, which would end up in the item table.
+    key identifies an example. Replaces phantom items, which would end up in the item table.
     """
     chosen = catalogue_negatives(examples, items, seen, key=key, **how)
     features = items.select("item_id", V.as_double("embedding").alias("item_features"))

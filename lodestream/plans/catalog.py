@@ -40,9 +40,8 @@ def query(fn):
 
 def _action_records(spark, sf):
     """Events as topic records; an error event is an undecodable record."""
-    fields = F.struct("user_id", "item_id", "action_type", "ts", F.lit(None).cast("string").alias("context"))
-    value = F.to_json(fields, topics.TIMES)
-    return D.events(spark, sf).select("event_id", value.alias("value"))
+    fields = F.struct("user_id", "item_id", "action_type", topics.wire_time("ts").alias(topics.WIRE_TIME))
+    return D.events(spark, sf).select("event_id", F.to_json(fields).alias("value"))
 
 
 def _action_schema():

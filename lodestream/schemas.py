@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 DIM = 128
 
-# fixed values: the action variants and the label / weight each one carries
+# fixed values: the action variants, in feature-vector order, and the label / weight each one carries
 ACTION_WEIGHTS = {
     "View": 0.1,
     "Click": 0.3,

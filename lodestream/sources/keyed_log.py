@@ -24,17 +24,19 @@ def append(changes: DataFrame, root: str, batch_id: int) -> None:
     changes.write.mode("overwrite").parquet(f"{_path(root)}/changes/batch={int(batch_id)}")
 
 
-def base_batch(spark: SparkSession, root: str) -> int:
-    """Number of the newest base, -1 if there is none."""
+def base_batch(spark: SparkSession, root: str, before: int | None = None) -> int:
+    """Number of the newest base, or of the newest below before; -1 if there is none."""
     path = f"{_path(root)}/base"
     if not exists(spark, path):
         return -1
-    return int(spark.read.parquet(path).agg(F.max("batch")).first()[0])
+    bases = spark.read.parquet(path).select("batch")
+    newest = (bases if before is None else bases.filter(F.col("batch") < before)).agg(F.max("batch")).first()[0]
+    return -1 if newest is None else int(newest)
 
 
 def current(spark: SparkSession, root: str, key: str, schema: str, before: int | None = None) -> DataFrame:
     """Newest row per key, from batches below before if given; empty when nothing was written."""
-    at = base_batch(spark, root)
+    at = base_batch(spark, root, before)
     frames = []
     if at >= 0:
         frames.append(spark.read.parquet(f"{_path(root)}/base").filter(F.col("batch") == at))

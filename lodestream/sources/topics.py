@@ -5,7 +5,7 @@ folder of files with key and value columns. Consumer offsets and delivery are
 the stream's checkpointLocation and startingOffsets.
 """
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,10 +24,10 @@ LAYOUTS = {
     TRAINING_TOPIC: schemas.training_example,
 }
 
-TIMES = {
-    "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
-    "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
-}
+# fixed values: the wire name and form of the time, and the fields that hold JSON themselves
+WIRE_TIME = "timestamp"
+TIME_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"
+JSON_FIELDS = ("context", "metadata")
 BROKEN = "_broken"
 
 
@@ -42,39 +42,58 @@ def read_topic(spark: SparkSession, topic: str, path_or_servers: str, format: st
     return source.load(f"{path_or_servers.rstrip('/')}/{topic}")
 
 
+def wire_time(ts) -> Column:
+    """RFC 3339 text of a UTC time."""
+    return F.date_format(ts, TIME_FORMAT)
+
+
+def utc_time(text) -> Column:
+    """UTC time of RFC 3339 text, taken as UTC where it names no zone; null if it is none."""
+    zoned = F.when(text.rlike("(Z|[+-][0-9]{2}:?[0-9]{2})$"), text).otherwise(F.concat(text, F.lit("Z")))
+    return F.to_utc_timestamp(F.try_to_timestamp(zoned), F.current_timezone()).cast("timestamp_ntz")
+
+
 def decode(raw: DataFrame, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
     """(records, dead letters). A null value is skipped; text that is not such a record is a dead letter.
 
     Other columns of raw, such as an offset, are kept in front.
     """
     kept = [c for c in raw.columns if c not in ("key", "value")]
-    with_broken = T.StructType([*schema.fields, T.StructField(BROKEN, T.StringType())])
+    wire = [T.StructField(WIRE_TIME, T.StringType()) if f.name == "ts" else f for f in schema.fields]
+    with_broken = T.StructType([*wire, T.StructField(BROKEN, T.StringType())])
     parsed = raw.filter(F.col("value").isNotNull()).withColumn(
-        "record", F.from_json("value", with_broken, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": BROKEN, **TIMES})
+        "record", F.from_json("value", with_broken, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": BROKEN})
     )
+    time = utc_time(F.col(f"record.{WIRE_TIME}"))
+    fields = {n: time if n == "ts" else F.col(f"record.{n}") for n in schema.names}
     fine = F.col("record").isNotNull() & F.col(f"record.{BROKEN}").isNull()
-    for name in ("user_id", "item_id", "id"):
-        if name in schema.names:
-            fine = fine & F.col(f"record.{name}").isNotNull()
-    if "action_type" in schema.names:
-        fine = fine & F.col("record.action_type").isin(list(schemas.ACTION_WEIGHTS))
+    for name in ("user_id", "item_id", "id", "ts"):
+        if name in fields:
+            fine = fine & fields[name].isNotNull()
+    if "action_type" in fields:
+        fine = fine & fields["action_type"].isin(list(schemas.ACTION_WEIGHTS))
     fine = F.coalesce(fine, F.lit(False))
-    records = parsed.filter(fine).select(*kept, *[F.col(f"record.{n}").alias(n) for n in schema.names])
+    records = parsed.filter(fine).select(*kept, *[c.alias(n) for n, c in fields.items()])
     return records, parsed.filter(~fine).select(*kept, "value")
 
 
-def encode(records: DataFrame, topic: str, fields: list[str] | None = None) -> DataFrame:
-    """(key, value) for a topic: the record as JSON under its id. Numbers go out as FLOAT, like the layout's."""
+def encode(records: DataFrame, topic: str) -> DataFrame:
+    """(key, value) for a topic: the record as JSON under its id.
+
+    Numbers go out as FLOAT, like the layout's, and JSON text as JSON.
+    """
     layout = LAYOUTS[topic]()
-    names = fields or [n for n in layout.names if n in records.columns]
     floats = (T.FloatType(), T.ArrayType(T.FloatType()))
-    sent = [
-        F.col(n).cast(layout[n].dataType).alias(n) if n in layout.names and layout[n].dataType in floats else F.col(n)
-        for n in names
-    ]
-    return records.select(
-        F.col(KEYS[topic]).cast("string").alias("key"), F.to_json(F.struct(*sent), TIMES).alias("value")
-    )
+
+    def sent(name):
+        if name == "ts":
+            return wire_time("ts").alias(WIRE_TIME)
+        if name in JSON_FIELDS:
+            return F.parse_json(F.col(name).cast("string")).alias(name)
+        return F.col(name).cast(layout[name].dataType).alias(name) if layout[name].dataType in floats else F.col(name)
+
+    fields = [sent(n) for n in layout.names if n in records.columns]
+    return records.select(F.col(KEYS[topic]).cast("string").alias("key"), F.to_json(F.struct(*fields)).alias("value"))
 
 
 def write_topic(encoded: DataFrame, topic: str, path_or_servers: str, checkpoint: str, format: str = "parquet", **trigger):

@@ -149,6 +149,17 @@ def test_profile_fold_with_hot_user_equals_sequential(spark):
     assert all(np.allclose(after[e], v, atol=1e-12) for e, v in steps)
 
 
+def test_last_rows_in_two_steps(spark):
+    rows = spark.createDataFrame(_busy_log(3000), "event_id bigint, user_id bigint, item_id bigint, kind string, ts timestamp_ntz")
+    plain = ordering.last_rows(rows, "user_id", ["ts", "event_id"], 300)
+    spark.conf.set("spark.sql.optimizer.windowGroupLimitThreshold", "100")
+    try:
+        stepped = ordering.last_rows(rows, "user_id", ["ts", "event_id"], 300, lanes=4).collect()
+    finally:
+        spark.conf.unset("spark.sql.optimizer.windowGroupLimitThreshold")
+    assert sorted(stepped) == sorted(plain.collect()) and len(stepped) > 300
+
+
 def test_fold_is_cut_before_the_shuffle(spark):
     items = spark.createDataFrame([(0, [1.0])], "item_id bigint, embedding array<double>")
     plan = profiles.fold(_log(spark, [(0, 0, 0, "View", T0)]), items)._jdf.queryExecution().toString()
@@ -210,17 +221,26 @@ def test_profile_errors(spark):
 
 
 def test_decode_drops_what_is_not_a_record(spark):
-    good = '{"user_id":"u","item_id":"i","action_type":"Like","ts":"2024-01-01T10:00:00.000001","context":"{}"}'
+    good = '{"user_id":"u","item_id":"i","action_type":"Like","timestamp":"2024-01-01T10:00:00.000001Z","context":{"a":[1]}}'
     rows = [
         ("k", good),
         ("k", None),
         ("k", "not json"),
         ("k", good.replace("Like", "Stare")),
         ("k", good.replace('"user_id":"u",', "")),
+        ("k", good.replace("2024-01-01T", "someday ")),
+        ("k", good.replace("10:00:00.000001Z", "18:00:00+08:00").replace(',"context":{"a":[1]}', "")),
     ]
     records, bad = topics.decode(spark.createDataFrame(rows, "key string, value string"), schemas.user_action())
-    assert [(r.action_type, r.ts) for r in records.collect()] == [("Like", dt.datetime(2024, 1, 1, 10, 0, 0, 1))]
-    assert bad.count() == 3
+    ten = dt.datetime(2024, 1, 1, 10)
+    assert [(r.action_type, r.ts, r.context) for r in records.collect()] == [
+        ("Like", ten.replace(microsecond=1), '{"a":[1]}'), ("Like", ten, None)
+    ]
+    assert bad.count() == 4
+    sent = topics.encode(records, topics.ACTION_TOPIC).collect()
+    assert sent[0].key == "u" and sent[0].value == good
+    again, bad = topics.decode(topics.encode(records, topics.ACTION_TOPIC), schemas.user_action())
+    assert again.collect() == records.collect() and bad.count() == 0
 
 
 def test_upsert_last_wins_and_is_idempotent(spark):
