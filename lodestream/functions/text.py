@@ -3,6 +3,8 @@
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lodestream.functions.clock import MICROS, epoch_micros
+
 # fixed values: the kept characters, the four accepted id spellings, and the reason format
 KEPT_CHARACTERS = r"[^\p{IsAlphabetic}\p{N}\p{IsWhite_Space}\-_.,!?]"
 UUID_FORMS = (
@@ -56,5 +58,6 @@ def reason(score: Column, fmt: str = REASON_FORMAT) -> Column:
 
 def decay_weight(ts: Column, as_of: Column, rate: float) -> Column:
     """exp(-rate * hours) with the age taken in whole seconds."""
-    seconds = F.timestamp_diff("SECOND", ts, as_of)
+    micros = epoch_micros(as_of) - epoch_micros(ts)
+    seconds = F.signum(micros) * F.floor(F.abs(micros) / F.lit(MICROS))
     return F.exp(F.lit(-float(rate)) * seconds / F.lit(3600.0))

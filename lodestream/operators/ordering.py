@@ -3,15 +3,17 @@
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestream.functions.clock import MICROS, epoch_micros, time_slice
 
-def numbered(df: DataFrame, key: str, order: list[str], slice_by: str = "minute", name: str = "seq") -> DataFrame:
+
+def numbered(df: DataFrame, key: str, order: list[str], slice_seconds: int = 60, name: str = "seq") -> DataFrame:
     """1-based position of each row within its key, by the order columns.
 
     The first order column is a timestamp. Rows are numbered inside (key, time
     slice); the number of rows in earlier slices, found from one small row per
     slice, is added. A hot key is thus spread over its slices.
     """
-    sliced = df.withColumn("_slice", F.date_trunc(slice_by, order[0]))
+    sliced = df.withColumn("_slice", time_slice(order[0], slice_seconds))
     inside = Window.partitionBy(key, "_slice").orderBy(*order)
     earlier = Window.partitionBy(key).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     before = (
@@ -55,26 +57,26 @@ def sessions(events: DataFrame, key: str = "user_id", ts: str = "ts", gap_minute
     """
     width = gap_minutes * 60
     slices = (
-        events.select(key, ts, F.floor(F.unix_micros(F.col(ts).cast("timestamp")) / F.lit(width * 1000000)).alias("_s"))
+        events.select(key, ts, time_slice(ts, width).alias("_s"))
         .groupBy(key, "_s")
         .agg(F.min(ts).alias("first"), F.max(ts).alias("last"), F.count("*").alias("n"))
     )
     by_time = Window.partitionBy(key).orderBy("_s")
     opened = F.lag("last").over(by_time)
     fresh = F.when(
-        opened.isNull() | (F.timestamp_diff("MICROSECOND", opened, F.col("first")) > F.lit(width * 1000000)), 1
+        opened.isNull() | (epoch_micros("first") - epoch_micros(opened) > F.lit(width * MICROS)), 1
     ).otherwise(0)
     numbered_slices = slices.withColumn("fresh", fresh).withColumn("session", F.sum("fresh").over(by_time))
     return (
         numbered_slices.groupBy(key, "session")
         .agg(F.min("first").alias("started"), F.max("last").alias("ended"), F.sum("n").alias("n_events"))
-        .withColumn("duration_seconds", F.timestamp_diff("MICROSECOND", F.col("started"), F.col("ended")) / F.lit(1e6))
+        .withColumn("duration_seconds", (epoch_micros("ended") - epoch_micros("started")) / F.lit(1e6))
         .withColumn("bounced", F.col("n_events") == 1)
     )
 
 
 def latest_before(
-    left: DataFrame, right: DataFrame, key: str, ts: str, value: str, within_seconds: int, slice_by: str = "minute"
+    left: DataFrame, right: DataFrame, key: str, ts: str, value: str, within_seconds: int, slice_seconds: int = 60
 ) -> DataFrame:
     """left rows with right's latest (value, time) at or before their time and within the limit; inner.
 
@@ -86,7 +88,7 @@ def latest_before(
     sides = left.select("*", F.lit(1).alias("_side"), F.lit(None).cast(_struct_of(right, ts, value)).alias("_r"))
     blank = [F.lit(None).cast(left.schema[c].dataType).alias(c) for c in left.columns if c not in (key, ts)]
     marks = right.select(key, ts, *blank, F.lit(0).alias("_side"), taken.alias("_r")).select(sides.columns)
-    both = sides.unionByName(marks).withColumn("_slice", F.date_trunc(slice_by, ts))
+    both = sides.unionByName(marks).withColumn("_slice", time_slice(ts, slice_seconds))
     inside = (
         Window.partitionBy(key, "_slice").orderBy(ts, "_side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
@@ -95,7 +97,7 @@ def latest_before(
     earlier = Window.partitionBy(key).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     before = slice_end.select(key, "_slice", F.last("_end", ignorenulls=True).over(earlier).alias("_prev"))
     out = carried.join(before, [key, "_slice"]).withColumn("_hit", F.coalesce("_in", "_prev"))
-    near = F.timestamp_diff("MICROSECOND", F.col("_hit.at"), F.col(ts)) <= F.lit(within_seconds * 1000000)
+    near = epoch_micros(ts) - epoch_micros("_hit.at") <= F.lit(within_seconds * MICROS)
     return out.filter(F.col("_hit").isNotNull() & near).select(
         *left.columns, F.col("_hit.at").alias("matched_at"), F.col("_hit.value").alias(value)
     )

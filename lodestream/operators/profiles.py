@@ -78,7 +78,7 @@ def history(
     items: DataFrame,
     learning_rate: float = LEARNING_RATE,
     tie: str = "event_id",
-    slice_by: str = "minute",
+    slice_seconds: int = 60,
 ) -> DataFrame:
     """The profile right after each action, beginning at zero: one row per applied action.
 
@@ -88,7 +88,7 @@ def history(
     horizon. No group is larger than a chunk, whatever a user's share of rows.
     """
     keep = 1.0 - learning_rate
-    rows = numbered(applied(actions, items), "user_id", ["ts", tie], slice_by=slice_by, name="seq")
+    rows = numbered(applied(actions, items), "user_id", ["ts", tie], slice_seconds=slice_seconds, name="seq")
     rows = rows.withColumn("chunk", F.floor((F.col("seq") - 1) / HISTORY_CHUNK)).withColumn(
         "pos", ((F.col("seq") - 1) % HISTORY_CHUNK).cast("int")
     )

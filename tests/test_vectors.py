@@ -93,3 +93,19 @@ def test_score_batches_sizes(spark):
     rows = spark.range(0, 25, 1, 1)
     sizes = batches.score_batches(rows, lambda c: pd.DataFrame({"n": [len(c)]}), "n int", 10)
     assert [r.n for r in sizes.collect()] == [10, 10, 5]
+
+
+def test_clock_ignores_the_session_zone(spark):
+    import datetime as dt
+
+    from lodestream.functions import clock
+
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    times = [dt.datetime(2024, 3, 10, 1, 59, 59, 5), dt.datetime(2024, 3, 10, 2, 30), dt.datetime(2024, 3, 10, 3, 30), dt.datetime(1969, 12, 31, 23, 59, 59, 999999)]
+    rows = spark.createDataFrame([(t,) for t in times], "ts timestamp_ntz")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        got = [r[0] for r in rows.select(clock.epoch_micros("ts")).collect()]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    assert got == [(t - dt.datetime(1970, 1, 1)) // dt.timedelta(microseconds=1) for t in times]
