@@ -48,9 +48,10 @@ def _matrix(column) -> np.ndarray:
     return flat.reshape(len(lists), -1)
 
 
-def _unit(matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _normalized(matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row norms, and the rows at unit length; zero rows stay zero."""
     norms = np.sqrt(np.einsum("ij,ij->i", matrix, matrix))
-    return np.where(norms > 0, norms, 1.0), norms > 0
+    return norms, matrix / np.where(norms > 0, norms, 1.0)[:, None]
 
 
 class _Found(NamedTuple):
@@ -141,34 +142,39 @@ class _Cell:
         return best.first(ks[best.rows])
 
     def _block(self, q, q0, k, metric, hidden):
-        q_norm, q_live = _unit(q)
+        """Best k of each of a block of queries, the items taken a block at a time.
+
+        The cut is made on unrounded scores, a rounding step below the k-th:
+        that keeps every pair whose rounded score can still be among the k.
+        """
+        unit = metric == "cosine"
+        q_scale, q_side = _normalized(q) if unit else (None, q)
         parts = []
         for i0 in range(0, len(self.matrix), ITEM_BLOCK):
             part = self.matrix[i0 : i0 + ITEM_BLOCK].astype(np.float64)
-            dots = q @ part.T
-            if metric == "cosine":
-                i_norm, i_live = _unit(part)
-                score = dots / q_norm[:, None]
-                score /= i_norm[None, :]
-                score[~q_live] = 0.0
-                score[:, ~i_live] = 0.0
-            elif metric == "l2":
+            i_scale, i_side = _normalized(part) if unit else (None, part)
+            score = q_side @ i_side.T
+            if metric == "l2":
                 squares = np.einsum("ij,ij->i", q, q)[:, None] + np.einsum("ij,ij->i", part, part)[None, :]
-                score = -np.maximum(squares - 2.0 * dots, 0.0)
-            else:
-                score = dots
-            key = np.round(score, RANK_DIGITS)
+                score *= 2.0
+                score -= squares
+                np.minimum(score, 0.0, out=score)
             if hidden is not None:
                 r, c = hidden
                 here = (r >= q0) & (r < q0 + len(q)) & (c >= i0) & (c < i0 + len(part))
-                key[r[here] - q0, c[here] - i0] = -np.inf
-            if key.shape[1] > k:
-                bar = np.partition(key, key.shape[1] - k, axis=1)[:, key.shape[1] - k]
-                take = (key >= bar[:, None]) & (key > -np.inf)
+                score[r[here] - q0, c[here] - i0] = -np.inf
+            if score.shape[1] > k:
+                bar = np.partition(score, score.shape[1] - k, axis=1)[:, score.shape[1] - k]
+                bar = np.maximum(bar - 10.0**-RANK_DIGITS, np.finfo(np.float64).min)
+                r, c = np.nonzero(score >= bar[:, None])
+            else:
+                r, c = np.nonzero(score > -np.inf)
+            chosen = score[r, c]
+            if unit:
+                dots = chosen * q_scale[r] * i_scale[c]
             else:
-                take = key > -np.inf
-            r, c = np.nonzero(take)
-            parts.append(_Found(r + q0, c + i0, score[r, c], dots[r, c], key[r, c]))
+                dots = chosen if metric == "dot" else (chosen + squares[r, c]) / 2.0
+            parts.append(_Found(r + q0, c + i0, chosen, dots, np.round(chosen, RANK_DIGITS)))
         return _Found.joined(parts).first(k)
 
 
