@@ -1,6 +1,12 @@
 """The queries of this subpackage and their SQL."""
 
+from lodestream.llm.langid import op7_language_id
 from lodestream.llm.simhash import op4_simhash
+from lodestream.llm.suffixes import op2_suffix_array
 
-QUERIES = {"op4_simhash": op4_simhash}
+QUERIES = {
+    "op2_suffix_array": op2_suffix_array,
+    "op4_simhash": op4_simhash,
+    "op7_language_id": op7_language_id,
+}
 ORACLES = {}
