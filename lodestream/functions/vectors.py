@@ -119,4 +119,5 @@ def is_finite(x: Column) -> Column:
 
 
 def all_finite(vector) -> Column:
-    return ~F.exists(as_double(vector), lambda x: ~is_finite(x))
+    """False where an element is null, NaN or infinite; null for a null vector."""
+    return ~F.exists(as_double(vector), lambda x: x.isNull() | ~is_finite(x))

@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestream.functions import draws
+from lodestream.functions.clock import in_utc
 from lodestream.functions import vectors as V
 from lodestream.schemas import ACTION_WEIGHTS, DIM
 from lodestream.sources.topics import wire_time
@@ -46,6 +47,7 @@ def action_features(action_type: Column, ts: Column, noise_key: Column, dim: int
 
 def action_feature_vectors(actions: DataFrame, dim: int = DIM, seed=0, noise_key: str = "event_id") -> DataFrame:
     """Feature records (id = user, vector, metadata JSON) of actions; other columns are kept."""
+    actions = in_utc(actions)
     metadata = F.to_json(F.struct("action_type", wire_time("ts").alias("timestamp"), "item_id"))
     return actions.select(
         "*",
@@ -72,7 +74,7 @@ def training_examples(actions: DataFrame, items: DataFrame, profiles: DataFrame,
     """
     stored = profiles.select("user_id", F.col("embedding").alias("user_features"))
     features = items.select("item_id", F.col("embedding").alias("item_features"))
-    joined = actions.join(features, "item_id").join(stored, "user_id", "left")
+    joined = in_utc(actions).join(features, "item_id").join(stored, "user_id", "left")
     return joined.select(
         *[F.col(c) for c in actions.columns if c != "context"],
         action_weight(F.col("action_type")).alias("label"),
@@ -90,7 +92,7 @@ def post_update_examples(history: DataFrame, items: DataFrame) -> DataFrame:
     """
     features = items.select("item_id", V.as_double("embedding").alias("item_features"))
     return (
-        history.withColumnRenamed("embedding", "user_features")
+        in_utc(history).withColumnRenamed("embedding", "user_features")
         .join(features, "item_id")
         .withColumn("context_features", context_features(F.col("action_type"), F.col("ts")))
     )

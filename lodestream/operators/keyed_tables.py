@@ -18,8 +18,8 @@ def latest(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
 
 
 def dimension_error(vector, dim: int):
-    """Error text when the vector's size is not dim, else null."""
-    size = F.size(vector)
+    """Error text when the vector's size is not dim, else null; a null vector has size 0."""
+    size = F.coalesce(F.size(vector), F.lit(0))
     text = F.format_string(f"Embedding dimension mismatch: expected {dim}, got %d", size)
     return F.when(size != dim, text)
 
@@ -31,8 +31,11 @@ def upsert(old: DataFrame, new: DataFrame, key: str, order: list[str], dim: int,
     """
     error = dimension_error(vector, dim)
     checked = new.withColumn(vector, F.when(error.isNull(), F.col(vector)).otherwise(F.raise_error(error)))
-    newest = latest(checked, key, order).select(old.columns)
-    return old.join(newest.select(key), key, "left_anti").unionByName(newest)
+    rest = [c for c in old.columns if c != key]
+    newest = latest(checked, key, order).select(key, F.struct(*rest).alias("_new"))
+    both = old.select(key, F.struct(*rest).alias("_old")).join(newest, key, "full")
+    # keys of old are unique; a null key matches none
+    return both.select(key, F.coalesce("_new", "_old").alias("_row")).select(key, "_row.*").select(old.columns)
 
 
 def update_vectors(table: DataFrame, new: DataFrame, key: str, vector: str = "embedding", touched=None) -> DataFrame:

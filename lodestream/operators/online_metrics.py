@@ -37,12 +37,9 @@ def online_metrics(actions: DataFrame, gap_minutes: int = 30) -> DataFrame:
         F.coalesce(F.avg("duration_seconds"), F.lit(0.0)).alias("session_length"),
         _ratio(F.count_if("bounced"), F.count("*")).alias("bounce_rate"),
     )
-    # both sides are single aggregate rows
-    return funnel.select(
-        "*",
-        visits.select("session_length").scalar().alias("session_length"),
-        visits.select("bounce_rate").scalar().alias("bounce_rate"),
-    )
+    # both sides are single aggregate rows; the sessions are built once
+    both = funnel.withColumn("_visits", visits.select(F.struct("session_length", "bounce_rate")).scalar())
+    return both.select("*", "_visits.session_length", "_visits.bounce_rate").drop("_visits")
 
 
 def windowed_funnel(actions: DataFrame, width: str = "1 day") -> DataFrame:

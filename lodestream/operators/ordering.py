@@ -6,16 +6,19 @@ from pyspark.sql import functions as F
 from lodestream.functions.clock import MICROS, epoch_micros, time_slice
 
 
-def numbered(df: DataFrame, key: str, order: list[str], slice_seconds: int = 60, name: str = "seq") -> DataFrame:
-    """1-based position of each row within its key, by the order columns.
+def numbered(
+    df: DataFrame, key: str, order: list[str], slice_seconds: int = 60, name: str = "seq", from_last: bool = False
+) -> DataFrame:
+    """1-based position of each row within its key, by the order columns, counted from the first or the last.
 
     The first order column is a timestamp. Rows are numbered inside (key, time
-    slice); the number of rows in earlier slices, found from one small row per
-    slice, is added. A hot key is thus spread over its slices.
+    slice); the number of rows in the slices before (or after), found from one
+    small row per slice, is added. A hot key is thus spread over its slices.
     """
+    way = (lambda c: F.col(c).desc()) if from_last else F.col
     sliced = df.withColumn("_slice", time_slice(order[0], slice_seconds))
-    inside = Window.partitionBy(key, "_slice").orderBy(*order)
-    earlier = Window.partitionBy(key).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(key, "_slice").orderBy(*[way(c) for c in order])
+    earlier = Window.partitionBy(key).orderBy(way("_slice")).rowsBetween(Window.unboundedPreceding, -1)
     before = (
         sliced.groupBy(key, "_slice")
         .agg(F.count("*").alias("_n"))
@@ -29,23 +32,50 @@ def numbered(df: DataFrame, key: str, order: list[str], slice_seconds: int = 60,
     )
 
 
-def last_rows(df: DataFrame, key: str, order: list[str], n: int, name: str = "place", lanes: int = 64) -> DataFrame:
-    """The n last rows of each key by the order columns, numbered from the last.
+def ranks_below(asked: DataFrame, marks: DataFrame, key: str, at: str, name: str, width: int = 4096) -> DataFrame:
+    """asked (key, at, ...) with the number of the key's marks (key, at) at or below each position.
 
-    Below the session's group-limit threshold Spark itself keeps only n rows
-    of a key per task before the shuffle. Above it the same is done in two
-    steps: n per (key, lane), then n per key.
+    Positions are whole numbers. Counts run inside slices of width positions;
+    the marks of lower slices are added from one small row per slice.
     """
-    latest = [F.col(c).desc() for c in order]
-    limit = int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000"))
-    rows = df
-    if n >= limit:
-        lane = F.pmod(F.xxhash64(*order), F.lit(lanes))
-        by_lane = Window.partitionBy(key, "_lane").orderBy(*latest)
-        rows = df.withColumn("_lane", lane).withColumn("_n", F.row_number().over(by_lane))
-        rows = rows.filter(F.col("_n") <= n).drop("_lane", "_n")
-    by_key = Window.partitionBy(key).orderBy(*latest)
-    return rows.withColumn(name, F.row_number().over(by_key)).filter(F.col(name) <= n)
+    blank = [F.lit(None).cast(asked.schema[c].dataType).alias(c) for c in asked.columns if c not in (key, at)]
+    left = asked.withColumn("_mark", F.lit(0))
+    both = left.unionByName(marks.select(key, at, *blank, F.lit(1).alias("_mark")))
+    sliced = both.withColumn("_slice", F.floor(F.col(at) / F.lit(width)))
+    inside = Window.partitionBy(key, "_slice").orderBy(at, F.desc("_mark"))
+    lower = Window.partitionBy(key).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    before = (
+        sliced.groupBy(key, "_slice")
+        .agg(F.sum("_mark").alias("_n"))
+        .select(key, "_slice", F.coalesce(F.sum("_n").over(lower), F.lit(0)).alias("_before"))
+    )
+    running = F.sum("_mark").over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return (
+        sliced.withColumn("_in", running)
+        .filter("_mark = 0")
+        .join(before, [key, "_slice"])
+        .withColumn(name, F.col("_in") + F.col("_before"))
+        .select(*asked.columns, name)
+    )
+
+
+def dense_ids(ids: DataFrame, key: str, name: str = "idx", seed=0, digits: int = 3) -> DataFrame:
+    """(key, name): distinct ids numbered from 0 without gaps, in the order of their md5 with the seed.
+
+    Ids are numbered inside slices by the hash's first hex digits; the counts of
+    the slices, 16^digits rows, give the offsets.
+    """
+    hashed = ids.select(key).filter(F.col(key).isNotNull()).distinct()
+    tagged = F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(f"dense{seed}")))
+    sliced = hashed.withColumn("_hash", tagged).withColumn("_slice", F.substring("_hash", 1, digits))
+    lower = Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    before = (
+        sliced.groupBy("_slice")
+        .agg(F.count("*").alias("_n"))
+        .select("_slice", F.coalesce(F.sum("_n").over(lower), F.lit(0)).alias("_before"))
+    )
+    inside = F.row_number().over(Window.partitionBy("_slice").orderBy("_hash", key)) - 1
+    return sliced.withColumn("_in", inside).join(before, "_slice").select(key, (F.col("_in") + F.col("_before")).alias(name))
 
 
 def sessions(events: DataFrame, key: str = "user_id", ts: str = "ts", gap_minutes: int = 30) -> DataFrame:
@@ -80,6 +110,7 @@ def latest_before(
 ) -> DataFrame:
     """left rows with right's latest (value, time) at or before their time and within the limit; inner.
 
+    Of right rows at the same time the one with the largest value counts.
     Within (key, time slice) the latest right row is carried along the time
     order; where the slice has none yet, the last one of the closest earlier
     slice is used, taken from one row per slice. No pairs are formed.
@@ -90,10 +121,10 @@ def latest_before(
     marks = right.select(key, ts, *blank, F.lit(0).alias("_side"), taken.alias("_r")).select(sides.columns)
     both = sides.unionByName(marks).withColumn("_slice", time_slice(ts, slice_seconds))
     inside = (
-        Window.partitionBy(key, "_slice").orderBy(ts, "_side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        Window.partitionBy(key, "_slice").orderBy(ts, "_side", "_r").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     carried = both.withColumn("_in", F.last("_r", ignorenulls=True).over(inside)).filter(F.col("_side") == 1)
-    slice_end = both.groupBy(key, "_slice").agg(F.max_by("_r", F.when(F.col("_r").isNotNull(), F.col(ts))).alias("_end"))
+    slice_end = both.groupBy(key, "_slice").agg(F.max("_r").alias("_end"))
     earlier = Window.partitionBy(key).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     before = slice_end.select(key, "_slice", F.last("_end", ignorenulls=True).over(earlier).alias("_prev"))
     out = carried.join(before, [key, "_slice"]).withColumn("_hit", F.coalesce("_in", "_prev"))

@@ -1,7 +1,5 @@
 """Per-user profile embeddings folded from actions."""
 
-import math
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -9,20 +7,13 @@ from pyspark.sql import functions as F
 
 from lodestream.functions import vectors as V
 from lodestream.operators.actions import action_weight
-from lodestream.operators.ordering import last_rows, numbered
+from lodestream.operators.ordering import numbered
+from lodestream.session import cut_lineage
 
 LEARNING_RATE = 0.1
 HISTORY_CHUNK = 256
 
 
-def horizon(learning_rate: float) -> int:
-    """Number of latest actions that can still be seen in a FLOAT embedding.
-
-    An older action is scaled below 2^-149, the smallest positive FLOAT.
-    """
-    return int(149 * math.log(2.0) / -math.log1p(-learning_rate)) + 1
-
-
 def applied(actions: DataFrame, items: DataFrame) -> DataFrame:
     """Actions that count: known variant and known item."""
     return (
@@ -43,15 +34,13 @@ def fold(
 
     Each action sets e to (1 - r) e + r w item, so the n-th from the end of N
     actions adds r w (1 - r)^(n-1) item and a start embedding (frame of
-    user_id, embedding) is scaled by (1 - r)^N. Only the last horizon(r)
-    actions of a user are ranked; older ones add less than the smallest FLOAT
-    together with their weight. That bound lets Spark cut each task's rows to
-    the horizon before the shuffle, so a hot user stays a bounded group; the
-    count is a plain aggregate over all actions. Shares are summed by (user,
-    item) first, so each pair brings its vector once.
+    user_id, embedding) is scaled by (1 - r)^N. All actions of a user are
+    numbered from the last, slice by slice of time, so a hot user is spread;
+    shares are summed by (user, item) first, so each pair brings its vector
+    once.
     """
     counted = applied(actions, items)
-    tail = last_rows(counted, "user_id", ["ts", tie], horizon(learning_rate))
+    tail = numbered(counted, "user_id", ["ts", tie], name="place", from_last=True)
     keep = 1.0 - learning_rate
     share = F.lit(learning_rate) * F.col("weight") * F.pow(F.lit(keep), F.col("place") - 1)
     shares = tail.groupBy("user_id", "item_id").agg(F.sum(share).alias("share"))
@@ -79,45 +68,39 @@ def history(
     learning_rate: float = LEARNING_RATE,
     tie: str = "event_id",
     slice_seconds: int = 60,
+    chunk: int = HISTORY_CHUNK,
 ) -> DataFrame:
     """The profile right after each action, beginning at zero: one row per applied action.
 
     Actions of a user are numbered in order and cut into chunks. A chunk is
-    folded by itself; the state it starts from is the sum of the preceding
-    chunks' results, each faded by the actions in between, back to the
-    horizon. No group is larger than a chunk, whatever a user's share of rows.
+    folded by itself; the state it starts from comes from the ends of all chunks
+    before it, which are folded in chunks of chunks, and so on up. No group is
+    larger than a chunk, whatever a user's share of rows. The largest number of
+    actions of a user is what reaches the driver.
     """
     keep = 1.0 - learning_rate
-    rows = numbered(applied(actions, items), "user_id", ["ts", tie], slice_seconds=slice_seconds, name="seq")
-    rows = rows.withColumn("chunk", F.floor((F.col("seq") - 1) / HISTORY_CHUNK)).withColumn(
-        "pos", ((F.col("seq") - 1) % HISTORY_CHUNK).cast("int")
-    )
+    counted = applied(actions, items)
+    most = counted.groupBy("user_id").count().agg(F.max("count")).first()[0] or 0
+    rows = numbered(counted, "user_id", ["ts", tie], slice_seconds=slice_seconds, name="seq")
+    place = F.col("seq") - 1
+    rows = rows.withColumn("chunk", F.floor(place / chunk).cast("long")).withColumn("pos", (place % chunk).cast("int"))
     rows = rows.join(items.select("item_id", V.as_double("embedding").alias("x")), "item_id")
-
-    def step(share):
-        return F.lit(learning_rate) * F.col("weight") * share
-
-    # a complete chunk's own result, and how far back it still matters
-    last = F.lit(HISTORY_CHUNK - 1)
-    ends = (
-        rows.groupBy("user_id", "chunk")
-        .agg(V.vector_sum("x", step(F.pow(F.lit(keep), last - F.col("pos")))).alias("end"), F.count("*").alias("n"))
-        .filter(F.col("n") == HISTORY_CHUNK)
-    )
-    reach = math.ceil(horizon(learning_rate) / HISTORY_CHUNK) + 1
-    ahead = F.explode(F.sequence(F.lit(1), F.lit(reach)))
-    carried = ends.select("user_id", "chunk", "end", ahead.alias("gap"))
-    fade = F.pow(F.lit(keep), (F.col("gap") - 1) * HISTORY_CHUNK)
-    starts = (
-        carried.select("user_id", (F.col("chunk") + F.col("gap")).alias("chunk"), V.scale("end", fade).alias("part"))
-        .groupBy("user_id", "chunk")
-        .agg(V.vector_sum("part").alias("start"))
-    )
-    kept = [c for c in rows.columns if c != "x"]
+    rows = rows.withColumn("gain", F.lit(learning_rate) * F.col("weight"))
+    kept = [c for c in rows.columns if c not in ("x", "gain")]
     schema = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in kept) + ", own array<double>"
-    own = rows.groupBy("user_id", "chunk").applyInArrow(_running(learning_rate), schema)
+    own = rows.groupBy("user_id", "chunk").applyInArrow(_running(keep, after=True, drop=["gain"]), schema)
+    if most > chunk:
+        own = cut_lineage(own)
+        full = F.col("pos") == chunk - 1
+        ends = own.filter((F.col("pos") == 0) | full).groupBy("user_id", "chunk").agg(
+            F.first(F.when(full, F.col("own")), ignorenulls=True).alias("x")
+        )
+        starts = _starts(ends, most // chunk + 1, keep**chunk, chunk)
+        own = own.join(starts.withColumnRenamed("block", "chunk"), ["user_id", "chunk"], "left")
+    else:
+        own = own.withColumn("start", F.lit(None).cast("array<double>"))
     faded = V.scale("start", F.pow(F.lit(keep), F.col("pos") + 1))
-    return own.join(starts, ["user_id", "chunk"], "left").select(
+    return own.select(
         *actions.columns,
         F.col("weight").alias("label"),
         F.col("seq").alias("interaction_count"),
@@ -125,23 +108,69 @@ def history(
     )
 
 
-def _running(learning_rate: float):
-    """Fold of one chunk from zero, after each of its rows.
+def _starts(ends: DataFrame, most: int, keep: float, chunk: int) -> DataFrame:
+    """(user_id, block, start): the state before each block, from the ends x of all blocks before it.
 
-    Running sums of shares scaled up to the chunk's first row, scaled back;
-    a chunk is short enough for the scale to stay far from overflow.
+    ends (user_id, chunk, x) has every block, x null for a last one that is not
+    full; keep is the fade over one block, most the largest number of blocks.
+    """
+    blocks = ends.select(
+        "user_id",
+        F.col("chunk").alias("block"),
+        F.floor(F.col("chunk") / chunk).cast("long").alias("chunk"),
+        (F.col("chunk") % chunk).cast("int").alias("pos"),
+        "x",
+        F.lit(1.0).alias("gain"),
+    )
+    kind = ends.schema["user_id"].dataType.simpleString()
+    schema = f"user_id {kind}, block long, chunk long, pos int, own array<double>, whole array<double>"
+    inside = blocks.groupBy("user_id", "chunk").applyInArrow(_running(keep, after=False, drop=["gain"], size=chunk), schema)
+    if most <= chunk:
+        return inside.select("user_id", "block", F.col("own").alias("start"))
+    inside = cut_lineage(inside)
+    upper = inside.groupBy("user_id", "chunk").agg(F.first("whole", ignorenulls=True).alias("x"))
+    above = _starts(upper, most // chunk + 1, keep**chunk, chunk).select("user_id", F.col("block").alias("chunk"), "start")
+    faded = V.scale("start", F.pow(F.lit(keep), F.col("pos")))
+    start = F.when(F.col("own").isNull(), faded).when(F.col("start").isNull(), F.col("own")).otherwise(V.add("own", faded))
+    return inside.join(above, ["user_id", "chunk"]).select("user_id", "block", start.alias("start"))
+
+
+def _running(keep: float, after: bool, drop: list[str], size: int | None = None):
+    """Fold of one chunk from zero, state by state, after or before each of its rows.
+
+    A row without x leaves the state; a chunk without any has null states. With
+    a size, whole is the state after the chunk's last row if the chunk has that
+    many full rows, else null.
     """
-    keep = 1.0 - learning_rate
 
     def run(chunk: pa.Table) -> pa.Table:
         chunk = chunk.sort_by("pos")
-        pos = chunk["pos"].to_numpy().astype(np.float64)
-        x = chunk["x"].combine_chunks().flatten().to_numpy().reshape(len(pos), -1)
-        rising = learning_rate * chunk["weight"].to_numpy() * keep**-pos
-        own = np.cumsum(x * rising[:, None], axis=0) * (keep**pos)[:, None]
-        offsets = np.arange(0, own.size + 1, own.shape[1], dtype=np.int32)
-        lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(own.ravel()))
-        return chunk.drop_columns(["x"]).append_column("own", lists)
+        x = chunk["x"].combine_chunks()
+        filled = x.is_valid().to_numpy(zero_copy_only=False)
+        steps = x.flatten().to_numpy()
+        dim = len(steps) // max(1, int(filled.sum()))
+        steps = steps.reshape(-1, max(dim, 1))
+        gain = chunk["gain"].to_numpy()
+        state = np.zeros(steps.shape[1])
+        own, used = np.empty((len(gain), steps.shape[1])), 0
+        for n in range(len(gain)):
+            if not after:
+                own[n] = state
+            if filled[n]:
+                state = keep * state + gain[n] * steps[used]
+                used += 1
+            if after:
+                own[n] = state
+        if filled.any():
+            offsets = np.arange(0, own.size + 1, own.shape[1], dtype=np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(own.ravel()))
+        else:
+            lists = pa.nulls(len(gain), pa.list_(pa.float64()))
+        out = chunk.drop_columns(["x", *drop]).append_column("own", lists)
+        if size is not None:
+            whole = [state if used == size and n == len(gain) - 1 else None for n in range(len(gain))]
+            out = out.append_column("whole", pa.array(whole, pa.list_(pa.float64())))
+        return out
 
     return run
 

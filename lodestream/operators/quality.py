@@ -20,9 +20,10 @@ def is_nil(column) -> Column:
 
 
 def first_error(rules: list[tuple[Column, str]]) -> Column:
+    """Message of the first rule that fails; a rule that is null, as a null field makes it, fails."""
     out = None
     for failed, message in rules:
-        out = (F if out is None else out).when(failed, F.lit(message))
+        out = (F if out is None else out).when(F.coalesce(failed, F.lit(True)), F.lit(message))
     return out
 
 
@@ -85,15 +86,16 @@ def item_error() -> Column:
 
 def request_error() -> Column:
     categories, excluded = F.col("filter_categories"), F.col("exclude_items")
-    empty_name = F.exists(categories, lambda c: c == "")
-    long_name = F.exists(categories, lambda c: _long_name(c))
+    names = F.transform(categories, lambda c: F.coalesce(c, F.lit("")))
+    empty_name = F.exists(names, lambda c: c == "")
+    long_name = F.exists(names, lambda c: _long_name(c))
     # the first bad name decides which of the two messages is given
-    first_bad = F.element_at(F.filter(categories, lambda c: (c == "") | _long_name(c)), 1)
+    first_bad = F.get(F.filter(names, lambda c: (c == "") | _long_name(c)), F.lit(0))
     # fixed values: messages
     return first_error(
         [
             (is_nil("user_id"), "User ID cannot be nil"),
-            (F.col("num_recommendations") == 0, "Number of recommendations must be greater than 0"),
+            (F.col("num_recommendations") <= 0, "Number of recommendations must be greater than 0"),
             (
                 F.col("num_recommendations") > MAX_RECOMMENDATIONS,
                 "Number of recommendations too large (max 1000)",
@@ -161,7 +163,7 @@ def model_errors(snapshot: DataFrame) -> DataFrame:
     for n, (failed, _) in enumerate(rules):
         place = (F if place is None else place).when(failed, F.lit(n))
     worst = snapshot.groupBy("version").agg(F.min(place).alias("n"))
-    text = first_error([(F.col("n") == n, message) for n, (_, message) in enumerate(rules)])
+    text = first_error([(F.col("n").eqNullSafe(n), message) for n, (_, message) in enumerate(rules)])
     return worst.select("version", text.alias("error"))
 
 

@@ -5,14 +5,18 @@ unique by pair; users lists who is evaluated. Everything joins on (user, item)
 or aggregates by user, so one user's many relevant items stay spread out.
 """
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestream.functions import vectors as V
+from lodestream.functions.batches import complete_groups, group_bounds
 from lodestream.session import cut_lineage
 
-# fixed value: the longest list a request may ask for
-MAX_LIST = 1000
+# items of a list that one task compares with as many others
+LIST_BLOCK = 512
 
 
 def _hits(recs: DataFrame, relevant: DataFrame) -> DataFrame:
@@ -95,37 +99,60 @@ def coverage(recs: DataFrame, items: DataFrame) -> DataFrame:
     return joined.agg(_ratio(F.count("shown"), F.count("*")).alias("coverage"))
 
 
+def _distance_sums(batches):
+    """(user_id, total, n): summed distances of the pairs that meet in a cell, and the items counted there."""
+    for table in complete_groups(batches, "user_id", "low", "high"):
+        users = table.column("user_id").combine_chunks()
+        low, high, block = (table.column(c).to_numpy() for c in ("low", "high", "block"))
+        cut = group_bounds(pc.dictionary_encode(users).indices.to_numpy(), low, high)
+        lists = table.column("x").combine_chunks()
+        at, flat = lists.offsets.to_numpy(), lists.flatten().to_numpy()
+        base = at[0]
+        rows, totals, counts = [], [], []
+        for start, stop in zip(cut, cut[1:]):
+            sizes = np.diff(at[start : stop + 1])
+            own = block[start:stop]
+            rows.append(start)
+            counts.append(int(stop - start) if low[start] == high[start] else 0)
+            one = own == low[start]
+            if (sizes != sizes[0]).any():
+                pairs = stop - start > 1 if low[start] == high[start] else one.any() and (~one).any()
+                totals.append(np.inf if pairs else 0.0)
+                continue
+            x = flat[at[start] - base : at[stop] - base].reshape(stop - start, -1)
+            if low[start] == high[start]:
+                apart = sum(np.sqrt(((x[n + 1 :] - x[n]) ** 2).sum(axis=1)).sum() for n in range(len(x) - 1))
+            else:
+                apart = sum(np.sqrt(((x[~one] - v) ** 2).sum(axis=1)).sum() for v in x[one])
+            totals.append(float(apart))
+        yield pa.RecordBatch.from_arrays(
+            [users.take(pa.array(rows)), pa.array(totals, pa.float64()), pa.array(counts, pa.int64())],
+            names=["user_id", "total", "n"],
+        )
+
+
 def intra_list_diversity(recs: DataFrame, items: DataFrame, users: DataFrame) -> DataFrame:
-    """(user_id, diversity): mean euclidean distance between the items of a list.
+    """(user_id, diversity): mean euclidean distance between the items of a list; infinite if sizes differ.
 
-    A list is at most MAX_LIST long (a longer one fails the job), so it is
-    gathered into one array and compared there; no pair becomes a row.
+    A list of any length is cut into blocks, and each pair of blocks is compared
+    in a cell of its own; a cell lets out one sum, so no pair becomes a row.
     """
-    listed = recs.join(items.select("item_id", V.as_double("embedding").alias("x")), "item_id")
-    gathered = (
-        listed.groupBy("user_id")
-        .agg(F.array_sort(F.collect_list(F.struct("rank", "x"))).alias("list"))
-        .withColumn("n", F.size("list"))
-        .withColumn(
-            "v",
-            F.when(F.col("n") <= MAX_LIST, F.transform("list", lambda e: e["x"])).otherwise(
-                F.raise_error(F.lit(f"recommended list longer than {MAX_LIST}"))
-            ),
-        )
+    listed = recs.join(items.select("item_id", V.as_double("embedding").alias("x")), "item_id").filter("x IS NOT NULL")
+    blocks = recs.groupBy("user_id").agg(F.ceil(F.max("rank") / LIST_BLOCK).cast("int").alias("blocks"))
+    block = F.floor((F.col("rank") - 1) / LIST_BLOCK).cast("int")
+    cells = (
+        listed.select("user_id", "x", block.alias("block"))
+        .join(blocks, "user_id")
+        .select("user_id", "x", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("_other"))
+        .select("user_id", "x", "block", F.least("block", "_other").alias("low"), F.greatest("block", "_other").alias("high"))
+        .repartition("user_id", "low", "high")
+        .sortWithinPartitions("user_id", "low", "high")
     )
-    pair_sum = F.aggregate(
-        F.sequence(F.lit(1), F.col("n") - 1),
-        F.lit(0.0),
-        lambda total, i: total
-        + F.aggregate(
-            F.slice("v", i + 1, F.col("n")),
-            F.lit(0.0),
-            lambda inner, other: inner + V.euclidean(F.element_at("v", i), other),
-        ),
-    )
-    mean = F.when(F.col("n") >= 2, pair_sum / (F.col("n") * (F.col("n") - 1) / 2)).otherwise(F.lit(0.0))
-    scored = gathered.select("user_id", mean.alias("diversity"))
-    return users.select("user_id").join(scored, "user_id", "left").fillna(0.0)
+    kind = recs.schema["user_id"].dataType.simpleString()
+    sums = cells.mapInArrow(_distance_sums, f"user_id {kind}, total double, n long")
+    whole = sums.groupBy("user_id").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
+    mean = F.when(F.col("n") >= 2, F.col("total") / (F.col("n") * (F.col("n") - 1) / 2)).otherwise(F.lit(0.0))
+    return users.select("user_id").join(whole.select("user_id", mean.alias("diversity")), "user_id", "left").fillna(0.0)
 
 
 def category_diversity(recs: DataFrame, items: DataFrame, users: DataFrame) -> DataFrame:
@@ -153,24 +180,46 @@ def novelty(recs: DataFrame, popularity: DataFrame, users: DataFrame) -> DataFra
 def all_metrics(recs: DataFrame, relevant: DataFrame, items: DataFrame, popularity: DataFrame, users: DataFrame, k: int):
     """One row: per-user metrics averaged over users, and catalogue coverage.
 
-    The lists are written once to the shared folder, as every metric reads them.
+    The lists are joined once to their grades and popularities and written; one
+    aggregate by user then gives every sum over a list, one over relevant gives
+    the ideal ones. Only diversity, which needs the vectors, goes its own way.
     """
-    recs = cut_lineage(recs)
-    per_user = (
-        precision_recall(recs, relevant, users, k)
-        .join(ndcg(recs, relevant, users, k), "user_id")
-        .join(average_precision(recs, relevant, users, k), "user_id")
-        .join(intra_list_diversity(recs, items, users), "user_id")
-        .join(novelty(recs, popularity, users), "user_id")
+    marks = relevant.select("user_id", "item_id", F.col("grade").cast("double").alias("grade"))
+    known = recs.join(marks, ["user_id", "item_id"], "left").join(popularity.select("item_id", "popularity"), "item_id", "left")
+    listed = cut_lineage(known.select("user_id", "rank", "item_id", "grade", "popularity"))
+    hit = F.col("grade").isNotNull() & (F.col("rank") <= k)
+    so_far = Window.partitionBy("user_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = listed.withColumn("hit", hit.cast("int")).withColumn("seen", F.sum("hit").over(so_far))
+    bits = F.when(F.col("popularity") > 0, -F.log2("popularity")).otherwise(F.lit(0.0))
+    by_list = found.groupBy("user_id").agg(
+        F.sum("hit").alias("hits"),
+        F.count("*").alias("listed"),
+        F.sum(F.when(hit, F.col("grade") / F.log2(F.col("rank") + 1))).alias("dcg"),
+        F.sum(F.when(hit, F.col("seen") / F.col("rank"))).alias("gained"),
+        F.avg(bits).alias("novelty"),
+    )
+    by_grade = Window.partitionBy("user_id").orderBy(F.col("grade").desc(), "item_id")
+    ideal = marks.withColumn("place", F.row_number().over(by_grade)).groupBy("user_id").agg(
+        F.count("*").alias("owned"),
+        F.sum(F.when(F.col("place") <= k, F.col("grade") / F.log2(F.col("place") + 1))).alias("idcg"),
     )
-    names = {
-        "precision": "precision_at_k",
-        "recall": "recall_at_k",
-        "f1": "f1_score",
-        "ndcg": "ndcg_at_k",
-        "ap": "map_score",
-        "diversity": "diversity",
-        "novelty": "novelty",
+    joined = (
+        users.select("user_id")
+        .join(by_list, "user_id", "left")
+        .join(ideal, "user_id", "left")
+        .join(intra_list_diversity(listed, items, users), "user_id")
+        .fillna(0)
+    )
+    precision = _ratio(F.col("hits"), F.least(F.col("listed"), F.lit(k)))
+    recall = _ratio(F.col("hits"), F.col("owned"))
+    figures = {
+        "precision_at_k": precision,
+        "recall_at_k": recall,
+        "f1_score": f1(precision, recall),
+        "ndcg_at_k": _ratio(F.col("dcg"), F.col("idcg")),
+        "map_score": _ratio(F.col("gained"), F.col("owned")),
+        "diversity": F.col("diversity"),
+        "novelty": F.col("novelty"),
     }
-    means = per_user.agg(*[F.coalesce(F.avg(c), F.lit(0.0)).alias(n) for c, n in names.items()])
-    return means.withColumn("coverage", coverage(recs, items).scalar())
+    means = joined.agg(*[F.coalesce(F.avg(c), F.lit(0.0)).alias(n) for n, c in figures.items()])
+    return means.withColumn("coverage", coverage(listed, items).scalar())

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 from lodestream.functions import text as X
 from lodestream.functions import vectors as V
 from lodestream.operators.actions import action_weight
-from lodestream.operators.similarity import similar, top_k
+from lodestream.operators.similarity import search, similar, top_k
+from lodestream.session import cut_lineage
 
 DEFAULT_COUNT = 10
 SIMILARITY_THRESHOLD = 0.7
@@ -41,6 +42,7 @@ def recommend(
     dim: int,
     threshold: float = SIMILARITY_THRESHOLD,
     request_id: str = "user_id",
+    index: tuple[int, int] | None = None,
     **grid,
 ) -> DataFrame:
     """(request id, user_id, rank, item_id, score, reason, category).
@@ -51,14 +53,17 @@ def recommend(
     the first N kept; these are ranked by score. The filters come after the
     2N cut, so a request can return fewer than N. An unknown user has a zero
     profile and thus only zero scores. Each distinct user is searched once, to
-    the depth of the deepest of the user's requests.
+    the depth of the deepest of the user's requests; index (lists, probes) makes
+    that search approximate. Requests are ranked under their own id, so a user
+    with many of them is spread.
     """
     asked = requests.groupBy("user_id").agg((F.max("num_recommendations") * 2).alias("depth"))
+    asked = cut_lineage(asked)
     vectors = asked.join(profiles.select("user_id", "embedding"), "user_id", "left").select(
         "user_id", "depth", F.coalesce(V.as_double("embedding"), V.zeros(dim)).alias("embedding")
     )
-    found = top_k(
-        vectors, items, F.col("depth"), "cosine", query_rows=asked.count(), carry=("category",), **grid
+    found = search(
+        vectors, items, F.col("depth"), index, query_rows=asked.count(), carry=("category",), **grid
     ).withColumnRenamed("rank", "place")
     wanted = requests.select(
         *dict.fromkeys([request_id, "user_id"]), "num_recommendations", "filter_categories", "exclude_items"
@@ -71,8 +76,9 @@ def recommend(
         .withColumn("score", (F.col("score") + F.col("dot")) / 2)
         .filter(F.col("score") >= threshold)
     )
-    # user_id leads both windows, so they reuse the search's partitioning
     keys = list(dict.fromkeys(["user_id", request_id]))
+    if request_id != "user_id":
+        kept = kept.repartition(*keys)
     first = Window.partitionBy(*keys).orderBy("place")
     best = Window.partitionBy(*keys).orderBy(F.round("score", 9).desc(), "place")
     return (

@@ -6,11 +6,17 @@ query lane, each query belongs to one query lane and is copied to every item
 lane, so that each pair meets in exactly one cell. Lanes come from a hash of
 the id, which keeps cells even whatever the data looks like. A task holds the
 items of its cell, streams the queries past them, and lets out only the best k
-per query, so pairs never exist as rows. Ids must be unique on each side.
+per query, so pairs never exist as rows.
+
+The answer does not depend on the grid. Vectors that are null, empty or hold a
+null or a component that is not finite take no part on either side; a query is
+compared with the items of its own size. Rows that agree in id and vector count
+once; an id with several vectors is several items, or several queries with k
+rows each.
 
 Approximate search is the same scan with the cells taken from the nearest
-centroids (an inverted-file layout); a list too long for one task is cut into
-lanes.
+centroids (an inverted-file layout); a list with many items or many queries is
+cut into lanes of both.
 """
 
 import math
@@ -20,15 +26,12 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from lodestream.functions import vectors as V
-from lodestream.session import cut_lineage
 
 ITEMS_PER_CELL = 65536
 QUERIES_PER_CELL = 1024
@@ -36,16 +39,20 @@ QUERIES_PER_BUCKET = 8192
 QUERY_BLOCK = 512
 ITEM_BLOCK = 4096
 RANK_DIGITS = 9
+# vectors of a list that the centroids are trained on, and rounds of training
+TRAIN_ROWS = 256
+TRAIN_ROUNDS = 10
 ITEM, SEEN, QUERY = 0, 1, 2
 
 
-def _matrix(column) -> np.ndarray:
+def _matrices(column) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(size, places, rows) of the vectors of each size."""
     lists = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    flat = lists.flatten().to_numpy(zero_copy_only=False)
     sizes = np.diff(lists.offsets.to_numpy())
-    if len(sizes) and (sizes != sizes[0]).any():
-        raise ValueError("vector dimension mismatch")
-    return flat.reshape(len(lists), -1)
+    for size in np.unique(sizes):
+        places = np.flatnonzero(sizes == size)
+        own = lists if len(places) == len(lists) else lists.take(pa.array(places))
+        yield int(size), places, own.flatten().to_numpy(zero_copy_only=False).reshape(len(places), int(size))
 
 
 def _normalized(matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -79,67 +86,98 @@ class _Found(NamedTuple):
         return self.taken(self.places() < k)
 
 
+class _Items:
+    """Items of one cell and one size, sorted by id, repeated rows once."""
+
+    def __init__(self, ids, matrix, carried):
+        order = pc.array_sort_indices(ids)
+        ids, matrix = ids.take(order), matrix[order.to_numpy()]
+        codes = pc.dictionary_encode(ids, null_encoding="encode")
+        self.code = codes.indices.to_numpy()
+        fresh = np.ones(len(matrix), bool)
+        fresh[1:] = (self.code[1:] != self.code[:-1]) | (matrix[1:] != matrix[:-1]).any(axis=1)
+        if not fresh.all():
+            keep = pa.array(np.flatnonzero(fresh))
+            order, ids, matrix, self.code = order.take(keep), ids.take(keep), matrix[fresh], self.code[fresh]
+        self.ids, self.matrix, self.names = ids, matrix, codes.dictionary
+        self.carried = [c.take(order) for c in carried]
+
+    def places_of(self, rows, ids):
+        """(row, place) of every item that has a row's id."""
+        at = pc.index_in(ids, value_set=self.names)
+        known = pc.is_valid(at).to_numpy(zero_copy_only=False)
+        code, rows = at.drop_null().to_numpy(), rows[known]
+        first = np.searchsorted(self.code, code, side="left")
+        n = np.searchsorted(self.code, code, side="right") - first
+        step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        return np.repeat(rows, n), np.repeat(first, n) + step
+
+
 class _Cell:
-    """Items of one cell, sorted by id, and the pairs the current bucket must leave out."""
+    """Items of one cell by vector size, and the pairs the current bucket must leave out."""
 
     def __init__(self, carry):
-        self.carry, self.item_parts, self.seen_parts, self.ready = carry, [], [], False
+        self.carry, self.item_parts, self.seen_parts, self.by_size = carry, [], [], None
 
     def add(self, side, part):
         (self.item_parts if side == ITEM else self.seen_parts).append(part)
 
     def _prepare(self):
+        self.by_size = {}
         if self.item_parts:
-            ids = pa.concat_arrays([p.column("iid") for p in self.item_parts])
-            order = pc.array_sort_indices(ids)
-            self.ids = ids.take(order)
-            matrix = np.concatenate([_matrix(p.column("ivec")) for p in self.item_parts])
-            self.matrix = matrix[order.to_numpy()]
-            self.carried = [
-                pa.concat_arrays([p.column(c) for p in self.item_parts]).take(order) for c in self.carry
-            ]
-        else:
-            self.ids = None
-        self.item_parts, self.ready = [], True
+            whole = pa.Table.from_batches(self.item_parts).combine_chunks()
+            columns = {c: whole.column(c).combine_chunks() for c in ("iid", "ivec", *self.carry)}
+            for size, places, matrix in _matrices(columns["ivec"]):
+                take = pa.array(places)
+                carried = [columns[c].take(take) for c in self.carry]
+                self.by_size[size] = _Items(columns["iid"].take(take), matrix, carried)
+        self.item_parts = []
 
     def forget_seen(self):
         self.seen_parts = []
 
-    def _hidden(self, qids, drop_self):
+    def _hidden(self, items, qids, drop_self):
         """(query row, item position) pairs that must not be returned."""
-        rows, cols = [], []
+        found = []
         if drop_self:
-            at = pc.index_in(qids, value_set=self.ids)
-            found = pc.is_valid(at).to_numpy(zero_copy_only=False)
-            rows.append(np.flatnonzero(found))
-            cols.append(at.drop_null().to_numpy())
+            found.append(items.places_of(np.arange(len(qids)), qids))
         if self.seen_parts:
-            row = pc.index_in(pa.concat_arrays([p.column("qid") for p in self.seen_parts]), value_set=qids)
-            col = pc.index_in(pa.concat_arrays([p.column("iid") for p in self.seen_parts]), value_set=self.ids)
-            both = pc.and_(pc.is_valid(row), pc.is_valid(col))
-            rows.append(row.filter(both).to_numpy())
-            cols.append(col.filter(both).to_numpy())
-        if not rows:
+            ids = pa.concat_arrays([p.column("qid") for p in self.seen_parts])
+            others = pa.concat_arrays([p.column("iid") for p in self.seen_parts])
+            names = pc.dictionary_encode(qids, null_encoding="encode")
+            at = pc.index_in(ids, value_set=names.dictionary)
+            known = pc.is_valid(at)
+            row, place = items.places_of(at.filter(known).to_numpy(), others.filter(known))
+            # a query id with several vectors hides the item from each
+            code = names.indices.to_numpy()
+            order = np.argsort(code, kind="stable")
+            first = np.searchsorted(code[order], row, side="left")
+            n = np.searchsorted(code[order], row, side="right") - first
+            step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            found.append((order[np.repeat(first, n) + step], np.repeat(place, n)))
+        if not found:
             return None
-        return np.concatenate(rows).astype(np.int64), np.concatenate(cols).astype(np.int64)
+        return tuple(np.concatenate(c).astype(np.int64) for c in zip(*found))
 
     def best(self, queries, metric, drop_self):
-        """Best k items of each query, where k is the query's own."""
-        if not self.ready:
+        """(items, query places, found) by vector size: best k items of each query, where k is the query's own."""
+        if self.by_size is None:
             self._prepare()
-        if self.ids is None:
-            return None
-        qids, ks = queries.column("qid"), queries.column("k").to_numpy()
-        qmat = _matrix(queries.column("qvec")).astype(np.float64)
-        if qmat.shape[1] != self.matrix.shape[1]:
-            raise ValueError(f"dimension mismatch: expected {self.matrix.shape[1]}, got {qmat.shape[1]}")
-        hidden = self._hidden(qids, drop_self)
-        found = []
-        for q0 in range(0, len(qmat), QUERY_BLOCK):
-            q1 = min(q0 + QUERY_BLOCK, len(qmat))
-            found.append(self._block(qmat[q0:q1], q0, max(1, int(ks[q0:q1].max())), metric, hidden))
-        best = _Found.joined(found)
-        return best.first(ks[best.rows])
+        for size, places, qmat in _matrices(queries.column("qvec")):
+            items = self.by_size.get(size)
+            if items is None:
+                continue
+            own = queries.take(pa.array(places))
+            qids, ks = own.column("qid"), own.column("k").to_numpy()
+            qmat = qmat.astype(np.float64)
+            hidden = self._hidden(items, qids, drop_self)
+            self.matrix = items.matrix
+            found = []
+            for q0 in range(0, len(qmat), QUERY_BLOCK):
+                q1 = min(q0 + QUERY_BLOCK, len(qmat))
+                found.append(self._block(qmat[q0:q1], q0, max(1, int(ks[q0:q1].max())), metric, hidden))
+            best = _Found.joined(found)
+            yield items, places, best.first(ks[best.rows])
 
     def _block(self, q, q0, k, metric, hidden):
         """Best k of each of a block of queries, the items taken a block at a time.
@@ -159,6 +197,7 @@ class _Cell:
                 score *= 2.0
                 score -= squares
                 np.minimum(score, 0.0, out=score)
+            score[np.isnan(score)] = -np.inf  # an overflow ranks last
             if hidden is not None:
                 r, c = hidden
                 here = (r >= q0) & (r < q0 + len(q)) & (c >= i0) & (c < i0 + len(part))
@@ -178,9 +217,19 @@ class _Cell:
         return _Found.joined(parts).first(k)
 
 
+def _fresh(part, before):
+    """Places of queries that do not repeat the one before them, and the last one's mark."""
+    qid, tag = part.column("qid"), part.column("qtag")
+    codes, tags = pc.dictionary_encode(qid, null_encoding="encode").indices.to_numpy(), tag.to_numpy()
+    fresh = np.ones(len(tags), bool)
+    fresh[1:] = (codes[1:] != codes[:-1]) | (tags[1:] != tags[:-1])
+    fresh[0] = before != (qid[0].as_py(), tags[0])
+    return fresh, (qid[-1].as_py(), tags[-1])
+
+
 def _scan(metric, drop_self, schema, carry):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, bucket, cell = None, None, None
+        current, bucket, cell, before = None, None, None, None
         for batch in batches:
             if batch.num_rows == 0:
                 continue
@@ -190,7 +239,7 @@ def _scan(metric, drop_self, schema, carry):
             cuts = [0, *(np.flatnonzero(turns) + 1), len(cells)]
             for start, stop in zip(cuts, cuts[1:]):
                 if cells[start] != current:
-                    current, cell = cells[start], _Cell(carry)
+                    current, cell, before = cells[start], _Cell(carry), None
                 if buckets[start] != bucket:
                     bucket = buckets[start]
                     cell.forget_seen()
@@ -198,22 +247,27 @@ def _scan(metric, drop_self, schema, carry):
                 if sides[start] != QUERY:
                     cell.add(sides[start], part)
                     continue
-                best = cell.best(part, metric, drop_self)
-                if best is None:
+                fresh, before = _fresh(part, before)
+                if not fresh.all():
+                    part = part.filter(pa.array(fresh))
+                if part.num_rows == 0:
                     continue
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column("qid").take(pa.array(best.rows)),
-                        cell.ids.take(pa.array(best.cols)),
-                        pa.array(best.score),
-                        pa.array(best.dot),
-                        pa.array(best.key),
-                        pa.array((best.places() + 1).astype(np.int32)),
-                        part.column("k").take(pa.array(best.rows)),
-                        *[column.take(pa.array(best.cols)) for column in cell.carried],
-                    ],
-                    schema=schema,
-                )
+                for items, places, best in cell.best(part, metric, drop_self):
+                    rows, cols = pa.array(places[best.rows]), pa.array(best.cols)
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            part.column("qid").take(rows),
+                            part.column("qtag").take(rows),
+                            items.ids.take(cols),
+                            pa.array(best.score),
+                            pa.array(best.dot),
+                            pa.array(best.key),
+                            pa.array((best.places() + 1).astype(np.int32)),
+                            part.column("k").take(rows),
+                            *[column.take(cols) for column in items.carried],
+                        ],
+                        schema=schema,
+                    )
 
     return run
 
@@ -243,6 +297,7 @@ def _sides(items, queries, seen=None):
 def _result_types(queries, items, carry):
     fields = [
         T.StructField("qid", queries.schema["qid"].dataType),
+        T.StructField("qtag", T.LongType()),
         T.StructField("iid", items.schema["iid"].dataType),
         T.StructField("score", T.DoubleType()),
         T.StructField("dot", T.DoubleType()),
@@ -255,13 +310,18 @@ def _result_types(queries, items, carry):
     return schema, to_arrow_schema(schema)
 
 
+def searchable(vector) -> F.Column:
+    """Whether a vector takes part in a search."""
+    return F.coalesce((F.size(vector) > 0) & V.all_finite(vector), F.lit(False))
+
+
 def _inputs(queries, items, query_id, query_vec, item_id, item_vec, k, carry=()):
     depth = k if not isinstance(k, int) else F.lit(k)
-    q = queries.select(
+    q = queries.filter(searchable(query_vec)).select(
         F.col(query_id).alias("qid"), F.col(query_vec).alias("qvec"), depth.cast("int").alias("k")
     )
-    i = items.select(F.col(item_id).alias("iid"), F.col(item_vec).alias("ivec"), *carry)
-    return q, i
+    i = items.filter(searchable(item_vec)).select(F.col(item_id).alias("iid"), F.col(item_vec).alias("ivec"), *carry)
+    return q.withColumn("qtag", F.xxhash64("qvec", "k")), i
 
 
 def _renamed(ranked, query_id, item_id, carry=()):
@@ -270,7 +330,7 @@ def _renamed(ranked, query_id, item_id, carry=()):
 
 
 def _merge(found):
-    by_query = Window.partitionBy("qid").orderBy(F.col("rank_key").desc(), F.col("iid"))
+    by_query = Window.partitionBy("qid", "qtag").orderBy(F.col("rank_key").desc(), F.col("iid"))
     return found.withColumn("rank", F.row_number().over(by_query))
 
 
@@ -300,7 +360,8 @@ def top_k(
 
     carry names item columns to return along, which saves joining them back.
     query_rows and item_rows, exact or estimated, size the grid; a missing one
-    is counted, which is all that reaches the driver.
+    is counted, which is all that reaches the driver. Which vectors take part,
+    and what repeated ids mean, is said above.
     """
     q, i = _inputs(queries, items, query_id, query_vec, item_id, item_vec, k, carry)
     n_items = i.count() if item_rows is None else item_rows
@@ -320,7 +381,7 @@ def top_k(
     item_lane, query_lane = _lane("iid", item_lanes), _lane("qid", query_lanes)
     items_in = i.select("*", each(query_lanes).alias("_l")).withColumn("cell", cell(item_lane, F.col("_l"))).drop("_l")
     queries_in = q.select("*", each(item_lanes).alias("_l")).select(
-        "qid", "qvec", "k", cell(F.col("_l"), query_lane).alias("cell"), bucket
+        "qid", "qvec", "k", "qtag", cell(F.col("_l"), query_lane).alias("cell"), bucket
     )
     seen_in = None
     if seen is not None:
@@ -329,7 +390,7 @@ def top_k(
     cells = (
         _sides(items_in, queries_in, seen_in)
         .repartitionById(item_lanes * query_lanes, F.col("cell"))
-        .sortWithinPartitions("cell", "bucket", "side")
+        .sortWithinPartitions("cell", "bucket", "side", "qid", "qtag")
     )
     schema, arrow_schema = _result_types(q, i, carry)
     found = cells.mapInArrow(_scan(metric, exclude_self, arrow_schema, carry), schema)
@@ -340,71 +401,152 @@ def top_k(
     return _renamed(ranked, query_id, item_id, carry)
 
 
-def centroids(items: DataFrame, n_lists: int, vector: str = "embedding", seed: int = 7) -> DataFrame:
-    """(list_id, centroid) from k-means over the normalised vectors of all items.
+def centroids(units: DataFrame, n_lists: int, rows: int, seed: int = 7, rounds: int = TRAIN_ROUNDS) -> np.ndarray:
+    """Centres of n_lists lists of vectors (iid, unit), or fewer if there are fewer vectors.
 
-    Drawn starting points save the extra passes of a weighted start; a list only
-    has to group neighbours, as its members are scored exactly.
+    Lloyd's rounds over a sample of at most about TRAIN_ROWS vectors a list,
+    drawn by a hash of the id, which is all that reaches the driver. A list only
+    has to group neighbours, as its members are scored exactly. Vectors of
+    another size than most of the sample are left out of it.
     """
-    points = items.select(array_to_vector(V.normalize(vector)).alias("features"))
-    model = KMeans(k=n_lists, seed=seed, maxIter=8, initMode="random").fit(points)
-    rows = [(n, [float(x) for x in c]) for n, c in enumerate(model.clusterCenters())]
-    return items.sparkSession.createDataFrame(rows, "list_id int, centroid array<double>")
+    rate = min(1 << 30, (n_lists * TRAIN_ROWS << 30) // max(1, rows) + 1)
+    drawn = units.filter(F.pmod(F.xxhash64("iid", F.lit(seed)), F.lit(1 << 30)) < rate)
+    sample = [r.unit for r in drawn.orderBy(F.xxhash64("iid")).limit(2 * n_lists * TRAIN_ROWS).select("unit").collect()]
+    if not sample:
+        return np.zeros((0, 0))
+    sizes = [len(v) for v in sample]
+    usual = max(sorted(set(sizes)), key=sizes.count)
+    points = np.array([v for v in sample if len(v) == usual])
+    rng = np.random.default_rng(seed)
+    centres = points[rng.permutation(len(points))[:n_lists]].copy()
+    for _ in range(rounds):
+        home = _nearest(points, centres, 1)[:, 0]
+        n = np.bincount(home, minlength=len(centres))
+        sums = np.zeros_like(centres)
+        np.add.at(sums, home, points)
+        centres[n > 0] = sums[n > 0] / n[n > 0, None]
+        for empty in np.flatnonzero(n == 0):
+            centres[empty] = points[rng.integers(len(points))]
+    return centres
+
+
+def _nearest(points, centres, n):
+    """Numbers of the n nearest centres of each point, the nearest first, ties by number."""
+    score = points @ centres.T - (centres * centres).sum(axis=1) / 2
+    if n < score.shape[1]:
+        some = np.sort(np.argpartition(-score, n - 1, axis=1)[:, :n], axis=1)
+    else:
+        some = np.tile(np.arange(score.shape[1]), (len(points), 1))
+    order = np.argsort(-np.take_along_axis(score, some, 1), axis=1, kind="stable")
+    return np.take_along_axis(some, order, 1)
+
+
+def _with_lists(frame: DataFrame, vector: str, centres: np.ndarray, n: int) -> DataFrame:
+    """frame with the numbers of the n nearest lists of a vector; an unusual size has a list of its own."""
+    schema = T.StructType([*frame.schema.fields, T.StructField("lists", T.ArrayType(T.IntegerType()))])
+
+    def run(batches):
+        for batch in batches:
+            lists = [None] * batch.num_rows
+            for size, places, matrix in _matrices(batch.column(vector)):
+                if size == centres.shape[1]:
+                    _, units = _normalized(matrix.astype(np.float64))
+                    found = _nearest(units, centres, min(n, len(centres))).tolist()
+                else:
+                    found = [[-size]] * len(places)
+                for place, own in zip(places, found):
+                    lists[place] = own
+            yield batch.append_column("lists", pa.array(lists, pa.list_(pa.int32())))
+
+    return frame.mapInArrow(run, schema)
 
 
 def ann_top_k(
     queries: DataFrame,
     items: DataFrame,
-    k: int,
+    k,
     n_lists: int,
     n_probe: int,
     query_id: str = "user_id",
     query_vec: str = "embedding",
     item_id: str = "item_id",
     item_vec: str = "embedding",
+    exclude_self: bool = False,
     items_per_cell: int = ITEMS_PER_CELL,
-    query_rows: int | None = None,
+    queries_per_cell: int = QUERIES_PER_BUCKET,
+    item_rows: int | None = None,
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
-    """Approximate best k by cosine: each query searches its n_probe nearest lists.
+    """Approximate best k by cosine: each query searches its n_probe nearest of n_lists lists.
 
     Stands in for a graph index, whose layered walk is a single-machine
     structure. Every candidate in a probed list is scored exactly; n_probe =
-    n_lists gives the exact answer. Only the n_lists centroids pass through
-    the driver. The lists' lengths decide how many lanes each is cut into.
+    n_lists gives the exact answer. Lists are assigned in the tasks that read
+    the vectors. The lengths of the lists, counted on both sides, reach the
+    driver and decide how many lanes of items and of queries a list is cut
+    into: a list with many queries copies its items, one with many items its
+    queries. Vectors that take no part are those of the exact search.
     """
-    q, i = _inputs(queries, items, query_id, query_vec, item_id, item_vec, k)
-    lists = centroids(i, n_lists, "ivec")
-    units = i.select("iid", V.normalize("ivec").alias("unit"))
-    asks = q.select("qid", V.normalize("qvec").alias("unit"))
-    nearest = top_k(units, lists, 1, "l2", "iid", "unit", "list_id", "centroid", item_rows=n_lists)
-    home = cut_lineage(nearest.select("iid", "list_id"))
-    probes = top_k(
-        asks, lists, n_probe, "l2", "qid", "unit", "list_id", "centroid", query_rows=query_rows, item_rows=n_lists
-    )
-    lanes = home.groupBy("list_id").agg(F.ceil(F.count("*") / F.lit(items_per_cell)).cast("int").alias("lanes"))
-    stored = (
-        i.join(home, "iid")
-        .join(lanes, "list_id")
-        .withColumn("lane", F.pmod(F.xxhash64("iid"), F.col("lanes")).cast("int"))
+    q, i = _inputs(queries, items, query_id, query_vec, item_id, item_vec, k, carry)
+    rows = i.count() if item_rows is None else item_rows
+    centres = centroids(i.select("iid", V.normalize("ivec").alias("unit")), n_lists, rows)
+    stored = _with_lists(i, "ivec", centres, 1).withColumn("list", F.col("lists")[0]).drop("lists")
+    asked = _with_lists(q, "qvec", centres, n_probe).withColumn("list", F.explode("lists")).drop("lists")
+    lengths = {}
+    for side, frame in enumerate((stored, asked)):
+        for r in frame.groupBy("list").count().collect():
+            lengths.setdefault(r["list"], [0, 0])[side] = r["count"]
+    plan, n_cells = [], 0
+    for name, (n_items, n_queries) in sorted(lengths.items()):
+        if n_items and n_queries:
+            item_lanes, query_lanes = math.ceil(n_items / items_per_cell), math.ceil(n_queries / queries_per_cell)
+            plan.append((name, n_cells, item_lanes, query_lanes))
+            n_cells += item_lanes * query_lanes
+    lanes = i.sparkSession.createDataFrame(plan, "list int, base int, item_lanes int, query_lanes int")
+
+    def lane(column, n):
+        return F.pmod(F.xxhash64(column), F.col(n)).cast("int")
+
+    def cell(item_lane, query_lane):
+        return (F.col("base") + item_lane * F.col("query_lanes") + query_lane).cast("int").alias("cell")
+
+    def each(n):
+        return F.explode(F.sequence(F.lit(0), F.col(n) - 1)).alias("_l")
+
+    items_in = stored.join(lanes, "list").select("*", each("query_lanes"))
+    items_in = items_in.select("iid", "ivec", *carry, cell(lane("iid", "item_lanes"), F.col("_l")))
+    queries_in = asked.join(lanes, "list").select("*", each("item_lanes"))
+    queries_in = queries_in.select(
+        "qid", "qvec", "k", "qtag", cell(F.col("_l"), lane("qid", "query_lanes")), F.lit(0).alias("bucket")
     )
-    asked = (
-        q.join(probes.select("qid", "list_id"), "qid")
-        .join(lanes, "list_id")
-        .withColumn("lane", F.explode(F.sequence(F.lit(0), F.col("lanes") - 1)))
+    cells = (
+        _sides(items_in, queries_in)
+        .repartition(F.col("cell"))
+        .sortWithinPartitions("cell", "bucket", "side", "qid", "qtag")
     )
-    cell = F.xxhash64("list_id", "lane").alias("cell")
-    sides = _sides(stored.select("iid", "ivec", cell), asked.select("qid", "qvec", "k", cell, F.lit(0).alias("bucket")))
-    cells = sides.repartition("cell").sortWithinPartitions("cell", "bucket", "side")
-    schema, arrow_schema = _result_types(q, i, ())
-    found = cells.mapInArrow(_scan("cosine", False, arrow_schema, ()), schema)
-    return _renamed(_merge(found).filter(F.col("rank") <= k), query_id, item_id)
+    schema, arrow_schema = _result_types(q, i, carry)
+    found = cells.mapInArrow(_scan("cosine", exclude_self, arrow_schema, carry), schema)
+    depth = k if isinstance(k, int) else F.col("depth")
+    return _renamed(_merge(found).filter(F.col("rank") <= depth), query_id, item_id, carry)
 
 
-def similar(vectors: DataFrame, keys: DataFrame, k: int, key: str, vec: str = "embedding", **grid) -> DataFrame:
+def search(queries: DataFrame, items: DataFrame, k, index: tuple[int, int] | None = None, **how) -> DataFrame:
+    """top_k by cosine, or ann_top_k where an index (lists, probes) is asked for."""
+    if index is None:
+        return top_k(queries, items, k, "cosine", **how)
+    how.pop("query_rows", None)
+    return ann_top_k(queries, items, k, *index, **how)
+
+
+def similar(
+    vectors: DataFrame, keys: DataFrame, k: int, key: str, vec: str = "embedding", index: tuple[int, int] | None = None, **grid
+) -> DataFrame:
     """The k rows of vectors most alike each key, the key itself left out.
 
     A key without a row gives no result. Leaving the row itself out before
     ranking equals searching k+1 and dropping it, except under exact ties.
     """
     asked = keys.select(key).distinct().join(vectors.select(key, vec), key)
-    return top_k(asked, vectors, k, "cosine", key, vec, key, vec, exclude_self=True, **grid)
+    return search(
+        asked, vectors, k, index, query_id=key, query_vec=vec, item_id=key, item_vec=vec, exclude_self=True, **grid
+    )

@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 from lodestream.functions import draws
 from lodestream.functions import vectors as V
 from lodestream.operators.keyed_tables import latest
+from lodestream.operators.ordering import dense_ids, ranks_below
 from lodestream.operators.similarity import top_k
-from lodestream.session import cut_lineage
+from lodestream.session import cut_lineage, drop_step
 
 LEARNING_RATE = 0.001
 REGULARIZATION = 0.01
-# fixed values: examples above the label limit get at most this many negatives
+# fixed values: examples above the label limit get negatives, by default at most this many
 POSITIVE_LABEL = 0.5
 MAX_NEGATIVES = 5
 NEGATIVE_RATIO = 4.0
@@ -110,7 +111,7 @@ def train(
     """epochs gradient steps; factors missing at the start are drawn by id.
 
     Pair totals are written once and factors after each step, so the plan
-    stays one step long.
+    stays one step long; a step's files go when the next one's are there.
     """
     spark = examples.sparkSession
     kind = examples.schema
@@ -124,45 +125,61 @@ def train(
     u, i = start("user_id", users), start("item_id", items)
     totals = cut_lineage(pair_totals(examples))
     for _ in range(epochs):
-        u, i = step_totals(totals, u, i, lr, reg)
-        u, i = cut_lineage(u), cut_lineage(i)
+        new_u, new_i = step_totals(totals, u, i, lr, reg)
+        new_u, new_i = cut_lineage(new_u), cut_lineage(new_i)
+        drop_step(u, i)
+        u, i = new_u, new_i
     return u, i
 
 
 def als_recommend(examples: DataFrame, dim: int, k: int, reg: float = 0.1, iterations: int = 5, seed: int = 7):
-    """Top k items per user from implicit-feedback alternating least squares over integer ids.
+    """Top k items per user from implicit-feedback alternating least squares, whatever the ids are.
 
-    Repeated pairs are summed first, so a user's block holds each item once.
-    Ranking reuses the exact search kernel.
+    The library wants small whole numbers, so ids are numbered densely and
+    joined back. Repeated pairs are summed first, so a user's block holds each
+    item once. Ranking reuses the exact search kernel.
     """
-    ratings = examples.groupBy("user_id", "item_id").agg(F.sum("label").cast("float").alias("rating"))
+    people, things = als_factors(examples, dim, reg, iterations, seed)
+    return top_k(people, things, k, "dot")
+
+
+def als_factors(examples: DataFrame, dim: int, reg: float = 0.1, iterations: int = 5, seed: int = 7):
+    """(user_id, embedding) and (item_id, embedding) fitted to the summed labels."""
+    totals = examples.groupBy("user_id", "item_id").agg(F.sum("label").cast("float").alias("rating"))
+    numbers = {side: cut_lineage(dense_ids(examples, f"{side}_id", name=side)) for side in ("user", "item")}
+    ratings = totals.join(numbers["user"], "user_id").join(numbers["item"], "item_id")
     model = ALS(
         rank=dim,
         maxIter=iterations,
         regParam=reg,
         implicitPrefs=True,
-        userCol="user_id",
-        itemCol="item_id",
+        userCol="user",
+        itemCol="item",
         ratingCol="rating",
         seed=seed,
-    ).fit(ratings)
-    users = model.userFactors.select(F.col("id").alias("user_id"), F.col("features").alias("embedding"))
-    items = model.itemFactors.select(F.col("id").alias("item_id"), F.col("features").alias("embedding"))
-    return top_k(users, items, k, "dot")
+    ).fit(ratings.select(F.col("user").cast("int"), F.col("item").cast("int"), "rating"))
+
+    def named(factors, side):
+        known = factors.select(F.col("id").cast("long").alias(side), F.col("features").alias("embedding"))
+        return known.join(numbers[side], side).select(f"{side}_id", "embedding")
 
+    return named(model.userFactors, "user"), named(model.itemFactors, "item")
 
-def negatives_per_positive(ratio: float) -> int:
-    return min(int(ratio), MAX_NEGATIVES)
 
+def negatives_per_positive(ratio: float, most: int | None = MAX_NEGATIVES) -> int:
+    return int(ratio) if most is None else min(int(ratio), most)
 
-def synthetic_negatives(examples: DataFrame, dim: int, ratio: float = NEGATIVE_RATIO, key: str = "event_id", seed=0):
+
+def synthetic_negatives(
+    examples: DataFrame, dim: int, ratio: float = NEGATIVE_RATIO, key: str = "event_id", seed=0, most: int | None = MAX_NEGATIVES
+):
     """Phantom negatives: an item id outside the catalogue and a Xavier uniform vector for it.
 
     Ids and vectors are drawn from (key, draw number), not from a clock or a
     process-wide generator. Returns only the negatives, with the columns of
     examples; item_id becomes a string.
     """
-    n = negatives_per_positive(ratio)
+    n = negatives_per_positive(ratio, most)
     drawn = F.explode(F.sequence(F.lit(1), F.lit(n))) if n > 0 else F.explode(F.array().cast("array<int>"))
     rows = examples.filter(F.col("label") > POSITIVE_LABEL).select("*", drawn.alias("_draw"))
     name = F.concat_ws(":", F.col(key).cast("string"), F.col("_draw").cast("string"), F.lit(f"item{seed}"))
@@ -180,50 +197,45 @@ def catalogue_negatives(
     seen: DataFrame,
     ratio: float = NEGATIVE_RATIO,
     key: str = "event_id",
-    per_slice: int = 16,
     seed=0,
+    most: int | None = MAX_NEGATIVES,
 ) -> DataFrame:
     """(key, user_id, item_id, draw): items the user has not acted on, for each positive example.
 
-    The catalogue is hashed into slices of about per_slice items; a positive
-    draws one slice and takes its unseen items in md5 order. A slice's items,
-    and those of them a user has seen, are arrays of slice length, so a
-    positive stays one row until its draws are made, and a hot user is spread
-    over the slices. Work per positive does not grow with the catalogue. Only
-    the catalogue's row count reaches the driver.
+    Every positive gets min(n, unseen items) different ones, n being the ratio
+    cut to most (None: not cut). Catalogue items are numbered in hash order;
+    a positive draws a place among its user's unseen items from its key and
+    takes n from there on, round the end. The item at the j-th unseen place has
+    number j plus the seen items before it, which are counted from the user's
+    seen numbers slice by slice. So work and memory follow the seen pairs and the draws,
+    and a hot user is spread over slices. Only the catalogue's row count
+    reaches the driver.
     """
-    n_slices = max(1, items.count() // per_slice)
-    n = negatives_per_positive(ratio)
-
-    def slot(text):
-        return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint") % F.lit(n_slices)
-
-    def tag(column, label):
-        return F.concat_ws(":", F.col(column).cast("string"), F.lit(f"{label}{seed}"))
-
-    item_slice = slot(tag("item_id", "slice")).alias("_slice")
-    offers = items.select("item_id", item_slice).groupBy("_slice").agg(F.collect_list("item_id").alias("_offer"))
-    known = (
-        seen.select("user_id", "item_id", item_slice)
-        .groupBy("user_id", "_slice")
-        .agg(F.collect_set("item_id").alias("_seen"))
-    )
-    wanted = examples.filter(F.col("label") > POSITIVE_LABEL).select(
-        key, "user_id", slot(tag(key, "pick")).alias("_slice")
+    n = negatives_per_positive(ratio, most)
+    numbers = cut_lineage(dense_ids(items, "item_id", seed=seed))
+    size = numbers.count()
+    known = seen.select("user_id", "item_id").distinct().join(numbers, "item_id").select("user_id", F.col("idx").alias("at"))
+    known = cut_lineage(known)
+    # numbers of seen items become places among the unseen: less the seen ones before
+    marks = ranks_below(known, known, "user_id", "at", "rank").select(
+        "user_id", (F.col("at") - F.col("rank") + 1).alias("at")
     )
-    unseen = F.when(F.col("_seen").isNull(), F.col("_offer")).otherwise(F.array_except("_offer", "_seen"))
-
-    def ordered(item):
-        name = F.concat_ws(":", F.col(key).cast("string"), item.cast("string"), F.lit(str(seed)))
-        return F.struct(F.md5(name).alias("order"), item.alias("item_id"))
-
-    drawn = F.slice(F.array_sort(F.transform(unseen, ordered)), 1, n)
-    return (
-        wanted.join(known, ["user_id", "_slice"], "left")
-        .join(offers, "_slice")
-        .select(key, "user_id", F.posexplode(drawn).alias("draw", "_item"))
-        .select(key, "user_id", F.col("_item.item_id").alias("item_id"), (F.col("draw") + 1).alias("draw"))
+    unseen = cut_lineage(known.groupBy("user_id").agg((F.lit(size) - F.count("*")).alias("_unseen")))
+    start = F.conv(F.substring(F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(f"pick{seed}"))), 1, 15), 16, 10)
+    wanted = (
+        examples.filter(F.col("label") > POSITIVE_LABEL)
+        .select(key, "user_id")
+        .join(unseen, "user_id", "left")
+        .withColumn("_unseen", F.coalesce("_unseen", F.lit(size)))
+        .filter(F.col("_unseen") > 0)
+        .withColumn("draw", F.explode(F.sequence(F.lit(1), F.least(F.lit(n).cast("long"), F.col("_unseen")))) if n > 0 else F.lit(1))
+        .filter(F.lit(n > 0))
+        .withColumn("at", (start.cast("bigint") + F.col("draw") - 1) % F.col("_unseen"))
     )
+    wanted = cut_lineage(wanted.select(key, "user_id", F.col("draw").cast("int").alias("draw"), "at"))
+    places = ranks_below(wanted.select("user_id", "at").distinct(), marks, "user_id", "at", "below")
+    places = cut_lineage(places.select("user_id", "at", (F.col("at") + F.col("below")).alias("idx")))
+    return wanted.join(places, ["user_id", "at"]).join(numbers, "idx").select(key, "user_id", "item_id", "draw")
 
 
 def with_negatives(examples: DataFrame, items: DataFrame, seen: DataFrame, key: str = "event_id", **how) -> DataFrame:

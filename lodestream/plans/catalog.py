@@ -2,7 +2,7 @@
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
@@ -97,6 +97,42 @@ def topic_training(spark, sf):
     )
 
 
+def _drop(kind: int, column, turn):
+    """The column, missing from the JSON where the turn is kind."""
+    return F.when(turn != kind, column)
+
+
+@query
+def dead_features(spark, sf):
+    """Feature records without an id, a vector or metadata, or with a null in the vector."""
+    turn = F.col("event_id") % 5
+    vector = F.when(turn == 4, F.array(F.lit(0.5), F.lit(None))).otherwise(F.array(F.lit(0.5), F.lit(1.0)))
+    fields = F.struct(
+        _drop(1, F.col("user_id"), turn).alias("id"),
+        _drop(2, vector, turn).alias("vector"),
+        _drop(3, F.struct("item_id"), turn).alias("metadata"),
+    )
+    raw = D.actions(spark, sf).select("event_id", F.to_json(fields).alias("value"))
+    _, bad = topics.decode(raw, schemas.feature_vector(LongType()))
+    return bad.select("event_id")
+
+
+@query
+def dead_training(spark, sf):
+    """Training records without one of their fields, or with a time that names no zone."""
+    turn = F.col("event_id") % 9
+    unit = F.array(F.lit(1.0), F.lit(0.0))
+    time = F.when(turn == 8, F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")).otherwise(topics.wire_time("ts"))
+    fields = {
+        "user_id": F.col("user_id"), "item_id": F.col("item_id"), "label": F.lit(0.5), "user_features": unit,
+        "item_features": unit, "context_features": unit, topics.WIRE_TIME: time,
+    }
+    sent = F.struct(*[_drop(n + 1, c, turn).alias(name) for n, (name, c) in enumerate(fields.items())])
+    raw = D.actions(spark, sf).select("event_id", F.to_json(sent).alias("value"))
+    _, bad = topics.decode(raw, schemas.training_example(LongType()))
+    return bad.select("event_id")
+
+
 def _half_profiles(spark, sf, late: bool):
     acted = D.actions(spark, sf)
     early = F.col("ts") < D.as_of(D.MID)
@@ -111,7 +147,7 @@ def upsert_profiles(spark, sf):
     stale = late.withColumn("embedding", V.scale("embedding", F.lit(2.0))).withColumn("seq", F.lit(1))
     batch = stale.unionByName(late.withColumn("seq", F.lit(2)))
     out = K.upsert(old, batch, "user_id", ["seq"], D.DIM)
-    return out.select("user_id", "interaction_count", "last_updated", *print_of("embedding", "embedding"))
+    return long(out, ["user_id", "interaction_count", "last_updated"])
 
 
 @query
@@ -126,7 +162,7 @@ def upsert_items(spark, sf):
         "event_id",
     )
     out = K.upsert(old, batch, "item_id", ["ts", "event_id"], D.DIM)
-    return out.select("item_id", "category", *print_of("embedding", "embedding"))
+    return long(out, ["item_id", "category"])
 
 
 @query
@@ -256,7 +292,7 @@ def validate_actions(spark, sf):
         "o_orderkey",
         F.nullif("o_custkey", F.lit(0).cast("bigint")).alias("user_id"),
         F.when(F.col("o_orderstatus") != "P", F.col("o_orderkey")).alias("item_id"),
-        F.col("o_orderdate").alias("ts"),
+        F.when(F.col("o_orderkey") % 7 != 3, F.col("o_orderdate")).alias("ts"),
     )
     return placed.select("o_orderkey", quality.action_error(D.as_of("1998-06-01 00:00:00")).alias("error"))
 
@@ -290,7 +326,12 @@ def validate_requests(spark, sf):
     rows = D.table(spark, sf, "customer").select(
         "c_custkey",
         F.nullif("c_custkey", F.lit(0).cast("bigint")).alias("user_id"),
-        F.when(kind == 1, 0).when(kind == 2, 1001).otherwise(10).alias("num_recommendations"),
+        F.when(kind == 1, 0)
+        .when(kind == 2, 1001)
+        .when((kind == 0) & (F.col("c_custkey") % 2 == 0), -1)
+        .when(kind == 0, F.lit(None))
+        .otherwise(10)
+        .alias("num_recommendations"),
         F.when(kind == 3, F.array().cast("array<string>"))
         .when(kind == 4, F.array(name, F.lit("")))
         .when(kind == 5, F.array(name, F.repeat(name, 30)))
@@ -313,7 +354,11 @@ def _damaged_examples(spark, sf):
         "event_id",
         F.when(kind != 1, F.col("user_id")).alias("user_id"),
         F.when(kind != 2, F.col("item_id")).alias("item_id"),
-        F.when(kind == 3, F.lit(float("inf"))).when(kind == 4, F.lit(1.5)).otherwise(F.col("label")).alias("label"),
+        F.when(kind == 0, F.lit(None))
+        .when(kind == 3, F.lit(float("inf")))
+        .when(kind == 4, F.lit(1.5))
+        .otherwise(F.col("label"))
+        .alias("label"),
         F.when(kind == 5, F.array().cast("array<double>"))
         .when(kind == 6, with_nan(F.col("user_features")))
         .otherwise(F.col("user_features"))
@@ -345,7 +390,7 @@ def validate_model(spark, sf):
     version = F.when(F.col("label") == 0, F.lit("")).when(F.col("label") == 9, F.repeat(F.lit("v"), 101)).otherwise(
         F.concat(F.lit("v"), F.col("label"))
     )
-    side = F.when(F.col("vec_id") % 2 == 0, F.lit("user")).otherwise(F.lit("item"))
+    side = F.element_at(F.array(F.lit("user"), F.lit("item"), F.lit("bias")), (F.col("vec_id") % 3 + 1).cast("int"))
     rows = D.damaged_vectors(spark, sf).select(version.alias("version"), side.alias("side"), "id", "vector")
     return quality.model_errors(rows)
 
@@ -378,10 +423,8 @@ def user_profiles(spark, sf):
 @query
 def profile_history(spark, sf):
     out = P.history(D.actions(spark, sf), D.items(spark, sf))
-    return out.select(
-        "event_id", "user_id", "item_id", "label", F.col("interaction_count").cast("bigint").alias("interaction_count"),
-        *print_of("embedding", "embedding"),
-    )
+    out = as_bigint(out, "interaction_count")
+    return long(out, ["event_id", "user_id", "item_id", "label", "interaction_count"])
 
 
 @query
@@ -497,10 +540,30 @@ def topk_l2(spark, sf):
     return _flat(found.withColumn("score", -F.col("score"))).withColumnRenamed("score", "distance")
 
 
+@query
+def topk_dirty(spark, sf):
+    """Damaged vectors against damaged vectors: broken ones take no part, the others meet those of their size."""
+    rows = D.damaged_vectors(spark, sf)
+    asked = rows.select(F.col("vec_id").alias("query"), F.col("vector").alias("embedding"))
+    found = rows.select(F.col("vec_id").alias("item_id"), F.col("vector").alias("embedding"))
+    return _flat(S.top_k(asked, found, 3, "cosine", "query"))
+
+
 @query
 def ann_topk(spark, sf):
+    """All lists probed, which is the exact answer."""
     people = cut_lineage(D.profiles(spark, sf))
-    return _flat(S.ann_top_k(people, D.items(spark, sf), 10, n_lists=16, n_probe=8))
+    return _flat(S.ann_top_k(people, D.items(spark, sf), 10, n_lists=16, n_probe=16))
+
+
+@query
+def ann_recall(spark, sf):
+    """Whether probing 13 of 16 lists finds 95 of 100 of the exact ten; these vectors have no clusters."""
+    people, items = cut_lineage(D.profiles(spark, sf)), D.items(spark, sf)
+    near = S.ann_top_k(people, items, 10, n_lists=16, n_probe=13).select("user_id", "item_id")
+    exact = S.top_k(people, items, 10).select("user_id", "item_id", F.lit(1).alias("one"))
+    both = exact.join(near.withColumn("hit", F.lit(1)), ["user_id", "item_id"], "left")
+    return both.agg(F.count_distinct("user_id").alias("n_queries"), (F.sum("hit") / F.count("*") >= 0.95).alias("enough"))
 
 
 @query
@@ -553,6 +616,17 @@ def interval_join(spark, sf):
     )
 
 
+@query
+def interval_join_ties(spark, sf):
+    """The same with times cut to days, so that many features share one."""
+    acted = D.actions(spark, sf).withColumn("ts", F.to_date("ts").cast("timestamp_ntz"))
+    strong = F.col("action_type").isin("Purchase", "Convert")
+    features = acted.filter(~strong).select("user_id", "ts", F.col("event_id").alias("feature_id"))
+    return ordering.latest_before(
+        acted.filter(strong), features, "user_id", "ts", "feature_id", within_seconds=86400
+    )
+
+
 # ---- aggregates and metrics -----------------------------------------------------
 
 
@@ -596,8 +670,12 @@ def serving_stats(spark, sf):
 
 @query
 def training_stats(spark, sf):
-    versions = spark.range(1).select(F.lit(snapshots.version_name(1706659200)).alias("version"))
-    return T.stats(D.user_factors(spark, sf), D.item_factors(spark, sf), D.examples(spark, sf), versions)
+    root, users, items = fresh_dir(spark, "model"), D.user_factors(spark, sf), D.item_factors(spark, sf)
+    for stamp in (999999999, 1706659200):
+        name = snapshots.version_name(stamp)
+        snapshots.write_version(snapshots.snapshot_rows(name, users, items, D.DIM), root, name)
+    published = spark.createDataFrame([(v,) for v in snapshots.versions(spark, root)], "version string")
+    return T.stats(users, items, D.examples(spark, sf), published)
 
 
 @query
@@ -791,10 +869,12 @@ def mf_sgd_step(spark, sf):
 
 @query
 def mf_train(spark, sf):
-    users, _ = T.train(
+    users, items = T.train(
         D.examples(spark, sf), D.DIM, 2, D.user_factors(spark, sf), D.item_factors(spark, sf), 0.01, REG
     )
-    return long(users, ["user_id"], "vector")
+    u = long(users.select(F.lit("user").alias("side"), F.col("user_id").alias("id"), "vector"), ["side", "id"], "vector")
+    i = long(items.select(F.lit("item").alias("side"), F.col("item_id").alias("id"), "vector"), ["side", "id"], "vector")
+    return u.unionByName(i)
 
 
 @query
@@ -817,7 +897,24 @@ def negative_samples_synthetic(spark, sf):
 
 @query
 def als_recommend(spark, sf):
-    return _flat(T.als_recommend(D.interactions(spark, sf), 8, 5))
+    """What holds of any such lists: every user has ranks 1 to 5 of known items, by falling score."""
+    rows = D.interactions(spark, sf)
+    found = T.als_recommend(rows, 8, 5)
+    known = rows.select("item_id").distinct().withColumn("known", F.lit(True))
+    above = F.lag("score").over(Window.partitionBy("user_id").orderBy("rank"))
+    falling = F.coalesce(F.round("score", 9) <= F.round(above, 9), F.lit(True))
+    out = found.withColumn("falling", falling).join(known, "item_id", "left")
+    return as_bigint(out, "rank").select("user_id", "rank", F.coalesce("known", F.lit(False)).alias("known"), "falling")
+
+
+@query
+def als_fit(spark, sf):
+    """Whether the factors explain the pairs that occur better than zeros do."""
+    rows = D.interactions(spark, sf)
+    users, items = T.als_factors(rows, 8)
+    pairs = rows.select("user_id", "item_id").distinct().withColumn("label", F.lit(1.0))
+    u, i = (f.withColumnRenamed("embedding", "vector") for f in (users, items))
+    return T.loss(pairs, u, i).select("n", (F.col("loss") < 1.0).alias("better"))
 
 
 def _optimizer_table(spark, sf):

@@ -128,23 +128,24 @@ def sgd(users, items, lr):
 
 STEP_USERS, STEP_ITEMS = sgd("user_factors", "item_factors", LR)
 T1_USERS, T1_ITEMS = sgd("user_factors", "item_factors", 0.01)
-T2_USERS, _ = sgd("train1_users", "train1_items", 0.01)
+T2_USERS, T2_ITEMS = sgd("train1_users", "train1_items", 0.01)
 
 DAMAGED = """
       SELECT vec_id, nullif(vec_id, 0) AS id, label,
-        CASE label WHEN 1 THEN []::DOUBLE[] WHEN 2 THEN list_append(embedding::DOUBLE[], 'NaN'::DOUBLE)
+        CASE WHEN vec_id % 25 = 7 THEN NULL WHEN vec_id % 25 = 8 THEN list_append(embedding::DOUBLE[], NULL::DOUBLE)
+        ELSE CASE label WHEN 1 THEN []::DOUBLE[] WHEN 2 THEN list_append(embedding::DOUBLE[], 'NaN'::DOUBLE)
           WHEN 3 THEN list_prepend('-Infinity'::DOUBLE, embedding::DOUBLE[])
           WHEN 4 THEN flatten(list_transform(range(33), lambda z: embedding::DOUBLE[]))
-          ELSE embedding::DOUBLE[] END AS vector
+          ELSE embedding::DOUBLE[] END END AS vector
       FROM embeddings"""
 
 
 def broken(v):
-    return f"(len(list_filter({v}, lambda x: isnan(x) OR isinf(x))) > 0)"
+    return f"(len(list_filter({v}, lambda x: x IS NULL OR isnan(x) OR isinf(x))) > 0)"
 
 
 def vector_error(id_, v, what, nil="User ID cannot be nil"):
-    return f"""CASE WHEN {id_} IS NULL THEN '{nil}' WHEN len({v}) = 0 THEN '{what} cannot be empty'
+    return f"""CASE WHEN {id_} IS NULL THEN '{nil}' WHEN coalesce(len({v}), 0) = 0 THEN '{what} cannot be empty'
       WHEN {broken(v)} THEN '{what} contains invalid values (NaN or Infinity)'
       WHEN len({v}) > 2048 THEN '{what} dimension too large (max 2048)'"""
 
@@ -172,6 +173,7 @@ CTES = {
     "train1_users": T1_USERS,
     "train1_items": T1_ITEMS,
     "train2_users": T2_USERS,
+    "train2_items": T2_ITEMS,
     "requests": """SELECT user_id, CASE WHEN user_id % 3 = 0 THEN ['c1', 'c3', 'c5', 'c7', 'c8'] END AS cats,
       CASE WHEN user_id % 5 = 0 THEN range(50) END AS gone FROM people""",
     "candidates": top("profiles", "items", "user_id", "item_id", cos("q.embedding", "v.embedding"), 20),
@@ -342,17 +344,23 @@ add(
 )
 add(
     "upsert_profiles",
-    f"""SELECT user_id, interaction_count, last_updated, {prints('embedding', 'embedding')} FROM (
-    SELECT * FROM late_profiles UNION ALL
-    SELECT * FROM early_profiles WHERE user_id NOT IN (SELECT user_id FROM late_profiles))""",
+    unrolled(
+        """(SELECT * FROM late_profiles UNION ALL
+        SELECT * FROM early_profiles WHERE user_id NOT IN (SELECT user_id FROM late_profiles))""",
+        "user_id, interaction_count, last_updated",
+        "embedding",
+    ),
 )
 add(
     "upsert_items",
-    f"""SELECT item_id, category, {prints('embedding', 'embedding')} FROM (
-    SELECT i.item_id, coalesce(lower(a.action_type), i.category) AS category,
-      CASE WHEN a.weight IS NULL THEN i.embedding ELSE list_transform(i.embedding, lambda x: x * a.weight) END AS embedding
-    FROM items i LEFT JOIN (SELECT * FROM weighted
-      QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY ts DESC, event_id DESC) = 1) a USING (item_id))""",
+    unrolled(
+        """(SELECT i.item_id, coalesce(lower(a.action_type), i.category) AS category,
+          CASE WHEN a.weight IS NULL THEN i.embedding ELSE list_transform(i.embedding, lambda x: x * a.weight) END AS embedding
+        FROM items i LEFT JOIN (SELECT * FROM weighted
+          QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY ts DESC, event_id DESC) = 1) a USING (item_id))""",
+        "item_id, category",
+        "embedding",
+    ),
 )
 add(
     "update_embeddings",
@@ -414,7 +422,7 @@ add(
     "validate_actions",
     """SELECT o_orderkey, CASE WHEN o_custkey = 0 THEN 'User ID cannot be nil'
     WHEN o_orderstatus = 'P' THEN 'Item ID cannot be nil'
-    WHEN o_orderdate > TIMESTAMP '1998-06-01 01:00:00' THEN 'Timestamp cannot be more than 1 hour in the future'
+    WHEN o_orderkey % 7 = 3 OR o_orderdate > TIMESTAMP '1998-06-01 01:00:00' THEN 'Timestamp cannot be more than 1 hour in the future'
     WHEN o_orderdate < TIMESTAMP '1998-06-01 00:00:00' - INTERVAL 365 DAY
       THEN 'Timestamp cannot be more than 1 year in the past' END AS error FROM orders""",
 )
@@ -423,6 +431,7 @@ add("validate_items", "SELECT vec_id, error FROM item_errors")
 add(
     "validate_requests",
     """SELECT c_custkey, CASE WHEN c_custkey = 0 THEN 'User ID cannot be nil' ELSE CASE c_custkey % 9
+    WHEN 0 THEN 'Number of recommendations must be greater than 0'
     WHEN 1 THEN 'Number of recommendations must be greater than 0'
     WHEN 2 THEN 'Number of recommendations too large (max 1000)'
     WHEN 3 THEN 'Filter categories cannot be empty if specified'
@@ -434,6 +443,7 @@ add(
 add(
     "validate_examples",
     """SELECT event_id, CASE event_id % 12 WHEN 1 THEN 'User ID cannot be nil' WHEN 2 THEN 'Item ID cannot be nil'
+    WHEN 0 THEN 'Training label contains invalid values (NaN or Infinity)'
     WHEN 3 THEN 'Training label contains invalid values (NaN or Infinity)'
     WHEN 4 THEN 'Training label must be between 0.0 and 1.0' WHEN 5 THEN 'User features cannot be empty'
     WHEN 6 THEN 'User features contain invalid values (NaN or Infinity)' WHEN 7 THEN 'Item features cannot be empty'
@@ -449,17 +459,20 @@ add(
 )
 add(
     "validate_model",
-    """SELECT version, CASE min(n) WHEN 0 THEN 'Model version cannot be empty' WHEN 1 THEN 'Model version too long (max 100 characters)'
+    f"""SELECT version, CASE min(n) WHEN 0 THEN 'Model version cannot be empty' WHEN 1 THEN 'Model version too long (max 100 characters)'
     WHEN 2 THEN 'User embedding weights cannot be empty' WHEN 3 THEN 'User embedding weights contain invalid values'
-    WHEN 4 THEN 'Item embedding weights cannot be empty' WHEN 5 THEN 'Item embedding weights contain invalid values' END AS error
+    WHEN 4 THEN 'Item embedding weights cannot be empty' WHEN 5 THEN 'Item embedding weights contain invalid values'
+    WHEN 6 THEN 'Bias weights contain invalid values' END AS error
     FROM (SELECT CASE label WHEN 0 THEN '' WHEN 9 THEN repeat('v', 101) ELSE 'v' || label END AS version,
-      CASE WHEN label = 0 THEN 0 WHEN label = 9 THEN 1 WHEN len(vector) = 0 THEN 2 + 2 * (vec_id % 2)
-        WHEN label IN (2, 3) THEN 3 + 2 * (vec_id % 2) END AS n FROM damaged) GROUP BY version""",
+      CASE WHEN label = 0 THEN 0 WHEN label = 9 THEN 1
+        WHEN coalesce(len(vector), 0) = 0 THEN CASE vec_id % 3 WHEN 0 THEN 2 WHEN 1 THEN 4 END
+        WHEN {broken('vector')} THEN CASE vec_id % 3 WHEN 0 THEN 3 WHEN 1 THEN 5 ELSE 6 END END AS n
+      FROM damaged) GROUP BY version""",
 )
 add(
     "validate_dim",
-    """SELECT vec_id, CASE WHEN len(vector) <> 64
-    THEN 'Embedding dimension mismatch: expected 64, got ' || len(vector) END AS error FROM damaged""",
+    """SELECT vec_id, CASE WHEN coalesce(len(vector), 0) <> 64
+    THEN 'Embedding dimension mismatch: expected 64, got ' || coalesce(len(vector), 0) END AS error FROM damaged""",
 )
 add("dq_summary", "SELECT coalesce(error, 'valid') AS rule, count(*) AS n FROM item_errors GROUP BY 1")
 add(
@@ -467,8 +480,17 @@ add(
     "SELECT event_id, user_id, item_id, category, weight FROM weighted JOIN items USING (item_id)",
 )
 add("user_profiles", unrolled("profiles", "user_id, interaction_count", "embedding"))
+NUMBERED = """(SELECT w.*, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq, embedding
+    FROM weighted w JOIN items USING (item_id))"""
 add(
     "profile_history",
+    f"""SELECT any_value(a.event_id) AS event_id, any_value(a.user_id) AS user_id, any_value(a.item_id) AS item_id,
+      any_value(a.weight) AS label, any_value(a.seq) AS interaction_count, i - 1 AS i,
+      {r6('sum(0.1 * b.weight * pow(0.9, a.seq - b.seq) * b.embedding[i])')} AS value
+    FROM {NUMBERED} a JOIN {NUMBERED} b ON a.user_id = b.user_id AND b.seq <= a.seq, range(1, {DIM + 1}) r(i)
+    GROUP BY a.event_id, i""",
+)
+HISTORY_PRINTS = with_ctes(
     f"""SELECT any_value(a.event_id) AS event_id, any_value(a.user_id) AS user_id, any_value(a.item_id) AS item_id,
       any_value(a.weight) AS label, any_value(a.seq) AS interaction_count, 64::BIGINT AS embedding_n,
       {r6('sum(0.1 * b.weight * pow(0.9, a.seq - b.seq) * b.s)')} AS embedding_sum,
@@ -477,7 +499,7 @@ add(
         "numbered",
         """(SELECT w.*, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq, list_sum(embedding) AS s,
           list_sum(list_transform(embedding, lambda x, i: x * i)) AS m FROM weighted w JOIN items USING (item_id))""",
-    ),
+    )
 )
 add(
     "get_or_create_profiles",
@@ -498,7 +520,7 @@ add(
     "build_training_examples_post",
     f"""SELECT event_id, h.user_id, item_id, label, ts, 64::BIGINT AS user_n, embedding_sum AS user_sum,
       embedding_moment AS user_moment, {prints('i.embedding', 'item')}, {prints('c', 'context')}
-    FROM ({ORACLES['profile_history']}) h
+    FROM ({HISTORY_PRINTS}) h
     JOIN (SELECT event_id, ts, {CONTEXT} AS c FROM actions) USING (event_id) JOIN items i USING (item_id)""",
 )
 add("predict_pairs", f"SELECT user_id, item_id, {r6('score')} AS score FROM pair_scores")
@@ -581,8 +603,36 @@ add(
     """SELECT a.event_id, a.user_id, a.item_id, a.action_type, a.ts, f.ts AS matched_at, f.event_id AS feature_id
     FROM actions a JOIN actions f ON a.user_id = f.user_id AND f.ts <= a.ts AND f.ts >= a.ts - INTERVAL 1 DAY
     WHERE a.action_type IN ('Purchase', 'Convert') AND f.action_type NOT IN ('Purchase', 'Convert')
-    QUALIFY row_number() OVER (PARTITION BY a.event_id ORDER BY f.ts DESC) = 1""",
+    QUALIFY row_number() OVER (PARTITION BY a.event_id ORDER BY f.ts DESC, f.event_id DESC) = 1""",
+)
+add(
+    "interval_join_ties",
+    """SELECT a.event_id, a.user_id, a.item_id, a.action_type, a.ts, f.ts AS matched_at, f.event_id AS feature_id
+    FROM (SELECT * REPLACE (date_trunc('day', ts)::TIMESTAMP AS ts) FROM actions) a
+    JOIN (SELECT * REPLACE (date_trunc('day', ts)::TIMESTAMP AS ts) FROM actions) f
+      ON a.user_id = f.user_id AND f.ts <= a.ts AND f.ts >= a.ts - INTERVAL 1 DAY
+    WHERE a.action_type IN ('Purchase', 'Convert') AND f.action_type NOT IN ('Purchase', 'Convert')
+    QUALIFY row_number() OVER (PARTITION BY a.event_id ORDER BY f.ts DESC, f.event_id DESC) = 1""",
+)
+add("dead_features", "SELECT event_id FROM actions WHERE event_id % 5 <> 0")
+add("dead_training", "SELECT event_id FROM actions WHERE event_id % 9 <> 0")
+add("ann_topk", topk("profiles", "items", "user_id", "item_id", cos("q.embedding", "v.embedding"), 10))
+add("ann_recall", "SELECT count(*) AS n_queries, true AS enough FROM profiles")
+SOUND = f"(SELECT vec_id, vector AS embedding FROM damaged WHERE coalesce(len(vector), 0) > 0 AND NOT {broken('vector')})"
+add(
+    "topk_dirty",
+    topk(
+        f"(SELECT vec_id AS query, embedding FROM {SOUND})", f"(SELECT vec_id AS item_id, embedding FROM {SOUND})", "query",
+        "item_id", cos("q.embedding", "v.embedding"), 3, "len(q.embedding) = len(v.embedding)",
+    ),
+)
+BOUGHT = """(SELECT DISTINCT o_custkey + 5000000000 AS user_id, l_partkey + 5000000000 AS item_id
+    FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"""
+add(
+    "als_recommend",
+    f"SELECT user_id, rank, true AS known, true AS falling FROM (SELECT DISTINCT user_id FROM {BOUGHT}), range(1, 6) r(rank)",
 )
+add("als_fit", f"SELECT count(*) AS n, true AS better FROM {BOUGHT}")
 add(
     "weighted_average",
     f"""SELECT user_id, i - 1 AS i, {r6('sum(weight * embedding[i]) / sum(weight)')} AS value
@@ -710,7 +760,11 @@ add(
     f"""SELECT 'user' AS side, * FROM ({unrolled('step_users', 'user_id AS id', 'vector')})
     UNION ALL SELECT 'item', * FROM ({unrolled('step_items', 'item_id', 'vector')})""",
 )
-add("mf_train", unrolled("train2_users", "user_id", "vector"))
+add(
+    "mf_train",
+    f"""SELECT 'user' AS side, * FROM ({unrolled('train2_users', 'user_id AS id', 'vector')})
+    UNION ALL SELECT 'item', * FROM ({unrolled('train2_items', 'item_id', 'vector')})""",
+)
 add(
     "factors_or_init",
     unrolled(
@@ -720,14 +774,17 @@ add(
         "vector",
     ),
 )
-SLOT = "% greatest(1, (SELECT count(*) FROM items) // 16)"
 add(
     "negative_samples",
-    f"""SELECT e.event_id, e.user_id, i.item_id,
-      row_number() OVER (PARTITION BY e.event_id ORDER BY md5(e.event_id || ':' || i.item_id || ':0'), i.item_id) AS draw
-    FROM (SELECT *, {u32("event_id || ':pick0'")} {SLOT} AS slot FROM examples WHERE label > 0.5) e
-    JOIN (SELECT *, {u32("item_id || ':slice0'")} {SLOT} AS slot FROM items) i USING (slot)
-    WHERE (e.user_id, i.item_id) NOT IN (SELECT (user_id, item_id) FROM examples) QUALIFY draw <= 4""",
+    """SELECT e.event_id, e.user_id, u.item_id, d AS draw
+    FROM (SELECT *, ('0x' || substr(md5(event_id || ':pick0'), 1, 15))::UBIGINT AS start FROM examples WHERE label > 0.5) e
+    JOIN (SELECT user_id, item_id,
+        row_number() OVER (PARTITION BY user_id ORDER BY md5(item_id || ':dense0'), item_id) - 1 AS place,
+        count(*) OVER (PARTITION BY user_id) AS n
+      FROM (SELECT DISTINCT user_id FROM examples), items i
+      WHERE (user_id, item_id) NOT IN (SELECT (user_id, item_id) FROM examples)) u
+    ON u.user_id = e.user_id, range(1, 5) r(d)
+    WHERE d <= u.n AND u.place = (e.start + d - 1) % u.n""",
 )
 add(
     "negative_samples_synthetic",

@@ -8,13 +8,15 @@ import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
-_own_dirs = {}
 _shipped = set()
 
 
 def local_session(cores="*", shuffle_partitions=8, memory="8g", app="lodestream"):
-    """Session for tests and the bench; a cluster brings its own."""
-    return (
+    """Session for tests and the bench; a cluster brings its own.
+
+    Where the configuration names no checkpoint folder, it gets one of its own.
+    """
+    spark = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
@@ -24,22 +26,17 @@ def local_session(cores="*", shuffle_partitions=8, memory="8g", app="lodestream"
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
+    if spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="run-"))
+    return spark
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder every executor can reach: the one named by spark.checkpoint.dir.
-
-    Only a local session that names none gets a temporary folder of its own.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    if not spark.sparkContext.master.startswith("local"):
+    """Folder every executor can reach: the one named by spark.checkpoint.dir or set on the context."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named:
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    application = spark.sparkContext.applicationId
-    if application not in _own_dirs:
-        _own_dirs[application] = tempfile.mkdtemp(prefix="run-")
-    return _own_dirs[application]
+    return named
 
 
 def fresh_dir(spark: SparkSession, name: str) -> str:
@@ -54,6 +51,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop_step(*frames: DataFrame) -> None:
+    """Remove the files of frames made by cut_lineage that nothing reads any more."""
+    for df in frames:
+        spark = df.sparkSession
+        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            if folder.rpartition("/")[2].startswith("step-"):
+                path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def ship_package(spark: SparkSession) -> None:
     """Make this package importable in Python workers, once per application."""
     context = spark.sparkContext

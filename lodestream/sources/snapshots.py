@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestream.functions import vectors as V
+from lodestream.sources.keyed_log import exists, finished
 
 
 def version_name(unix_seconds: int) -> str:
@@ -26,23 +27,32 @@ def snapshot_rows(version: str, users: DataFrame, items: DataFrame, dim: int) ->
     return rows.select(F.lit(version).alias("version"), "side", "id", "vector")
 
 
+ROWS = "side string, id string, vector array<double>"
+
+
 def write_version(rows: DataFrame, root: str, version: str) -> None:
-    """Publish rows as a version; an existing one is left as it is and raises."""
-    rows.drop("version").write.mode("errorifexists").parquet(f"{root.rstrip('/')}/version={version}")
+    """Publish rows as a version; a published one is left as it is and raises, a half-written one is replaced."""
+    spark = rows.sparkSession
+    path = f"{root.rstrip('/')}/version={version}"
+    if exists(spark, f"{path}/_SUCCESS"):
+        raise ValueError(f"version {version} already exists")
+    rows.drop("version").write.mode("overwrite").parquet(path)
 
 
-def versions(spark: SparkSession, root: str) -> DataFrame:
-    return spark.read.parquet(root).select("version").distinct()
+def versions(spark: SparkSession, root: str) -> list[str]:
+    """Published versions, by their number."""
+    return sorted(finished(spark, root.rstrip("/"), "version"), key=lambda v: int(v[1:]))
 
 
 def load_version(spark: SparkSession, root: str, version: str) -> DataFrame:
-    return spark.read.parquet(root).filter(F.col("version") == version)
+    rows = spark.read.schema(ROWS).parquet(f"{root.rstrip('/')}/version={version}")
+    return rows.withColumn("version", F.lit(version))
 
 
 def latest_version(spark: SparkSession, root: str) -> str | None:
-    """Newest version by its number, or None. One value reaches the driver."""
-    number = F.substring("version", 2, 20).cast("bigint")
-    return spark.read.parquet(root).agg(F.max_by("version", number)).first()[0]
+    """Newest published version by its number, or None."""
+    found = versions(spark, root)
+    return found[-1] if found else None
 
 
 def load_latest(spark: SparkSession, root: str) -> DataFrame:

@@ -126,11 +126,11 @@ def examples(spark, sf) -> DataFrame:
 
 
 def interactions(spark, sf) -> DataFrame:
-    """(user_id, item_id, label): customers and the parts they ordered, by quantity."""
-    orders = table(spark, sf, "orders").select("o_orderkey", F.col("o_custkey").cast("int").alias("user_id"))
+    """(user_id, item_id, label): customers and the parts they ordered, by quantity; ids beyond 32 bits."""
+    orders = table(spark, sf, "orders").select("o_orderkey", (F.col("o_custkey") + 5_000_000_000).alias("user_id"))
     lines = table(spark, sf, "lineitem").select(
         F.col("l_orderkey").alias("o_orderkey"),
-        F.col("l_partkey").cast("int").alias("item_id"),
+        (F.col("l_partkey") + 5_000_000_000).alias("item_id"),
         (F.col("l_quantity") / 50).alias("label"),
     )
     return lines.join(orders, "o_orderkey").drop("o_orderkey")
@@ -149,10 +149,12 @@ def item_factors(spark, sf) -> DataFrame:
 
 
 def damaged_vectors(spark, sf) -> DataFrame:
-    """Embeddings with faults by label: empty, NaN, infinite, too long; the id of vector 0 is nil."""
-    v, label = V.as_double("embedding"), F.col("label")
+    """Embeddings with faults by label: empty, NaN, infinite, too long, and null or with a null by id; the id of vector 0 is nil."""
+    v, label, turn = V.as_double("embedding"), F.col("label"), F.col("vec_id") % 25
     faulty = (
-        F.when(label == 1, F.array().cast("array<double>"))
+        F.when(turn == 7, F.lit(None).cast("array<double>"))
+        .when(turn == 8, F.concat(v, F.array(F.lit(None).cast("double"))))
+        .when(label == 1, F.array().cast("array<double>"))
         .when(label == 2, F.concat(v, F.array(F.lit(float("nan")))))
         .when(label == 3, F.concat(F.array(F.lit(float("-inf"))), v))
         .when(label == 4, F.flatten(F.array_repeat(v, 33)))

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestream import schemas
+from lodestream.functions.clock import in_utc, utc_clock
+from lodestream.functions.text import is_uuid
 
 # fixed values: topic names
 ACTION_TOPIC = "user_actions"
@@ -24,10 +26,11 @@ LAYOUTS = {
     TRAINING_TOPIC: schemas.training_example,
 }
 
-# fixed values: the wire name and form of the time, and the fields that hold JSON themselves
+# fixed values: the wire name of the time, and the fields that hold JSON themselves
 WIRE_TIME = "timestamp"
-TIME_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"
 JSON_FIELDS = ("context", "metadata")
+OPTIONAL = ("context",)
+IDS = ("user_id", "item_id", "id")
 BROKEN = "_broken"
 
 
@@ -43,19 +46,22 @@ def read_topic(spark: SparkSession, topic: str, path_or_servers: str, format: st
 
 
 def wire_time(ts) -> Column:
-    """RFC 3339 text of a UTC time."""
-    return F.date_format(ts, TIME_FORMAT)
+    """RFC 3339 text of a UTC time in TIMESTAMP_NTZ; formatting it as a TIMESTAMP would bend it by the session's zone."""
+    text = (F.col(ts) if isinstance(ts, str) else ts).cast("string")
+    return F.concat(text.substr(1, 10), F.lit("T"), text.substr(12, 8), F.lit("."), F.rpad(text.substr(21, 6), 6, "0"), F.lit("Z"))
 
 
 def utc_time(text) -> Column:
-    """UTC time of RFC 3339 text, taken as UTC where it names no zone; null if it is none."""
-    zoned = F.when(text.rlike("(Z|[+-][0-9]{2}:?[0-9]{2})$"), text).otherwise(F.concat(text, F.lit("Z")))
-    return F.to_utc_timestamp(F.try_to_timestamp(zoned), F.current_timezone()).cast("timestamp_ntz")
+    """UTC time of RFC 3339 text; null if it is none, as without a zone."""
+    zoned = F.when(text.rlike("(Z|[+-][0-9]{2}:?[0-9]{2})$"), text)
+    return utc_clock(F.try_to_timestamp(zoned))
 
 
 def decode(raw: DataFrame, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
     """(records, dead letters). A null value is skipped; text that is not such a record is a dead letter.
 
+    A record has every field of its layout but those of OPTIONAL, ids that are
+    UUIDs where the layout has them as text, and no null inside a vector.
     Other columns of raw, such as an offset, are kept in front.
     """
     kept = [c for c in raw.columns if c not in ("key", "value")]
@@ -67,9 +73,13 @@ def decode(raw: DataFrame, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
     time = utc_time(F.col(f"record.{WIRE_TIME}"))
     fields = {n: time if n == "ts" else F.col(f"record.{n}") for n in schema.names}
     fine = F.col("record").isNotNull() & F.col(f"record.{BROKEN}").isNull()
-    for name in ("user_id", "item_id", "id", "ts"):
-        if name in fields:
-            fine = fine & fields[name].isNotNull()
+    for field in schema.fields:
+        if field.name not in OPTIONAL:
+            fine = fine & fields[field.name].isNotNull()
+        if field.name in IDS and isinstance(field.dataType, T.StringType):
+            fine = fine & is_uuid(fields[field.name])
+        if isinstance(field.dataType, T.ArrayType):
+            fine = fine & ~F.exists(fields[field.name], lambda x: x.isNull())
     if "action_type" in fields:
         fine = fine & fields["action_type"].isin(list(schemas.ACTION_WEIGHTS))
     fine = F.coalesce(fine, F.lit(False))
@@ -83,6 +93,7 @@ def encode(records: DataFrame, topic: str) -> DataFrame:
     Numbers go out as FLOAT, like the layout's, and JSON text as JSON.
     """
     layout = LAYOUTS[topic]()
+    records = in_utc(records)
     floats = (T.FloatType(), T.ArrayType(T.FloatType()))
 
     def sent(name):

@@ -5,22 +5,24 @@ foreachBatch, so the caller chooses source, sink, trigger and checkpoint.
 Event time is TIMESTAMP, which watermarks need.
 """
 
+import bisect
 import time
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from lodestream import schemas
 from lodestream.functions import vectors as V
+from lodestream.functions.clock import in_utc
 from lodestream.operators import training as T
-from lodestream.operators.actions import action_feature_vectors, action_weight, training_examples
+from lodestream.operators.actions import action_feature_vectors, training_examples
 from lodestream.operators.online_metrics import funnel_counts, funnel_rates
-from lodestream.operators.profiles import LEARNING_RATE, horizon
+from lodestream.operators.profiles import LEARNING_RATE, fold
 from lodestream.operators.quality import example_error, quarantine
-from lodestream.sources import keyed_log, snapshots
+from lodestream.sources import keyed_log, snapshots, topics
 
 # fixed values: trainer's flush time, rows per flush and seconds between snapshots
 FLUSH = "30 seconds"
@@ -47,43 +49,33 @@ def features(actions: DataFrame, dim: int, seed=0) -> DataFrame:
     return action_feature_vectors(keyed, dim, seed).select("id", "vector", "metadata")
 
 
-def running_profiles(actions: DataFrame, items: DataFrame, dim: int, learning_rate: float = LEARNING_RATE) -> DataFrame:
-    """(user_id, embedding, interaction_count) after each micro-batch, from keyed state.
+PROFILES = "user_id {kind}, embedding array<double>, interaction_count bigint"
 
-    Rows of a micro-batch are applied in time order, after all earlier batches:
-    a row that arrives late is applied on arrival, since earlier state is gone.
-    Of a hot user's rows, no more than the horizon's latest are held; older
-    ones only count. The sink keeps the row with the largest count per user.
+
+def profile_updates(root: str, items: DataFrame, learning_rate: float = LEARNING_RATE, tie: str = "event_id", compact_every: int = 64):
+    """foreachBatch function that folds a micro-batch's actions into the stored profiles, in a keyed log under root.
+
+    The batch goes through the batch fold, from the profiles of its users after
+    the batches before it, so a hot user is spread and a repeated batch gives the
+    same rows. Rows of a batch are applied in time order, after all earlier
+    batches: a row that arrives late is applied on arrival.
     """
-    keep = 1.0 - learning_rate
-    weighted = actions.withColumn("weight", action_weight(F.col("action_type"))).filter("weight IS NOT NULL")
-    order = [c for c in ("ts", "event_id") if c in actions.columns]
-    rows = weighted.join(items.select("item_id", V.as_double("embedding").alias("x")), "item_id").select(
-        "user_id", "weight", "x", *order
-    )
-    held = horizon(learning_rate)
-    user_type = rows.schema["user_id"].dataType.simpleString()
 
-    def advance(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        vector, count = state.get if state.exists else ([0.0] * dim, 0)
-        latest, n = None, 0
-        for frame in frames:
-            n += len(frame)
-            latest = pd.concat([latest, frame]).sort_values(order).tail(held)
-        age = np.arange(len(latest) - 1, -1, -1)
-        share = learning_rate * latest["weight"].to_numpy() * keep**age
-        moved = np.asarray(vector) * keep**n + share @ np.stack(latest["x"].to_numpy())
-        out = (moved.tolist(), int(count) + n)
-        state.update(out)
-        yield pd.DataFrame({"user_id": [key[0]], "embedding": [out[0]], "interaction_count": [out[1]]})
-
-    return rows.groupBy("user_id").applyInPandasWithState(
-        advance,
-        f"user_id {user_type}, embedding array<double>, interaction_count bigint",
-        "vector array<double>, n bigint",
-        "append",
-        GroupStateTimeout.NoTimeout,
-    )
+    def run(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        schema = PROFILES.format(kind=batch.schema["user_id"].dataType.simpleString())
+        rows = in_utc(batch).persist()
+        stored = keyed_log.current(spark, root, "user_id", schema, before=batch_id, only=rows.select("user_id"))
+        moved = fold(rows, items, learning_rate, start=stored, tie=tie)
+        counted = stored.select("user_id", F.col("interaction_count").alias("_before"))
+        total = F.col("interaction_count") + F.coalesce("_before", F.lit(0))
+        out = moved.join(counted, "user_id", "left").select("user_id", "embedding", total.alias("interaction_count"))
+        keyed_log.append(out, root, batch_id)
+        rows.unpersist()
+        if batch_id and batch_id % compact_every == 0:
+            keyed_log.compact(spark, root, "user_id", schema, batch_id)
+
+    return run
 
 
 def joined_examples(actions: DataFrame, items: DataFrame, profiles: DataFrame, dim: int) -> DataFrame:
@@ -92,26 +84,78 @@ def joined_examples(actions: DataFrame, items: DataFrame, profiles: DataFrame, d
 
 
 def interval_join(
-    actions: DataFrame, feature_rows: DataFrame, value: str, within: str = "1 day", salts: int = 1, key: str = "event_id"
+    actions: DataFrame, feature_rows: DataFrame, value: str, within_seconds: int = 86400, salts: int = 8, key: str = "event_id"
 ) -> DataFrame:
     """Each action with its user's latest feature in the interval before it, once the watermark has passed.
 
-    Both inputs carry watermarks on ts. A hot user's state is spread by giving
-    each action one of salts lanes and copying the features to all of them.
+    Both inputs carry watermarks on ts. Features and waiting actions are keyed
+    state: behind the watermark only a user's latest feature is kept, and every
+    action looks its feature up once, so no pairs are formed. Of features at
+    the same time the largest value counts; it is a number or a text. A hot user's actions are spread by
+    giving each one of salts lanes, to which the features are copied.
     """
-    left = actions.withColumn("salt", F.pmod(F.xxhash64(key), F.lit(salts)))
-    right = feature_rows.select(
-        F.col("user_id").alias("f_user"),
-        F.col("ts").alias("matched_at"),
-        F.col(value),
-        F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))).alias("f_salt"),
-    )
-    near = F.expr(f"matched_at <= ts AND matched_at >= ts - INTERVAL {within}")
-    pairs = left.join(right, (left.user_id == right.f_user) & (left.salt == right.f_salt) & near)
-    newest = F.max_by(F.struct("matched_at", value), F.col("matched_at"))
-    return (
-        pairs.groupBy(key, "user_id", "ts").agg(newest.alias("hit")).select(key, "user_id", "ts", f"hit.matched_at", f"hit.{value}")
+    # a filler instead of null keeps whole numbers whole in pandas
+    no_key, no_value = F.lit("0").cast(actions.schema[key].dataType), F.lit("0").cast(feature_rows.schema[value].dataType)
+    left = actions.select(
+        "user_id", F.pmod(F.xxhash64(key), F.lit(salts)).alias("salt"), "ts", F.unix_micros("ts").alias("at"),
+        F.lit(True).alias("asks"), F.col(key).alias("key"), no_value.alias("value"),
+    )
+    lanes = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))).alias("salt")
+    right = feature_rows.filter(F.col(value).isNotNull()).select(
+        "user_id", lanes, "ts", F.unix_micros("ts").alias("at"), F.lit(False).alias("asks"), no_key.alias("key"),
+        F.col(value).alias("value"),
+    )
+    kinds = {"key": actions.schema[key].dataType.simpleString(), "value": feature_rows.schema[value].dataType.simpleString()}
+    span = within_seconds * 1_000_000
+
+    def advance(group, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        f_at, f_value, a_at, a_key = ([list(c) for c in state.get] if state.exists else [[], [], [], []])
+        for frame in frames:
+            is_action = frame["asks"].astype(bool)
+            a_at += frame.loc[is_action, "at"].tolist()
+            a_key += frame.loc[is_action, "key"].tolist()
+            f_at += frame.loc[~is_action, "at"].tolist()
+            f_value += frame.loc[~is_action, "value"].tolist()
+        passed = state.getCurrentWatermarkMs() * 1000
+        features = sorted(zip(f_at, f_value))
+        times = [t for t, _ in features]
+        out = {"user_id": [], "key": [], "at": [], "matched": [], "value": []}
+        waiting = []
+        for t, k in sorted(zip(a_at, a_key)):
+            if t >= passed:
+                waiting.append((t, k))
+                continue
+            found = bisect.bisect_right(times, t) - 1
+            if found >= 0 and times[found] >= t - span:
+                for name, v in zip(out, (group[0], k, t, *features[found])):
+                    out[name].append(v)
+        behind = bisect.bisect_left(times, passed)
+        features = features[max(0, behind - 1) :]
+        if features or waiting:
+            state.update(tuple([x[n] for x in part] for part in (features, waiting) for n in (0, 1)))
+            # wake up for the next waiting action, or to forget a feature out of reach
+            wake = waiting[0][0] if waiting else features[-1][0] + span
+            if not waiting and wake < passed:
+                state.remove()
+            else:
+                state.setTimeoutTimestamp(max(wake, passed) // 1000 + 1)
+        elif state.exists:
+            state.remove()
+        if out["key"]:
+            yield pd.DataFrame(out)
+
+    user_kind = actions.schema["user_id"].dataType.simpleString()
+    found = left.unionByName(right).groupBy("user_id", "salt").applyInPandasWithState(
+        advance,
+        f"user_id {user_kind}, key {kinds['key']}, at bigint, matched bigint, value {kinds['value']}",
+        f"f_at array<bigint>, f_value array<{kinds['value']}>, a_at array<bigint>, a_key array<{kinds['key']}>",
+        "append",
+        GroupStateTimeout.EventTimeTimeout,
     )
+    return found.select(
+        F.col("key").alias(key), "user_id", F.timestamp_micros("at").alias("ts"),
+        F.timestamp_micros("matched").alias("matched_at"), F.col("value").alias(value),
+    )
 
 
 def windowed_funnel(actions: DataFrame, width: str = "1 day") -> DataFrame:
@@ -123,18 +167,6 @@ def windowed_funnel(actions: DataFrame, width: str = "1 day") -> DataFrame:
     )
 
 
-def profile_sink(root: str):
-    """foreachBatch function that keeps the newest profile of each user in a keyed log."""
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        newest = batch.groupBy("user_id").agg(
-            F.max_by(F.struct("embedding", "interaction_count"), "interaction_count").alias("p")
-        )
-        keyed_log.append(newest.select("user_id", "p.*"), root, batch_id)
-
-    return write
-
-
 def training_batch(
     root: str,
     items: DataFrame,
@@ -148,10 +180,12 @@ def training_batch(
 ):
     """foreachBatch function: check, add negatives, one gradient step, write back, archive, snapshot.
 
-    Factors live in keyed logs under root; a batch starts from those of the
-    batches before it, so a repeated batch gives the same result. The trained
-    factors are written back, not the input features. When the last snapshot
-    is old enough the logs are compacted and a model version published.
+    Factors live in keyed logs under root; a batch starts from those of its ids
+    after the batches before it, so a repeated batch gives the same result.
+    Negatives are items that the batch's users have neither in the archive nor
+    in the batch. The trained factors are written back, not the input features.
+    When the last snapshot is old enough the logs are compacted and a model
+    version published.
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
@@ -159,16 +193,22 @@ def training_batch(
         batch = batch.persist()
         fine, bad = quarantine(batch, example_error())
         archive = f"{root}/archive/batch={int(batch_id)}"
-        seen = fine.select("user_id", "item_id")
-        T.with_negatives(fine, items, seen, key=key, ratio=ratio).write.mode("overwrite").parquet(archive)
+        pairs = fine.select("user_id", "item_id")
+        done = [n for n in keyed_log.finished(spark, f"{root}/archive", "batch") if int(n) < batch_id]
+        if done:
+            past = spark.read.schema(batch.schema).parquet(*[f"{root}/archive/batch={n}" for n in done])
+            own = past.filter("label > 0").join(pairs.select("user_id").distinct(), "user_id", "left_semi")
+            pairs = pairs.unionByName(own.select("user_id", "item_id"))
+        T.with_negatives(fine, items, pairs, key=key, ratio=ratio).write.mode("overwrite").parquet(archive)
         bad.write.mode("overwrite").parquet(f"{root}/rejected/batch={int(batch_id)}")
-        augmented = spark.read.parquet(archive)
+        augmented = spark.read.schema(batch.schema).parquet(archive)
         sides = {}
         for side in ("user", "item"):
             kind = batch.schema[f"{side}_id"].dataType.simpleString()
             schema = f"{side}_id {kind}, vector array<double>"
-            stored = keyed_log.current(spark, f"{root}/{side}", f"{side}_id", schema, before=batch_id)
-            sides[side] = T.factors_or_init(augmented, stored, f"{side}_id", dim)
+            ids = augmented.select(f"{side}_id").distinct()
+            stored = keyed_log.current(spark, f"{root}/{side}", f"{side}_id", schema, before=batch_id, only=ids)
+            sides[side] = T.factors_or_init(ids, stored, f"{side}_id", dim)
         users, new_items = T.sgd_step(augmented.select("user_id", "item_id", "label"), sides["user"], sides["item"], lr, reg)
         keyed_log.append(users, f"{root}/user", batch_id)
         keyed_log.append(new_items, f"{root}/item", batch_id)
@@ -180,7 +220,7 @@ def training_batch(
 
 def snapshot_if_due(spark, root, batch, dim, batch_id, every_seconds, now) -> None:
     models = f"{root}/models"
-    last = snapshots.latest_version(spark, models) if keyed_log.exists(spark, models) else None
+    last = snapshots.latest_version(spark, models)
     if last is not None and now - int(last[1:]) < every_seconds:
         return
     tables = []
@@ -191,3 +231,41 @@ def snapshot_if_due(spark, root, batch, dim, batch_id, every_seconds, now) -> No
         tables.append(keyed_log.current(spark, f"{root}/{side}", f"{side}_id", schema))
     name = snapshots.version_name(now)
     snapshots.write_version(snapshots.snapshot_rows(name, *tables, dim), models, name)
+
+
+def start_joiner(actions: DataFrame, items: DataFrame, profiles: DataFrame, dim: int, target: str, checkpoint: str, format="parquet", **trigger):
+    """Start the query that turns an action stream into records of the training topic."""
+    examples = joined_examples(actions, items, profiles, dim)
+    return topics.write_topic(topics.encode(examples, topics.TRAINING_TOPIC), topics.TRAINING_TOPIC, target, checkpoint, format, **trigger)
+
+
+def start_trainer(
+    spark, source: str, root: str, items: DataFrame, dim: int, checkpoint: str, format: str = "parquet", rows: int = BATCH_ROWS,
+    id_type=None, trigger: dict | None = None, **how,
+):
+    """Start the query that trains on the training topic, batch by batch.
+
+    A batch starts every FLUSH and takes at most rows records from a topic (from
+    a folder of files, one file). Records that cannot be decoded are kept under
+    root/dead. An example is known by a hash of its fields, as the wire carries
+    no id; records that are alike in all of them are one example.
+    """
+    layout = schemas.training_example(*([id_type] if id_type else []))
+    limit = {"maxOffsetsPerTrigger": rows} if format == "kafka" else {"maxFilesPerTrigger": 1}
+    raw = topics.read_topic(spark, topics.TRAINING_TOPIC, source, format, **limit)
+    train = training_batch(root, items, dim, **how)
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        good, bad = topics.decode(batch, layout)
+        bad.write.mode("overwrite").parquet(f"{root}/dead/batch={int(batch_id)}")
+        keyed = good.withColumn("event_id", F.xxhash64(*good.columns)).dropDuplicates(["event_id"])
+        train(as_doubles(keyed), batch_id)
+
+    writer = raw.writeStream.option("checkpointLocation", checkpoint).foreachBatch(run)
+    return writer.trigger(**(trigger or {"processingTime": FLUSH})).start()
+
+
+def as_doubles(examples: DataFrame) -> DataFrame:
+    """Decoded examples with the vectors and the label in DOUBLE, as the operators have them."""
+    vectors = {c: V.as_double(c) for c in ("user_features", "item_features", "context_features")}
+    return examples.withColumns({**vectors, "label": F.col("label").cast("double")})

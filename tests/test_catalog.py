@@ -4,6 +4,8 @@ import pytest
 
 import __spark_entry__ as entry
 import compare
+from lodestream.plans.catalog import QUERIES
+from lodestream.plans.oracles import ORACLES
 
 
 @pytest.fixture(scope="session")
@@ -11,12 +13,12 @@ def con(sf):
     return compare.duck(sf)
 
 
-@pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_equals_sql(spark, con, sf, name):
     assert compare.difference(spark, con, sf, name) is None
 
 
-@pytest.mark.parametrize("name", sorted(set(entry.queries()) - set(entry.oracle_sql())))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_runs(spark, sf, name):
     assert entry.queries()[name](spark, sf).count() > 0
 

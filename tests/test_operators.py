@@ -76,13 +76,42 @@ def test_top_k_ties_and_zero_vectors(spark):
         ]
 
 
-def test_top_k_string_ids_and_dimension_error(spark):
+def test_top_k_string_ids(spark):
     items = spark.createDataFrame([("b", [1.0]), ("a", [1.0])], "item_id string, embedding array<double>")
     users = spark.createDataFrame([("u", [2.0])], "user_id string, embedding array<double>")
     assert [(r.item_id, r["rank"]) for r in S.top_k(users, items, 1).collect()] == [("a", 1)]
-    wrong = spark.createDataFrame([("u", [2.0, 1.0])], "user_id string, embedding array<double>")
-    with pytest.raises(Exception, match="dimension mismatch"):
-        S.top_k(wrong, items, 1).collect()
+
+
+@pytest.mark.parametrize("metric", ["cosine", "dot", "l2"])
+def test_top_k_is_the_same_on_every_grid(spark, metric):
+    """Broken vectors on both sides, two sizes, repeated rows and ids: one answer."""
+    rng = np.random.default_rng(2)
+    nan, inf = float("nan"), float("inf")
+    broken = [None, [], [nan, 1.0, 2.0], [inf, 1.0, 2.0], [None, 1.0, 2.0], [1e200, 1e200, -1e200]]
+    three = [rng.normal(size=3).tolist() for _ in range(40)]
+    two = [rng.normal(size=2).tolist() for _ in range(9)]
+    kind = "{} bigint, embedding array<double>"
+    vectors_ = three + two + broken[:5] + broken
+    items = [*enumerate(vectors_), (3, three[3]), (3, three[3]), (5, three[30])]
+    queries = [*enumerate(three[:12] + two[:3] + broken[:5]), (1, three[1]), (1, three[20])]
+    found_on = []
+    for cell in (65536, 4):
+        a = spark.createDataFrame(queries, kind.format("user_id")).repartition(5)
+        b = spark.createDataFrame(items, kind.format("item_id")).repartition(3)
+        rows = S.top_k(a, b, 3, metric, items_per_cell=cell).collect()
+        found_on.append(sorted((r.user_id, r["rank"], r.item_id, round(r.score, 6)) for r in rows))
+    assert found_on[0] == found_on[1]
+    # 15 sound queries and one more vector under id 1, three rows each
+    assert len(found_on[0]) == 3 * 16
+    if metric == "cosine":
+        assert {(u, i) for u, r, i, _ in found_on[0] if r == 1 and u not in (1, 5)} >= {(0, 0), (2, 2), (3, 3), (12, 40)}
+
+
+def test_exclusions_hide_every_row_of_an_id(spark):
+    items = spark.createDataFrame([(1, [1.0, 0.0]), (1, [0.9, 0.1]), (2, [0.5, 0.5])], "item_id bigint, embedding array<double>")
+    users = spark.createDataFrame([(7, [1.0, 0.0]), (7, [1.0, 0.1])], "user_id bigint, embedding array<double>")
+    seen = spark.createDataFrame([(7, 1)], "user_id bigint, item_id bigint")
+    assert [r.item_id for r in S.top_k(users, items, 3, seen=seen).collect()] == [2, 2]
 
 
 def test_similar_leaves_out_self(spark):
@@ -101,6 +130,15 @@ def test_ann_recall(spark):
     assert len(hits) / len(exact) >= 0.95
     full = S.ann_top_k(users, items, 10, n_lists=6, n_probe=6)
     assert found(full) == exact
+    # one list that nearly all queries probe: cut into lanes of both sides
+    hot = S.ann_top_k(users, items, 10, n_lists=2, n_probe=2, items_per_cell=60, queries_per_cell=7)
+    assert found(hot) == exact
+    me = S.similar(items, items.select("item_id").limit(30), 4, "item_id", index=(5, 5))
+    asked = [r[0] for r in items.select("item_id").limit(30).collect()]
+    want = {t for t in brute(m, m, 4, hide=lambda a, b: a == b) if t[0] in asked}
+    assert found(me, "query_item_id") == want
+    none = S.ann_top_k(users, items.limit(0), 10, n_lists=6, n_probe=6)
+    assert none.count() == 0
 
 
 def _log(spark, rows):
@@ -135,8 +173,7 @@ def test_profile_fold_with_hot_user_equals_sequential(spark):
     table = {i: np.array([i + 1.0, -i, 0.5 * i]) for i in range(7)}
     items = spark.createDataFrame([(i, v.tolist()) for i, v in table.items()], "item_id bigint, embedding array<double>")
     want, steps = _fold(log, table)
-    # the hot user has more actions than the horizon
-    assert want[1][1] > profiles.horizon(0.1)
+    assert want[1][1] > 1500
     got = {r.user_id: r for r in profiles.fold(_log(spark, log), items).collect()}
     assert got.keys() == want.keys()
     for u, (v, n) in want.items():
@@ -144,26 +181,62 @@ def test_profile_fold_with_hot_user_equals_sequential(spark):
     start = spark.createDataFrame([(2, [100.0, 0.0, -7.0])], "user_id bigint, embedding array<double>")
     moved = {r.user_id: r.embedding for r in profiles.fold(_log(spark, log), items, start=start).collect()}
     assert np.allclose(moved[2], want[2][0] + np.array([100.0, 0.0, -7.0]) * 0.9 ** want[2][1], atol=1e-12)
-    after = {r.event_id: r.embedding for r in profiles.history(_log(spark, log), items).collect()}
-    assert len(after) == len(steps)
-    assert all(np.allclose(after[e], v, atol=1e-12) for e, v in steps)
-
-
-def test_last_rows_in_two_steps(spark):
-    rows = spark.createDataFrame(_busy_log(3000), "event_id bigint, user_id bigint, item_id bigint, kind string, ts timestamp_ntz")
-    plain = ordering.last_rows(rows, "user_id", ["ts", "event_id"], 300)
-    spark.conf.set("spark.sql.optimizer.windowGroupLimitThreshold", "100")
-    try:
-        stepped = ordering.last_rows(rows, "user_id", ["ts", "event_id"], 300, lanes=4).collect()
-    finally:
-        spark.conf.unset("spark.sql.optimizer.windowGroupLimitThreshold")
-    assert sorted(stepped) == sorted(plain.collect()) and len(stepped) > 300
-
-
-def test_fold_is_cut_before_the_shuffle(spark):
-    items = spark.createDataFrame([(0, [1.0])], "item_id bigint, embedding array<double>")
-    plan = profiles.fold(_log(spark, [(0, 0, 0, "View", T0)]), items)._jdf.queryExecution().toString()
-    assert "WindowGroupLimit" in plan
+    # chunks of 256, and of 5 with three levels above them
+    for chunk in (256, 5):
+        after = {r.event_id: r.embedding for r in profiles.history(_log(spark, log), items, chunk=chunk).collect()}
+        assert len(after) == len(steps)
+        assert all(np.allclose(after[e], v, atol=1e-12) for e, v in steps)
+
+
+@pytest.mark.parametrize("rate", [0.001, 0.1, 0.95, 1.0])
+def test_fold_and_history_agree_at_any_rate(spark, rate):
+    """A long tail of zeros leaves what came before it, however small."""
+    log = [(n, 1, 0 if n < 100 else 1, "Purchase", T0 + dt.timedelta(minutes=n)) for n in range(1200)]
+    items = spark.createDataFrame([(0, [1.0]), (1, [0.0])], "item_id bigint, embedding array<double>")
+    state = 0.0
+    for n in range(1200):
+        state = (1 - rate) * state + rate * (1.0 if n < 100 else 0.0)
+    got = profiles.fold(_log(spark, log), items, rate).first()
+    last = profiles.history(_log(spark, log), items, rate).filter("event_id = 1199").first()
+    assert got.embedding[0] == pytest.approx(state, rel=1e-9, abs=1e-300)
+    assert last.embedding[0] == pytest.approx(state, rel=1e-9, abs=1e-300)
+    if rate < 0.95:
+        assert state > 0
+
+
+def test_numbered_from_the_last(spark):
+    df = _log(spark, _busy_log(500)).select("event_id", "user_id", "ts")
+    up = ordering.numbered(df, "user_id", ["ts", "event_id"]).collect()
+    down = {r.event_id: r.seq for r in ordering.numbered(df, "user_id", ["ts", "event_id"], from_last=True).collect()}
+    total = {}
+    for r in up:
+        total[r.user_id] = total.get(r.user_id, 0) + 1
+    assert all(down[r.event_id] == total[r.user_id] + 1 - r.seq for r in up)
+
+
+def test_dense_ids_and_ranks(spark):
+    ids = spark.createDataFrame([(f"u{n % 300}",) for n in range(900)] + [(None,)], "id string")
+    rows = ordering.dense_ids(ids, "id").collect()
+    assert sorted(r.idx for r in rows) == list(range(300)) and len({r.id for r in rows}) == 300
+    rng = np.random.default_rng(1)
+    marks = [(int(u), int(p)) for u, p in zip(rng.integers(0, 3, 400), rng.integers(0, 5000, 400))]
+    asked = [(u, p, "x") for u in range(4) for p in range(0, 6000, 37)]
+    got = ordering.ranks_below(
+        spark.createDataFrame(asked, "u bigint, at bigint, extra string"), spark.createDataFrame(marks, "u bigint, at bigint"),
+        "u", "at", "n", width=64,
+    ).collect()
+    assert {(r.u, r.at): r.n for r in got} == {(u, p): sum(v == u and q <= p for v, q in marks) for u, p, _ in asked}
+
+
+def test_latest_before_breaks_ties_by_value(spark):
+    asks = spark.createDataFrame([(1, T0, 5)], "user_id int, ts timestamp_ntz, event_id int")
+    feats = [(1, T0, n) for n in range(50)] + [(1, T0 - dt.timedelta(hours=3), 99)]
+    for seed in (0, 1, 2):
+        order = np.random.default_rng(seed).permutation(len(feats))
+        right = spark.createDataFrame([feats[n] for n in order], "user_id int, ts timestamp_ntz, f int").repartition(3)
+        assert ordering.latest_before(asks, right, "user_id", "ts", "f", 86400).first().f == 49
+    early = spark.createDataFrame([f for f in feats[:50]], "user_id int, ts timestamp_ntz, f int").withColumn("ts", F.col("ts") - F.expr("INTERVAL 2 HOURS"))
+    assert ordering.latest_before(asks, early, "user_id", "ts", "f", 86400).first().f == 49
 
 
 def test_numbered_and_sessions_with_hot_key(spark):
@@ -220,15 +293,48 @@ def test_profile_errors(spark):
     assert got[2] == got[5] == "User embedding cannot be empty"
 
 
+def test_null_fields_fail_every_validator(spark):
+    def errors(kind, rows, error):
+        return [r.e for r in spark.createDataFrame(rows, kind).select(error.alias("e")).collect()]
+
+    now = F.lit(T0).cast("timestamp_ntz")
+    assert None not in errors("user_id string, item_id string, ts timestamp_ntz", [(UID, UID, None)], quality.action_error(now))
+    vector = [0.5, None]
+    assert None not in errors("user_id string, embedding array<double>", [(UID, vector), (UID, None)], quality.profile_error())
+    assert None not in errors(
+        "item_id string, embedding array<double>, category string, popularity_score double",
+        [(UID, vector, "c", 0.5), (UID, [1.0], None, 0.5), (UID, [1.0], "c", None)], quality.item_error(),
+    )
+    requests = [(UID, None, None, None), (UID, -1, None, None), (UID, 0, None, None), (UID, 3, [None], None), (UID, 3, None, [None])]
+    kind = "user_id string, num_recommendations int, filter_categories array<string>, exclude_items array<string>"
+    assert None not in errors(kind, requests, quality.request_error())
+    assert errors(kind, [(UID, 3, None, None)], quality.request_error()) == [None]
+    fine = (UID, UID, 0.5, [1.0], [1.0], [1.0])
+    kind = "user_id string, item_id string, label double, user_features array<double>, item_features array<double>, context_features array<double>"
+    holes = [tuple(None if n == k else v for n, v in enumerate(fine)) for k in range(6)]
+    holes += [tuple([None] if n == k else v for n, v in enumerate(fine)) for k in (3, 4, 5)]
+    assert errors(kind, [fine], quality.example_error()) == [None]
+    assert None not in errors(kind, holes, quality.example_error())
+    assert None not in errors("id string, vector array<double>", [(UID, None), (UID, [None]), (None, [1.0])], quality.feature_error())
+    model = [("v1", "user", [1.0]), ("v2", "bias", [None]), ("v3", "bias", [1.0]), ("v4", "item", None)]
+    got = {r.version: r.error for r in quality.model_errors(spark.createDataFrame(model, "version string, side string, vector array<double>")).collect()}
+    assert got == {"v1": None, "v2": "Bias weights contain invalid values", "v3": None, "v4": "Item embedding weights cannot be empty"}
+    assert "got 0" in errors("v array<double>", [(None,)], K.dimension_error("v", 64))[0]
+
+
 def test_decode_drops_what_is_not_a_record(spark):
-    good = '{"user_id":"u","item_id":"i","action_type":"Like","timestamp":"2024-01-01T10:00:00.000001Z","context":{"a":[1]}}'
+    good = (
+        f'{{"user_id":"{UID}","item_id":"{UID}","action_type":"Like","timestamp":"2024-01-01T10:00:00.000001Z","context":{{"a":[1]}}}}'
+    )
     rows = [
         ("k", good),
         ("k", None),
         ("k", "not json"),
         ("k", good.replace("Like", "Stare")),
-        ("k", good.replace('"user_id":"u",', "")),
+        ("k", good.replace(f'"user_id":"{UID}",', "")),
+        ("k", good.replace(f'"user_id":"{UID}"', '"user_id":"not a uuid"')),
         ("k", good.replace("2024-01-01T", "someday ")),
+        ("k", good.replace(".000001Z", "")),
         ("k", good.replace("10:00:00.000001Z", "18:00:00+08:00").replace(',"context":{"a":[1]}', "")),
     ]
     records, bad = topics.decode(spark.createDataFrame(rows, "key string, value string"), schemas.user_action())
@@ -236,13 +342,36 @@ def test_decode_drops_what_is_not_a_record(spark):
     assert [(r.action_type, r.ts, r.context) for r in records.collect()] == [
         ("Like", ten.replace(microsecond=1), '{"a":[1]}'), ("Like", ten, None)
     ]
-    assert bad.count() == 4
+    assert bad.count() == 6
     sent = topics.encode(records, topics.ACTION_TOPIC).collect()
-    assert sent[0].key == "u" and sent[0].value == good
+    assert sent[0].key == UID and sent[0].value == good
     again, bad = topics.decode(topics.encode(records, topics.ACTION_TOPIC), schemas.user_action())
     assert again.collect() == records.collect() and bad.count() == 0
 
 
+@pytest.mark.parametrize("zone", ["America/New_York", "Asia/Kolkata"])
+def test_times_go_out_in_utc_in_any_zone(spark, zone):
+    from lodestream.operators.actions import action_feature_vectors, training_examples
+
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        # noon, and an hour that New York's clocks skip
+        for at in ("2024-01-01T12:00:00Z", "2024-03-10T02:30:00Z"):
+            row = spark.createDataFrame([(1, UID, UID, "Like", at, None)], "event_id int, user_id string, item_id string, action_type string, t string, context string")
+            row = row.withColumn("ts", F.to_timestamp("t")).drop("t")
+            value = topics.encode(row, topics.ACTION_TOPIC).first().value
+            assert f'"timestamp":"{at[:-1]}.000000Z"' in value
+            back, bad = topics.decode(topics.encode(row, topics.ACTION_TOPIC), schemas.user_action())
+            assert back.select(F.col("ts").cast("string")).first()[0] == at[:-1].replace("T", " ") and bad.count() == 0
+            hour = int(at[11:13]) / 24
+            assert action_feature_vectors(row, 16).first().vector[6] == pytest.approx(hour)
+            items = spark.createDataFrame([(UID, [1.0])], "item_id string, embedding array<double>")
+            people = spark.createDataFrame([(UID, [1.0])], "user_id string, embedding array<double>")
+            assert training_examples(row, items, people, 1).first().context_features[0] == pytest.approx(hour)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
 def test_upsert_last_wins_and_is_idempotent(spark):
     kind = "id bigint, embedding array<double>, seq int"
     old = spark.createDataFrame([(1, [1.0], 0), (2, [2.0], 0)], kind)
@@ -295,6 +424,13 @@ def test_ranking_metrics(spark):
     assert M.coverage(recs, items).first()[0] == 0.75
     apart = {r.user_id: r.diversity for r in M.intra_list_diversity(recs, items, users).collect()}
     assert apart == {1: pytest.approx(10 / 3), 2: 0.0, 3: 0.0}
+    # a list longer than a block, one with an unknown item, and one of uneven sizes
+    long_list = [(1, n + 1, f"i{n}") for n in range(1001)] + [(2, 1, "i0"), (2, 2, "gone"), (2, 3, "i5"), (3, 1, "i0"), (3, 2, "odd")]
+    many = spark.createDataFrame([(f"i{n}", [float(n % 10), 0.0]) for n in range(1001)] + [("odd", [1.0])], "item_id string, embedding array<double>")
+    x = np.arange(1001) % 10
+    far = np.abs(x[:, None] - x[None, :]).sum() / (1001 * 1000)
+    got = {r.user_id: r.diversity for r in M.intra_list_diversity(_recs(spark, long_list), many, users).collect()}
+    assert got == {1: pytest.approx(far), 2: pytest.approx(5.0), 3: math.inf}
     kinds = {r.user_id: r.category_diversity for r in M.category_diversity(recs, items, users).collect()}
     assert kinds[1] == pytest.approx(2 / 3)
     popular = spark.createDataFrame([("a", 0.5), ("b", 0.0)], "item_id string, popularity double")
@@ -407,7 +543,36 @@ def test_negatives(spark):
     assert made.join(seen, ["user_id", "item_id"], "left_semi").count() == 0
     assert made.filter("item_features[0] <> item_id").count() == 0
     assert T.negatives_per_positive(9.5) == 5 and T.negatives_per_positive(2.9) == 2
+    assert T.negatives_per_positive(9.5, most=None) == 9
     assert T.synthetic_negatives(examples, 4, 7.0).count() == 30 * 5
+    assert T.synthetic_negatives(examples, 4, 7.0, most=None).count() == 30 * 7
+
+
+def test_negatives_are_complete(spark):
+    """Two users who have seen most of the catalogue, one who has seen all but two, one all of it."""
+    items = spark.createDataFrame([(n, [float(n)]) for n in range(160)], "item_id bigint, embedding array<double>")
+    seen = [(u, (n + 10 * u) % 160) for u in (0, 1) for n in range(75)] + [(2, n) for n in range(158)] + [(3, n) for n in range(160)]
+    seen += [(0, 99999), (4, None)]
+    rows = [(e, e % 2, 0, 1.0) for e in range(400)] + [(400, 2, 0, 1.0), (401, 3, 0, 1.0), (402, 9, 0, 1.0), (403, 9, 0, 0.5)]
+    examples = spark.createDataFrame(rows, "event_id bigint, user_id bigint, item_id bigint, label double")
+    known = spark.createDataFrame(seen, "user_id bigint, item_id bigint")
+    got = T.catalogue_negatives(examples, items, known).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r.event_id, []).append(r.item_id)
+        assert (r.user_id, r.item_id) not in seen
+    assert all(len(set(by[e])) == len(by[e]) == 4 for e in range(400))
+    assert sorted(by[400]) == [158, 159] and 401 not in by and len(by[402]) == 4 and 403 not in by
+    assert len(T.catalogue_negatives(examples, items, known, ratio=30.0, most=None).filter("event_id = 0").collect()) == 30
+    assert T.catalogue_negatives(examples, items, known, ratio=0.0).count() == 0
+    assert T.catalogue_negatives(examples, items.limit(0), known).count() == 0
+
+
+def test_als_takes_any_ids(spark):
+    rows = [(f"user-{a}", 5_000_000_000 + b, 1.0) for a in range(12) for b in range(9) if (a + b) % 3 == 0]
+    out = T.als_recommend(spark.createDataFrame(rows, "user_id string, item_id bigint, label double"), 4, 3).collect()
+    assert {r.user_id for r in out} == {r[0] for r in rows} and {r.item_id for r in out} <= {r[1] for r in rows}
+    assert len(out) == 36
 
 
 def test_snapshots(spark, tmp_path):
@@ -422,9 +587,38 @@ def test_snapshots(spark, tmp_path):
     assert sorted((r.side, r.id, r.vector) for r in loaded.collect()) == [
         ("bias", "", [0.0]), ("item", "2", [2.0]), ("user", "1", [1.0])
     ]
+    assert quality.model_errors(loaded).collect()[0].error is None
     with pytest.raises(Exception, match="already exists"):
         snapshots.write_version(rows, root, "v100")
-    assert quality.model_errors(loaded).collect()[0].error is None
+    # a folder without the mark of a finished write is no version, and is written anew
+    (tmp_path / "models" / "version=v101").mkdir()
+    assert snapshots.latest_version(spark, root) == "v100"
+    snapshots.write_version(rows, root, "v101")
+    assert snapshots.versions(spark, root) == ["v99", "v100", "v101"]
+    assert snapshots.latest_version(spark, str(tmp_path / "none")) is None
+
+
+def test_keyed_log_survives_broken_writes_and_compacts(spark, tmp_path):
+    from lodestream.sources import keyed_log
+
+    root, schema = str(tmp_path / "log"), "id bigint, v double"
+    (tmp_path / "log" / "changes" / "batch=0").mkdir(parents=True)
+    assert keyed_log.current(spark, root, "id", schema).count() == 0
+    for n in range(6):
+        keyed_log.append(spark.createDataFrame([(n % 3, float(n)), (7, float(n))], schema), root, n)
+        if n % 2:
+            keyed_log.compact(spark, root, "id", schema, n)
+
+    def content(**how):
+        return sorted(map(tuple, keyed_log.current(spark, root, "id", schema, **how).collect()))
+
+    assert content() == [(0, 3.0), (1, 4.0), (2, 5.0), (7, 5.0)]
+    # a repeat of the last batch still finds the state before it
+    assert content(before=5) == [(0, 3.0), (1, 4.0), (2, 2.0), (7, 4.0)]
+    assert content(only=spark.createDataFrame([(2,), (9,)], "id bigint")) == [(2, 5.0)]
+    kept = sorted(p.name for p in (tmp_path / "log" / "changes").iterdir())
+    assert kept == ["batch=4", "batch=5"]
+    assert sorted(p.name for p in (tmp_path / "log" / "base").iterdir()) == ["batch=3", "batch=5"]
 
 
 def test_vector_sum_with_hot_group(spark):
