@@ -9,9 +9,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from lodestream.functions.batches import complete_groups as complete
+from lodestream.functions.batches import group_bounds as bounds
 from lodestream.session import cut_lineage, ship_package
+from lodestream.session import drop_step as unlink
 
-__all__ = ["arrow", "complete", "cut_lineage", "forest", "row_key", "ship_package", "table", "text_bytes", "unlink"]
+__all__ = [
+    "arrow", "bounds", "complete", "cut_lineage", "forest", "mix", "row_key", "ship_package", "table", "text_bytes", "unlink"
+]
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -44,40 +49,6 @@ def arrow(df: DataFrame, function, schema: StructType | str) -> DataFrame:
     return df.mapInArrow(run, target)
 
 
-def complete(batches: Iterator[pa.RecordBatch], *keys: str) -> Iterator[pa.Table]:
-    """Tables that hold whole groups; the rows arrive sorted by keys.
-
-    Held back are only the rows of the last, perhaps unfinished, group.
-    """
-    held, held_key = [], None
-    for batch in batches:
-        columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in keys]
-        last = tuple(c[-1] for c in columns)
-        differs = np.zeros(batch.num_rows, bool)
-        for c, value in zip(columns, last):
-            differs |= c != value
-        start = int(np.flatnonzero(differs)[-1]) + 1 if differs.any() else 0
-        if start == 0 and held and held_key != last:
-            yield pa.Table.from_batches(held)
-            held = []
-        elif start:
-            yield pa.Table.from_batches([*held, batch.slice(0, start)])
-            held = []
-        held.append(batch.slice(start))
-        held_key = last
-    if held:
-        yield pa.Table.from_batches(held)
-
-
-def bounds(*columns: np.ndarray) -> np.ndarray:
-    """Start of each run of equal rows, and the end."""
-    turn = np.zeros(len(columns[0]), bool)
-    turn[:1] = True
-    for c in columns:
-        turn[1:] |= c[1:] != c[:-1]
-    return np.append(np.flatnonzero(turn), len(turn))
-
-
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Edges (node, smallest node of its component) that link the same nodes as the edges (a, b)."""
     nodes, place = np.unique(np.concatenate([a, b]), return_inverse=True)
@@ -115,14 +86,3 @@ def mix(values: np.ndarray) -> np.ndarray:
     values = (values ^ (values >> np.uint64(30))) * _M1
     values = (values ^ (values >> np.uint64(27))) * _M2
     return values ^ (values >> np.uint64(31))
-
-
-def unlink(df: DataFrame) -> None:
-    """Remove the files of a frame made by cut_lineage that nothing reads any more."""
-    jvm = df.sparkSession._jvm
-    conf = df.sparkSession._jsc.hadoopConfiguration()
-    folders = {f.rpartition("/")[0] for f in df.inputFiles()}
-    for folder in folders:
-        if folder.rpartition("/")[2].startswith("step-"):
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(conf).delete(path, True)
