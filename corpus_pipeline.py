@@ -12,6 +12,8 @@ from lodestream.llm.common import row_key, ship_package
 from lodestream.session import fresh_dir
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Bytes of a repeated passage: fewer than 51 words have in all but freak texts.
+PASSAGE_BYTES = 240
 #: Share of the deduplicated tokens that the mixture may have.
 MIX_RATE = 0.5
 
@@ -41,9 +43,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the passages of 400 bytes and more that occur elsewhere."""
+    """Documents without the passages of PASSAGE_BYTES and more that occur elsewhere, whole characters only."""
     ship_package(spark)
-    cleaned = suffixes.remove_repeats(docs.select(*COLUMNS))
+    cleaned = suffixes.remove_repeats(docs.select(*COLUMNS), length=PASSAGE_BYTES)
     return cleaned.withColumn("n_chars", F.length("text").cast("long"))
 
 
