@@ -20,7 +20,7 @@ def plain():
 
 TRICKY = [
     None, "", " ", "  ", " a", "a ", "a  b", "a   b  ", "x\n y", "x \ny", "x\n \ny", "\n\n z", "it's we'll 12 345,6!! ?",
-    "<|endoftext|> end <|endoftext|>", "é ü  ß  x", "tab\t\tq \t r", "日本語 テキスト 😀 x", "a\x1c b \x1cd", "x" * 5000, " ".join(map(str, range(4000))),
+    "<|endoftext|> end <|endoftext|>", "é ü  ß  x", "tab\t\tq \t r", "日本語 テキスト 😀 x", "a\x1c b \x1cd", "x" * 5000, " ".join(map(str, range(4000))), " " * 3000 + "x", "\n" * 3000,
 ]
 
 
@@ -32,11 +32,15 @@ def test_ids_equal_whole_encoding(plain):
         assert coder.ids(text).tolist() == plain(text), repr(text)
 
 
-def test_memory_of_pieces_is_bounded(plain, monkeypatch):
-    monkeypatch.setattr(K, "REMEMBERED", 5)
-    coder = K.Encoder(K.vocabulary())
-    for text in ("a b c d e f g h", "a b x y z", "h g f e d c b a q r s"):
-        assert coder.ids(text).tolist() == plain(text)
+def test_files_with_other_settings_are_left_to_the_library(tmp_path, plain):
+    import json
+
+    whole = json.load(open(K.vocabulary()))
+    whole["pre_tokenizer"]["add_prefix_space"] = True
+    (tmp_path / "other.json").write_text(json.dumps(whole))
+    assert K.ranks_of(str(tmp_path / "other.json")) is None
+    assert K.Encoder(str(tmp_path / "other.json")).ids("a b").tolist() == plain(" a b")
+    assert len(K.ranks_of(K.vocabulary())) == 50256
 
 
 def check_pieces(rows, docs, plain, width=1024, most=64):
