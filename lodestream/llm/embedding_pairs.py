@@ -1,5 +1,6 @@
 """Near-duplicate vectors: cross-polytope hashing after fast Hadamard rotations."""
 
+import functools
 import math
 
 import numpy as np
@@ -14,17 +15,33 @@ from lodestream.llm.components import components
 TABLES, HASHES, PROBES = 8, 2, 4
 #: Members of a bucket compared at once with those of another block.
 BLOCK = 512
+#: Vectors hashed at once, few enough for the processor's cache.
+CHUNK = 2048
 SEED = 29
 
 
+@functools.cache
+def _sylvester(n: int) -> np.ndarray:
+    return np.ones((1, 1)) if n == 1 else np.kron(_sylvester(n // 2), np.array([[1.0, 1.0], [1.0, -1.0]]))
+
+
 def _hadamard(x: np.ndarray) -> np.ndarray:
-    """Walsh-Hadamard transform of the rows, whose length is a power of two."""
-    n, half = x.shape[1], 1
-    while half < n:
-        pairs = x.reshape(len(x), n // (2 * half), 2, half)
-        x = np.stack([pairs[:, :, 0] + pairs[:, :, 1], pairs[:, :, 0] - pairs[:, :, 1]], axis=2).reshape(len(x), n)
-        half *= 2
-    return x / math.sqrt(n)
+    """Walsh-Hadamard transform of the rows, whose length is a power of two, in two steps of about its root."""
+    rows, n = x.shape
+    right = 1 << (n.bit_length() // 2)
+    left = n // right
+    x = (x.reshape(rows * left, right) @ _sylvester(right)).reshape(rows, left, right)
+    return np.matmul(_sylvester(left), x).reshape(rows, n) / math.sqrt(n)
+
+
+def _largest(size: np.ndarray, depth: int) -> np.ndarray:
+    """Columns of the depth largest entries of each row, the largest first, ties by column."""
+    if depth < size.shape[1]:
+        some = np.sort(np.argpartition(-size, depth - 1, axis=1)[:, :depth], axis=1)
+    else:
+        some = np.tile(np.arange(size.shape[1]), (len(size), 1))
+    order = np.argsort(-np.take_along_axis(size, some, 1), axis=1, kind="stable")
+    return np.take_along_axis(some, order, 1)
 
 
 def bucket_keys(units: np.ndarray, tables=TABLES, hashes=HASHES, probes=PROBES, seed=SEED) -> np.ndarray:
@@ -35,6 +52,9 @@ def bucket_keys(units: np.ndarray, tables=TABLES, hashes=HASHES, probes=PROBES,
     probes swap axes for the next nearest ones, the least loss first.
     """
     rows, dim = units.shape
+    if rows > CHUNK:
+        parts = [bucket_keys(units[k : k + CHUNK], tables, hashes, probes, seed) for k in range(0, rows, CHUNK)]
+        return np.concatenate(parts)
     width = 1 << max(1, (dim - 1).bit_length())
     padded = np.zeros((rows, width))
     padded[:, :dim] = units
@@ -48,7 +68,7 @@ def bucket_keys(units: np.ndarray, tables=TABLES, hashes=HASHES, probes=PROBES,
             for signs in np.random.default_rng((seed, t, h)).choice([-1.0, 1.0], size=(3, width)):
                 x = _hadamard(x * signs)
             size = np.abs(x)
-            axis = np.argsort(-size, axis=1, kind="stable")[:, :depth]
+            axis = _largest(size, depth)
             near = np.take_along_axis(size, axis, 1)
             axis = 2 * axis + (np.take_along_axis(x, axis, 1) > 0)
             keys = mix(keys[:, :, None] * np.uint64(2 * width + 1) + axis[:, None, :].astype(np.uint64)).reshape(rows, -1)
@@ -103,8 +123,9 @@ def _pairs(threshold, shape):
     """
 
     def first_shared(a, b):
-        hit = (a[:, :, None] == b[:, None, :]).any(axis=2)
-        return np.where(hit, a, ~np.uint64(0)).min(axis=1)
+        """Least key of two rows' tables; keys of different tables never meet."""
+        hit = (a[:, :, :, None] == b[:, :, None, :]).any(axis=3)
+        return np.where(hit, a, ~np.uint64(0)).min(axis=(1, 2))
 
     def run(batches):
         for whole in complete(batches, "bucket", "side_a", "side_b", "label", "dim"):
@@ -157,11 +178,11 @@ def _pairs(threshold, shape):
                 if len(a) == 0:
                     continue
                 rows = np.unique(np.concatenate([a, b]))
-                keys = np.zeros((len(rows), shape["tables"] * shape["probes"]), np.uint64)
+                keys = np.zeros((len(rows), shape["tables"], shape["probes"]), np.uint64)
                 for d, u in units.items():
                     mine = np.flatnonzero(dim[rows] == d)
                     if len(mine):
-                        keys[mine] = bucket_keys(u[at[rows[mine]]], **shape).reshape(len(mine), -1)
+                        keys[mine] = bucket_keys(u[at[rows[mine]]], **shape)
                 counted = np.zeros(len(a), bool)
                 for some in range(0, len(a), 1 << 14):
                     p = slice(some, some + (1 << 14))

@@ -91,6 +91,18 @@ def test_recall_at_the_threshold():
     assert (ka[:, :, None] == kb[:, None, :]).any((1, 2)).mean() > 0.999
 
 
+@pytest.mark.parametrize("n", [2, 4, 8, 64, 128])
+def test_transform_equals_butterflies(n):
+    x = np.random.default_rng(n).normal(size=(5, n))
+    y, half = x.copy(), 1
+    while half < n:
+        for start in range(0, n, 2 * half):
+            a, b = y[:, start : start + half].copy(), y[:, start + half : start + 2 * half].copy()
+            y[:, start : start + half], y[:, start + half : start + 2 * half] = a + b, a - b
+        half *= 2
+    assert np.allclose(E._hadamard(x), y / math.sqrt(n))
+
+
 def test_empty(spark):
     assert E.near_vectors(frame(spark, [])).count() == 0
     only = E.near_vectors(frame(spark, [(1, None, 1)])).collect()
