@@ -37,22 +37,24 @@ def fold(
     user_id, embedding) is scaled by (1 - r)^N. All actions of a user are
     numbered from the last, slice by slice of time, so a hot user is spread;
     shares are summed by (user, item) first, so each pair brings its vector
-    once.
+    once. Items are unique by id.
     """
     counted = applied(actions, items)
     tail = numbered(counted, "user_id", ["ts", tie], name="place", from_last=True)
     keep = 1.0 - learning_rate
     share = F.lit(learning_rate) * F.col("weight") * F.pow(F.lit(keep), F.col("place") - 1)
-    shares = tail.groupBy("user_id", "item_id").agg(F.sum(share).alias("share"))
-    vectors = (
+    shares = tail.groupBy("user_id", "item_id").agg(
+        F.sum(share).alias("share"), F.count("*").alias("n"), F.max("ts").alias("latest")
+    )
+    out = (
         shares.join(items.select("item_id", "embedding"), "item_id")
         .groupBy("user_id")
-        .agg(V.vector_sum("embedding", F.col("share")).alias("embedding"))
-    )
-    totals = counted.groupBy("user_id").agg(
-        F.count("*").alias("interaction_count"), F.max("ts").alias("last_updated")
+        .agg(
+            V.vector_sum("embedding", F.col("share")).alias("embedding"),
+            F.sum("n").alias("interaction_count"),
+            F.max("latest").alias("last_updated"),
+        )
     )
-    out = totals.join(vectors, "user_id")
     if start is not None:
         before = start.select("user_id", F.col("embedding").alias("before"))
         faded = V.scale("before", F.pow(F.lit(keep), F.col("interaction_count")))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from lodestream.functions import text as X
 from lodestream.functions import vectors as V
 from lodestream.operators.actions import action_weight
-from lodestream.operators.similarity import search, similar, top_k
+from lodestream.operators.similarity import search, similar, top_k, top_k_in_lists
 from lodestream.session import cut_lineage
 
 DEFAULT_COUNT = 10
@@ -65,12 +65,49 @@ def recommend(
     found = search(
         vectors, items, F.col("depth"), index, query_rows=asked.count(), carry=("category",), **grid
     ).withColumnRenamed("rank", "place")
-    wanted = requests.select(
+    wanted = _wanted(requests, request_id)
+    return _answers(found.join(wanted, "user_id"), threshold, request_id)
+
+
+def recommend_prefiltered(
+    requests: DataFrame,
+    profiles: DataFrame,
+    items: DataFrame,
+    dim: int,
+    threshold: float = SIMILARITY_THRESHOLD,
+    request_id: str = "user_id",
+    **grid,
+) -> DataFrame:
+    """The same answers with the filters before the 2N cut.
+
+    Candidates are the 2N items of highest cosine among those of the asked
+    categories that are not excluded, so a request gets N answers wherever N
+    eligible items reach the threshold. Request ids must be unique.
+    """
+    wanted = cut_lineage(_wanted(requests, request_id))
+    vectors = wanted.join(profiles.select("user_id", "embedding"), "user_id", "left").select(
+        request_id,
+        (F.col("num_recommendations") * 2).alias("depth"),
+        "filter_categories",
+        F.coalesce(V.as_double("embedding"), V.zeros(dim)).alias("embedding"),
+    )
+    gone = wanted.select(request_id, F.explode("exclude_items").alias("item_id"))
+    found = top_k_in_lists(
+        vectors, items, F.col("depth"), "filter_categories", "category", query_id=request_id, seen=gone, carry=("category",), **grid
+    ).withColumnRenamed("rank", "place")
+    return _answers(found.join(wanted, request_id), threshold, request_id)
+
+
+def _wanted(requests: DataFrame, request_id: str) -> DataFrame:
+    return requests.select(
         *dict.fromkeys([request_id, "user_id"]), "num_recommendations", "filter_categories", "exclude_items"
     )
+
+
+def _answers(candidates: DataFrame, threshold: float, request_id: str) -> DataFrame:
+    """Ranked answers from each request's candidates with its wishes: filters, blended score, threshold, first N."""
     kept = (
-        found.join(wanted, "user_id")
-        .filter(F.col("place") <= F.col("num_recommendations") * 2)
+        candidates.filter(F.col("place") <= F.col("num_recommendations") * 2)
         .filter(F.col("exclude_items").isNull() | ~F.array_contains("exclude_items", F.col("item_id")))
         .filter(F.col("filter_categories").isNull() | F.array_contains("filter_categories", F.col("category")))
         .withColumn("score", (F.col("score") + F.col("dot")) / 2)

@@ -315,10 +315,13 @@ def searchable(vector) -> F.Column:
     return F.coalesce((F.size(vector) > 0) & V.all_finite(vector), F.lit(False))
 
 
+def _depth(k):
+    return F.lit(k) if isinstance(k, int) else k
+
+
 def _inputs(queries, items, query_id, query_vec, item_id, item_vec, k, carry=()):
-    depth = k if not isinstance(k, int) else F.lit(k)
     q = queries.filter(searchable(query_vec)).select(
-        F.col(query_id).alias("qid"), F.col(query_vec).alias("qvec"), depth.cast("int").alias("k")
+        F.col(query_id).alias("qid"), F.col(query_vec).alias("qvec"), _depth(k).cast("int").alias("k")
     )
     i = items.filter(searchable(item_vec)).select(F.col(item_id).alias("iid"), F.col(item_vec).alias("ivec"), *carry)
     return q.withColumn("qtag", F.xxhash64("qvec", "k")), i
@@ -492,6 +495,18 @@ def ann_top_k(
     centres = centroids(i.select("iid", V.normalize("ivec").alias("unit")), n_lists, rows)
     stored = _with_lists(i, "ivec", centres, 1).withColumn("list", F.col("lists")[0]).drop("lists")
     asked = _with_lists(q, "qvec", centres, n_probe).withColumn("list", F.explode("lists")).drop("lists")
+    found = _in_lists(stored, asked, "cosine", exclude_self, carry, items_per_cell, queries_per_cell)
+    depth = k if isinstance(k, int) else F.col("depth")
+    return _renamed(_merge(found).filter(F.col("rank") <= depth), query_id, item_id, carry)
+
+
+def _in_lists(stored, asked, metric, drop_self, carry, items_per_cell, queries_per_cell, seen=None) -> DataFrame:
+    """Best items of each query within the lists it asks for.
+
+    stored (iid, ivec, carried, list) and asked (qid, qvec, k, qtag, list); a list
+    with many queries copies its items, one with many items its queries, to
+    lanes. seen pairs (qid, iid) are sent to the one cell where they matter.
+    """
     lengths = {}
     for side, frame in enumerate((stored, asked)):
         for r in frame.groupBy("list").count().collect():
@@ -502,7 +517,7 @@ def ann_top_k(
             item_lanes, query_lanes = math.ceil(n_items / items_per_cell), math.ceil(n_queries / queries_per_cell)
             plan.append((name, n_cells, item_lanes, query_lanes))
             n_cells += item_lanes * query_lanes
-    lanes = i.sparkSession.createDataFrame(plan, "list int, base int, item_lanes int, query_lanes int")
+    lanes = stored.sparkSession.createDataFrame(plan, "list bigint, base int, item_lanes int, query_lanes int")
 
     def lane(column, n):
         return F.pmod(F.xxhash64(column), F.col(n)).cast("int")
@@ -513,19 +528,58 @@ def ann_top_k(
     def each(n):
         return F.explode(F.sequence(F.lit(0), F.col(n) - 1)).alias("_l")
 
+    bucket = F.lit(0).alias("bucket")
     items_in = stored.join(lanes, "list").select("*", each("query_lanes"))
     items_in = items_in.select("iid", "ivec", *carry, cell(lane("iid", "item_lanes"), F.col("_l")))
     queries_in = asked.join(lanes, "list").select("*", each("item_lanes"))
-    queries_in = queries_in.select(
-        "qid", "qvec", "k", "qtag", cell(F.col("_l"), lane("qid", "query_lanes")), F.lit(0).alias("bucket")
-    )
+    queries_in = queries_in.select("qid", "qvec", "k", "qtag", cell(F.col("_l"), lane("qid", "query_lanes")), bucket)
+    seen_in = None
+    if seen is not None:
+        placed = seen.distinct().join(stored.select("iid", "list").distinct(), "iid").join(lanes, "list")
+        seen_in = placed.select("qid", "iid", cell(lane("iid", "item_lanes"), lane("qid", "query_lanes")), bucket)
     cells = (
-        _sides(items_in, queries_in)
+        _sides(items_in, queries_in, seen_in)
         .repartition(F.col("cell"))
         .sortWithinPartitions("cell", "bucket", "side", "qid", "qtag")
     )
-    schema, arrow_schema = _result_types(q, i, carry)
-    found = cells.mapInArrow(_scan("cosine", exclude_self, arrow_schema, carry), schema)
+    schema, arrow_schema = _result_types(asked, stored, carry)
+    return cells.mapInArrow(_scan(metric, drop_self, arrow_schema, carry), schema)
+
+
+def top_k_in_lists(
+    queries: DataFrame,
+    items: DataFrame,
+    k,
+    lists: str,
+    list_of: str,
+    metric: str = "cosine",
+    query_id: str = "user_id",
+    query_vec: str = "embedding",
+    item_id: str = "item_id",
+    item_vec: str = "embedding",
+    seen: DataFrame | None = None,
+    items_per_cell: int = ITEMS_PER_CELL,
+    queries_per_cell: int = QUERIES_PER_BUCKET,
+    carry: tuple[str, ...] = (),
+) -> DataFrame:
+    """Exact best k among the items whose list_of is in the query's array lists; a null array stands for all.
+
+    So a filter on a column of few values, such as a category, holds before the
+    cut and not after it, and no other item is compared. The values and their
+    numbers of rows reach the driver. seen leaves pairs out, as in top_k.
+    """
+    q, i = _inputs(
+        queries, items, query_id, query_vec, item_id, item_vec, k, tuple(dict.fromkeys([*carry, list_of]))
+    )
+    wanted = queries.select(F.col(query_id).alias("qid"), F.xxhash64(query_vec, _depth(k).cast("int")).alias("qtag"), F.col(lists).alias("_l"))
+    stored = i.withColumn("list", F.xxhash64(list_of))
+    every = [r[0] for r in stored.select("list").distinct().collect()]
+    names = F.when(F.col("_l").isNull(), F.array(*[F.lit(n) for n in every]).cast("array<bigint>")).otherwise(
+        F.transform("_l", lambda n: F.xxhash64(n))
+    )
+    asked = q.join(wanted.select("qid", "qtag", F.explode(F.array_distinct(names)).alias("list")).distinct(), ["qid", "qtag"])
+    pairs = None if seen is None else seen.select(F.col(query_id).alias("qid"), F.col(item_id).alias("iid"))
+    found = _in_lists(stored, asked, metric, False, carry, items_per_cell, queries_per_cell, pairs)
     depth = k if isinstance(k, int) else F.col("depth")
     return _renamed(_merge(found).filter(F.col("rank") <= depth), query_id, item_id, carry)
 

@@ -507,6 +507,11 @@ def recommend_batch(spark, sf):
     return _flat(_recommended(spark, sf))
 
 
+@query
+def recommend_prefiltered(spark, sf):
+    return _flat(R.recommend_prefiltered(D.requests(spark, sf), D.profiles(spark, sf), D.items(spark, sf), D.DIM, D.THRESHOLD))
+
+
 @query
 def reason_text(spark, sf):
     pairs = R.predict_pairs(_pairs(spark, sf), D.profiles(spark, sf), D.items(spark, sf))

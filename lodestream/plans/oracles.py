@@ -541,6 +541,19 @@ add(
     f"""SELECT user_id, rank, item_id, {r6('score')} AS score, category,
     printf('Similar to your preferences (score: %.3f)', round(score, 3)) AS reason FROM recs""",
 )
+add(
+    "recommend_prefiltered",
+    f"""SELECT user_id, item_id, {r6('final')} AS score, category,
+      printf('Similar to your preferences (score: %.3f)', round(final, 3)) AS reason,
+      row_number() OVER (PARTITION BY user_id ORDER BY round(final, 9) DESC, place) AS rank FROM (
+      SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY place) AS turn FROM (
+        SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY round(score, 9) DESC, item_id) AS place FROM (
+          SELECT r.user_id, i.item_id, i.category, coalesce({cos('p.embedding', 'i.embedding')}, 0.0) AS score,
+            coalesce(({cos('p.embedding', 'i.embedding')} + {dot('p.embedding', 'i.embedding')}) / 2, 0.0) AS final
+          FROM requests r LEFT JOIN profiles p USING (user_id), items i
+          WHERE (gone IS NULL OR NOT list_contains(gone, i.item_id)) AND (cats IS NULL OR list_contains(cats, i.category)))
+        QUALIFY place <= 20) WHERE final >= 0.2) WHERE turn <= 10""",
+)
 add(
     "explain_recommendations",
     f"""SELECT user_id, rank, item_id, CASE

@@ -475,6 +475,33 @@ def test_recommend_filters_after_the_cut(spark):
     assert lists.filter("size(recommendations) > 5").count() == 0
 
 
+def test_recommend_filters_before_the_cut(spark):
+    m, items = vectors(spark, 40, 4, 11)
+    items = items.withColumn("category", F.concat(F.lit("c"), F.col("item_id") % 3))
+    u, people = vectors(spark, 3, 4, 12, "user_id")
+    asked = [
+        (10, 0, 4, ["c1"], None), (11, 0, 3, None, None), (12, 1, 5, None, list(range(20))), (13, 77, 5, ["c0", "c2"], [0, 2]),
+        (14, 2, 6, ["c2", "c2", "none"], [2, 5]), (15, 2, 6, ["none"], None), (16, 2, 2, [], None),
+    ]
+    kind = "request_id int, user_id bigint, num_recommendations int, filter_categories array<string>, exclude_items array<bigint>"
+    frame = spark.createDataFrame(asked, kind)
+    for grid in ({}, {"items_per_cell": 5, "queries_per_cell": 2}):
+        got = recommend.recommend_prefiltered(frame, people, items, 4, -9.0, request_id="request_id", **grid).collect()
+        for rid, user, n, cats, gone in asked:
+            vector = u[user] if user < 3 else np.zeros(4)
+            length = np.linalg.norm(m, axis=1) * np.linalg.norm(vector)
+            cosine = np.divide(m @ vector, length, out=np.zeros(40), where=length > 0)
+            ok = [i for i in range(40) if (cats is None or f"c{i % 3}" in cats) and i not in (gone or ())]
+            order = sorted(ok, key=lambda i: (-round(cosine[i], 9), i))[:n]
+            blended = (cosine + m @ vector) / 2
+            want = sorted(order, key=lambda i: (-round(blended[i], 9), order.index(i)))
+            rows = sorted((r for r in got if r.request_id == rid), key=lambda r: r["rank"])
+            assert [r.item_id for r in rows] == want, rid
+    near = recommend.recommend(frame.filter("request_id = 11"), people, items, 4, -9.0, request_id="request_id", index=(4, 4))
+    exact = recommend.recommend(frame.filter("request_id = 11"), people, items, 4, -9.0, request_id="request_id")
+    assert near.collect() == exact.collect()
+
+
 def test_parse_requests(spark):
     raw = spark.createDataFrame(
         [(1, None, " a, b\t,c", f"{UID}, nope , {{{UID}}}"), (2, 3, None, None)],
@@ -633,3 +660,33 @@ def test_vector_sum_with_hot_group(spark):
         a[0] += n
         a[1] -= 1
     assert got.keys() == want.keys() and all(got[g] == pytest.approx(want[g]) for g in want)
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_shuffles_do_not_creep_in(spark):
+    """Plans without adaptive re-planning, so that exchanges can be counted."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        log = _log(spark, _busy_log(50))
+        items = spark.createDataFrame([(i, [1.0]) for i in range(7)], "item_id bigint, embedding array<double>")
+        assert _plan(profiles.fold(log, items)).count("Exchange hashpartitioning") <= 12
+        kind = "id bigint, embedding array<double>, seq int"
+        old, new = spark.createDataFrame([(1, [1.0], 0)], kind), spark.createDataFrame([(2, [3.0], 1)], kind)
+        assert _plan(K.upsert(old, new, "id", ["seq"], 1)).count("Exchange hashpartitioning") == 2
+        recs = _recs(spark, [(1, 1, "a")])
+        relevant = spark.createDataFrame([(1, "a", 1.0)], "user_id int, item_id string, grade double")
+        things = spark.createDataFrame([("a", [0.0])], "item_id string, embedding array<double>")
+        popular = spark.createDataFrame([("a", 0.5)], "item_id string, popularity double")
+        users = spark.createDataFrame([(1,)], "user_id int")
+        plan = _plan(M.all_metrics(recs, relevant, things, popular, users, 5))
+        assert plan.count("Exchange hashpartitioning") <= 13
+        from lodestream.operators import online_metrics
+
+        assert _plan(online_metrics.online_metrics(log)).count("Window ") <= 2
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
