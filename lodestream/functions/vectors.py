@@ -34,7 +34,7 @@ def norm(a) -> Column:
 
 
 def _same_size(a, b) -> Column:
-    return F.size(as_double(a)) == F.size(as_double(b))
+    return F.size(a) == F.size(b)
 
 
 def cosine(a, b) -> Column:

@@ -24,6 +24,8 @@ def local_session(cores="*", shuffle_partitions=8, memory="8g", app="lodestream"
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        # vector sums stay hash aggregates beyond the default of 128 groups a task
+        .config("spark.sql.objectHashAggregate.sortBased.fallbackThreshold", "20000")
         .getOrCreate()
     )
     if spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext.getCheckpointDir() is None:
