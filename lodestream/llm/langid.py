@@ -11,12 +11,13 @@ from lodestream.llm.common import arrow, table
 
 #: Bounds of the training sample: languages, characters a language, characters taken from one document.
 MAX_LANGUAGES = 256
-TRAIN_CHARS = 65_536
+TRAIN_CHARS = 32_768
 PIECE = 1_000
 #: A text is parsed in segments of this many letters, all of a batch abreast.
-SEGMENT = 1_024
-#: Characters a worker holds at once.
-BLOCK = 1 << 22
+SEGMENT = 512
+#: Characters a worker parses at once, and rows it turns into text at once.
+BLOCK = 1 << 20
+ROWS = 500
 #: Letters that weigh in the score; the prediction uses them all.
 SCORE_LETTERS = 32
 
@@ -202,7 +203,7 @@ class Parser:
         return [self.langs[b] if k else "und" for b, k in zip(best, known)], np.where(known, score, 0.0)
 
 
-@functools.lru_cache(maxsize=2)
+@functools.lru_cache(maxsize=1)
 def parser(pieces) -> Parser:
     """Automata are built from the sample once in each worker."""
     return Parser(pieces)
@@ -223,7 +224,8 @@ def identify(docs: DataFrame, pieces, text: str = "text", lang_out: str = "lang_
     schema = T.StructType([*kept, T.StructField(lang_out, T.StringType()), T.StructField(score_out, T.DoubleType())])
 
     def run(batches):
-        for batch in batches:
+        for whole, start in ((b, k) for b in batches for k in range(0, b.num_rows, ROWS)):
+            batch = whole.slice(start, ROWS)
             langs, scores = parser(pieces).predict(batch.column(text).to_pylist())
             yield {**{f.name: batch.column(f.name) for f in kept}, lang_out: langs, score_out: scores}
 

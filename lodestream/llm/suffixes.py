@@ -31,7 +31,7 @@ GRAM = 16
 SPAN = 256
 CELL = 32
 #: Bytes of a text taken at a time; a longer one is read in overlapping pieces.
-PIECE = 1 << 20
+PIECE = 1 << 18
 _PLACE_BITS = 22
 _PLACE = np.uint64((1 << _PLACE_BITS) - 1)
 

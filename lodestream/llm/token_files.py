@@ -1,6 +1,5 @@
 """Packed token ids: best-fit decreasing with a segment tree over free space."""
 
-import functools
 import zlib
 
 import numpy as np
@@ -70,12 +69,7 @@ def best_fit(sizes, width: int) -> list[list[int]]:
 
 
 def _id_type(path: str, end: int):
-    return np.dtype("<u2") if max(_vocab_size(path), end + 1) <= 1 << 16 else np.dtype("<u4")
-
-
-@functools.lru_cache(maxsize=2)
-def _vocab_size(path: str) -> int:
-    return encoder(path).tokenizer.get_vocab_size(with_added_tokens=True)
+    return np.dtype("<u2") if max(encoder(path).size, end + 1) <= 1 << 16 else np.dtype("<u4")
 
 
 def _packed(width, end, path):

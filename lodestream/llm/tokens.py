@@ -22,10 +22,13 @@ def _byte_signs() -> dict[str, int]:
     return {chr(b): b for b in printing} | {chr(256 + n): b for n, b in enumerate(rest)}
 
 
-def ranks_of(path: str) -> dict[bytes, int] | None:
-    """Ranks of a byte-level BPE file of the tokenizers library, or None if ids are not in the order of the merges."""
+def _read(path: str) -> dict:
     with open(path, encoding="utf-8") as file:
-        whole = json.load(file)
+        return json.load(file)
+
+
+def ranks_of(whole: dict) -> dict[bytes, int] | None:
+    """Ranks of a byte-level BPE file of the tokenizers library, or None if ids are not in the order of the merges."""
     model, split = whole["model"], whole["pre_tokenizer"] or {}
     plain = split.get("type") == "ByteLevel" and split.get("use_regex") and not split.get("add_prefix_space")
     if model["type"] != "BPE" or whole["normalizer"] is not None or not plain:
@@ -43,26 +46,29 @@ class Encoder:
 
     Where the file's ids are in the order of its merges, tiktoken applies the
     same merges by rank, several times faster; else the library itself encodes.
+    size is the number of ids.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        ranks = ranks_of(path)
+        whole = _read(path)
+        self.size = 1 + max([*whole["model"]["vocab"].values(), *(t["id"] for t in whole["added_tokens"])])
+        ranks = ranks_of(whole)
         if ranks:
             import tiktoken
 
             self.encode = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         else:
-            self.encode = lambda text: self.tokenizer.encode(text, add_special_tokens=False).ids
+            from tokenizers import Tokenizer
+
+            tokenizer = Tokenizer.from_file(path)
+            tokenizer.encode_special_tokens = True
+            self.encode = lambda text: tokenizer.encode(text, add_special_tokens=False).ids
 
     def ids(self, text: str | None) -> np.ndarray:
         """uint32 ids of a text; a null has none."""
         return np.array(self.encode(text) if text else [], np.uint32)
 
 
-@functools.lru_cache(maxsize=2)
+@functools.lru_cache(maxsize=1)
 def encoder(path: str) -> Encoder:
     return Encoder(path)

@@ -81,7 +81,7 @@ def test_long_texts_in_pieces(spark, make_docs, monkeypatch):
     import pyarrow as pa
 
     whole, parts = [], []
-    for size, into in ((1 << 20, whole), (500, parts)):
+    for size, into in ((1 << 18, whole), (500, parts)):
         monkeypatch.setattr(S, "PIECE", size)
         batch = pa.RecordBatch.from_pydict({"key": pa.array([1, 2, 3]), "text": pa.array(own)})
         for columns in S._anchors(S.Layout(400))([batch]):
