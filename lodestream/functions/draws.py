@@ -12,25 +12,36 @@ from pyspark.sql import functions as F
 TWO_32 = 4294967296.0
 
 
-def _word(id_col, position, seed) -> Column:
-    text = F.concat_ws(":", id_col.cast("string"), position.cast("string"), F.lit(str(seed)))
-    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint")
+def words(id_col, n: int, seed) -> Column:
+    """ARRAY<BIGINT> of n 32-bit draws: the four words of one md5 for every four positions."""
 
+    def four(turn):
+        text = F.concat_ws(":", id_col.cast("string"), turn.cast("string"), F.lit(str(seed)))
+        # an array of one element holds the digest, so that it is computed once
+        return F.get(
+            F.transform(F.array(F.md5(text)), lambda d: F.array(*[F.conv(F.substring(d, 1 + 8 * k, 8), 16, 10).cast("bigint") for k in range(4)])),
+            F.lit(0),
+        )
 
-def unit_draw(id_col, position, seed) -> Column:
-    """Uniform in [0, 1)."""
-    return _word(id_col, position, seed) / F.lit(TWO_32)
+    turns = F.sequence(F.lit(0), F.lit((n - 1) // 4))
+    return F.slice(F.flatten(F.transform(turns, four)), 1, n)
 
 
-def between(id_col, position, seed, low, high) -> Column:
-    return F.lit(float(low)) + F.lit(float(high - low)) * unit_draw(id_col, position, seed)
+def uniforms(id_col, n: int, seed, low=0.0, high=1.0) -> Column:
+    """n draws, uniform from low to below high."""
+    width = F.lit(float(high - low))
+    return F.transform(words(id_col, n, seed), lambda w: F.lit(float(low)) + width * (w / F.lit(TWO_32)))
 
 
-def normal_draw(id_col, position, seed) -> Column:
-    """Box-Muller on two draws; the half step keeps the logarithm finite."""
-    u1 = (_word(id_col, position, f"{seed}:r") + F.lit(0.5)) / F.lit(TWO_32)
-    u2 = unit_draw(id_col, position, f"{seed}:a")
-    return F.sqrt(F.lit(-2.0) * F.log(u1)) * F.cos(F.lit(2.0 * math.pi) * u2)
+def normals(id_col, n: int, seed, mean=0.0, sigma=1.0) -> Column:
+    """Box-Muller on two draws each; the half step keeps the logarithm finite."""
+
+    def bell(r, a):
+        u1 = (r + F.lit(0.5)) / F.lit(TWO_32)
+        turn = F.cos(F.lit(2.0 * math.pi) * (a / F.lit(TWO_32)))
+        return F.lit(float(mean)) + F.lit(float(sigma)) * (F.sqrt(F.lit(-2.0) * F.log(u1)) * turn)
+
+    return F.zip_with(words(id_col, n, f"{seed}:r"), words(id_col, n, f"{seed}:a"), bell)
 
 
 def init_vector(id_col, method: str, dim: int, seed=0, **params) -> Column:
@@ -42,32 +53,22 @@ def init_vector(id_col, method: str, dim: int, seed=0, **params) -> Column:
     """
     id_col = F.col(id_col) if isinstance(id_col, str) else id_col
 
-    def uniform(limit_low, limit_high):
-        return lambda i: between(id_col, i, seed, limit_low, limit_high)
-
-    def normal(mean, sigma):
-        return lambda i: F.lit(float(mean)) + F.lit(float(sigma)) * normal_draw(id_col, i, seed)
-
     wide, narrow = math.sqrt(6.0 / dim), math.sqrt(3.0 / dim)
-    if method in ("xavier_uniform", "he_uniform"):
-        element = uniform(-wide, wide)
-    elif method in ("xavier_normal", "he_normal"):
-        element = normal(0.0, math.sqrt(2.0 / dim))
-    elif method == "lecun_uniform":
-        element = uniform(-narrow, narrow)
-    elif method == "lecun_normal":
-        element = normal(0.0, math.sqrt(1.0 / dim))
-    elif method == "uniform":
-        element = uniform(params["low"], params["high"])
-    elif method == "normal":
-        element = normal(params["mean"], params["std_dev"])
-    elif method in ("zeros", "ones", "constant"):
-        fill = {"zeros": 0.0, "ones": 1.0}.get(method, params.get("value"))
-        return F.array_repeat(F.lit(float(fill)), dim)
-    elif method == "sparse":
-        element = lambda i: F.when(
-            unit_draw(id_col, i, f"{seed}:drop") < F.lit(float(params["sparsity"])), F.lit(0.0)
-        ).otherwise(between(id_col, i, seed, -1.0, 1.0))
-    else:
-        raise ValueError(f"unknown initialisation method {method}")
-    return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), element)
+    spans = {"xavier_uniform": wide, "he_uniform": wide, "lecun_uniform": narrow}
+    sigmas = {"xavier_normal": 2.0, "he_normal": 2.0, "lecun_normal": 1.0}
+    fills = {"zeros": 0.0, "ones": 1.0, "constant": params.get("value")}
+    if method in spans:
+        return uniforms(id_col, dim, seed, -spans[method], spans[method])
+    if method in sigmas:
+        return normals(id_col, dim, seed, 0.0, math.sqrt(sigmas[method] / dim))
+    if method == "uniform":
+        return uniforms(id_col, dim, seed, params["low"], params["high"])
+    if method == "normal":
+        return normals(id_col, dim, seed, params["mean"], params["std_dev"])
+    if method in fills:
+        return F.array_repeat(F.lit(float(fills[method])), dim)
+    if method == "sparse":
+        limit = F.lit(float(params["sparsity"]))
+        dropped, kept = uniforms(id_col, dim, f"{seed}:drop"), uniforms(id_col, dim, seed, -1.0, 1.0)
+        return F.zip_with(dropped, kept, lambda d, x: F.when(d < limit, F.lit(0.0)).otherwise(x))
+    raise ValueError(f"unknown initialisation method {method}")

@@ -39,9 +39,7 @@ def action_features(action_type: Column, ts: Column, noise_key: Column, dim: int
     """
     one_hot = [F.when(action_type == name, F.lit(1.0)).otherwise(F.lit(0.0)) for name in ACTION_WEIGHTS]
     hour, weekday = _clock(ts)
-    noise = F.transform(
-        F.sequence(F.lit(8), F.lit(dim - 1)), lambda i: draws.between(noise_key, i, seed, -1.0, 1.0)
-    )
+    noise = F.slice(draws.uniforms(noise_key, dim, seed, -1.0, 1.0), 9, dim - 8)
     return F.concat(F.array(*one_hot, hour, weekday), noise)
 
 

@@ -1,7 +1,7 @@
 """Optimizer steps over a table (key, params, grad, state...): one row per parameter vector.
 
-Several gradients for one key are summed before the step. Starting state is
-zero, and dropping the state columns resets an optimizer.
+A key has one gradient, the sum over its examples as training.gradient gives it.
+Starting state is zero, and dropping the state columns resets an optimizer.
 """
 
 from pyspark.sql import Column, DataFrame
@@ -10,10 +10,6 @@ from pyspark.sql import functions as F
 from lodestream.functions import vectors as V
 
 
-def summed(grads: DataFrame, key: str) -> DataFrame:
-    return grads.groupBy(key).agg(V.vector_sum("grad").alias("grad"))
-
-
 def _state(table: DataFrame, name: str) -> Column:
     zero = F.transform(V.as_double("params"), lambda x: F.lit(0.0))
     return F.coalesce(F.col(name), zero) if name in table.columns else zero

@@ -36,16 +36,17 @@ def cos(a, b):
     return f"(CASE WHEN {norm(a)} = 0 OR {norm(b)} = 0 THEN 0.0 ELSE {dot(a, b)} / ({norm(a)} * {norm(b)}) END)"
 
 
-def u32(text):
-    return f"('0x' || substr(md5({text}), 1, 8))::UBIGINT"
+def u32(id_, i, seed):
+    """Word i of the draws of an id: four to a digest."""
+    return f"('0x' || substr(md5({id_} || ':' || ({i} // 4) || ':{seed}'), 1 + 8 * ({i} % 4)::INT, 8))::UBIGINT"
 
 
 def draw(id_, i, seed):
-    return f"({u32(f"{id_} || ':' || {i} || ':{seed}'")}::DOUBLE / 4294967296.0)"
+    return f"({u32(id_, i, seed)}::DOUBLE / 4294967296.0)"
 
 
 def normal(id_, i, seed):
-    u1 = f"(({u32(f"{id_} || ':' || {i} || ':{seed}:r'")}::DOUBLE + 0.5) / 4294967296.0)"
+    u1 = f"(({u32(id_, i, f'{seed}:r')}::DOUBLE + 0.5) / 4294967296.0)"
     return f"(sqrt(-2.0 * ln({u1})) * cos({2 * 3.141592653589793} * {draw(id_, i, f'{seed}:a')}))"
 
 

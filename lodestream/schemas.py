@@ -25,12 +25,8 @@ def _struct(id_type, **fields):
     kinds = {
         "id": id_type,
         "text": T.StringType(),
-        "texts": T.ArrayType(T.StringType()),
-        "ids": T.ArrayType(id_type),
         "vector": T.ArrayType(T.FloatType()),
         "float": T.FloatType(),
-        "int": T.IntegerType(),
-        "count": T.LongType(),
         "ts": T.TimestampNTZType(),
     }
     return T.StructType([T.StructField(name, kinds[kind]) for name, kind in fields.items()])
@@ -40,29 +36,6 @@ def user_action(id_type=T.StringType()):
     return _struct(id_type, user_id="id", item_id="id", action_type="text", ts="ts", context="text")
 
 
-def user_profile(id_type=T.StringType()):
-    return _struct(
-        id_type,
-        user_id="id",
-        embedding="vector",
-        preferences="texts",
-        last_updated="ts",
-        interaction_count="count",
-    )
-
-
-def item_feature(id_type=T.StringType()):
-    return _struct(
-        id_type,
-        item_id="id",
-        embedding="vector",
-        category="text",
-        tags="texts",
-        popularity_score="float",
-        created_at="ts",
-    )
-
-
 def training_example(id_type=T.StringType()):
     return _struct(
         id_type,
@@ -78,13 +51,3 @@ def training_example(id_type=T.StringType()):
 
 def feature_vector(id_type=T.StringType()):
     return _struct(id_type, id="id", vector="vector", metadata="text")
-
-
-def recommendation_request(id_type=T.StringType()):
-    return _struct(
-        id_type,
-        user_id="id",
-        num_recommendations="int",
-        filter_categories="texts",
-        exclude_items="ids",
-    )

@@ -526,8 +526,6 @@ def test_optimizer_first_steps(spark):
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         p = p - 0.001 * (m / (1 - 0.9**t)) / np.sqrt(v / (1 - 0.999**t) + 1e-8)
     assert two.first().params == pytest.approx(p.tolist()) and two.first().t == 2
-    many = spark.createDataFrame([("w", [1.0]), ("w", [2.0])], "key string, grad array<double>")
-    assert optimizers.summed(many, "key").first().grad == [3.0]
 
 
 def test_sgd_step_with_single_examples_is_sequential(spark):
