@@ -32,7 +32,10 @@ def row_key(*columns) -> F.Column:
 
 
 def arrow(df: DataFrame, function, schema: StructType | str) -> DataFrame:
-    """mapInArrow where function(batch) yields dicts of columns."""
+    """mapInArrow where function(batches) yields dicts of columns.
+
+    A reused worker hands what a task's batches took back to the system.
+    """
     target = StructType.fromDDL(schema) if isinstance(schema, str) else schema
     names, kinds = target.names, to_arrow_schema(target)
 
@@ -45,6 +48,8 @@ def arrow(df: DataFrame, function, schema: StructType | str) -> DataFrame:
                 for n in names
             ]
             yield from pa.Table.from_arrays(arrays, schema=kinds).combine_chunks().to_batches()
+            del columns, arrays
+        pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, target)
 

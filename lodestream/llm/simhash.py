@@ -13,8 +13,8 @@ from lodestream.llm.components import components
 
 BITS = 64
 SEED = 42
-#: Shingles hashed at a time, so that a very long text needs no more memory than a short one.
-BLOCK = 1 << 16
+#: Shingles hashed at a time, so that a very long text needs no more hashes in memory than a short one.
+BLOCK = 1 << 14
 #: Variants a group of fingerprints is planned for.
 GROUP = 1 << 18
 
@@ -51,8 +51,7 @@ def _fingerprints(shingle):
     def run(batches):
         for batch in batches:
             data, starts = text_bytes(batch.column("text"))
-            data = data.tobytes()
-            prints = [fingerprint(data[a:b], shingle) for a, b in zip(starts, starts[1:])]
+            prints = [fingerprint(data[a:b].tobytes(), shingle) for a, b in zip(starts, starts[1:])]
             yield {"key": batch.column("key"), "id": batch.column("id"), "fp": np.array(prints, np.uint64).view(np.int64)}
 
     return run

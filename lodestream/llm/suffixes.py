@@ -196,7 +196,7 @@ def _contexts(layout):
     return run
 
 
-def _grids(batch, layout, rows=4096):
+def _grids(batch, layout, rows=1024):
     """(slice, rolling sums, first column, last column): contexts with their anchors below one another."""
     width = layout.before + layout.length
     data, starts = text_bytes(batch.column("around"))
