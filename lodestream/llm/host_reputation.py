@@ -59,11 +59,8 @@ def _shrunk(units: DataFrame, name: str) -> DataFrame:
     beyond = F.sum((F.col("bad") - F.col("n") * F.col("mu")) ** 2 - F.col("n") * F.col("mu") * (1 - F.col("mu")))
     scale = F.sum(F.col("n") * (F.col("n") - 1) * F.col("mu") * (1 - F.col("mu")))
     rho = F.when(F.col("scale") > 0, F.greatest(F.lit(LEAST), F.least(F.lit(MOST), F.col("beyond") / F.col("scale"))))
-    weight = (
-        units.agg(beyond.alias("beyond"), scale.alias("scale"))
-        .select(F.round(1 / F.coalesce(rho, F.lit(MOST)) - 1, 6).alias("weight"), F.lit(1).alias("one"))
-    )
-    both = units.withColumn("one", F.lit(1)).join(weight, "one").drop("one")
+    totals = units.agg(beyond.alias("beyond"), scale.alias("scale"))
+    both = units.withColumn("weight", totals.select(F.round(1 / F.coalesce(rho, F.lit(MOST)) - 1, 6)).scalar())
     a, b = F.col("mu") * F.col("weight") + F.col("bad"), (1 - F.col("mu")) * F.col("weight") + F.col("n") - F.col("bad")
     return both.withColumns({f"{name}_a": a, f"{name}_b": b, f"{name}_mean": a / (a + b)}).drop("mu", "weight")
 
@@ -80,8 +77,7 @@ def reputation(hosts: DataFrame) -> DataFrame:
     named = cut_lineage(with_groups(hosts))
     count = [F.sum("n").alias("n"), F.sum("bad").alias("bad")]
     overall = named.agg(((F.coalesce(F.sum("bad"), F.lit(0)) + 0.5) / (F.coalesce(F.sum("n"), F.lit(0)) + 1)).alias("mu"))
-    suffixes = named.groupBy("suffix").agg(*count).withColumn("one", F.lit(1))
-    suffixes = _shrunk(suffixes.join(overall.withColumn("one", F.lit(1)), "one").drop("one"), "s")
+    suffixes = _shrunk(named.groupBy("suffix").agg(*count).withColumn("mu", overall.scalar()), "s")
     suffixes = cut_lineage(suffixes.select("suffix", F.col("s_mean").alias("mu")))
     domains = named.groupBy("suffix", "domain").agg(*count)
     domains = _shrunk(domains.join(suffixes, "suffix"), "d")

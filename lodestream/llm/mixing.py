@@ -60,8 +60,8 @@ def _filled(nodes: DataFrame, parent: list[str], by: list[str]) -> DataFrame:
     )
 
 
-def budgets(leaves: DataFrame, total, weights: dict = WEIGHTS, levels=LEVELS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
-    """(levels..., tokens, cap, budget) of every leaf of a tree; total is a number or a one-row frame.
+def budgets(leaves: DataFrame, total: int, weights: dict = WEIGHTS, levels=LEVELS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
+    """(levels..., tokens, cap, budget) of every leaf of a tree whose budget is total.
 
     A leaf can give its tokens max_epochs times, an inner node what its children
     can. Budgets go from the root to the leaves by weight; a shortage is made up
@@ -78,8 +78,7 @@ def budgets(leaves: DataFrame, total, weights: dict = WEIGHTS, levels=LEVELS, ma
         weight = _weight(own[-1], weights)
         below = below.withColumn("weight", weight).withColumn("cap", F.when(F.col("weight") > 0, F.col("cap")).otherwise(0))
         nodes[depth] = below
-    root = total if isinstance(total, DataFrame) else leaves.sparkSession.range(1).select(F.lit(int(total)).alias("budget"))
-    top = nodes[1].withColumn("one", F.lit(1)).join(root.withColumn("one", F.lit(1)), "one")
+    top = nodes[1].withColumns({"one": F.lit(1), "budget": F.lit(int(total)).cast("long")})
     shared = _filled(top, ["one"], [levels[0]]).drop("one")
     for depth in depths[1:]:
         parent = list(levels[: depth - 1])
