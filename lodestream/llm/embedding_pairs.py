@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from lodestream.llm.common import arrow, bounds, complete, cut_lineage, forest, mix, row_key, table, unlink
 from lodestream.llm.components import components
 
-#: Hash tables, hashes joined to a key, keys a vector has in each table.
-TABLES, HASHES, PROBES = 8, 2, 4
+#: Hash tables, hashes joined to a key, keys a vector has in each table. With these, fewer than one in 10,000
+#: pairs of 64 dimensions at cosine 0.93 exactly fail to meet; closer pairs meet more often. A table has (2 d)^3 buckets.
+TABLES, HASHES, PROBES = 8, 3, 6
 #: Members of a bucket compared at once with those of another block.
 BLOCK = 512
 #: Vectors hashed at once, few enough for the processor's cache.
