@@ -51,6 +51,8 @@ MAIN_WORDS = frozenset("article articlebody body content entry main post story t
 
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 _ATTRIBUTE = re.compile(r"""(class|id|role|itemprop|hidden|style|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+#: Attributes up to a tag's end, in order: a quote sign matters only where a value starts, one never closed is a letter.
+_INSIDE = re.compile(r"""(?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>]++)?+)?+)*+""")
 _WORD = re.compile(r"[a-z]+")
 _END = {tag: re.compile(f"</{tag}(?=[\\s/>])", re.I) for tag in RAW}
 _HIDDEN_STYLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
@@ -70,18 +72,15 @@ def _tags(page: str):
         ends = head == "/"
         if head.isascii() and (head.isalpha() or ends):
             name = _NAME.match(page, start + 1 + ends)
-            stop = page.find(">", start)
-            if stop < 0:  # the page breaks off in a tag
+            # an end tag without a name is a comment
+            stop = _INSIDE.match(page, name.end()).end() if name else page.find(">", start)
+            if stop < 0 or stop == size:  # the page breaks off in a tag
                 yield page[held:start], None, False, ""
                 return
-            if name is None or name.end() > stop + 1:  # an end tag without a name is a comment
+            if name is None:
                 yield page[held:start], "!", False, ""
                 at = held = stop + 1
                 continue
-            for quote in "\"'":  # a bracket in a quoted value does not end the tag
-                if page.count(quote, start, stop) % 2:
-                    close = page.find(quote, stop, stop + 4096)
-                    stop = max(stop, page.find(">", close) if close >= 0 else stop)
             tag = name.group().lower()
             yield page[held:start], tag, ends, page[name.end() : stop]
             at = held = stop + 1

@@ -41,6 +41,25 @@ def test_pages_that_break_off():
     assert H.main_text("<article><p>Words of the article, all.</p><p clas", W) == "Words of the article, all."
 
 
+@pytest.mark.parametrize(
+    "tag",
+    [
+        """<img alt="John's dog">""", """<img alt='5" disk'>""", "<img alt=John's>", """<img title = "a>b's" alt='c>"d'>""",
+        """<img alt="Bob's" title="Ann's" x='"'/>""", "<img it's>", "<img a='b'c=\"d's\">", "<img alt=>", """<img alt="x>""",
+    ],
+)
+def test_quote_signs_in_tags(tag):
+    """A quote sign opens a value only where a value starts."""
+    rest = "First sentence, which is John&#39;s. A second sentence, that isn't short."
+    page = f"<article><p>{tag}{rest}</p><p>Third, and it's the last.</p></article>"
+    assert H.main_text(page, W) == rest.replace("&#39;", "'") + "\nThird, and it's the last."
+
+
+def test_long_quoted_values():
+    value = "{'a': '<p>No text, of course.</p>'} " * 400
+    assert H.main_text(f'<article><p data-props="{value}">Words, all of them.</p></article>', W) == "Words, all of them."
+
+
 def test_cut_equals_enumeration():
     rng = random.Random(4)
     for n in (1, 2, 5, 9):
