@@ -50,7 +50,8 @@ SIDE_WORDS = frozenset(
 MAIN_WORDS = frozenset("article articlebody body content entry main post story text".split())
 
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
-_ATTRIBUTE = re.compile(r"""(class|id|role|itemprop|hidden|style|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+#: A whole attribute, its name and its value with the quote signs.
+_ATTRIBUTE = re.compile(r"""([^\s/>][^\s/>=]*+)(?:\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s>]++)?+)?+""")
 #: Attributes up to a tag's end, in order: a quote sign matters only where a value starts, one never closed is a letter.
 _INSIDE = re.compile(r"""(?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>]++)?+)?+)*+""")
 _WORD = re.compile(r"[a-z]+")

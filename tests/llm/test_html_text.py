@@ -55,6 +55,26 @@ def test_quote_signs_in_tags(tag):
     assert H.main_text(page, W) == rest.replace("&#39;", "'") + "\nThird, and it's the last."
 
 
+@pytest.mark.parametrize(
+    "attribute",
+    [
+        'href="/hidden-gems"', 'title="hidden cost"', 'data-hidden="false"', "data-style='display:none'", "title='style=display:none'",
+        'data-class="ad sidebar"', 'title=" class=ad "', "data-x=hidden", "x-hidden", "hidden-x", 'title="aria-hidden=true"',
+        'data-x="a>b" title="role=navigation id=footer"',
+    ],
+)
+def test_only_whole_attribute_names_count(attribute):
+    page = f"<article><p>First words, here.</p><div {attribute}><p>See <a {attribute}>the gems</a>, all of them.</p></div></article>"
+    assert H.main_text(page, W) == "First words, here.\nSee the gems, all of them."
+    assert H._marks("div", " " + attribute) == (0, False)
+
+
+def test_marking_attributes():
+    for attributes in (" hidden", " HIDDEN=''", " x=1 hidden", " x='y'hidden", ' style = "a:b; display : none"', " aria-hidden=true", "/hidden"):
+        assert H._marks("div", attributes) == (0, True)
+    assert H._marks("div", " title='x' CLASS=ad") == H._marks("div", ' role="navigation"') == (H.SIDE, False)
+
+
 def test_long_quoted_values():
     value = "{'a': '<p>No text, of course.</p>'} " * 400
     assert H.main_text(f'<article><p data-props="{value}">Words, all of them.</p></article>', W) == "Words, all of them."
