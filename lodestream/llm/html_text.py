@@ -25,6 +25,9 @@ BLOCK = frozenset(
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template textarea title iframe svg math select button".split())
+#: Of these, what goes to the page's end without an end tag, and what may hold itself. Any other but a title that is
+#: opened again before its end tag was not closed.
+TO_END, NESTS = frozenset("script style textarea".split()), frozenset("svg math template".split())
 #: An open element of the first kind ends where one of the second starts, but for these bounds between them.
 CLOSES = {
     "p": (BLOCK, frozenset("td th li dd dt div article section aside".split())),
@@ -53,17 +56,44 @@ _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 #: A whole attribute, its name and its value with the quote signs.
 _ATTRIBUTE = re.compile(r"""([^\s/>][^\s/>=]*+)(?:\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s>]++)?+)?+""")
 #: Attributes up to a tag's end, in order: a quote sign matters only where a value starts, one never closed is a letter.
-_INSIDE = re.compile(r"""(?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>]++)?+)?+)*+""")
+_INSIDE = re.compile(r"""(?:\s++|(/)(?=>)|/|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>]++)?+)?+)*+""")
 _WORD = re.compile(r"[a-z]+")
-_END = {tag: re.compile(f"</{tag}(?=[\\s/>])", re.I) for tag in RAW}
+_END = {tag: re.compile(f"</{tag}(?=[\\s/>])", re.I) for tag in TO_END}
+_EITHER = {tag: re.compile(f"<!--|<(/?){tag}(?=[\\s/>])", re.I) for tag in RAW - TO_END}
 _HIDDEN_STYLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 MAIN, SIDE, SOFT = 1, 2, 4
 
 
+def _closed(page: str, tag: str, at: int) -> dict[int, int]:
+    """Places from at on where an element of RAW starts that is closed, and where its end tag starts."""
+    found, opened, comments = {}, [], tag not in ("title", "iframe")
+    while m := _EITHER[tag].search(page, at):
+        at = m.end()
+        if m[0] == "<!--":
+            stop = page.find("-->", at) if comments else -1
+            comments = stop >= 0
+            at = max(at, stop)
+        elif not m[1]:
+            inside = _INSIDE.match(page, at)
+            at = inside.end()
+            if (tag in NESTS and inside[1]) or (tag == "title" and opened):
+                continue
+            if tag not in NESTS:
+                opened.clear()
+            opened.append(m.start())
+        elif opened:
+            found[opened.pop()] = m.start()
+    return found
+
+
 def _tags(page: str):
-    """(text before, tag, whether it ends, attributes) from start to end; the last has no tag."""
-    at, size, held = 0, len(page), 0
+    """(text before, tag, whether it ends, attributes) from start to end; the last has no tag.
+
+    What stands in a closed element of RAW is left out. Of one without an end
+    tag only its start tag is, but script, style and textarea go to the end.
+    """
+    at, size, held, closed = 0, len(page), 0, {}
     while True:
         start = page.find("<", at)
         if start < 0:
@@ -74,7 +104,8 @@ def _tags(page: str):
         if head.isascii() and (head.isalpha() or ends):
             name = _NAME.match(page, start + 1 + ends)
             # an end tag without a name is a comment
-            stop = _INSIDE.match(page, name.end()).end() if name else page.find(">", start)
+            inside = _INSIDE.match(page, name.end()) if name else None
+            stop = inside.end() if name else page.find(">", start)
             if stop < 0 or stop == size:  # the page breaks off in a tag
                 yield page[held:start], None, False, ""
                 return
@@ -85,9 +116,15 @@ def _tags(page: str):
             tag = name.group().lower()
             yield page[held:start], tag, ends, page[name.end() : stop]
             at = held = stop + 1
-            if tag in RAW and not ends:
+            if ends or tag not in RAW:
+                continue
+            if tag in TO_END:
                 found = _END[tag].search(page, at)
                 at = held = found.start() if found else size
+            elif not (tag in NESTS and inside[1]):
+                if tag not in closed:
+                    closed[tag] = _closed(page, tag, start)
+                at = held = closed[tag].get(start, at)
         elif head in ("!", "?"):
             comment = page.startswith("<!--", start)
             stop = page.find("-->" if comment else ">", start)

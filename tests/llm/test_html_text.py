@@ -80,6 +80,29 @@ def test_long_quoted_values():
     assert H.main_text(f'<article><p data-props="{value}">Words, all of them.</p></article>', W) == "Words, all of them."
 
 
+@pytest.mark.parametrize(
+    "element",
+    [
+        '<svg width="3"/>', "<svg viewBox='0 0 1 1' />", "<math/>", "<svg>", "<iframe src=x />", "<iframe>", "<button>", "<button class=x>",
+        "<select>", "<noscript>", "<template>", "<title>", "<svg><title>no</title><svg/><path d='>'/></svg>", "<svg><svg>no</svg>no</svg>",
+        "<button>no</button>", "<template><template>no</template>no</template>", "<math><mi>no</mi></math>",
+        "<button x='<button>'>no</button>", "<button>no<!-- <button> -->no</button>", "<svg>no<!-- <svg> </svg> -->no</svg>",
+    ],
+)
+@pytest.mark.parametrize("later", ["", "<svg><text>no</text></svg><button>no</button><iframe>no</iframe><math>no</math>"])
+def test_elements_that_never_close(element, later):
+    """Only what stands between an element's own tags is left out."""
+    page = f"<article><p>First words, here.</p>{element}<p>Second words, there.</p>{later}<p>Third words, too.</p></article>"
+    assert H.main_text(page, W) == "First words, here.\nSecond words, there.\nThird words, too."
+
+
+def test_scripts_that_never_close():
+    for tag in ("script", "style", "textarea"):
+        assert H.main_text(f"<article><p>First words, here.</p><{tag}>var x = 'no';<p>No, no.</p>", W) == "First words, here."
+    page = "<title>The <title> element</title><article><p>First words, here.</p></article>"
+    assert H.main_text(page, W) == "First words, here."
+
+
 def test_cut_equals_enumeration():
     rng = random.Random(4)
     for n in (1, 2, 5, 9):
