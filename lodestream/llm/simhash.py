@@ -1,5 +1,6 @@
 """Near duplicates by SimHash fingerprints and ball hashing that meets in the middle."""
 
+import functools
 import itertools
 import math
 
@@ -17,6 +18,8 @@ SEED = 42
 BLOCK = 1 << 14
 #: Variants a group of fingerprints is planned for.
 GROUP = 1 << 18
+#: Variants from which on a group is split, and the further bits of a variant that split it.
+HOT, MORE = 1 << 21, 8
 
 # lane k of entry v is bit k of v: adding entries counts the bits of up to 255 bytes in eight lanes
 _LANES = np.array([sum(((v >> k) & 1) << (8 * k) for k in range(8)) for v in range(256)], np.uint64)
@@ -111,7 +114,7 @@ def _meet(prefix_bits: int, block: int = 256):
     shift = np.uint64(BITS - prefix_bits)
 
     def links(prints, prefix):
-        prefix = np.uint64(prefix) << shift
+        prefix = prefix << shift
         high = np.bitwise_count((prints ^ prefix) >> shift)
         odd = np.bitwise_count(prints) & 1 == 1
         evens, odds = prints[~odd], prints[odd]
@@ -141,7 +144,7 @@ def _meet(prefix_bits: int, block: int = 256):
 
     def run(batches):
         for whole in complete(batches, "prefix"):
-            prefixes = whole.column("prefix").to_numpy()
+            prefixes = whole.column("prefix").to_numpy().view(np.uint64)
             prints = whole.column("fp").to_numpy().view(np.uint64)
             cut = bounds(prefixes)
             for start, stop in zip(cut, cut[1:]):
@@ -158,6 +161,66 @@ def _meet(prefix_bits: int, block: int = 256):
     return run
 
 
+def _is_even() -> F.Column:
+    return F.bit_count("fp") % 2 == 0
+
+
+def _made(bits: int, even: F.Column, flips: F.Column) -> F.Column:
+    """Variants that a fingerprint so many flips away from a prefix has in it."""
+    rest = BITS - bits
+    odd = F.when(flips == 0, F.lit(1 + rest * (rest - 1) // 2)).when(flips == 1, F.lit(rest)).otherwise(F.lit(1))
+    return F.when(even, F.when(flips == 0, F.lit(rest)).otherwise(F.lit(1))).otherwise(odd).cast("long")
+
+
+def _masks(bits: int, even: F.Column) -> F.Column:
+    return F.when(even, F.array(*[F.lit(m) for m in _reach(bits, True, (1, 2))])).otherwise(
+        F.array(*[F.lit(m) for m in _reach(bits, False, (1, 2))])
+    )
+
+
+def _longer(rows: DataFrame, bits: int, more: int) -> DataFrame:
+    """(prefix, fp) under prefixes longer by so many bits, for what a fingerprint may still flip."""
+    flips = F.bit_count(F.shiftrightunsigned("fp", BITS - bits).bitwiseXOR(F.col("prefix")))
+    left = F.when(_is_even(), 1).otherwise(2) - flips
+    masks = [[int(m) for low in range(most + 1) for m in _flips(more, low)] for most in range(3)]
+    chosen = F.when(left == 0, F.array(*map(F.lit, masks[0]))).when(left == 1, F.array(*map(F.lit, masks[1])))
+    own = F.shiftrightunsigned("fp", BITS - bits - more).bitwiseAND(F.lit((1 << more) - 1))
+    return rows.select("prefix", "fp", F.explode(chosen.otherwise(F.array(*map(F.lit, masks[2])))).alias("mask")).select(
+        F.shiftleft("prefix", more).bitwiseOR(own.bitwiseXOR(F.col("mask").cast("long"))).alias("prefix"), "fp"
+    )
+
+
+def _dealt(prints: DataFrame, bits: int) -> tuple[list[tuple[int, DataFrame]], list[DataFrame]]:
+    """[(bits of a prefix, rows (prefix, fp))], and the written steps they are read from.
+
+    A prefix with more than HOT variants gets further bits, and so do those
+    again that are still above it: a group of near copies is split however close
+    they are, as at most 2,081 fingerprints are within reach of one variant.
+    First the variants are counted from how many fingerprints share a prefix.
+    """
+    out, steps, rest = [], [], BITS - bits
+    rows = prints.select("fp", F.explode(_masks(bits, _is_even())).alias("mask")).select(
+        F.shiftrightunsigned(F.col("fp").bitwiseXOR(F.col("mask")), rest).alias("prefix"), "fp"
+    )
+    own = prints.groupBy(F.shiftrightunsigned("fp", rest).alias("own"), _is_even().alias("even")).agg(F.count("*").alias("n"))
+    sizes = own.select("*", F.explode(_masks(bits, F.col("even"))).alias("mask")).select(
+        F.col("own").bitwiseXOR(F.shiftrightunsigned("mask", rest)).alias("prefix"),
+        (F.col("n") * _made(bits, F.col("even"), F.bit_count("mask"))).alias("made"),
+    )
+    while True:
+        hot = cut_lineage(sizes.groupBy("prefix").agg(F.sum("made").alias("made")).filter(F.col("made") > HOT).select("prefix"))
+        steps.append(hot)
+        if bits == BITS or hot.isEmpty():
+            return [*out, (bits, rows)], steps
+        out.append((bits, rows.join(hot, "prefix", "left_anti")))
+        more = min(MORE, BITS - bits)
+        rows = cut_lineage(_longer(rows.join(hot, "prefix", "left_semi"), bits, more))
+        steps.append(rows)
+        bits += more
+        flips = F.bit_count(F.shiftrightunsigned("fp", BITS - bits).bitwiseXOR(F.col("prefix")))
+        sizes = rows.select("prefix", _made(bits, _is_even(), flips).alias("made"))
+
+
 def _linked(prints: DataFrame, max_bits: int) -> DataFrame:
     """(a, b) that connect all distinct fingerprints up to max_bits apart."""
     if max_bits != 3:
@@ -165,15 +228,15 @@ def _linked(prints: DataFrame, max_bits: int) -> DataFrame:
     n = prints.count()
     made = n * (64 + 2017) / 2
     prefix_bits = min(24, max(4, math.ceil(math.log2(max(2, made / GROUP)))))
-    even = F.bit_count("fp") % 2 == 0
-    masks = F.when(even, F.array(*[F.lit(m) for m in _reach(prefix_bits, True, (1, 2))])).otherwise(
-        F.array(*[F.lit(m) for m in _reach(prefix_bits, False, (1, 2))])
-    )
-    sent = prints.select("fp", F.explode(masks).alias("mask")).select(
-        F.shiftrightunsigned(F.col("fp").bitwiseXOR(F.col("mask")), BITS - prefix_bits).alias("prefix"), "fp"
-    )
-    dealt = sent.repartition("prefix").sortWithinPartitions("prefix")
-    return arrow(dealt, _meet(prefix_bits), "a long, b long")
+    dealt, steps = _dealt(prints, prefix_bits)
+    parts = [
+        arrow(rows.repartition("prefix").sortWithinPartitions("prefix"), _meet(bits), "a long, b long") for bits, rows in dealt
+    ]
+    if len(parts) == 1:
+        return parts[0]
+    links = cut_lineage(functools.reduce(DataFrame.unionByName, parts))
+    unlink(*steps)
+    return links
 
 
 def simhash_groups(

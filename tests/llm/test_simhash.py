@@ -1,3 +1,4 @@
+import math
 import random
 import re
 
@@ -88,6 +89,47 @@ def test_links_of_planted_fingerprints(spark):
     assert {p[0]: star.get(p[0], p[0]) for p in signed} == want
 
 
+def test_hot_prefixes_are_split(spark, monkeypatch):
+    """A family of near copies beside other fingerprints: no group above the limit, the same components."""
+    rng = random.Random(8)
+    centre = rng.getrandbits(64)
+    prints = {centre ^ sum(1 << k for k in rng.sample(range(64), rng.randrange(6))) for _ in range(900)}
+    for _ in range(60):
+        lone = rng.getrandbits(64)
+        prints |= {lone, lone ^ 7 << rng.randrange(60)}
+    signed = sorted(p - 2**64 if p >= 2**63 else p for p in prints)
+    frame = spark.createDataFrame([(p,) for p in signed], "fp long")
+    want = plain_components({p: p & (2**64 - 1) for p in signed})
+    for hot in (3000, 40_000):
+        monkeypatch.setattr(S, "HOT", hot)
+        dealt, _ = S._dealt(frame, 4)
+        assert len(dealt) > 2
+        for bits, rows in dealt:
+            groups = {}
+            for r in rows.collect():
+                groups.setdefault(r.prefix & (1 << bits) - 1, []).append(r.fp & (2**64 - 1))
+            for prefix, own in groups.items():
+                assert len(own) == len(set(own))
+                made = 0
+                for p in own:
+                    flips, rest = (p >> 64 - bits ^ prefix).bit_count(), 64 - bits
+                    exactly = [1] if p.bit_count() % 2 == 0 else [0, 2]
+                    made += sum(math.comb(rest, d - flips) for d in exactly if d >= flips)
+                assert made <= hot
+        star = {r.a: r.b for r in C.components(S._linked(frame, 3)).collect()}
+        assert {p: star.get(p, p) for p in signed} == want
+
+
+def test_groups_of_whole_variants(spark, monkeypatch):
+    """With a limit of one variant, prefixes grow to all 64 bits."""
+    monkeypatch.setattr(S, "HOT", 1)
+    monkeypatch.setattr(S, "MORE", 20)
+    prints = [0, 1, 3, 7, 15, -1, -2, -(2**63), 2**40, 2**40 + 2**50, 12345]
+    frame = spark.createDataFrame([(p,) for p in prints], "fp long")
+    star = {r.a: r.b for r in C.components(S._linked(frame, 3)).collect()}
+    assert {p: star.get(p, p) for p in prints} == plain_components({p: p & (2**64 - 1) for p in prints})
+
+
 def test_empty_and_repeated(make_docs, spark):
     assert S.simhash_groups(make_docs([])).count() == 0
     rows = [(1, "a b c d"), (1, "a b c d"), (None, "a b c d"), (None, None), (7, "")]
