@@ -60,7 +60,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents in training sequences."""
     ship_package(spark)
-    return packing.pack_texts(docs)
+    return packing.pack_texts(docs, special=True)
 
 
 STAGES = [

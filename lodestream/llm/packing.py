@@ -100,7 +100,7 @@ def _first_sequence() -> int:
     return TaskContext.get().partitionId() << 40
 
 
-def _texts(limits, path):
+def _texts(limits, path, special):
     def run(batches):
         packer, sequence = Packer(limits, cut=True), _first_sequence()
         width = limits[0]
@@ -119,7 +119,7 @@ def _texts(limits, path):
             return out
 
         for batch in batches:
-            coder, made = encoder(path), []
+            coder, made = encoder(path, special), []
             for row, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
                 ids = np.append(coder.ids(text), np.uint32(0))
                 n = len(ids)
@@ -136,20 +136,23 @@ def _texts(limits, path):
     return run
 
 
-def pack_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", limits=LIMITS, path: str | None = None) -> DataFrame:
+def pack_texts(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", limits=LIMITS, path: str | None = None, special: bool = False
+) -> DataFrame:
     """Every text's ids and an end id 0, cut and packed into sequences: a row for each piece.
 
     Returned: doc_id, start (the document's ids before the piece), length,
     ids_crc32 (little-endian 32-bit ids), doc_tokens, sequence_id, offset. Full
     sequences are cut off first, remainders are packed, so only the last
     sequences of a task are padded. Every id but a document's first bears loss.
-    A null or empty text has the end id alone. Nothing is shuffled: a task packs
+    A null or empty text has the end id alone. With special, the vocabulary's
+    added tokens in a text get their own ids; else they are ordinary text. Nothing is shuffled: a task packs
     the documents it reads, so a lost task is read and packed again alike.
     """
     id_type = docs.schema[doc_id].dataType.simpleString()
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     schema = f"doc_id {id_type}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-    return arrow(rows, _texts(tuple(limits), path or vocabulary()), schema)
+    return arrow(rows, _texts(tuple(limits), path or vocabulary(), special), schema)
 
 
 def pack_examples(examples: DataFrame, tokens: str, segments: str, loss: str, limits=LIMITS) -> DataFrame:
@@ -188,4 +191,4 @@ def pack_examples(examples: DataFrame, tokens: str, segments: str, loss: str, li
 
 def op9_packing(spark, sf_dir):
     """Pieces of all documents in sequences of up to 1,024 ids."""
-    return pack_texts(table(spark, sf_dir, "documents"))
+    return pack_texts(table(spark, sf_dir, "documents"), special=True)

@@ -42,26 +42,38 @@ def ranks_of(whole: dict) -> dict[bytes, int] | None:
 
 
 class Encoder:
-    """Ids by a byte-level BPE file of the tokenizers library, special strings as ordinary text.
+    """Ids by a byte-level BPE file of the tokenizers library.
 
+    With special, the file's added tokens are cut out of a text first and get
+    their own ids, as by the library's default; else they are ordinary text.
     Where the file's ids are in the order of its merges, tiktoken applies the
     same merges by rank, several times faster; else the library itself encodes.
     size is the number of ids.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special: bool = False):
         whole = _read(path)
         self.size = 1 + max([*whole["model"]["vocab"].values(), *(t["id"] for t in whole["added_tokens"])])
         ranks = ranks_of(whole)
-        if ranks:
+        added = {t["content"]: t["id"] for t in whole["added_tokens"]} if special else {}
+        plain = not any(t.get(k) for t in whole["added_tokens"] for k in ("lstrip", "rstrip", "single_word")) or not special
+        if ranks and plain:
             import tiktoken
 
-            self.encode = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+            ranks = {token: n for token, n in ranks.items() if n not in added.values()}
+            coder = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=added)
+
+            def encode(text):
+                if any(token in text for token in added):
+                    return coder.encode(text, allowed_special="all", disallowed_special=())
+                return coder.encode_ordinary(text)
+
+            self.encode = encode if added else coder.encode_ordinary
         else:
             from tokenizers import Tokenizer
 
             tokenizer = Tokenizer.from_file(path)
-            tokenizer.encode_special_tokens = True
+            tokenizer.encode_special_tokens = not special
             self.encode = lambda text: tokenizer.encode(text, add_special_tokens=False).ids
 
     def ids(self, text: str | None) -> np.ndarray:
@@ -70,5 +82,5 @@ class Encoder:
 
 
 @functools.lru_cache(maxsize=1)
-def encoder(path: str) -> Encoder:
-    return Encoder(path)
+def encoder(path: str, special: bool = False) -> Encoder:
+    return Encoder(path, special)

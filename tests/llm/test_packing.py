@@ -32,6 +32,29 @@ def test_ids_equal_whole_encoding(plain):
         assert coder.ids(text).tolist() == plain(text), repr(text)
 
 
+ADDED = [
+    "a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|>", " <|endoftext|>\n\n<|endoftext|>x", "a  <|endoftext|>  b",
+    "<|endoftext", "<|endoftext|", "<|<|endoftext|>|>", "é<|endoftext|>é", "<|ENDOFTEXT|>", "it<|endoftext|>'s", " \n <|endoftext|>",
+]
+
+
+def test_added_tokens_get_the_library_ids(spark, tmp_path):
+    """The library's default against the coder, and the registered query and the pipeline's stage against it."""
+    import corpus_pipeline
+
+    tokenizer = Tokenizer.from_file(K.vocabulary())
+    library = lambda t: tokenizer.encode(t or "", add_special_tokens=False).ids
+    coder = K.Encoder(K.vocabulary(), special=True)
+    for text in TRICKY + ADDED:
+        assert coder.ids(text).tolist() == library(text), repr(text)
+    assert coder.ids("a <|endoftext|> b").tolist() == [64, 220, 50256, 275]
+    docs = list(enumerate(TRICKY + ADDED))
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    frame.write.parquet(str(tmp_path / "documents.parquet"))
+    check_pieces(P.op9_packing(spark, str(tmp_path)).collect(), docs, library)
+    check_pieces(corpus_pipeline.packed(spark, frame, str(tmp_path)).collect(), docs, library)
+
+
 def test_files_with_other_settings_are_left_to_the_library(tmp_path, plain):
     import json
 
