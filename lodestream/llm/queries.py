@@ -9,6 +9,7 @@ from lodestream.llm.packing import op9_packing
 from lodestream.llm.quality_rules import op8_quality_rules
 from lodestream.llm.simhash import op4_simhash
 from lodestream.llm.suffixes import op2_suffix_array
+from lodestream.llm.token_counts import op13_token_counts
 from lodestream.llm.token_files import op10_token_files
 
 QUERIES = {
@@ -22,6 +23,7 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_packing": op9_packing,
     "op10_token_files": op10_token_files,
+    "op13_token_counts": op13_token_counts,
 }
 #: Oracles of what SQL can state; the others are held against brute force in the tests.
 ORACLES = {"op3_host_reputation": OP3_SQL, "op6_mixing": OP6_SQL}

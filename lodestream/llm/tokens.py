@@ -2,12 +2,37 @@
 
 import functools
 import json
+import re
 
 import numpy as np
 
 # fixed value: the split pattern of byte-level BPE vocabularies of this kind
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
+#: Characters of a text that are encoded at once, where it can be cut.
+SEGMENT = 1 << 16
+#: White space in a row that the fast encoder's pattern search still bears; a stretch with more goes to the library.
+SAFE_RUN = 50_000
+_CUT = re.compile(r"(?<=\S) (?=\S)")
+_RUN = re.compile(rf"\s{{{SAFE_RUN}}}")
+
+
+def segments(text: str, size: int = SEGMENT):
+    """Consecutive parts of a text of about size characters, cut before a single space between other characters.
+
+    The split pattern lets a space start a piece or stand in a run of white
+    space, never end a piece that begins with something else: so the parts'
+    pieces are the whole text's. A text without such a space is one part.
+    """
+    start = 0
+    while len(text) - start > size:
+        found = _CUT.search(text, start + size)
+        if not found:
+            break
+        yield text[start : found.start()]
+        start = found.start()
+    yield text[start:] if start else text
+
 
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
@@ -47,34 +72,58 @@ class Encoder:
     With special, the file's added tokens are cut out of a text first and get
     their own ids, as by the library's default; else they are ordinary text.
     Where the file's ids are in the order of its merges, tiktoken applies the
-    same merges by rank, several times faster; else the library itself encodes.
-    size is the number of ids.
+    same merges by rank, several times faster, and long texts are encoded part
+    by part; else, and for a part with SAFE_RUN white-space characters in a row,
+    the library itself encodes. size is the number of ids.
     """
 
     def __init__(self, path: str, special: bool = False):
         whole = _read(path)
+        self.path, self.special = path, special
         self.size = 1 + max([*whole["model"]["vocab"].values(), *(t["id"] for t in whole["added_tokens"])])
         ranks = ranks_of(whole)
-        added = {t["content"]: t["id"] for t in whole["added_tokens"]} if special else {}
+        self.added = {t["content"]: t["id"] for t in whole["added_tokens"]} if special else {}
         plain = not any(t.get(k) for t in whole["added_tokens"] for k in ("lstrip", "rstrip", "single_word")) or not special
+        self.coder = None
         if ranks and plain:
             import tiktoken
 
-            ranks = {token: n for token, n in ranks.items() if n not in added.values()}
-            coder = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=added)
-
-            def encode(text):
-                if any(token in text for token in added):
-                    return coder.encode(text, allowed_special="all", disallowed_special=())
-                return coder.encode_ordinary(text)
-
-            self.encode = encode if added else coder.encode_ordinary
-        else:
-            from tokenizers import Tokenizer
-
-            tokenizer = Tokenizer.from_file(path)
-            tokenizer.encode_special_tokens = not special
-            self.encode = lambda text: tokenizer.encode(text, add_special_tokens=False).ids
+            ranks = {token: n for token, n in ranks.items() if n not in self.added.values()}
+            self.coder = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+            longest_first = sorted(self.added, key=len, reverse=True)
+            self.marks = re.compile("(" + "|".join(map(re.escape, longest_first)) + ")") if self.added else None
+
+    @functools.cached_property
+    def library(self):
+        from tokenizers import Tokenizer
+
+        tokenizer = Tokenizer.from_file(self.path)
+        tokenizer.encode_special_tokens = not self.special
+        return tokenizer
+
+    def _by_library(self, text):
+        return self.library.encode(text, add_special_tokens=False).ids
+
+    def _ordinary(self, text):
+        if len(text) < SAFE_RUN:
+            return self.coder.encode_ordinary(text)
+        out = []
+        for part in segments(text):
+            out += self._by_library(part) if _RUN.search(part) else self.coder.encode_ordinary(part)
+        return out
+
+    def encode(self, text: str) -> list[int]:
+        if self.coder is None:
+            return self._by_library(text)
+        if not self.added or not any(token in text for token in self.added):
+            return self._ordinary(text)
+        out = []
+        for n, part in enumerate(self.marks.split(text)):
+            if n % 2:
+                out.append(self.added[part])
+            elif part:
+                out += self._ordinary(part)
+        return out
 
     def ids(self, text: str | None) -> np.ndarray:
         """uint32 ids of a text; a null has none."""

@@ -217,3 +217,23 @@ def test_token_query(spark, sf, plain):
         for a, b, doc in zip(r.cu_seqlens, r.cu_seqlens[1:], r.doc_ids):
             total[doc] += b - a
     assert total == {i: len(plain(t)) + 1 for i, t in docs.items()}
+
+
+@pytest.mark.parametrize("sign", [" ", "\n", "\t"])
+def test_long_white_space_runs(spark, sign):
+    """Runs of 2,000,000, alone and before a word, that the fast encoder's pattern search cannot bear."""
+    default = Tokenizer.from_file(K.vocabulary())
+    library = lambda t: default.encode(t or "", add_special_tokens=False).ids
+    docs = [(0, sign * 2_000_000), (1, f"a{sign * 2_000_000}word<|endoftext|>{sign * 60_000}"), (2, "plain")]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    check_pieces(P.pack_texts(frame, special=True).collect(), docs, library)
+    widths = {r.doc_ids[0]: 0 for r in B.pack_tokens(frame).select("doc_ids").collect()}
+    assert set(widths) >= {0, 1}
+
+
+def test_parts_of_long_texts(plain):
+    coder, rng = K.Encoder(K.vocabulary()), random.Random(9)
+    text = "".join(rng.choice(["a", " ", "  ", "\n ", " b", "é's ", " 12", "\x1c "]) for _ in range(150_000))
+    assert "".join(K.segments(text)) == text and len(list(K.segments(text))) > 2
+    assert coder.encode(text) == plain(text)
+    assert list(K.segments("x" * 200_000)) == ["x" * 200_000] and list(K.segments("")) == [""]
