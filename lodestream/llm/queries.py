@@ -1,5 +1,6 @@
 """The queries of this subpackage and their SQL."""
 
+from lodestream.llm.alignment import op12_alignment
 from lodestream.llm.embedding_pairs import op1_embedding_pairs
 from lodestream.llm.host_reputation import OP3_SQL, op3_host_reputation
 from lodestream.llm.html_text import op5_html_text
@@ -23,6 +24,7 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_packing": op9_packing,
     "op10_token_files": op10_token_files,
+    "op12_alignment": op12_alignment,
     "op13_token_counts": op13_token_counts,
 }
 #: Oracles of what SQL can state; the others are held against brute force in the tests.
