@@ -7,6 +7,7 @@ from lodestream.llm.html_text import op5_html_text
 from lodestream.llm.langid import op7_language_id
 from lodestream.llm.mixing import OP6_SQL, op6_mixing
 from lodestream.llm.packing import op9_packing
+from lodestream.llm.prefix_trie import op11_prefix_trie
 from lodestream.llm.quality_rules import op8_quality_rules
 from lodestream.llm.simhash import op4_simhash
 from lodestream.llm.suffixes import op2_suffix_array
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_packing": op9_packing,
     "op10_token_files": op10_token_files,
+    "op11_prefix_trie": op11_prefix_trie,
     "op12_alignment": op12_alignment,
     "op13_token_counts": op13_token_counts,
 }
