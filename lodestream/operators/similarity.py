@@ -32,6 +32,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from lodestream.functions import vectors as V
+from lodestream.operators import clusters
 
 ITEMS_PER_CELL = 65536
 QUERIES_PER_CELL = 1024
@@ -39,9 +40,6 @@ QUERIES_PER_BUCKET = 8192
 QUERY_BLOCK = 512
 ITEM_BLOCK = 4096
 RANK_DIGITS = 9
-# vectors of a list that the centroids are trained on, and rounds of training
-TRAIN_ROWS = 256
-TRAIN_ROUNDS = 10
 ITEM, SEEN, QUERY = 0, 1, 2
 
 
@@ -404,46 +402,6 @@ def top_k(
     return _renamed(ranked, query_id, item_id, carry)
 
 
-def centroids(units: DataFrame, n_lists: int, rows: int, seed: int = 7, rounds: int = TRAIN_ROUNDS) -> np.ndarray:
-    """Centres of n_lists lists of vectors (iid, unit), or fewer if there are fewer vectors.
-
-    Lloyd's rounds over a sample of at most about TRAIN_ROWS vectors a list,
-    drawn by a hash of the id, which is all that reaches the driver. A list only
-    has to group neighbours, as its members are scored exactly. Vectors of
-    another size than most of the sample are left out of it.
-    """
-    rate = min(1 << 30, (n_lists * TRAIN_ROWS << 30) // max(1, rows) + 1)
-    drawn = units.filter(F.pmod(F.xxhash64("iid", F.lit(seed)), F.lit(1 << 30)) < rate)
-    sample = [r.unit for r in drawn.orderBy(F.xxhash64("iid")).limit(2 * n_lists * TRAIN_ROWS).select("unit").collect()]
-    if not sample:
-        return np.zeros((0, 0))
-    sizes = [len(v) for v in sample]
-    usual = max(sorted(set(sizes)), key=sizes.count)
-    points = np.array([v for v in sample if len(v) == usual])
-    rng = np.random.default_rng(seed)
-    centres = points[rng.permutation(len(points))[:n_lists]].copy()
-    for _ in range(rounds):
-        home = _nearest(points, centres, 1)[:, 0]
-        n = np.bincount(home, minlength=len(centres))
-        sums = np.zeros_like(centres)
-        np.add.at(sums, home, points)
-        centres[n > 0] = sums[n > 0] / n[n > 0, None]
-        for empty in np.flatnonzero(n == 0):
-            centres[empty] = points[rng.integers(len(points))]
-    return centres
-
-
-def _nearest(points, centres, n):
-    """Numbers of the n nearest centres of each point, the nearest first, ties by number."""
-    score = points @ centres.T - (centres * centres).sum(axis=1) / 2
-    if n < score.shape[1]:
-        some = np.sort(np.argpartition(-score, n - 1, axis=1)[:, :n], axis=1)
-    else:
-        some = np.tile(np.arange(score.shape[1]), (len(points), 1))
-    order = np.argsort(-np.take_along_axis(score, some, 1), axis=1, kind="stable")
-    return np.take_along_axis(some, order, 1)
-
-
 def _with_lists(frame: DataFrame, vector: str, centres: np.ndarray, n: int) -> DataFrame:
     """frame with the numbers of the n nearest lists of a vector; an unusual size has a list of its own."""
     schema = T.StructType([*frame.schema.fields, T.StructField("lists", T.ArrayType(T.IntegerType()))])
@@ -454,7 +412,7 @@ def _with_lists(frame: DataFrame, vector: str, centres: np.ndarray, n: int) -> D
             for size, places, matrix in _matrices(batch.column(vector)):
                 if size == centres.shape[1]:
                     _, units = _normalized(matrix.astype(np.float64))
-                    found = _nearest(units, centres, min(n, len(centres))).tolist()
+                    found = clusters.nearest(units, centres, min(n, len(centres))).tolist()
                 else:
                     found = [[-size]] * len(places)
                 for place, own in zip(places, found):
@@ -492,7 +450,7 @@ def ann_top_k(
     """
     q, i = _inputs(queries, items, query_id, query_vec, item_id, item_vec, k, carry)
     rows = i.count() if item_rows is None else item_rows
-    centres = centroids(i.select("iid", V.normalize("ivec").alias("unit")), n_lists, rows)
+    centres = clusters.centroids(i.select("iid", V.normalize("ivec").alias("unit")), n_lists, rows)
     stored = _with_lists(i, "ivec", centres, 1).withColumn("list", F.col("lists")[0]).drop("lists")
     asked = _with_lists(q, "qvec", centres, n_probe).withColumn("list", F.explode("lists")).drop("lists")
     found = _in_lists(stored, asked, "cosine", exclude_self, carry, items_per_cell, queries_per_cell)
@@ -500,12 +458,13 @@ def ann_top_k(
     return _renamed(_merge(found).filter(F.col("rank") <= depth), query_id, item_id, carry)
 
 
-def _in_lists(stored, asked, metric, drop_self, carry, items_per_cell, queries_per_cell, seen=None) -> DataFrame:
-    """Best items of each query within the lists it asks for.
+def in_cells(stored, asked, item_columns, query_columns, items_per_cell, queries_per_cell, seen=None) -> DataFrame:
+    """Items and the queries that ask for their list, dealt to cells and ordered within them, as a scan reads them.
 
-    stored (iid, ivec, carried, list) and asked (qid, qvec, k, qtag, list); a list
+    stored (iid, list, item_columns) and asked (qid, list, query_columns); a list
     with many queries copies its items, one with many items its queries, to
-    lanes. seen pairs (qid, iid) are sent to the one cell where they matter.
+    lanes. seen pairs (qid, iid) are sent to the one cell where they matter. The
+    lists' lengths on both sides reach the driver.
     """
     lengths = {}
     for side, frame in enumerate((stored, asked)):
@@ -530,18 +489,23 @@ def _in_lists(stored, asked, metric, drop_self, carry, items_per_cell, queries_p
 
     bucket = F.lit(0).alias("bucket")
     items_in = stored.join(lanes, "list").select("*", each("query_lanes"))
-    items_in = items_in.select("iid", "ivec", *carry, cell(lane("iid", "item_lanes"), F.col("_l")))
+    items_in = items_in.select("iid", *item_columns, cell(lane("iid", "item_lanes"), F.col("_l")))
     queries_in = asked.join(lanes, "list").select("*", each("item_lanes"))
-    queries_in = queries_in.select("qid", "qvec", "k", "qtag", cell(F.col("_l"), lane("qid", "query_lanes")), bucket)
+    queries_in = queries_in.select("qid", *query_columns, cell(F.col("_l"), lane("qid", "query_lanes")), bucket)
     seen_in = None
     if seen is not None:
         placed = seen.distinct().join(stored.select("iid", "list").distinct(), "iid").join(lanes, "list")
         seen_in = placed.select("qid", "iid", cell(lane("iid", "item_lanes"), lane("qid", "query_lanes")), bucket)
-    cells = (
+    return (
         _sides(items_in, queries_in, seen_in)
         .repartition(F.col("cell"))
         .sortWithinPartitions("cell", "bucket", "side", "qid", "qtag")
     )
+
+
+def _in_lists(stored, asked, metric, drop_self, carry, items_per_cell, queries_per_cell, seen=None) -> DataFrame:
+    """Best items of each query within the lists it asks for; stored (iid, ivec, carried, list), asked (qid, qvec, k, qtag, list)."""
+    cells = in_cells(stored, asked, ("ivec", *carry), ("qvec", "k", "qtag"), items_per_cell, queries_per_cell, seen)
     schema, arrow_schema = _result_types(asked, stored, carry)
     return cells.mapInArrow(_scan(metric, drop_self, arrow_schema, carry), schema)
 

@@ -10,6 +10,7 @@ from lodestream import schemas
 from lodestream.functions import batches, draws, text, weighted
 from lodestream.functions import vectors as V
 from lodestream.operators import actions as A
+from lodestream.operators import bounded, quantized, triangle
 from lodestream.operators import keyed_tables as K
 from lodestream.operators import online_metrics as O
 from lodestream.operators import optimizers, ordering, quality
@@ -571,6 +572,62 @@ def ann_recall(spark, sf):
     return both.agg(F.count_distinct("user_id").alias("n_queries"), (F.sum("hit") / F.count("*") >= 0.95).alias("enough"))
 
 
+def _clustered(spark, sf):
+    """Clustered items, an index of them, and the same items as queries."""
+    rows = cut_lineage(D.clustered_items(spark, sf))
+    asked = rows.select(F.col("item_id").alias("query"), "embedding")
+    return rows, quantized.build(rows, n_lists=40, parts=16), asked
+
+
+@query
+def ann_pq_topk(spark, sf):
+    """Eight of 40 lists opened, scored by residual codes, the best re-ranked: on clustered items the exact answer."""
+    _, index, asked = _clustered(spark, sf)
+    return _flat(quantized.search(index, asked, 10, 8, query_id="query"))
+
+
+@query
+def ann_pq_recall(spark, sf):
+    """(n_queries, recall, share_read) with three of 40 lists opened: the share of the exact ten found, and of items read."""
+    rows, index, asked = _clustered(spark, sf)
+    near = quantized.search(index, asked, 10, 3, query_id="query").select("query", "item_id", F.lit(1).alias("hit"))
+    exact = S.top_k(asked, rows, 10, "cosine", "query").select("query", "item_id")
+    recall = exact.join(near, ["query", "item_id"], "left").agg((F.sum(F.coalesce("hit", F.lit(0))) / F.count("*")).alias("recall"))
+    read = quantized.share_read(index, asked, 3, "query")
+    return read.select("n_queries", F.lit(recall.first().recall).alias("recall"), (F.col("items_read") / F.col("items_asked")).alias("share_read"))
+
+
+def _loud_items(spark, sf):
+    """Items of eight lengths."""
+    return D.items(spark, sf).select("item_id", V.scale("embedding", (F.col("item_id") % 8 + 1) / 8).alias("embedding"))
+
+
+@query
+def bounded_topk(spark, sf):
+    """The best five items per profile above a product of 0.03, items of eight lengths; short ones never compared."""
+    return _flat(bounded.above(D.profiles(spark, sf), _loud_items(spark, sf), 5, 0.03, seen=D.actions(spark, sf).select("user_id", "item_id")))
+
+
+@query
+def bounded_unseen(spark, sf):
+    """The rows of recommend_unseen, by bounds on lengths."""
+    acted = D.actions(spark, sf).select("user_id", "item_id")
+    return _flat(bounded.above(D.profiles(spark, sf), D.items(spark, sf), 5, 0.05, seen=acted))
+
+
+@query
+def bounded_pairs(spark, sf):
+    """Pairs of profiles and items of eight lengths, and those that bounds on lengths leave to compare."""
+    return bounded.compared(D.profiles(spark, sf), _loud_items(spark, sf), 0.03)
+
+
+@query
+def similar_items_all(spark, sf):
+    """The five items most alike every item, each pair multiplied once."""
+    out = triangle.self_top_k(D.items(spark, sf), 5)
+    return _flat(out.withColumnRenamed("item_id", "other_id").withColumnRenamed("query_item_id", "item_id"))
+
+
 @query
 def similar_users(spark, sf):
     people = cut_lineage(D.profiles(spark, sf))

@@ -631,6 +631,33 @@ add(
 add("dead_features", "SELECT event_id FROM actions WHERE event_id % 5 <> 0")
 add("dead_training", "SELECT event_id FROM actions WHERE event_id % 9 <> 0")
 add("ann_topk", topk("profiles", "items", "user_id", "item_id", cos("q.embedding", "v.embedding"), 10))
+CLUSTERED = f"""(SELECT v.item_id, list_transform(range(1, {DIM + 1}),
+    lambda d: 2 * c.embedding[d] / {norm('c.embedding')} + v.embedding[d] / {norm('v.embedding')}) AS embedding
+  FROM items v JOIN items c ON c.item_id = v.item_id % 25)"""
+add(
+    "ann_pq_topk",
+    topk(f"(SELECT item_id AS query, embedding FROM {CLUSTERED})", CLUSTERED, "query", "item_id", cos("q.embedding", "v.embedding"), 10),
+)
+LOUD = "(SELECT item_id, list_transform(embedding, lambda x: x * ((item_id % 8 + 1) / 8)) AS embedding FROM items)"
+NEW_PAIR = "(q.user_id, v.item_id) NOT IN (SELECT (user_id, item_id) FROM actions)"
+add("bounded_topk", topk("profiles", LOUD, "user_id", "item_id", dot("q.embedding", "v.embedding"), 5, NEW_PAIR) + " WHERE score > 0.03")
+add(
+    "bounded_unseen",
+    topk("profiles", "items", "user_id", "item_id", dot("q.embedding", "v.embedding"), 5, NEW_PAIR) + " WHERE score > 0.05",
+)
+REACH = f"floor(log2({norm('v.embedding')}) * 8) + 1 >= log2(0.03 / {norm('q.embedding')}) * 8 - 0.000001"
+add(
+    "bounded_pairs",
+    f"""SELECT count(*)::BIGINT AS pairs, (count(*) FILTER ({REACH}))::BIGINT AS compared FROM profiles q, {LOUD} v
+    WHERE {norm('v.embedding')} > 0 AND {norm('q.embedding')} > 0""",
+)
+add(
+    "similar_items_all",
+    topk(
+        "items", "(SELECT item_id AS other_id, embedding FROM items)", "item_id", "other_id",
+        cos("q.embedding", "v.embedding"), 5, "q.item_id <> v.other_id",
+    ),
+)
 add("ann_recall", "SELECT count(*) AS n_queries, true AS enough FROM profiles")
 SOUND = f"(SELECT vec_id, vector AS embedding FROM damaged WHERE coalesce(len(vector), 0) > 0 AND NOT {broken('vector')})"
 add(

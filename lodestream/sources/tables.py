@@ -59,6 +59,14 @@ def items(spark, sf) -> DataFrame:
     )
 
 
+def clustered_items(spark, sf, n: int = 25) -> DataFrame:
+    """Items gathered around n of them: twice the direction of the item of the same remainder, plus the own direction."""
+    own = items(spark, sf).withColumn("group", F.col("item_id") % n)
+    centres = own.filter(F.col("item_id") < n).select("group", V.normalize("embedding").alias("centre"))
+    moved = F.zip_with("centre", V.normalize("embedding"), lambda c, x: 2 * c + x)
+    return own.join(centres, "group").select("item_id", moved.alias("embedding"), "category")
+
+
 def popularity(spark, sf) -> DataFrame:
     """(item_id, popularity): actions on the item over those on the most acted-on item."""
     counts = actions(spark, sf).groupBy("item_id").agg(F.count("*").alias("n"))
