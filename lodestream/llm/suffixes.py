@@ -380,6 +380,7 @@ def _digest(batches):
             "n_removed": [int((stop - start).sum()) for _, start, stop in rows],
             "n_spans": [len(start) for _, start, _ in rows],
             "kept_sha256": [hashlib.sha256(_without(*r)).hexdigest() for r in rows],
+            "text": [_without(*_whole_characters(*r)).decode() for r in rows],
         }
 
 
@@ -423,7 +424,11 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 
 def op2_suffix_array(spark, sf_dir):
-    """What is left of every document without the 400-byte strings that occur elsewhere."""
+    """What is left of every document without the 400-byte strings that occur elsewhere.
+
+    n_removed, n_spans and kept_sha256 are about bytes; text, the last column, is
+    what is left in whole characters: parts of one at a run's ends stay.
+    """
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     spanned = _spanned(docs, "doc_id", "text", LENGTH).select("doc_id", "text", F.col("__spans").alias("spans"))
-    return arrow(spanned, _digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return arrow(spanned, _digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string")

@@ -124,3 +124,14 @@ def test_query_on_whole_table(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").collect()
     assert {r.doc_id: tuple(r)[1:] for r in rows} == dict(zip([d.doc_id for d in docs], plain_rows([d.text for d in docs], 400)))
     assert sum(r.n_removed for r in rows) > 0
+
+
+def test_query_hands_on_the_text(spark, sf):
+    """Whole characters: the text's bytes are the kept ones, but for parts of characters at the ends of runs."""
+    rows = S.op2_suffix_array(spark, sf).collect()
+    assert rows[0].__fields__[-1] == "text" and any(r.n_removed for r in rows)
+    for r in rows:
+        left = r.text.encode()
+        assert r.n_bytes - r.n_removed <= len(left) <= r.n_bytes - r.n_removed + 6 * r.n_spans
+        if left.isascii():
+            assert hashlib.sha256(left).hexdigest() == r.kept_sha256
