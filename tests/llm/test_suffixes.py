@@ -122,7 +122,7 @@ def test_remove_keeps_characters_and_columns(spark, make_docs):
 def test_query_on_whole_table(spark, sf):
     rows = S.op2_suffix_array(spark, sf).collect()
     docs = spark.read.parquet(f"{sf}/documents.parquet").collect()
-    assert {r.doc_id: tuple(r)[1:] for r in rows} == dict(zip([d.doc_id for d in docs], plain_rows([d.text for d in docs], 400)))
+    assert {r.doc_id: tuple(r)[1:5] for r in rows} == dict(zip([d.doc_id for d in docs], plain_rows([d.text for d in docs], 400)))
     assert sum(r.n_removed for r in rows) > 0
 
 
