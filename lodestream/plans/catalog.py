@@ -9,8 +9,9 @@ from pyspark.sql.types import LongType
 from lodestream import schemas
 from lodestream.functions import batches, draws, text, weighted
 from lodestream.functions import vectors as V
+from lodestream.functions.clock import time_slice
 from lodestream.operators import actions as A
-from lodestream.operators import bounded, quantized, triangle
+from lodestream.operators import bounded, orthogonal, quantized, rotation, sparse_steps, trends, triangle
 from lodestream.operators import keyed_tables as K
 from lodestream.operators import online_metrics as O
 from lodestream.operators import optimizers, ordering, quality
@@ -24,6 +25,7 @@ from lodestream.session import cut_lineage, fresh_dir
 from lodestream.sources import snapshots
 from lodestream.sources import tables as D
 from lodestream.sources import topics
+from lodestream.streaming import ordered
 
 QUERIES = {}
 LR = 0.05
@@ -421,6 +423,13 @@ def user_profiles(spark, sf):
     return long(D.profiles(spark, sf), ["user_id", "interaction_count"])
 
 
+@query
+def profiles_by_segments(spark, sf):
+    """The same profiles from hourly segments, folded apart and merged."""
+    hourly = D.actions(spark, sf).withColumn("slice", time_slice("ts", 3600))
+    return long(ordered.profiles_of(ordered.segments(hourly, D.items(spark, sf))), ["user_id", "interaction_count"])
+
+
 @query
 def profile_history(spark, sf):
     out = P.history(D.actions(spark, sf), D.items(spark, sf))
@@ -655,6 +664,15 @@ def trending_items(spark, sf):
     return _flat(R.trending(D.actions(spark, sf), D.items(spark, sf), D.as_of(), 20))
 
 
+@query
+def trending_incremental(spark, sf):
+    """The same list from two kept heats of the halves of the log, as of different seconds."""
+    early = F.col("ts") < F.lit(D.MID).cast("timestamp_ntz")
+    parts = [trends.heat(D.actions(spark, sf).filter(c), at) for c, at in ((early, 1705363200), (~early, 1706500000))]
+    kept = trends.merged(parts[0].unionByName(parts[1]), 1706600000)
+    return _flat(trends.trending(kept, D.items(spark, sf), 1706659200, 20))
+
+
 @query
 def trending_in_category(spark, sf):
     return _flat(R.trending(D.actions(spark, sf), D.items(spark, sf), D.as_of(), 5, category="c3"))
@@ -725,6 +743,12 @@ def sessions(spark, sf):
     return rounded(out, "duration_seconds").select("user_id", "started", "ended", "n_events", "duration_seconds", "bounced")
 
 
+@query
+def sessions_windowed(spark, sf):
+    """The same sessions by session windows, the form that streams use."""
+    return rounded(ordered.sessions(D.actions(spark, sf)), "duration_seconds")
+
+
 @query
 def serving_stats(spark, sf):
     return O.serving_stats(D.request_log(spark, sf))
@@ -939,6 +963,33 @@ def mf_train(spark, sf):
     return u.unionByName(i)
 
 
+@query
+def mf_sequential(spark, sf):
+    """One epoch of the sequential rule over three blocks a side; held against a plain loop in the tests."""
+    order = D.examples(spark, sf).withColumn("n", F.xxhash64("user_id", "item_id", "label"))
+    users, items = rotation.train_sequential(order, D.user_factors(spark, sf), D.item_factors(spark, sf), "n", blocks=3, lr=0.01, reg=REG)
+    u = long(users.select(F.lit("user").alias("side"), F.col("user_id").alias("id"), "vector"), ["side", "id"], "vector")
+    i = long(items.select(F.lit("item").alias("side"), F.col("item_id").alias("id"), "vector"), ["side", "id"], "vector")
+    return u.unionByName(i)
+
+
+@query
+def mf_adam_sparse(spark, sf):
+    """Three Adam steps over thirds of the examples, each touching its own rows; held against the dense rule in the tests."""
+    thirds = D.examples(spark, sf).withColumn("step", F.pmod(F.xxhash64("user_id", "item_id"), F.lit(3)) + 1)
+    users, items = sparse_steps.fit(thirds, "step", 3, D.DIM, "adam", REG, lr=0.01)
+    u = long(users.select(F.lit("user").alias("side"), F.col("user_id").alias("id"), "vector"), ["side", "id"], "vector")
+    i = long(items.select(F.lit("item").alias("side"), F.col("item_id").alias("id"), "vector"), ["side", "id"], "vector")
+    return u.unionByName(i)
+
+
+@query
+def init_orthogonal_gram(spark, sf):
+    """Products of the columns of orthogonal vectors for all customers: the identity."""
+    ids = D.table(spark, sf, "customer").select(F.col("c_custkey").alias("id"))
+    return rounded(orthogonal.gram(orthogonal.init_orthogonal(ids, "id", 16), 16), "value")
+
+
 @query
 def factors_or_init(spark, sf):
     ids = D.table(spark, sf, "customer").select(F.col("c_custkey").alias("item_id"))

@@ -481,6 +481,7 @@ add(
     "SELECT event_id, user_id, item_id, category, weight FROM weighted JOIN items USING (item_id)",
 )
 add("user_profiles", unrolled("profiles", "user_id, interaction_count", "embedding"))
+add("profiles_by_segments", unrolled("profiles", "user_id, interaction_count", "embedding"))
 NUMBERED = """(SELECT w.*, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq, embedding
     FROM weighted w JOIN items USING (item_id))"""
 add(
@@ -601,6 +602,7 @@ add(
 TREND = """SELECT row_number() OVER (ORDER BY round(score, 9) DESC, item_id) AS rank, item_id, {s} AS score,
     'Trending item' AS reason, category FROM trends"""
 add("trending_items", TREND.format(s=r6("score")) + " QUALIFY rank <= 20")
+add("trending_incremental", TREND.format(s=r6("score")) + " QUALIFY rank <= 20")
 add("trending_in_category", TREND.format(s=r6("score")) + " WHERE category = 'c3' QUALIFY rank <= 5")
 add(
     "personalized_trending",
@@ -699,6 +701,11 @@ add(
     "sessions",
     f"SELECT user_id, started, ended, n_events, {r6('duration_seconds')} AS duration_seconds, bounced FROM visits",
 )
+add(
+    "sessions_windowed",
+    f"SELECT user_id, started, ended, n_events, {r6('duration_seconds')} AS duration_seconds, bounced FROM visits",
+)
+add("init_orthogonal_gram", "SELECT i, j, (i = j)::INT::DOUBLE AS value FROM range(16) a(i), range(16) b(j)")
 add(
     "serving_stats",
     """UNPIVOT (SELECT count(*) AS total_requests, count(*) FILTER (event_type <> 'error') AS successful_requests,

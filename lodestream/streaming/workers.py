@@ -22,7 +22,9 @@ from lodestream.operators.actions import action_feature_vectors, training_exampl
 from lodestream.operators.online_metrics import funnel_counts, funnel_rates
 from lodestream.operators.profiles import LEARNING_RATE, fold
 from lodestream.operators.quality import example_error, quarantine
+from lodestream.session import cut_lineage
 from lodestream.sources import keyed_log, snapshots, topics
+from lodestream.sources.bucketed import Table, store
 
 # fixed values: trainer's flush time, rows per flush and seconds between snapshots
 FLUSH = "30 seconds"
@@ -52,8 +54,19 @@ def features(actions: DataFrame, dim: int, seed=0) -> DataFrame:
 PROFILES = "user_id {kind}, embedding array<double>, interaction_count bigint"
 
 
-def profile_updates(root: str, items: DataFrame, learning_rate: float = LEARNING_RATE, tie: str = "event_id", compact_every: int = 64):
-    """foreachBatch function that folds a micro-batch's actions into the stored profiles, in a keyed log under root.
+def profiles_at(root: str, kind: str, buckets: int | None = None):
+    """The table of stored profiles under root."""
+    return store(root, "user_id", PROFILES.format(kind=kind), buckets)
+
+
+def profile_updates(
+    root: str, items: DataFrame, learning_rate: float = LEARNING_RATE, tie: str = "event_id", compact_every: int = 64, buckets: int | None = None
+):
+    """foreachBatch function that folds a micro-batch's actions into the stored profiles under root.
+
+    Profiles are kept in a keyed log, or with a number of buckets in a bucketed
+    table, of which a batch opens its users' buckets only. For profiles that late
+    rows enter at their place see ordered.profile_updates.
 
     The batch goes through the batch fold, from the profiles of its users after
     the batches before it, so a hot user is spread and a repeated batch gives the
@@ -63,17 +76,17 @@ def profile_updates(root: str, items: DataFrame, learning_rate: float = LEARNING
 
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        schema = PROFILES.format(kind=batch.schema["user_id"].dataType.simpleString())
+        table = profiles_at(root, batch.schema["user_id"].dataType.simpleString(), buckets)
         rows = in_utc(batch).persist()
-        stored = keyed_log.current(spark, root, "user_id", schema, before=batch_id, only=rows.select("user_id"))
+        stored = table.read(spark, before=batch_id, only=rows.select("user_id"))
         moved = fold(rows, items, learning_rate, start=stored, tie=tie)
         counted = stored.select("user_id", F.col("interaction_count").alias("_before"))
         total = F.col("interaction_count") + F.coalesce("_before", F.lit(0))
         out = moved.join(counted, "user_id", "left").select("user_id", "embedding", total.alias("interaction_count"))
-        keyed_log.append(out, root, batch_id)
+        table.write(out if buckets is None else cut_lineage(out), batch_id)
         rows.unpersist()
         if batch_id and batch_id % compact_every == 0:
-            keyed_log.compact(spark, root, "user_id", schema, batch_id)
+            table.settle(spark, batch_id)
 
     return run
 
@@ -167,6 +180,28 @@ def windowed_funnel(actions: DataFrame, width: str = "1 day") -> DataFrame:
     )
 
 
+def factors_at(root: str, side: str, kind: str, buckets: int | None = None):
+    """The table of stored factors of a side, user or item, under root."""
+    return store(f"{root}/{side}", f"{side}_id", f"{side}_id {kind}, vector array<double>", buckets)
+
+
+def _seen_before(spark, root, batch, batch_id, pairs, buckets):
+    """Positive pairs that the batch's users have from earlier batches."""
+    users = pairs.select("user_id").distinct()
+    if buckets is not None:
+        return _seen_table(root, batch, buckets).read(spark, before=batch_id, only=users)
+    done = [n for n in keyed_log.finished(spark, f"{root}/archive", "batch") if int(n) < batch_id]
+    if not done:
+        return None
+    past = spark.read.schema(batch.schema).parquet(*[f"{root}/archive/batch={n}" for n in done])
+    return past.filter("label > 0").join(users, "user_id", "left_semi").select("user_id", "item_id")
+
+
+def _seen_table(root, batch, buckets):
+    kinds = ", ".join(f"{c} {batch.schema[c].dataType.simpleString()}" for c in ("user_id", "item_id"))
+    return Table(f"{root}/seen", "user_id", ("user_id", "item_id"), kinds, buckets)
+
+
 def training_batch(
     root: str,
     items: DataFrame,
@@ -177,6 +212,7 @@ def training_batch(
     snapshot_seconds: int = SNAPSHOT_SECONDS,
     key: str = "event_id",
     clock=time.time,
+    buckets: int | None = None,
 ):
     """foreachBatch function: check, add negatives, one gradient step, write back, archive, snapshot.
 
@@ -185,7 +221,9 @@ def training_batch(
     Negatives are items that the batch's users have neither in the archive nor
     in the batch. The trained factors are written back, not the input features.
     When the last snapshot is old enough the logs are compacted and a model
-    version published.
+    version published. With a number of buckets, factors and the pairs that users
+    have had are kept in bucketed tables instead, and a batch opens the buckets of
+    its ids only: what it reads does not grow with the archive.
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
@@ -194,43 +232,38 @@ def training_batch(
         fine, bad = quarantine(batch, example_error())
         archive = f"{root}/archive/batch={int(batch_id)}"
         pairs = fine.select("user_id", "item_id")
-        done = [n for n in keyed_log.finished(spark, f"{root}/archive", "batch") if int(n) < batch_id]
-        if done:
-            past = spark.read.schema(batch.schema).parquet(*[f"{root}/archive/batch={n}" for n in done])
-            own = past.filter("label > 0").join(pairs.select("user_id").distinct(), "user_id", "left_semi")
-            pairs = pairs.unionByName(own.select("user_id", "item_id"))
+        past = _seen_before(spark, root, batch, batch_id, pairs, buckets)
+        if past is not None:
+            pairs = pairs.unionByName(past)
         T.with_negatives(fine, items, pairs, key=key, ratio=ratio).write.mode("overwrite").parquet(archive)
         bad.write.mode("overwrite").parquet(f"{root}/rejected/batch={int(batch_id)}")
         augmented = spark.read.schema(batch.schema).parquet(archive)
         sides = {}
-        for side in ("user", "item"):
-            kind = batch.schema[f"{side}_id"].dataType.simpleString()
-            schema = f"{side}_id {kind}, vector array<double>"
+        tables = {side: factors_at(root, side, batch.schema[f"{side}_id"].dataType.simpleString(), buckets) for side in ("user", "item")}
+        for side, table in tables.items():
             ids = augmented.select(f"{side}_id").distinct()
-            stored = keyed_log.current(spark, f"{root}/{side}", f"{side}_id", schema, before=batch_id, only=ids)
-            sides[side] = T.factors_or_init(ids, stored, f"{side}_id", dim)
-        users, new_items = T.sgd_step(augmented.select("user_id", "item_id", "label"), sides["user"], sides["item"], lr, reg)
-        keyed_log.append(users, f"{root}/user", batch_id)
-        keyed_log.append(new_items, f"{root}/item", batch_id)
+            sides[side] = T.factors_or_init(ids, table.read(spark, before=batch_id, only=ids), f"{side}_id", dim)
+        moved = T.sgd_step(augmented.select("user_id", "item_id", "label"), sides["user"], sides["item"], lr, reg)
+        for table, rows in zip(tables.values(), moved):
+            table.write(rows if buckets is None else cut_lineage(rows), batch_id)
+        if buckets is not None:
+            _seen_table(root, batch, buckets).write(augmented.filter("label > 0").select("user_id", "item_id").distinct(), batch_id)
         batch.unpersist()
-        snapshot_if_due(spark, root, batch, dim, batch_id, snapshot_seconds, int(clock()))
+        snapshot_if_due(spark, root, tables, dim, batch_id, snapshot_seconds, int(clock()))
 
     return run
 
 
-def snapshot_if_due(spark, root, batch, dim, batch_id, every_seconds, now) -> None:
+def snapshot_if_due(spark, root, tables, dim, batch_id, every_seconds, now) -> None:
     models = f"{root}/models"
     last = snapshots.latest_version(spark, models)
     if last is not None and now - int(last[1:]) < every_seconds:
         return
-    tables = []
-    for side in ("user", "item"):
-        kind = batch.schema[f"{side}_id"].dataType.simpleString()
-        schema = f"{side}_id {kind}, vector array<double>"
-        keyed_log.compact(spark, f"{root}/{side}", f"{side}_id", schema, batch_id)
-        tables.append(keyed_log.current(spark, f"{root}/{side}", f"{side}_id", schema))
+    for table in tables.values():
+        table.settle(spark, batch_id)
     name = snapshots.version_name(now)
-    snapshots.write_version(snapshots.snapshot_rows(name, *tables, dim), models, name)
+    rows = [table.read(spark) for table in tables.values()]
+    snapshots.write_version(snapshots.snapshot_rows(name, *rows, dim), models, name)
 
 
 def start_joiner(actions: DataFrame, items: DataFrame, profiles: DataFrame, dim: int, target: str, checkpoint: str, format="parquet", **trigger):
