@@ -18,7 +18,7 @@ from lodestream import schemas
 
 T0 = dt.datetime(2024, 1, 1)
 NIL = "00000000-0000-0000-0000-000000000000"
-UID = "550e8400-e29b-41d4-a716-446655440000"
+UID = "0f8b2c61-7d3e-4a90-9c15-2e6ab47d01f3"
 
 
 def vectors(spark, n, dim, seed, key="item_id"):
