@@ -36,6 +36,8 @@ BLOCK = 1 << 19
 RADIX = 32
 FAN = 256
 SHARE = 16
+#: Runs of a lane at most, whose documents' sums a task holds.
+LANE = 1024
 #: Token pairs of one stretch between common boundaries from which equal ids are merged first.
 WIDE = 256
 #: Entries of a merged head that make a row.
@@ -431,7 +433,10 @@ def align(
     parts, texts = made.filter("radix IS NOT NULL"), made.filter("radix IS NULL")
     runs = texts.filter("slot = 0").count()
     counts = _counts(parts.select("run", "radix", "head"), runs, fan)
-    lanes = max(1, math.ceil(runs / share))
+    # copies of the counts weigh no more than what they are copied to
+    weight = parts.agg(F.sum(F.length("body"))).first()[0] or 0
+    copy = counts.agg(F.sum(F.length("head"))).first()[0] or 1
+    lanes = max(1, math.ceil(runs / LANE), min(math.ceil(runs / share), math.ceil(weight / copy)))
     own = parts.select(F.pmod(F.xxhash64("run"), F.lit(lanes)).cast("int").alias("lane"), "radix", "run", "head", "body")
     each = F.explode(F.sequence(F.lit(0), F.lit(lanes - 1)))
     copied = counts.select(each.alias("lane"), "radix", F.lit(None).cast("long").alias("run"), "head", F.lit(None).cast("binary").alias("body"))
