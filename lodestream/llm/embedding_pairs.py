@@ -7,6 +7,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from lodestream.llm.common import arrow, bounds, complete, cut_lineage, forest, mix, row_key, table, unlink
 from lodestream.llm.components import components
@@ -201,6 +202,13 @@ def _pairs(threshold, shape):
     return run
 
 
+def _label_of(vectors: DataFrame, label: str) -> F.Column:
+    """A whole number that stands for the label: itself, or 64 bits of any other kind."""
+    if isinstance(vectors.schema[label].dataType, IntegralType):
+        return F.col(label).cast("long")
+    return F.when(F.col(label).isNotNull(), F.xxhash64(label))
+
+
 def near_vectors(
     vectors: DataFrame,
     vec_id: str = "vec_id",
@@ -229,7 +237,7 @@ def near_vectors(
     shared buckets is shuffled.
     """
     shape = {"tables": tables, "hashes": hashes, "probes": probes}
-    rows = vectors.select(F.col(vec_id).alias("id"), F.col(embedding).alias("vec"), F.col(label).cast("long").alias("label"))
+    rows = vectors.select(F.col(vec_id).alias("id"), F.col(embedding).alias("vec"), _label_of(vectors, label).alias("label"))
     finite = F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
     usable = F.col("label").isNotNull() & F.col("vec").isNotNull() & finite & F.exists("vec", lambda x: x != 0)
     rows = rows.withColumn("node", F.when(F.coalesce(usable, F.lit(False)), row_key("label", "vec")))

@@ -9,6 +9,9 @@ from lodestream.llm.common import cut_lineage, table, unlink
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
 #: Second-level names that together with a two-letter country make a public suffix.
 SECOND_LEVEL = ("ac", "co", "com", "edu", "gov", "net", "org")
+#: What is taken off a host for grouping, one after the other (user, port, final dots), and hosts that are addresses.
+ASIDE = (r"^[\s\S]*@", r":[0-9]*\z", r"\.+\z")
+ADDRESS = r"^([0-9]+(\.[0-9]+){3}\z|\[)"
 #: A host is blocked if the lower bound of its rate of bad pages is above LIMIT.
 LIMIT, DEVIATIONS = 0.25, 1.0
 #: Bounds of the correlation within a group, from which a prior's weight follows.
@@ -39,15 +42,24 @@ def rule_of(rules=RULES) -> tuple[F.Column, F.Column]:
 
 
 def with_groups(hosts: DataFrame) -> DataFrame:
-    """hosts with suffix and domain: the public suffix, and it with one more label. A host without a dot is its own."""
+    """hosts with suffix and domain: the public suffix, and it with one more label. A host without a dot is its own.
+
+    User, port and final dots do not count, so example.com:8080 is grouped with
+    example.com; an address in numbers or brackets is its own domain and suffix.
+    """
     suffix = (
         r"[^.]+\.(?:" + "|".join(SECOND_LEVEL) + r")\.[a-z]{2}$",
         r"[^.]+\.[^.]+$",
     )
-    long, short = (F.regexp_extract("host", s, 0) for s in suffix)
-    domain = F.when(long != "", long).when(short != "", short).otherwise(F.col("host"))
-    tail = F.regexp_extract("domain", r"\.(.*)$", 1)
-    return hosts.withColumn("domain", domain).withColumn("suffix", F.when(tail != "", tail).otherwise(F.col("domain")))
+    named = hosts.withColumn("_name", F.col("host"))
+    for part in ASIDE:
+        named = named.withColumn("_name", F.regexp_replace("_name", part, ""))
+    own = F.col("_name").rlike(ADDRESS)
+    long, short = (F.regexp_extract("_name", s, 0) for s in suffix)
+    domain = F.when(own, F.col("_name")).when(long != "", long).when(short != "", short).otherwise(F.col("_name"))
+    tail = F.when(~own, F.regexp_extract("domain", r"\.(.*)$", 1)).otherwise("")
+    grouped = named.withColumn("domain", domain).withColumn("suffix", F.when(tail != "", tail).otherwise(F.col("domain")))
+    return grouped.drop("_name")
 
 
 def _shrunk(units: DataFrame, name: str) -> DataFrame:
@@ -153,10 +165,11 @@ p AS (SELECT page_id, translate(raw, '{UPPER}', '{LOWER}') AS host,
     regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path FROM h),
 o AS (SELECT doc_id AS page_id, CASE WHEN quality = 0 OR toxic = 1 THEN 1 WHEN quality = 1 THEN 0 END AS bad FROM labels),
 c AS (SELECT host, count(o.bad)::BIGINT AS n, coalesce(sum(o.bad), 0)::BIGINT AS bad FROM p LEFT JOIN o USING (page_id) GROUP BY host),
-d AS (SELECT *, CASE WHEN regexp_matches(host, '[^.]+\.({"|".join(SECOND_LEVEL)})\.[a-z]{{2}}$')
-    THEN regexp_extract(host, '[^.]+\.(?:{"|".join(SECOND_LEVEL)})\.[a-z]{{2}}$')
-    WHEN regexp_matches(host, '[^.]+\.[^.]+$') THEN regexp_extract(host, '[^.]+\.[^.]+$') ELSE host END AS domain FROM c),
-e AS (SELECT *, CASE WHEN regexp_extract(domain, '\.(.*)$', 1) <> '' THEN regexp_extract(domain, '\.(.*)$', 1) ELSE domain END AS suffix FROM d),
+f AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(host, '{ASIDE[0]}', ''), '{ASIDE[1]}', ''), '{ASIDE[2]}', '') AS name FROM c),
+d AS (SELECT *, CASE WHEN regexp_matches(name, '{ADDRESS}') THEN name WHEN regexp_matches(name, '[^.]+\.({"|".join(SECOND_LEVEL)})\.[a-z]{{2}}$')
+    THEN regexp_extract(name, '[^.]+\.(?:{"|".join(SECOND_LEVEL)})\.[a-z]{{2}}$')
+    WHEN regexp_matches(name, '[^.]+\.[^.]+$') THEN regexp_extract(name, '[^.]+\.[^.]+$') ELSE name END AS domain FROM f),
+e AS (SELECT *, CASE WHEN NOT regexp_matches(name, '{ADDRESS}') AND regexp_extract(domain, '\.(.*)$', 1) <> '' THEN regexp_extract(domain, '\.(.*)$', 1) ELSE domain END AS suffix FROM d),
 su AS (SELECT suffix, sum(n)::BIGINT AS n, sum(bad)::BIGINT AS bad, (SELECT (sum(bad) + 0.5) / (sum(n) + 1) FROM e) AS mu FROM e GROUP BY suffix),{_shrink_sql("sp", "su")},
 du AS (SELECT e.domain, sum(e.n)::BIGINT AS n, sum(e.bad)::BIGINT AS bad, any_value(sp.mean) AS mu FROM e JOIN sp USING (suffix) GROUP BY e.domain),{_shrink_sql("dp", "du")},
 hu AS (SELECT e.host, e.n, e.bad, dp.mean AS mu FROM e JOIN dp USING (domain)),{_shrink_sql("hp", "hu")},

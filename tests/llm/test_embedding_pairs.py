@@ -113,3 +113,14 @@ def test_query_on_whole_table(spark, sf):
     rows = [tuple(r) for r in spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding", "label").collect()]
     got = {r.vec_id: tuple(r)[1:] for r in E.op1_embedding_pairs(spark, sf).collect()}
     assert got == {r[0]: p for r, p in zip(rows, plain(rows))}
+
+
+@pytest.mark.parametrize("kind", ["string", "double"])
+def test_labels_of_any_kind(spark, kind):
+    rng = random.Random(8)
+    names = ["a", "b", None] if kind == "string" else [1.2, 1.7, None]
+    rows = cloud(rng, 16, names)
+    df = spark.createDataFrame(rows, f"vec_id long, embedding array<float>, label {kind}")
+    found = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in E.near_vectors(df).collect()}
+    assert found == {r[0]: p for r, p in zip(rows, plain(rows))}
+    assert any(n for n, _, _ in found.values())

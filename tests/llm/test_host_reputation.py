@@ -49,6 +49,14 @@ def test_groups(spark):
     }
 
 
+def test_user_port_dot_and_addresses(spark):
+    same = ["example.com", "example.com:8080", "me@example.com", "me:pw@example.com:", "example.com.", "example.com.:80", "a.example.com:1"]
+    own = {"10.0.0.1": "10.0.0.1", "10.0.0.1:80": "10.0.0.1", "[::1]": "[::1]", "u@[::1]:8": "[::1]"}
+    rows = H.with_groups(spark.createDataFrame([(h,) for h in [*same, *own]], "host string")).collect()
+    found = {r.host: (r.domain, r.suffix) for r in rows}
+    assert found == dict.fromkeys(same, ("example.com", "com")) | {h: (d, d) for h, d in own.items()}
+
+
 def plain_posterior(units, mu):
     """{unit: (mean, a, b)} of {unit: (n, bad)} with prior means mu."""
     beyond = sum((b - n * mu[u]) ** 2 - n * mu[u] * (1 - mu[u]) for u, (n, b) in units.items())
