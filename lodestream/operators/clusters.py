@@ -1,7 +1,8 @@
 """Centres of vectors, trained in tasks.
 
 Points stay where they are read. A round sends the centres to the tasks, each
-task assigns its points and adds them up, and one row per centre comes back. The
+task assigns its points and adds them up, and one row per centre comes back; a
+small sample is one task's for all rounds. The
 driver holds the centres and, to begin with, CANDIDATES points for each: the
 number of centres is a parameter, so neither grows with the data.
 """
@@ -16,6 +17,8 @@ from lodestream.session import cut_lineage, drop_step
 ROUNDS = 6
 #: Points compared with all centres at once.
 BLOCK = 1024
+#: Numbers in a sample that one task goes over round after round; a larger one takes a job a round.
+SMALL = 1 << 22
 #: Points a centre that the first centres are drawn from; all that the driver ever gets of them.
 CANDIDATES = 4
 
@@ -71,6 +74,28 @@ def _partial(centres: np.ndarray, vector: str, prepare):
     return run
 
 
+def _all_rounds(start: np.ndarray, vector: str, rounds: int, prepare):
+    """The centres after all rounds over the points of one task."""
+    parts, n_centres, width = start.shape
+
+    def run(batches):
+        rows = [prepare(matrix(b.column(vector), parts * width)[1]).reshape(-1, parts, width) for b in batches if b.num_rows]
+        if not rows:
+            return
+        points, centres = np.concatenate(rows), start.copy()
+        for _ in range(rounds):
+            for part in range(parts):
+                home = nearest(points[:, part], centres[part])[:, 0]
+                n, sums = np.bincount(home, minlength=n_centres), np.zeros((n_centres, width))
+                np.add.at(sums, home, points[:, part])
+                centres[part][n > 0] = sums[n > 0] / n[n > 0, None]
+        ends = pa.array(np.arange(parts * n_centres + 1, dtype=np.int32) * width)
+        lists = pa.ListArray.from_arrays(ends, pa.array(centres.ravel()))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(parts * n_centres, dtype=np.int32)), lists], names=["centre", "s"])
+
+    return run
+
+
 def lloyd(points: DataFrame, start: np.ndarray, vector: str = "unit", rounds: int = ROUNDS, prepare=np.asarray) -> np.ndarray:
     """start after rounds of assigning points to their nearest centre and moving centres to the mean of theirs.
 
@@ -83,6 +108,11 @@ def lloyd(points: DataFrame, start: np.ndarray, vector: str = "unit", rounds: in
     parts, n_centres, width = centres.shape
     if not centres.size:
         return centres
+    if points.count() * parts * width <= SMALL:
+        found = points.select(vector).coalesce(1).mapInArrow(_all_rounds(centres, vector, rounds, prepare), "centre int, s array<double>")
+        for r in found.collect():
+            centres.reshape(parts * n_centres, width)[r.centre] = r.s
+        return centres
     for _ in range(rounds):
         made = points.select(vector).mapInArrow(_partial(centres, vector, prepare), "centre int, n long, sums array<double>")
         total = made.groupBy("centre").agg(F.sum("n").alias("n"), F.array(*[F.sum(F.col("sums")[i]) for i in range(width)]).alias("s"))

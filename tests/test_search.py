@@ -45,7 +45,10 @@ def test_nearest_in_blocks(monkeypatch):
     assert (np.argsort(far, axis=1)[:, :5] == whole).all()
 
 
-def test_lloyd_equals_rounds_on_one_machine(spark):
+@pytest.mark.parametrize("small", [0, 1 << 22])
+def test_lloyd_equals_rounds_on_one_machine(spark, small, monkeypatch):
+    """A job a round, or all rounds in one task."""
+    monkeypatch.setattr(clusters, "SMALL", small)
     points = planted(2, 6, 50, 8, 0.4)
     start = points[::50].reshape(1, 6, 8).copy()
     units = frame(spark, points, "iid").withColumnRenamed("embedding", "unit").repartition(5)
@@ -57,8 +60,10 @@ def test_lloyd_equals_rounds_on_one_machine(spark):
     assert np.allclose(found, want, atol=1e-12)
 
 
-def test_lloyd_in_parts(spark):
+@pytest.mark.parametrize("small", [0, 1 << 22])
+def test_lloyd_in_parts(spark, small, monkeypatch):
     """Two halves of a vector have centres of their own."""
+    monkeypatch.setattr(clusters, "SMALL", small)
     points = planted(3, 5, 40, 8, 0.3)
     start = points[::40].reshape(5, 2, 4).transpose(1, 0, 2).copy()
     units = frame(spark, points, "iid").withColumnRenamed("embedding", "unit")
