@@ -15,7 +15,8 @@ from lodestream.session import cut_lineage, ship_package
 from lodestream.session import drop_step as unlink
 
 __all__ = [
-    "arrow", "bounds", "complete", "cut_lineage", "forest", "mix", "row_key", "ship_package", "table", "text_bytes", "unlink"
+    "arrow", "bounds", "complete", "cut_lineage", "forest", "mix", "row_key", "ship_package", "table", "text_bytes", "unlink",
+    "wide_key",
 ]
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -31,6 +32,12 @@ def row_key(*columns) -> F.Column:
     return F.xxhash64(*columns, *nulls)
 
 
+def wide_key(*columns) -> F.Column:
+    """128-bit key of a row, for tables whose size makes equal 64-bit keys of different rows likely."""
+    nulls = [F.isnull(c) for c in columns]
+    return F.struct(F.xxhash64(*columns, *nulls).alias("a"), F.xxhash64(F.lit(1), *columns, *nulls).alias("b"))
+
+
 def arrow(df: DataFrame, function, schema: StructType | str) -> DataFrame:
     """mapInArrow where function(batches) yields dicts of columns.
 

@@ -1,20 +1,26 @@
 """Repeated byte strings by a depth-limited radix sort of suffixes.
 
 A string of `length` bytes is repeated if it starts at two places. Suffixes are
-ordered through that depth only, by digits of falling size, most significant
-first: rows with equal digits stay together, rows alone in their group are done.
+sorted through that depth only, most significant digit first: a pass refines the
+rank so far by the next bytes, rows alone in their group are done, and the groups
+that are left at the full depth are exactly the repeated strings.
 
 To sort fewer suffixes than there are bytes, every string is hung on an anchor:
 the smallest of the hashed 16-byte grams that start in its first `span` bytes
-(the first of equals). Equal strings have their anchors at the same offset, so a
-suffix array over the anchors is enough. The strings of an anchor differ in how
-far before it they start; a *cell* is a range of those offsets. Two digits
-decide a cell: the *core*, the bytes all its strings share, and the *hull*, the
-bytes any of them touches. A core that occurs once means that no string of the
-cell is repeated; a hull that occurs twice means that all are. Cells that are
-neither are split and passed on: 256 offsets, then 32, then single strings, so
-the last pass is exact. A decided hull is represented further on by one of its
-members where others share its core.
+(the first of equals). Equal strings have their anchors at the same offset, so
+strings are compared from there. The bytes of a string are consumed in the order
+in which its neighbours share them:
+
+1. the bytes that all strings of an anchor have, from the anchor on (145 of 400),
+2. those that all strings of a *cell* of 32 offsets before the anchor have besides
+   (the next 224, on both sides),
+3. the bytes that are left (31), string by string and as they are.
+
+The rank after passes 1 and 2 is a 128-bit BLAKE2 digest of the rank before and of
+the bytes consumed; pass 3 groups by rank and bytes. After passes 1 and 2 a cell
+whose *hull*, all bytes that any of its strings touches, occurs twice is done as
+well: all its strings are repeated. One of its members goes on where others share
+its rank. Hulls are compared by 128-bit digests too.
 """
 
 import hashlib
@@ -24,12 +30,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestream.llm.common import arrow, bounds, cut_lineage, mix, row_key, table, text_bytes, unlink
+from lodestream.llm.common import arrow, bounds, cut_lineage, mix, table, text_bytes, unlink, wide_key
 
 LENGTH = 400
 GRAM = 16
 SPAN = 256
 CELL = 32
+#: Type of a row's key.
+KEY = "key struct<a:long,b:long>"
 #: Bytes of a text taken at a time; a longer one is read in overlapping pieces.
 PIECE = 1 << 18
 _PLACE_BITS = 22
@@ -77,11 +85,13 @@ def _window_min(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(right[:n], left[width - 1 : width - 1 + n])
 
 
-def _blended(digit, *marks):
-    """A digit that also tells the marks."""
-    for mark in marks:
-        digit = mix(digit ^ (np.asarray(mark).astype(np.uint64) + np.uint64(0x5851F42D4C957F2D)))
-    return digit.view(np.int64)
+def _digests(pieces) -> np.ndarray:
+    """128-bit digests of byte strings."""
+    return np.array([hashlib.blake2b(p, digest_size=16).digest() for p in pieces] or [b""], object)[: len(pieces)]
+
+
+def _tagged(tag, raw: bytes) -> bytes:
+    return int(tag).to_bytes(2, "little") + raw
 
 
 class Layout:
@@ -132,12 +142,13 @@ def _anchors_of(layout, data, starts, batch):
         anchor, lo, hi, piece, row, place = (x[mine] for x in (anchor, lo, hi, piece, row, place))
         left = np.maximum(anchor - before, at[piece])
         right = np.minimum(anchor + length, at[piece + 1])
+        raw = text.tobytes()
         return {
             "key": batch.column("key").take(pa.array(row)),
             "pos": place,
             "cell": lo | hi << 16,
-            "core": _blended(_stretch(sums, anchor, anchor + length - before)),
-            "hull": _blended(_stretch(sums, left, right), anchor - left, right - anchor),
+            "core": _digests([raw[a : a + length - before] for a in anchor.tolist()]),
+            "hull": _digests([_tagged(a - l, raw[l:r]) for a, l, r in zip(anchor.tolist(), left.tolist(), right.tolist())]),
         }
 
     held, size = [], 0
@@ -160,11 +171,15 @@ def _anchors(layout):
     return run
 
 
+def _entries(column):
+    """The structs of a column of lists."""
+    return column.flatten()
+
+
 def _flat(column, name):
     """A field of a list of structs, flattened, and the row each entry belongs to."""
-    entries = column.flatten()
     owner = pa.compute.list_parent_indices(column).to_numpy()
-    return entries.field(name).to_numpy(zero_copy_only=False), owner
+    return _entries(column).field(name).to_numpy(zero_copy_only=False), owner
 
 
 def _contexts(layout):
@@ -178,6 +193,7 @@ def _contexts(layout):
             pos, owner = _flat(todo, "pos")
             cell, _ = _flat(todo, "cell")
             known, _ = _flat(todo, "known")
+            rank = _entries(todo).field("rank")
             left = np.maximum(pos - schema_from, 0)
             size = np.diff(starts)[owner]
             right = np.minimum(pos + schema_to, size)
@@ -189,6 +205,7 @@ def _contexts(layout):
                     "pos": pos[part],
                     "cell": cell[part],
                     "known": known[part],
+                    "rank": rank.slice(some, len(owner[part])),
                     "before": pos[part] - left[part],
                     "around": [data[b + l : b + r].tobytes() for b, l, r in zip(base[part], left[part], right[part])],
                 }
@@ -197,7 +214,7 @@ def _contexts(layout):
 
 
 def _grids(batch, layout, rows=1024):
-    """(slice, rolling sums, first column, last column): contexts with their anchors below one another."""
+    """(slice, grid of bytes, first column, last column): contexts with their anchors below one another."""
     width = layout.before + layout.length
     data, starts = text_bytes(batch.column("around"))
     before = batch.column("before").to_numpy()
@@ -208,79 +225,101 @@ def _grids(batch, layout, rows=1024):
         grid = np.zeros((len(size), width), np.uint8)
         column = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(first, size)
         grid[np.repeat(np.arange(len(size)), size), column] = data[starts[part.start] : starts[part.stop]]
-        yield part, _prefix(grid), first, first + size
+        yield part, grid, first, first + size
+
+
+def _consumed(layout, j) -> tuple[int, int]:
+    """Columns that two passes have consumed of the strings of cell j."""
+    first = layout.before - j * CELL
+    return first, max(layout.length, first + layout.length - (CELL - 1))
 
 
 def _cells(layout):
-    """Core and hull digits of each smaller cell of the contexts."""
+    """Rank after the second pass, and hull, of each smaller cell of the contexts."""
     length, before = layout.length, layout.before
 
     def run(batches):
         for batch in batches:
             cell = batch.column("cell").to_numpy()
-            for part, sums, first, last in _grids(batch, layout):
-                _, down = _powers(sums.shape[1])
-                rows = np.arange(len(first))
+            rank = batch.column("rank").to_pylist()
+            for part, grid, first, last in _grids(batch, layout):
+                raw, width = grid.tobytes(), grid.shape[1]
                 lo, hi = cell[part] & 0xFFFF, cell[part] >> 16
                 for j in range(-(-layout.span // CELL)):
                     some = np.flatnonzero((lo < (j + 1) * CELL) & (hi > j * CELL))
                     if len(some) == 0:
                         continue
-                    a = before - j * CELL
-                    b = a + length - (CELL - 1)
-                    core = mix((sums[some, b] - sums[some, a]) * down[a])
-                    left = np.maximum(first[some], a - (CELL - 1))
-                    right = np.minimum(last[some], a + length)
-                    hull = mix((sums[some, right] - sums[some, left]) * down[left])
-                    take = pa.array(rows[some] + part.start)
+                    a, b = _consumed(layout, j)
+                    left = np.maximum(first[some], before - j * CELL - (CELL - 1))
+                    right = np.minimum(last[some], before - j * CELL + length)
+                    added, touched = [], []
+                    for row, l, r in zip(some.tolist(), left.tolist(), right.tolist()):
+                        at = row * width
+                        consumed = raw[at + a : at + before] + raw[at + length : at + b]
+                        added.append(_tagged(j, rank[part.start + row] + consumed))
+                        touched.append(_tagged(l, raw[at + l : at + r]))
+                    take = pa.array(some + part.start)
                     yield {
                         "key": batch.column("key").take(take),
                         "pos": batch.column("pos").take(take),
                         "known": batch.column("known").take(take),
                         "cell": np.maximum(lo[some], j * CELL) | np.minimum(hi[some], (j + 1) * CELL) << 16,
-                        "core": _blended(core, np.full(len(some), j)),
-                        "hull": _blended(hull, left, right),
+                        "core": _digests(added),
+                        "hull": _digests(touched),
                     }
 
     return run
 
 
+def _rows_as_binary(grid: np.ndarray) -> pa.Array:
+    n, width = grid.shape
+    fixed = pa.FixedSizeBinaryArray.from_buffers(pa.binary(width), n, [None, pa.py_buffer(grid.tobytes())])
+    return fixed.cast(pa.binary())
+
+
 def _strings(layout):
-    """The digit of every single string of the cells still open."""
+    """The bytes left of every single string of the cells still open, after its offset in the cell."""
     length, before = layout.length, layout.before
+    ends = np.array([_consumed(layout, j) for j in range(-(-layout.span // CELL))])
 
     def run(batches):
         for batch in batches:
-            cells, owner = _flat(batch.column("todo"), "cell")
-            known, _ = _flat(batch.column("todo"), "known")
+            todo = batch.column("todo")
+            cells, owner = _flat(todo, "cell")
+            known, _ = _flat(todo, "known")
+            rank = _entries(todo).field("rank")
             pos = batch.column("pos").to_numpy()
-            for part, sums, _, _ in _grids(batch, layout):
-                _, down = _powers(sums.shape[1])
+            for part, grid, _, _ in _grids(batch, layout):
                 here = np.flatnonzero((owner >= part.start) & (owner < part.stop))
                 lo, hi = cells[here] & 0xFFFF, cells[here] >> 16
-                row = np.repeat(owner[here], hi - lo)
+                entry = np.repeat(here, hi - lo)
+                row = owner[entry]
                 offset = np.arange(len(row)) - np.repeat(np.cumsum(hi - lo) - (hi - lo), hi - lo) + np.repeat(lo, hi - lo)
-                a = before - offset
-                own = row - part.start
-                digit = mix((sums[own, a + length] - sums[own, a]) * down[a])
+                ahead, end = (offset % CELL)[:, None], ends[offset // CELL, 1][:, None]
+                step = np.arange(CELL - 1)[None, :]
+                start = (before - offset)[:, None]
+                column = np.where(step < ahead, start + step, end + step - ahead)
+                inside = column < start + length
+                left = grid[(row - part.start)[:, None], np.where(inside, column, 0)] * inside
                 yield {
                     "key": batch.column("key").take(pa.array(row)),
                     "start": pos[row] - offset,
-                    "known": np.repeat(known[here], hi - lo),
-                    "digit": _blended(digit),
+                    "known": known[entry],
+                    "rank": rank.take(pa.array(entry)),
+                    "digit": _rows_as_binary(np.hstack([ahead, left]).astype(np.uint8)),
                 }
 
     return run
 
 
 def _decide(cells: DataFrame, length: int) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
-    """(repeated spans, cells to split, tables to remove) of cells with core and hull digits.
+    """(repeated spans, cells to split, tables to remove) of cells with their ranks (core) and hulls.
 
     Counts are combined before the shuffle and written; the joins with them have
     a shuffle on both sides, so that a digit with a third of all rows is split.
     """
     cores = cut_lineage(cells.groupBy("core").agg(F.count("*").alias("n_core")).filter("n_core > 1"))
-    shared = cut_lineage(cells.join(cores, "core").drop("core"))
+    shared = cut_lineage(cells.join(cores, "core"))
     member = F.struct("key", "pos", "cell")
     hulls = cut_lineage(
         shared.groupBy("hull").agg(F.count("*").alias("n_hull"), F.min(member).alias("first")).filter("n_hull > 1")
@@ -292,7 +331,7 @@ def _decide(cells: DataFrame, length: int) -> tuple[DataFrame, DataFrame, list[D
     )
     chosen = F.col("n_hull").isNotNull() & (F.col("n_core") > F.col("n_hull")) & (F.col("first") == member)
     rest = judged.filter(F.col("n_hull").isNull() | chosen).select(
-        "key", "pos", "cell", (F.col("known") | F.col("n_hull").isNotNull()).alias("known")
+        "key", "pos", "cell", (F.col("known") | F.col("n_hull").isNotNull()).alias("known"), F.col("core").alias("rank")
     )
     return spans, rest, [cores, shared, hulls]
 
@@ -304,12 +343,13 @@ def _todo(rest: DataFrame, *by: str) -> DataFrame:
 def repeated_spans(rows: DataFrame, length: int = LENGTH) -> DataFrame:
     """(key, spans): the byte ranges of each text that repeated strings cover, in no order, overlapping.
 
-    rows are (key, text) with a 64-bit key of the row's identity; two rows of one
+    rows are (key, text) with a 128-bit key of the row's identity; two rows of one
     key must have one text and each counts as a place. Text without repeated
-    strings gives no row. What is collected to one row belongs to one text.
+    strings gives no row. Spans are merged stretch by stretch of a text before
+    they come to one row, so a text that repeats throughout has few.
     """
     layout = Layout(length)
-    anchors = arrow(rows, _anchors(layout), "key long, pos long, cell int, core long, hull long")
+    anchors = arrow(rows, _anchors(layout), f"{KEY}, pos long, cell int, core binary, hull binary")
     top = cut_lineage(anchors.withColumn("known", F.lit(False)))
     spans0, rest0, used0 = _decide(top, length)
     spans0 = cut_lineage(spans0)
@@ -318,27 +358,45 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH) -> DataFrame:
         arrow(
             rows.join(wanted, "key").select("key", "text", "todo"),
             _contexts(layout),
-            "key long, pos long, cell int, known boolean, before int, around binary",
+            f"{KEY}, pos long, cell int, known boolean, rank binary, before int, around binary",
         )
     )
     for done in (top, *used0):
         unlink(done)
-    small = cut_lineage(arrow(around, _cells(layout), "key long, pos long, known boolean, cell int, core long, hull long"))
+    small = cut_lineage(arrow(around, _cells(layout), f"{KEY}, pos long, known boolean, cell int, core binary, hull binary"))
     spans1, rest1, used1 = _decide(small, length)
     spans1 = cut_lineage(spans1)
-    places = around.dropDuplicates(["key", "pos"]).drop("cell", "known")
+    places = around.dropDuplicates(["key", "pos"]).drop("cell", "known", "rank")
     open_cells = places.join(_todo(rest1, "key", "pos"), ["key", "pos"])
-    strings = cut_lineage(arrow(open_cells, _strings(layout), "key long, start long, known boolean, digit long"))
+    strings = cut_lineage(arrow(open_cells, _strings(layout), f"{KEY}, start long, known boolean, rank binary, digit binary"))
     for done in (small, around, *used1):
         unlink(done)
-    twice = cut_lineage(strings.groupBy("digit").agg(F.count("*").alias("n")).filter("n > 1").select("digit"))
-    spans2 = strings.filter("NOT known").join(twice, "digit").select("key", "start", (F.col("start") + length).alias("stop"))
-    return (
+    twice = cut_lineage(strings.groupBy("rank", "digit").agg(F.count("*").alias("n")).filter("n > 1").drop("n"))
+    spans2 = strings.filter("NOT known").join(twice, ["rank", "digit"]).select("key", "start", (F.col("start") + length).alias("stop"))
+    span = F.struct("start", "stop")
+    stretches = (
         spans0.unionByName(spans1)
         .unionByName(spans2)
-        .groupBy("key")
-        .agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
+        .groupBy("key", F.floor(F.col("start") / PIECE).alias("stretch"))
+        .agg(F.collect_set(span).alias("spans"))
     )
+    runs = arrow(stretches.select("key", "spans"), _runs, f"{KEY}, start long, stop long")
+    return runs.groupBy("key").agg(F.collect_list(span).alias("spans"))
+
+
+def _runs(batches):
+    """Maximal runs of each row's spans."""
+    for batch in batches:
+        start, owner = _flat(batch.column("spans"), "start")
+        stop, _ = _flat(batch.column("spans"), "stop")
+        cut = bounds(owner)
+        merged = [_merged(start[a:b], stop[a:b]) for a, b in zip(cut, cut[1:])]
+        row = np.repeat(owner[cut[:-1]], [len(a) for a, _ in merged])
+        yield {
+            "key": batch.column("key").take(pa.array(row)),
+            "start": np.concatenate([a for a, _ in merged]),
+            "stop": np.concatenate([b for _, b in merged]),
+        }
 
 
 def _merged(start, stop):
@@ -398,7 +456,7 @@ def _whole_characters(own, start, stop):
 
 def _spanned(docs: DataFrame, doc_id: str, text: str, length: int) -> DataFrame:
     """docs with the columns __key, text and spans."""
-    keyed = docs.withColumn("__key", row_key(doc_id, text))
+    keyed = docs.withColumn("__key", wide_key(doc_id, text))
     found = repeated_spans(keyed.select(F.col("__key").alias("key"), F.col(text).alias("text")), length)
     return keyed.join(found.select(F.col("key").alias("__key"), F.col("spans").alias("__spans")), "__key", "left")
 

@@ -135,3 +135,21 @@ def test_query_hands_on_the_text(spark, sf):
         assert r.n_bytes - r.n_removed <= len(left) <= r.n_bytes - r.n_removed + 6 * r.n_spans
         if left.isascii():
             assert hashlib.sha256(left).hexdigest() == r.kept_sha256
+
+
+def test_last_bytes_decide(spark, make_docs):
+    """Strings that share all but their first or last byte are told apart by bytes, not by digests."""
+    rng = random.Random(12)
+    core = words(rng, 120)[:399]
+    own = [words(rng, 90) + f"{a}" + core + f"{b}" + words(rng, 90) for a, b in ("13", "23", "14", "25")]
+    got = {r.doc_id: tuple(r)[1:] for r in digest(spark, make_docs(list(enumerate(own))), 400).collect()}
+    want = dict(enumerate(plain_rows(own, 400)))
+    assert got == want and [w[1] > 0 for w in want.values()] == [True, True, True, False]
+
+
+def test_text_that_repeats_throughout_has_few_spans(spark, monkeypatch):
+    monkeypatch.setattr(S, "PIECE", 4096)
+    rows = spark.createDataFrame([(1, "a" * 20_000), (2, "b" * 100)], "id long, text string")
+    found = S.repeated_spans(rows.select(S.wide_key("id").alias("key"), "text"), 400).collect()
+    assert len(found) == 1 and len(found[0].spans) <= 5
+    assert min(s.start for s in found[0].spans) == 0 and max(s.stop for s in found[0].spans) == 20_000
