@@ -18,6 +18,8 @@ SEGMENT = 512
 #: Characters a worker parses at once, and rows it turns into text at once.
 BLOCK = 1 << 20
 ROWS = 500
+#: Entries of the largest transition table; a language with more states times letters keeps sorted edges.
+TABLE = 1 << 23
 #: Letters that weigh in the score; the prediction uses them all.
 SCORE_LETTERS = 32
 
@@ -59,12 +61,54 @@ def sample(docs: DataFrame, text: str = "text", lang: str = "lang", row_id: str
     return tuple((l, tuple(own)) for l, own in sorted(pieces.items()))
 
 
-def _automaton(codes, letters: int) -> np.ndarray:
+class _Dense:
+    """Transitions as a table: one step is one look-up."""
+
+    def __init__(self, follow, letters):
+        self.letters = letters
+        root = np.full(letters, 2 * _ONE, np.int32)
+        for c, to in follow[0].items():
+            root[c] = to * letters | _ONE
+        way = np.tile(root, (len(follow), 1))
+        way[0] = _ONE  # no phrase was open: only the new letter counts
+        for state, edges in enumerate(follow):
+            for c, to in edges.items():
+                way[state, c] = to * letters
+        self.way = way.ravel()
+
+    def step(self, state, codes):
+        found = self.way.take(state + codes, mode="clip")
+        return found & _STATE, found >> _END
+
+
+class _Sparse:
+    """Transitions as sorted edges, at most three a letter of the sample: for alphabets whose table would be large."""
+
+    def __init__(self, follow, letters):
+        self.letters = letters
+        edges = sorted((s * letters + c, to) for s, own in enumerate(follow) for c, to in own.items())
+        self.edge = np.array([e for e, _ in edges] or [-1], np.int64)
+        self.to = np.array([t for _, t in edges] or [0], np.int32)
+        self.root = np.zeros(letters, np.int32)
+        for c, to in follow[0].items():
+            self.root[c] = to
+
+    def step(self, state, codes):
+        wanted = state.astype(np.int64) * self.letters + codes
+        at = np.minimum(np.searchsorted(self.edge, wanted), len(self.edge) - 1)
+        on = self.edge[at] == wanted
+        again = self.root[codes]
+        ended = np.where(state == 0, 1, np.where(again == 0, 2, 1))
+        return np.where(on, self.to[at], again), np.where(on, 0, ended)
+
+
+def _automaton(codes, letters: int):
     """Transitions of the suffix automaton of a text, made for greedy parsing.
 
-    Entry (state, letter) holds the next state times letters. Where the
-    automaton has no way on, a phrase ends: the entry leads on from the root and
-    carries one phrase above bit _END, or two if even the single letter is new.
+    step(states, letters) gives the next states and the phrases that ended.
+    Where the automaton has no way on, a phrase ends: the step leads on from the
+    root and counts one phrase, or two if even the single letter is new. A table
+    of at most TABLE entries is used as such, else the edges; both step alike.
     """
     follow, link, length = [{}], [-1], [0]
     last = 0
@@ -91,40 +135,35 @@ def _automaton(codes, letters: int) -> np.ndarray:
                     at = link[at]
                 link[old] = link[new] = copy
         last = new
-    root = np.full(letters, 2 * _ONE, np.int32)
-    for c, to in follow[0].items():
-        root[c] = to * letters | _ONE
-    way = np.tile(root, (len(follow), 1))
-    way[0] = _ONE  # no phrase was open: only the new letter counts
-    for state, edges in enumerate(follow):
-        for c, to in edges.items():
-            way[state, c] = to * letters
-    return way.ravel()
+    return (_Dense if len(follow) * letters <= TABLE else _Sparse)(follow, letters)
 
 
 class Parser:
-    """Counts, for every text and language, the phrases of a greedy longest-match parse."""
+    """Counts, for every text and language, the phrases of a greedy longest-match parse.
+
+    Each language tells all letters of its own sample apart; a letter that its
+    sample has not is a phrase by itself.
+    """
 
     def __init__(self, pieces):
         self.langs = [l for l, _ in pieces]
         train = [" ".join(own).lower() for _, own in pieces]
-        seen = {}
-        for t in train:
-            for c in t:
-                if c.isalpha():
-                    seen[c] = seen.get(c, 0) + 1
-        known = sorted(sorted(seen, key=lambda c: (-seen[c], c))[:200])
-        code = {c: FIRST + k for k, c in enumerate(known)}
-        self.letters = FIRST + len(known)
-        self.lut = np.zeros(0x110000, np.uint8)
+        heard = [sorted({c for c in t if c.isalpha()}) for t in train]
+        code = {c: FIRST + k for k, c in enumerate(sorted(set().union(*heard)))}
+        self.kind = np.uint16 if len(code) < 0xFFF0 else np.uint32
+        self.lut = np.zeros(0x110000, self.kind)
         for point in range(0x110000):
             c = chr(point)
             if c.isalpha():
                 self.lut[point] = code.get(c.lower(), OTHER)
-        self.ways, self.bits = [], []
-        for t in train:
-            codes = self._codes([t])[0]
-            self.ways.append(_automaton(codes.tolist(), self.letters))
+        self.own, self.ways, self.bits = [], [], []
+        for t, letters in zip(train, heard):
+            own = np.full(FIRST + len(code), OTHER, np.int32)
+            own[0] = 0
+            own[[code[c] for c in letters]] = np.arange(FIRST, FIRST + len(letters))
+            codes = own[self._codes([t])[0]]
+            self.own.append(own)
+            self.ways.append(_automaton(codes.tolist(), FIRST + len(letters)))
             self.bits.append(np.log2(max(2, len(codes))))
 
     def _codes(self, texts):
@@ -151,17 +190,16 @@ class Parser:
         if len(size) == 0:
             return lengths, phrases
         abreast = np.searchsorted(-size, -np.arange(size[0]), side="left")
-        grid = np.zeros((size[0], len(size)), np.uint8)
+        grid = np.zeros((size[0], len(size)), self.kind)
         for t in range(size[0]):
             grid[t, : abreast[t]] = codes[start[: abreast[t]] + t]
-        for k, way in enumerate(self.ways):
+        for k, (own, way) in enumerate(zip(self.own, self.ways)):
             state = np.zeros(len(size), np.int32)
             count = np.zeros(len(size), np.int32)
             for t in range(size[0]):
                 n = abreast[t]
-                step = way.take(state[:n] + grid[t, :n], mode="clip")
-                count[:n] += step >> _END
-                np.bitwise_and(step, _STATE, out=state[:n])
+                state[:n], ended = way.step(state[:n], own.take(grid[t, :n]))
+                count[:n] += ended
             phrases[k] = np.bincount(owner, count + (state != 0), len(texts)).astype(np.int64)
         return lengths, phrases
 

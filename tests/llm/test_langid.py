@@ -86,3 +86,34 @@ def test_held_out_accuracy(spark, sf):
         assert 0 <= r.score <= 1
     held = [r for r in got if r.held_out and r.lang]
     assert np.mean([r.lang == r.lang_pred for r in held]) > 0.9
+
+
+def large_alphabets(rng):
+    """Eight made-up languages: four share Latin letters, two have 300 Han letters each, two 300 Hangul letters."""
+    alphabets = [[chr(97 + c) for c in rng.sample(range(26), 18)] for _ in range(4)]
+    for first in (0x4E00, 0xAC00):
+        letters = [chr(first + c) for c in rng.sample(range(3000), 600)]
+        alphabets += [letters[:300], letters[300:]]
+    return {f"l{k}": ["".join(rng.choice(a) for _ in range(rng.randrange(2, 6))) for _ in range(400)] for k, a in enumerate(alphabets)}
+
+
+def test_every_letter_of_a_large_alphabet_counts():
+    rng = random.Random(21)
+    words = large_alphabets(rng)
+    parser = L.Parser(tuple((l, (" ".join(rng.choices(w, k=6000)),)) for l, w in words.items()))
+    for lang in ("l4", "l5", "l6", "l7"):
+        texts = [" ".join(rng.choices(words[lang], k=2)) for _ in range(200)]
+        assert parser.predict(texts)[0] == [lang] * 200
+
+
+def test_edges_step_as_the_table_does(monkeypatch):
+    rng = random.Random(5)
+    words = large_alphabets(rng)
+    pieces = tuple((l, (" ".join(rng.choices(w, k=300)),)) for l, w in words.items())
+    texts = [" ".join(rng.choices(words[rng.choice(list(words))], k=rng.randrange(1, 40))) for _ in range(100)] + ["ж zq 漢", ""]
+    found = []
+    for entries in (0, 1 << 40):
+        monkeypatch.setattr(L, "TABLE", entries)
+        size, phrases = L.Parser(pieces).parse(texts)
+        found.append((size.tolist(), phrases.tolist()))
+    assert found[0] == found[1]
