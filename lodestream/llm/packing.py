@@ -10,10 +10,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestream.llm.common import arrow, table
+from lodestream.llm.token_counts import token_counts
 from lodestream.llm.tokens import encoder, vocabulary
 
 #: Tokens, segments and loss-bearing tokens a sequence may hold.
 LIMITS = (1024, 64, 1024)
+#: For texts whose sequences should be full however short the texts are: no piece is shorter than a token.
+FULL_LIMITS = (1024, 1024, 1024)
+#: For whole conversations.
+CONVERSATION_LIMITS = (3072, 16, 2304)
 #: Examples a task chooses from.
 POOL = 2048
 
@@ -189,6 +194,28 @@ def pack_examples(examples: DataFrame, tokens: str, segments: str, loss: str, li
     return arrow(examples, run, schema)
 
 
+def conversation_sizes(turns: DataFrame, path: str | None = None) -> DataFrame:
+    """(conv_id, n_tokens, n_turns, n_loss): the tokens of each conversation, its turns and the answers' tokens.
+
+    A null text has no tokens, a null role is no answer; turns without conv_id
+    are one conversation. Turns are counted where they are read and summed
+    before the shuffle, so a conversation of any length is one row.
+    """
+    own = F.struct("conv_id", F.coalesce(F.col("role") == "assistant", F.lit(False)).alias("answer")).alias("turn")
+    counted = token_counts(turns.select(own, "text"), "turn", "text", path).select("doc_id.conv_id", "doc_id.answer", "n_tokens")
+    return counted.groupBy("conv_id").agg(
+        F.sum("n_tokens").alias("n_tokens"),
+        F.count("*").alias("n_turns"),
+        F.sum(F.when(F.col("answer"), F.col("n_tokens")).otherwise(0)).alias("n_loss"),
+    )
+
+
+def packed_conversations(spark, sf_dir):
+    """All conversations as instruction data: whole ones packed under limits on tokens, turns and answers' tokens."""
+    sizes = conversation_sizes(table(spark, sf_dir, "conversations"))
+    return pack_examples(sizes, "n_tokens", "n_turns", "n_loss", CONVERSATION_LIMITS)
+
+
 def op9_packing(spark, sf_dir):
     """Pieces of all documents in sequences of up to 1,024 ids."""
-    return pack_texts(table(spark, sf_dir, "documents"), special=True)
+    return pack_texts(table(spark, sf_dir, "documents"), limits=FULL_LIMITS, special=True)

@@ -6,7 +6,7 @@ from lodestream.llm.host_reputation import OP3_SQL, op3_host_reputation
 from lodestream.llm.html_text import op5_html_text
 from lodestream.llm.langid import op7_language_id
 from lodestream.llm.mixing import OP6_SQL, op6_mixing
-from lodestream.llm.packing import op9_packing
+from lodestream.llm.packing import op9_packing, packed_conversations
 from lodestream.llm.prefix_trie import op11_prefix_trie
 from lodestream.llm.quality_rules import op8_quality_rules
 from lodestream.llm.simhash import op4_simhash
@@ -28,6 +28,7 @@ QUERIES = {
     "op11_prefix_trie": op11_prefix_trie,
     "op12_alignment": op12_alignment,
     "op13_token_counts": op13_token_counts,
+    "packed_conversations": packed_conversations,
 }
 #: Oracles of what SQL can state; the others are held against brute force in the tests.
 ORACLES = {"op3_host_reputation": OP3_SQL, "op6_mixing": OP6_SQL}

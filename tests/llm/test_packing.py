@@ -144,6 +144,43 @@ def test_conversations_as_instruction_data(spark, sf):
     assert len({r.conv_id for r in out}) == sizes.count() == len(out)
 
 
+def test_short_texts_fill_their_sequences(make_docs, plain):
+    docs = [(i, None if i % 3 else "a") for i in range(5000)]
+    rows = P.pack_texts(make_docs(docs).coalesce(1), limits=P.FULL_LIMITS).collect()
+    total = sum(r.length for r in rows)
+    assert len(rows) == 5000 and len({r.sequence_id for r in rows}) == -(-total // 1024)
+    at = {}
+    for r in sorted(rows, key=lambda r: (r.sequence_id, r.offset)):
+        assert r.offset == at.get(r.sequence_id, 0)
+        at[r.sequence_id] = r.offset + r.length
+
+
+def test_packed_conversations(spark, sf, plain):
+    """Sizes equal the library's; every limit holds, and each excludes something."""
+    turns = spark.read.parquet(f"{sf}/conversations.parquet").collect()
+    want = defaultdict(lambda: [0, 0, 0])
+    for r in turns:
+        n = len(plain(r.text))
+        own = want[r.conv_id]
+        own[0], own[1], own[2] = own[0] + n, own[1] + 1, own[2] + n * (r.role == "assistant")
+    out = P.packed_conversations(spark, sf).collect()
+    assert {r.conv_id: [r.n_tokens, r.n_turns, r.n_loss] for r in out} == want and len(out) == len(want)
+    groups = defaultdict(list)
+    for r in out:
+        groups[r.sequence_id].append((r.n_tokens, r.n_turns, r.n_loss))
+    sums = [(len(own), *map(sum, zip(*own))) for own in groups.values()]
+    assert all(n == 1 or all(s <= m for s, m in zip(own, P.CONVERSATION_LIMITS)) for n, *own in sums)
+    # each limit excludes something: without it the packing is another
+    sizes = P.conversation_sizes(spark.read.parquet(f"{sf}/conversations.parquet")).orderBy("conv_id").coalesce(1)
+    packed = []
+    for k in (None, 0, 1, 2):
+        limits = [10**9 if k == j else m for j, m in enumerate(P.CONVERSATION_LIMITS)]
+        packed.append(sorted((r.conv_id, r.sequence_id) for r in P.pack_examples(sizes, "n_tokens", "n_turns", "n_loss", limits).collect()))
+    assert packed[0] not in packed[1:]
+    odd = spark.createDataFrame([(1, "assistant", None), (1, None, "a b"), (None, "user", ""), (2, "user", "x")], "conv_id long, role string, text string")
+    assert sorted((r.conv_id or 0, r.n_turns, r.n_loss) for r in P.conversation_sizes(odd).collect()) == [(0, 1, 0), (1, 2, 0), (2, 1, 0)]
+
+
 def test_query_on_whole_table(spark, sf, plain):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     check_pieces(P.op9_packing(spark, sf).collect(), docs, plain)
