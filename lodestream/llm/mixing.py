@@ -5,7 +5,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestream.llm.common import cut_lineage, row_key, table, unlink
+from lodestream.llm.common import cut_lineage, table, unlink, wide_key
 
 LEVELS = ("domain", "lang", "source")
 #: Weight per mille by level and name; None is the weight of any other name.
@@ -145,7 +145,7 @@ def select_mix(docs: DataFrame, rate: float = 0.5, weights: dict = WEIGHTS, max_
 def prepared(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
     """docs as select_mix takes them; tokens are words, a null text has none."""
     return docs.select(
-        row_key(doc_id, text, lang, source).alias("mix_key"),
+        wide_key(doc_id, text, lang, source).alias("mix_key"),
         F.col(doc_id).alias("mix_id"),
         F.coalesce(F.regexp_count(text, F.lit(WORDS)), F.lit(0)).cast("long").alias("n_tokens"),
         domain_of(source).alias("domain"),

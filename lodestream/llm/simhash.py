@@ -9,7 +9,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestream.llm.common import arrow, bounds, complete, cut_lineage, forest, row_key, table, text_bytes, unlink
+from lodestream.llm.common import arrow, bounds, complete, cut_lineage, forest, table, text_bytes, unlink, wide_key
 from lodestream.llm.components import components
 
 BITS = 64
@@ -252,9 +252,10 @@ def simhash_groups(
     reaches the driver: it sets how many bits of a variant make a shuffle key.
     The distance is a property of the ball layout: three bits.
     """
-    rows = docs.select((row_key(doc_id, text) if key is None else key).alias("key"), F.col(doc_id).alias("id"), F.col(text).alias("text"))
+    rows = docs.select((wide_key(doc_id, text) if key is None else key).alias("key"), F.col(doc_id).alias("id"), F.col(text).alias("text"))
+    key_type = rows.schema["key"].dataType.simpleString()
     id_type = rows.schema["id"].dataType.simpleString()
-    prints = cut_lineage(arrow(rows, _fingerprints(shingle), f"key long, id {id_type}, fp long"))
+    prints = cut_lineage(arrow(rows, _fingerprints(shingle), f"key {key_type}, id {id_type}, fp long"))
     nodes = cut_lineage(prints.groupBy("fp").agg(F.min("id").alias("id")))
     star = components(_linked(nodes.select("fp"), max_bits))
     roots = nodes.join(star.select(F.col("a").alias("fp"), F.col("b").alias("top")), "fp", "left").select(

@@ -481,6 +481,80 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return arrow(spanned.drop("__key"), run, schema)
 
 
+def _blocks(own, white):
+    """Ranges of about PIECE bytes that end where no word is cut."""
+    start = 0
+    while start < len(own):
+        stop = start + PIECE
+        if stop < len(own):
+            gap = np.flatnonzero(white[stop : stop + PIECE])
+            while len(gap) == 0 and stop + PIECE < len(own):
+                stop += PIECE
+                gap = np.flatnonzero(white[stop : stop + PIECE])
+            stop = stop + gap[0] + 1 if len(gap) else len(own)
+        yield start, min(stop, len(own))
+        start = stop
+
+
+def _words(own) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First and last byte of each word (between the white space 0x20, 0x09 to 0x0D), and its 64-bit hash."""
+    white = (own == 0x20) | ((own >= 0x09) & (own <= 0x0D))
+    found = []
+    for a, b in _blocks(own, white):
+        edge = np.diff(np.concatenate([[True], white[a:b], [True]]).astype(np.int8))
+        first, last = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+        found.append((first + a, last + a, _stretch(_prefix(own[a:b]), first, last)))
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    return tuple(np.concatenate(parts) for parts in zip(*found))
+
+
+def _as_words(batches):
+    """Texts as the hashes of their words, eight bytes each."""
+    for batch in batches:
+        data, starts = text_bytes(batch.column("text"))
+        words = [_words(data[a:b])[2].tobytes() for a, b in zip(starts, starts[1:])]
+        yield {"key": batch.column("key"), "text": words}
+
+
+def _without_words(own, start, stop, n_words) -> bytes:
+    """A text without the runs of n_words and more words that the ranges of word hashes hold wholly."""
+    start, stop = -(-start // 8), stop // 8
+    long = stop - start >= n_words
+    if not long.any():
+        return own.tobytes()
+    first, last, _ = _words(own)
+    left = _without(own, first[start[long]], last[stop[long] - 1])
+    return left if left.strip(b" \t\n\v\f\r") else b""
+
+
+def remove_repeated_words(docs: DataFrame, n_words: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs without the runs of words that strings of n_words words which occur elsewhere cover.
+
+    Words are what stands between white space (0x20, 0x09 to 0x0D), compared as
+    64-bit hashes; the white space between them does not count. Suffixes are
+    sorted by word, so a repeated passage of n_words words goes whatever its
+    bytes, and a shorter one stays. A run goes from its first word's first byte
+    to its last word's last; white space around it stays, but a text that loses
+    all its words becomes empty. A null text stays null; no document is dropped; rows equal in id and text count as two places. Other
+    columns are handed on.
+    """
+    schema = docs.schema
+    keyed = docs.withColumn("__key", wide_key(doc_id, text))
+    hashed = arrow(keyed.select(F.col("__key").alias("key"), F.col(text).alias("text")), _as_words, f"{KEY}, text binary")
+    found = repeated_spans(cut_lineage(hashed), 8 * n_words)
+    spanned = keyed.join(found.select(F.col("key").alias("__key"), F.col("spans").alias("__spans")), "__key", "left")
+
+    def run(batches):
+        for batch in batches:
+            view = batch.select([text, "__spans"]).rename_columns(["text", "spans"])
+            valid = batch.column(text).is_valid().to_pylist()
+            kept = [_without_words(*r, n_words).decode() if v else None for r, v in zip(_removed(view), valid)]
+            yield {**{c: batch.column(c) for c in schema.names}, text: kept}
+
+    return arrow(spanned.drop("__key"), run, schema)
+
+
 def op2_suffix_array(spark, sf_dir):
     """What is left of every document without the 400-byte strings that occur elsewhere.
 

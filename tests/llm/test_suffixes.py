@@ -1,5 +1,7 @@
 import hashlib
 import random
+import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -153,3 +155,45 @@ def test_text_that_repeats_throughout_has_few_spans(spark, monkeypatch):
     found = S.repeated_spans(rows.select(S.wide_key("id").alias("key"), "text"), 400).collect()
     assert len(found) == 1 and len(found[0].spans) <= 5
     assert min(s.start for s in found[0].spans) == 0 and max(s.stop for s in found[0].spans) == 20_000
+
+
+def plain_without_words(texts, n):
+    """Texts without the words that repeated strings of n words cover, by listing all of them."""
+    place = [list(re.finditer(r"[^ \x09-\x0D]+", t or "")) for t in texts]
+    names = [[m.group() for m in own] for own in place]
+    seen = Counter(tuple(own[i : i + n]) for own in names for i in range(len(own) - n + 1))
+    for t, own, words_of in zip(texts, place, names):
+        gone = np.zeros(len(own) + 1, bool)
+        for i in range(len(own) - n + 1):
+            if seen[tuple(words_of[i : i + n])] > 1:
+                gone[i : i + n] = True
+        out, at = "", 0
+        for i, m in enumerate(own):
+            if gone[i] and not (i and gone[i - 1]):
+                out += t[at : m.start()]
+            if gone[i]:
+                at = m.end()
+        out += (t or "")[at:]
+        yield None if t is None else "" if gone.any() and not out.strip(" \t\n\v\f\r") else out
+
+
+@pytest.mark.parametrize("n, piece", [(7, 1 << 18), (12, 1 << 18), (7, 1024)])
+def test_repeated_words_equal_brute_force(spark, make_docs, monkeypatch, n, piece):
+    rng = random.Random(n)
+    own = [t and t.replace(" ", rng.choice([" ", "\n", " \t "])) for t in texts(rng)]
+    own += [" ".join("abcde"[i % 5] for i in range(60)), " \n ", "a\u00a0b " * 30, "x" * 3000 + " end", "\x0b".join(own[10].split())]
+    docs = make_docs(list(enumerate(own)))
+    monkeypatch.setattr(S, "PIECE", piece)
+    blocks = [list(S._blocks(np.frombuffer((t or "").encode(), np.uint8), np.frombuffer((t or "").encode(), np.uint8) == 32)) for t in own]
+    assert all(b[-1][1] == len((t or "").encode()) for b, t in zip(blocks, own) if b)
+    got = {r.doc_id: r.text for r in S.remove_repeated_words(docs, n).collect()}
+    assert got == dict(enumerate(plain_without_words(own, n)))
+    assert sum(a != b for a, b in zip(own, got.values())) > 5
+
+
+def test_words_of_blocks_are_those_of_the_whole(monkeypatch):
+    rng = random.Random(8)
+    raw = np.frombuffer((words(rng, 900) + " " + "y" * 700 + " \n" + words(rng, 50)).encode(), np.uint8)
+    whole = [x.tolist() for x in S._words(raw)]
+    monkeypatch.setattr(S, "PIECE", 100)
+    assert [x.tolist() for x in S._words(raw)] == whole
