@@ -8,12 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestream.llm import langid, mixing, packing, simhash, suffixes
-from lodestream.llm.common import row_key, ship_package
+from lodestream.llm.common import ship_package, wide_key
 from lodestream.session import fresh_dir
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: Bytes of a repeated passage: fewer than 51 words have in all but freak texts.
-PASSAGE_BYTES = 240
+#: Words of a repeated passage.
+PASSAGE_WORDS = 51
 #: Share of the deduplicated tokens that the mixture may have.
 MIX_RATE = 0.5
 
@@ -35,7 +35,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each SimHash group: the one with the smallest id, by its values if ids repeat."""
     ship_package(spark)
-    key = row_key(*COLUMNS)
+    key = wide_key(*COLUMNS)
     groups = simhash.simhash_groups(docs, key=key)
     first = groups.groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), "id", "key")).alias("first")).select("first.key")
     kept = docs.select(*COLUMNS).withColumn("__key", key).join(first.withColumnRenamed("key", "__key"), "__key", "left_semi")
@@ -43,16 +43,16 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the passages of PASSAGE_BYTES and more that occur elsewhere, whole characters only."""
+    """Documents without the passages of PASSAGE_WORDS words and more that occur elsewhere."""
     ship_package(spark)
-    cleaned = suffixes.remove_repeats(docs.select(*COLUMNS), length=PASSAGE_BYTES)
+    cleaned = suffixes.remove_repeated_words(docs.select(*COLUMNS), PASSAGE_WORDS)
     return cleaned.withColumn("n_chars", F.length("text").cast("long"))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents of the mixture: sources at their target weights, none more than once."""
     ship_package(spark)
-    key = row_key("doc_id", "text", "lang", "source")
+    key = wide_key("doc_id", "text", "lang", "source")
     chosen = mixing.select_mix(mixing.prepared(docs), MIX_RATE, max_epochs=1).select(F.col("mix_key").alias("__key")).distinct()
     return docs.select(*COLUMNS).withColumn("__key", key).join(chosen, "__key", "left_semi").select(*COLUMNS)
 
@@ -60,7 +60,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents in training sequences."""
     ship_package(spark)
-    return packing.pack_texts(docs, special=True)
+    return packing.pack_texts(docs, limits=packing.FULL_LIMITS, special=True)
 
 
 STAGES = [
