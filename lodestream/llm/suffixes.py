@@ -36,6 +36,9 @@ LENGTH = 400
 GRAM = 16
 SPAN = 256
 CELL = 32
+#: Rows of texts a worker turns into words, or cuts, at a time; contexts whose strings it spells at a time.
+ROWS = 500
+SPELLED = 128
 #: Type of a row's key.
 KEY = "key struct<a:long,b:long>"
 #: Bytes of a text taken at a time; a longer one is read in overlapping pieces.
@@ -289,7 +292,7 @@ def _strings(layout):
             known, _ = _flat(todo, "known")
             rank = _entries(todo).field("rank")
             pos = batch.column("pos").to_numpy()
-            for part, grid, _, _ in _grids(batch, layout):
+            for part, grid, _, _ in _grids(batch, layout, SPELLED):
                 here = np.flatnonzero((owner >= part.start) & (owner < part.stop))
                 lo, hi = cells[here] & 0xFFFF, cells[here] >> 16
                 entry = np.repeat(here, hi - lo)
@@ -297,7 +300,7 @@ def _strings(layout):
                 offset = np.arange(len(row)) - np.repeat(np.cumsum(hi - lo) - (hi - lo), hi - lo) + np.repeat(lo, hi - lo)
                 ahead, end = (offset % CELL)[:, None], ends[offset // CELL, 1][:, None]
                 step = np.arange(CELL - 1)[None, :]
-                start = (before - offset)[:, None]
+                start = before - offset[:, None]
                 column = np.where(step < ahead, start + step, end + step - ahead)
                 inside = column < start + length
                 left = grid[(row - part.start)[:, None], np.where(inside, column, 0)] * inside
@@ -509,9 +512,13 @@ def _words(own) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return tuple(np.concatenate(parts) for parts in zip(*found))
 
 
+def _slices(batches):
+    return (batch.slice(k, ROWS) for batch in batches for k in range(0, batch.num_rows, ROWS))
+
+
 def _as_words(batches):
     """Texts as the hashes of their words, eight bytes each."""
-    for batch in batches:
+    for batch in _slices(batches):
         data, starts = text_bytes(batch.column("text"))
         words = [_words(data[a:b])[2].tobytes() for a, b in zip(starts, starts[1:])]
         yield {"key": batch.column("key"), "text": words}
@@ -546,7 +553,7 @@ def remove_repeated_words(docs: DataFrame, n_words: int, doc_id: str = "doc_id",
     spanned = keyed.join(found.select(F.col("key").alias("__key"), F.col("spans").alias("__spans")), "__key", "left")
 
     def run(batches):
-        for batch in batches:
+        for batch in _slices(batches):
             view = batch.select([text, "__spans"]).rename_columns(["text", "spans"])
             valid = batch.column(text).is_valid().to_pylist()
             kept = [_without_words(*r, n_words).decode() if v else None for r, v in zip(_removed(view), valid)]
