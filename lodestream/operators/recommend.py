@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from lodestream.functions import text as X
 from lodestream.functions import vectors as V
+from lodestream.operators import grids
 from lodestream.operators.actions import action_weight
 from lodestream.operators.similarity import search, similar, top_k, top_k_in_lists
 from lodestream.session import cut_lineage
@@ -143,11 +144,8 @@ def unseen(
 
 def predict_pairs(pairs: DataFrame, profiles: DataFrame, items: DataFrame) -> DataFrame:
     """Cosine of each (user, item) pair; 0 if either row is missing."""
-    u = profiles.select("user_id", F.col("embedding").alias("user_vec"))
-    i = items.select("item_id", F.col("embedding").alias("item_vec"))
-    joined = pairs.join(u, "user_id", "left").join(i, "item_id", "left")
-    score = F.coalesce(V.cosine("user_vec", "item_vec"), F.lit(0.0))
-    return joined.select(*[F.col(c) for c in pairs.columns], score.alias("score"))
+    known = cut_lineage(profiles.select("user_id", "embedding"))
+    return grids.products(pairs, known, items).withColumn("score", F.coalesce("score", F.lit(0.0)))
 
 
 def explain(recommended: DataFrame, profiles: DataFrame, items: DataFrame) -> DataFrame:
