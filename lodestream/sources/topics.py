@@ -67,9 +67,10 @@ def decode(raw: DataFrame, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
     kept = [c for c in raw.columns if c not in ("key", "value")]
     wire = [T.StructField(WIRE_TIME, T.StringType()) if f.name == "ts" else f for f in schema.fields]
     with_broken = T.StructType([*wire, T.StructField(BROKEN, T.StringType())])
-    parsed = raw.filter(F.col("value").isNotNull()).withColumn(
-        "record", F.from_json("value", with_broken, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": BROKEN})
-    )
+    record = F.from_json("value", with_broken, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": BROKEN})
+    # an array of one row, so that a record is made and parsed once and not again in each condition on it
+    parsed = raw.select(*kept, F.explode(F.array(F.struct("value", record.alias("record")))).alias("_parsed"))
+    parsed = parsed.filter(F.col("_parsed.value").isNotNull()).select(*kept, "_parsed.value", "_parsed.record")
     time = utc_time(F.col(f"record.{WIRE_TIME}"))
     fields = {n: time if n == "ts" else F.col(f"record.{n}") for n in schema.names}
     fine = F.col("record").isNotNull() & F.col(f"record.{BROKEN}").isNull()
