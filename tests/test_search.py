@@ -192,3 +192,42 @@ def test_triangle_of_nothing(spark):
     assert triangle.self_top_k(frame(spark, [[1.0, 2.0]]), 3).collect() == []
     with pytest.raises(ValueError):
         triangle.self_top_k(frame(spark, []), 3, metric="l2")
+
+
+def test_dot_search_reads_only_boxes_that_can_reach_the_bar(monkeypatch):
+    """Clusters in eight directions: exact, and few items are compared with a query."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    away = np.eye(8)[rng.integers(0, 8, 20000)]
+    items = away * rng.uniform(0.9, 1.1, (20000, 1)) + rng.normal(0, 0.02, (20000, 8))
+    asked = np.eye(8)[rng.integers(0, 8, 600)] + rng.normal(0, 0.02, (600, 8))
+    lists = lambda m: pa.ListArray.from_arrays(pa.array(np.arange(len(m) + 1, dtype=np.int32) * 8), pa.array(m.ravel()))
+    cell, met, visits = S._Cell(()), [], S._Cell._visits
+
+    def counted(self, *how):
+        for first, end, some in visits(self, *how):
+            met.append((end - first) * len(some))
+            yield first, end, some
+
+    monkeypatch.setattr(S._Cell, "_visits", counted)
+    cell.add(S.ITEM, pa.RecordBatch.from_arrays([pa.array(np.arange(20000)), lists(items)], names=["iid", "ivec"]))
+    columns = [pa.array(np.arange(600)), lists(asked), pa.array(np.zeros(600, np.int64)), pa.array(np.full(600, 5, np.int32))]
+    ((_, _, best),) = cell.best(pa.RecordBatch.from_arrays(columns, names=["qid", "qvec", "qtag", "k"]), "dot", False)
+    want = np.argsort(-np.round(asked @ items.T, 9), axis=1, kind="stable")[:, :5]
+    assert best.cols.reshape(600, 5).tolist() == want.tolist()
+    assert sum(met) < 0.25 * 600 * 20000
+
+
+def test_reranked_rows_keep_dot_products_and_carried_columns(spark):
+    rng = np.random.default_rng(6)
+    m = rng.normal(size=(60, 4))
+    rows = spark.createDataFrame([(n, v.tolist(), f"c{n}") for n, v in enumerate(m)], "item_id long, embedding array<double>, category string")
+    index = quantized.build(rows, n_lists=4, parts=2, carry=("category",))
+    asked = rows.select(F.col("item_id").alias("query"), "embedding").filter("query < 5")
+    found = quantized.search(index, asked, 3, 4, rerank=20, query_id="query", carry=("category",))
+    assert "qvec" not in found._jdf.queryExecution().optimizedPlan().toString().split("MapInArrow")[0]
+    for r in found.collect():
+        assert r.category == f"c{r.item_id}"
+        assert r.dot == pytest.approx(m[r.query] @ m[r.item_id])
+        assert r.score == pytest.approx(r.dot / np.linalg.norm(m[r.query]) / np.linalg.norm(m[r.item_id]))
