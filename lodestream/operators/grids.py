@@ -144,8 +144,9 @@ def products(
     cosine: bool = True,
     inner: bool = False,
     rows: int = ROWS,
+    dot: bool = False,
 ) -> DataFrame:
-    """pairs with the score of both ids' vectors: cosine or dot product, in double precision.
+    """pairs with the score of both ids' vectors: cosine or dot product, in double precision; with dot, the product as well.
 
     A pair without one of the ids is left out if inner and has a null score
     otherwise. With a vector that is null the product is null. Cosine is 0 for vectors of different sizes, of length zero or with a null in them, a
@@ -175,7 +176,8 @@ def products(
     l_side = side(left.withColumn(left_id, F.col(left_id).cast(kinds[0])), LEFT, left_id, left_vec, cell)
     r_side = side(right.withColumn(right_id, F.col(right_id).cast(kinds[1])), RIGHT, right_id, right_vec, lambda own, far: cell(far, own))
     asked = pairs.select("*", F.lit(PAIR).alias("_side"), cell(lane(left_id, l_lanes), lane(right_id, r_lanes)))
-    schema = T.StructType([*pairs.schema.fields, T.StructField("score", T.DoubleType())])
+    figures = {"score": cosine} | ({"dot": False} if dot else {})
+    schema = T.StructType([*pairs.schema.fields, *[T.StructField(c, T.DoubleType()) for c in figures]])
     shape = to_arrow_schema(schema)
 
     def prepare(held):
@@ -196,9 +198,10 @@ def products(
             if len(row) == 0:
                 continue
             l_at = l_at[row]
-            score = _product(a, b, l_at, r_at, cosine) if a is not None and b is not None else pa.nulls(len(row), pa.float64())
+            known = a is not None and b is not None
+            made = [_product(a, b, l_at, r_at, c) if known else pa.nulls(len(row), pa.float64()) for c in figures.values()]
             part = part.take(pa.array(row))
-            yield pa.RecordBatch.from_arrays([*[part.column(c) for c in shape.names[:-1]], score], schema=shape)
+            yield pa.RecordBatch.from_arrays([*[part.column(c) for c in shape.names[: -len(figures)]], *made], schema=shape)
 
     return _dealt([asked, l_side, r_side], l_lanes * r_lanes).mapInArrow(run, schema)
 

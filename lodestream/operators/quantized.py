@@ -20,7 +20,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from lodestream.functions import vectors as V
 from lodestream.functions.batches import complete_groups, group_bounds
-from lodestream.operators import clusters
+from lodestream.operators import clusters, grids
 from lodestream.operators.similarity import ITEM, QUERY, RANK_DIGITS, _depth, _renamed, searchable
 from lodestream.session import cut_lineage, drop_step, fresh_dir
 
@@ -265,7 +265,7 @@ def _estimates(centres: np.ndarray, books: np.ndarray, drop_self: bool, schema:
 
     def rows(cell):
         for queries, row, ids, tags, estimate in cell.best(centres, books, drop_self):
-            columns = [queries.column(c).combine_chunks().take(row) for c in ("qid", "qtag", "depth")]
+            columns = [queries.column(c).combine_chunks().take(row) for c in ("qid", "qtag", "depth", "k")]
             yield pa.RecordBatch.from_arrays([*columns, ids, tags, pa.array(estimate)], schema=schema)
 
     def run(batches):
@@ -303,30 +303,24 @@ def _cells(stored: DataFrame, asked: DataFrame, layout: dict, queries_per_cell:
     items = stored.join(homes, "list").select(*stored.columns, group).join(lanes, "group").select("*", each)
     items = items.select(F.lit(ITEM).alias("side"), cell, *stored.columns)
     queries = asked.join(lanes, "group").withColumn("lane", F.pmod(F.xxhash64("qid", "qtag"), F.col("lanes")).cast("int"))
-    queries = queries.select(F.lit(QUERY).alias("side"), cell, "qid", "qtag", "unit", "depth", "lists")
+    queries = queries.select(F.lit(QUERY).alias("side"), cell, "qid", "qtag", "unit", "depth", "k", "lists")
     both = items.unionByName(queries, allowMissingColumns=True)
     return both.repartitionById(max(1, n_cells), F.col("cell")).sortWithinPartitions("cell", "side")
 
 
-def _exact(schema: pa.Schema, carry):
-    """Cosine and dot product of joined vectors."""
+def _named(number: str, tag: str):
+    """One name for an id and the tag of its vector; null for an id that is missing."""
+    return F.concat(F.col(number).cast("string"), F.lit(" "), F.col(tag).cast("string"))
 
-    def run(batches):
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            sizes = batch.column("qvec").value_lengths().to_numpy(zero_copy_only=False)
-            left, right = (
-                batch.column(c).flatten().to_numpy(zero_copy_only=False).reshape(-1, sizes[0]).astype(np.float64) for c in ("qvec", "ivec")
-            )
-            lengths = [np.sqrt(np.einsum("ij,ij->i", m, m)) for m in (left, right)]
-            units = [m / np.where(n > 0, n, 1.0)[:, None] for m, n in zip((left, right), lengths)]
-            score = np.einsum("ij,ij->i", *units)
-            named = [batch.column(c) for c in ("qid", "qtag", "k", "iid", "itag")]
-            made = [pa.array(score), pa.array(score * lengths[0] * lengths[1]), pa.array(np.round(score, RANK_DIGITS))]
-            yield pa.RecordBatch.from_arrays([*named, *made, *[batch.column(c) for c in carry]], schema=schema)
 
-    return run
+def _exact(few: DataFrame, wanted: DataFrame, items: DataFrame, carry) -> DataFrame:
+    """few (qid, qtag, iid, itag) with their cosine and dot product; the pairs stay narrow and meet their vectors on a grid."""
+    pairs = few.withColumns({"_q": _named("qid", "qtag"), "_i": _named("iid", "itag")}).filter("_q IS NOT NULL AND _i IS NOT NULL")
+    asked, found = wanted.select(_named("qid", "qtag").alias("_q"), "qvec"), items.select(_named("iid", "itag").alias("_i"), "ivec")
+    scored = grids.products(pairs, asked, found, "_q", "_i", "qvec", "ivec", inner=True, dot=True).drop("_q", "_i")
+    if carry:
+        scored = scored.join(items.select("iid", "itag", *carry), ["iid", "itag"])
+    return scored.withColumn("rank_key", F.round("score", RANK_DIGITS)).repartition("qid", "qtag").dropDuplicates(["qid", "qtag", "iid", "itag"])
 
 
 def search(
@@ -358,26 +352,21 @@ def search(
     wanted = cut_lineage(wanted.dropDuplicates(["qid", "qtag"]))
     units = wanted.withColumn("unit", V.normalize("qvec")).withColumn("depth", F.col("k") * rerank)
     layout = _layout(index.lengths, items_per_cell)
-    probes = _asked(units.select("qid", "qtag", "unit", "depth"), index.centres, min(n_probe, len(index.centres)), layout)
+    probes = _asked(units.select("qid", "qtag", "unit", "depth", "k"), index.centres, min(n_probe, len(index.centres)), layout)
     asked = cut_lineage(probes)
     opened = [r[0] for r in asked.select(F.explode("lists")).distinct().collect()]
     stored = index.codes.filter(F.col("list").isin(opened)) if len(opened) < len(index.centres) else index.codes
     cells = _cells(stored, asked, layout, queries_per_cell)
     kinds = {c: t for c, t in [("qid", wanted.schema["qid"].dataType), ("iid", index.items.schema["iid"].dataType)]}
     of = lambda names: T.StructType([T.StructField(n, kinds.get(n) or t) for n, t in names])
-    shape = of([("qid", None), ("qtag", T.LongType()), ("depth", T.IntegerType()), ("iid", None), ("itag", T.LongType()), ("estimate", T.DoubleType())])
+    shape = of([("qid", None), ("qtag", T.LongType()), ("depth", T.IntegerType()), ("k", T.IntegerType()), ("iid", None), ("itag", T.LongType()), ("estimate", T.DoubleType())])
     rough = cells.mapInArrow(_estimates(index.centres, index.books, exclude_self, to_arrow_schema(shape)), shape)
     if exclude_self:
         rough = rough.filter(~F.col("qid").eqNullSafe(F.col("iid")))
     by_query = Window.partitionBy("qid", "qtag")
     order = F.row_number().over(by_query.orderBy(F.desc("estimate"), "iid", "itag"))
-    few = rough.withColumn("_n", order).filter(F.col("_n") <= F.col("depth")).select("qid", "qtag", "iid", "itag")
-    pairs = few.join(index.items, ["iid", "itag"]).join(wanted, ["qid", "qtag"])
-    carried = [T.StructField(c, index.items.schema[c].dataType) for c in carry]
-    figures = [(c, T.DoubleType()) for c in ("score", "dot", "rank_key")]
-    scored = of([("qid", None), ("qtag", T.LongType()), ("k", T.IntegerType()), ("iid", None), ("itag", T.LongType()), *figures])
-    scored = T.StructType([*scored.fields, *carried])
-    exact = pairs.mapInArrow(_exact(to_arrow_schema(scored), carry), scored).dropDuplicates(["qid", "qtag", "iid", "itag"])
+    few = rough.withColumn("_n", order).filter(F.col("_n") <= F.col("depth")).select("qid", "qtag", "k", "iid", "itag")
+    exact = _exact(few, wanted, index.items, carry)
     ranked = exact.withColumn("rank", F.row_number().over(by_query.orderBy(F.desc("rank_key"), "iid")))
     return _renamed(ranked.filter("rank <= k"), query_id, index.item_id, carry)
 
