@@ -194,7 +194,8 @@ def personalized_trending(
     users: DataFrame, profiles: DataFrame, items: DataFrame, actions: DataFrame, as_of, k: int, rate: float = 0.01, **grid
 ) -> DataFrame:
     """Closest k items of each user with a profile; the trending list for the others."""
-    known = users.select("user_id").distinct().join(profiles.select("user_id", "embedding"), "user_id")
+    # read for their number and for the search
+    known = cut_lineage(users.select("user_id").distinct().join(profiles.select("user_id", "embedding"), "user_id"))
     close = top_k(known, items, k, "cosine", carry=("category",), **grid)
     personal = close.select(
         "user_id", "rank", "item_id", "score", X.reason(F.col("score"), X.TRENDING_FORMAT).alias("reason"), "category"
