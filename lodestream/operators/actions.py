@@ -86,11 +86,10 @@ def post_update_examples(history: DataFrame, items: DataFrame) -> DataFrame:
     """Training examples whose user features are the profile right after the action.
 
     history is the output of profiles.history: one row per applied action with
-    its label and the updated embedding.
+    its label and the updated embedding. Where it has brought item_features along,
+    its rows, which carry vectors, are not joined to the items again.
     """
-    features = items.select("item_id", V.as_double("embedding").alias("item_features"))
-    return (
-        in_utc(history).withColumnRenamed("embedding", "user_features")
-        .join(features, "item_id")
-        .withColumn("context_features", context_features(F.col("action_type"), F.col("ts")))
-    )
+    updated = in_utc(history).withColumnRenamed("embedding", "user_features")
+    if "item_features" not in history.columns:
+        updated = updated.join(items.select("item_id", V.as_double("embedding").alias("item_features")), "item_id")
+    return updated.withColumn("context_features", context_features(F.col("action_type"), F.col("ts")))

@@ -71,35 +71,39 @@ def history(
     tie: str = "event_id",
     slice_seconds: int = 60,
     chunk: int = HISTORY_CHUNK,
+    item_features: str | None = None,
 ) -> DataFrame:
     """The profile right after each action, beginning at zero: one row per applied action.
 
-    Actions of a user are numbered in order and cut into chunks. A chunk is
-    folded by itself; the state it starts from comes from the ends of all chunks
-    before it, which are folded in chunks of chunks, and so on up. No group is
-    larger than a chunk, whatever a user's share of rows. The largest number of
+    Actions of a user are numbered in order, written as narrow rows and cut into
+    chunks. A chunk is folded by itself; the state it starts from comes from the
+    ends of all chunks before it, which are folded first, in chunks of chunks, and
+    so on up, and meets the chunk's rows in its fold. No group is larger than a
+    chunk, whatever a user's share of rows. Only rows on their way into a fold carry
+    a vector, the item's as it is stored; those that come out are not dealt again.
+    With item_features, each row has its item's vector, in double, under that name
+    as well; an item that comes twice gives what a join would. The largest number of
     actions of a user is what reaches the driver.
     """
     keep = 1.0 - learning_rate
-    counted = applied(actions, items)
-    most = counted.groupBy("user_id").count().agg(F.max("count")).first()[0] or 0
-    rows = numbered(counted, "user_id", ["ts", tie], slice_seconds=slice_seconds, name="seq")
+    rows = numbered(applied(actions, items), "user_id", ["ts", tie], slice_seconds=slice_seconds, name="seq")
     place = F.col("seq") - 1
     rows = rows.withColumn("chunk", F.floor(place / chunk).cast("long")).withColumn("pos", (place % chunk).cast("int"))
-    rows = rows.join(items.select("item_id", V.as_double("embedding").alias("x")), "item_id")
-    rows = rows.withColumn("gain", F.lit(learning_rate) * F.col("weight"))
-    kept = [c for c in rows.columns if c not in ("x", "gain")]
-    schema = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in kept) + ", own array<double>"
-    own = rows.groupBy("user_id", "chunk").applyInArrow(_running(keep, after=True, drop=["gain"]), schema)
+    rows = cut_lineage(rows.withColumn("gain", F.lit(learning_rate) * F.col("weight")))
+    most = rows.agg(F.max("seq")).first()[0] or 0
+    vectors = items.select("item_id", F.col("embedding").alias("x"))
+    joined = rows.join(vectors, "item_id")
+    kept = [c for c in joined.columns if c not in ("x", "gain")]
+    handed = [] if item_features is None else [item_features]
+    schema = [f"{c} {joined.schema[c].dataType.simpleString()}" for c in kept]
+    schema = ", ".join(schema + [f"{c} array<double>" for c in ("own", *handed)])
+    run = _running(keep, after=True, drop=["gain"], vector=item_features)
     if most > chunk:
-        own = cut_lineage(own)
-        full = F.col("pos") == chunk - 1
-        ends = own.filter((F.col("pos") == 0) | full).groupBy("user_id", "chunk").agg(
-            F.first(F.when(full, F.col("own")), ignorenulls=True).alias("x")
-        )
-        starts = _starts(ends, most // chunk + 1, keep**chunk, chunk)
-        own = own.join(starts.withColumnRenamed("block", "chunk"), ["user_id", "chunk"], "left")
+        starts = _starts(_ends(rows, vectors, keep, chunk), most // chunk + 1, keep**chunk, chunk).withColumnRenamed("block", "chunk")
+        sides = [side.groupBy("user_id", "chunk") for side in (joined, starts)]
+        own = sides[0].cogroup(sides[1]).applyInArrow(_from_start(run), f"{schema}, start array<double>")
     else:
+        own = joined.groupBy("user_id", "chunk").applyInArrow(run, schema)
         own = own.withColumn("start", F.lit(None).cast("array<double>"))
     faded = V.scale("start", F.pow(F.lit(keep), F.col("pos") + 1))
     return own.select(
@@ -107,7 +111,37 @@ def history(
         F.col("weight").alias("label"),
         F.col("seq").alias("interaction_count"),
         F.when(F.col("start").isNull(), F.col("own")).otherwise(V.add("own", faded)).alias("embedding"),
+        *handed,
+    )
+
+
+def _ends(rows: DataFrame, vectors: DataFrame, keep: float, chunk: int) -> DataFrame:
+    """(user_id, chunk, x): every chunk of users with several, x the state a full one folds to from zero, else null."""
+    several = rows.filter(F.col("seq") == chunk + 1).select("user_id")
+    begun, full = (
+        rows.filter(F.col("pos") == at).select("user_id", "chunk").join(several, "user_id", "left_semi") for at in (0, chunk - 1)
     )
+    steps = rows.select("user_id", "chunk", "pos", "gain", "item_id").join(full, ["user_id", "chunk"], "left_semi")
+    run = _running(keep, after=True, drop=["gain", "item_id"])
+
+    def last(block: pa.Table) -> pa.Table:
+        done = run(block).slice(block.num_rows - 1)
+        return done.select(["user_id", "chunk", "own"]).rename_columns(["user_id", "chunk", "x"])
+
+    schema = f"user_id {rows.schema['user_id'].dataType.simpleString()}, chunk long, x array<double>"
+    folded = steps.join(vectors, "item_id").groupBy("user_id", "chunk").applyInArrow(last, schema)
+    return begun.join(folded, ["user_id", "chunk"], "left")
+
+
+def _from_start(run):
+    """A chunk's fold from zero beside the state it starts from, null for the first."""
+
+    def both(chunk: pa.Table, start: pa.Table) -> pa.Table:
+        out = run(chunk)
+        before = pa.array(start["start"].to_pylist() or [None], pa.list_(pa.float64()))
+        return out.append_column("start", before.take(pa.array(np.zeros(out.num_rows, np.int64))))
+
+    return both
 
 
 def _starts(ends: DataFrame, most: int, keep: float, chunk: int) -> DataFrame:
@@ -137,19 +171,20 @@ def _starts(ends: DataFrame, most: int, keep: float, chunk: int) -> DataFrame:
     return inside.join(above, ["user_id", "chunk"]).select("user_id", "block", start.alias("start"))
 
 
-def _running(keep: float, after: bool, drop: list[str], size: int | None = None):
+def _running(keep: float, after: bool, drop: list[str], size: int | None = None, vector: str | None = None):
     """Fold of one chunk from zero, state by state, after or before each of its rows.
 
     A row without x leaves the state; a chunk without any has null states. With
     a size, whole is the state after the chunk's last row if the chunk has that
-    many full rows, else null.
+    many full rows, else null. A vector is a column for x: rows of one place, which
+    are an action with each vector of its item, come with each x of that place.
     """
 
     def run(chunk: pa.Table) -> pa.Table:
         chunk = chunk.sort_by("pos")
         x = chunk["x"].combine_chunks()
         filled = x.is_valid().to_numpy(zero_copy_only=False)
-        steps = x.flatten().to_numpy()
+        steps = x.flatten().to_numpy().astype(np.float64)
         dim = len(steps) // max(1, int(filled.sum()))
         steps = steps.reshape(-1, max(dim, 1))
         gain = chunk["gain"].to_numpy()
@@ -172,6 +207,13 @@ def _running(keep: float, after: bool, drop: list[str], size: int | None = None)
         if size is not None:
             whole = [state if used == size and n == len(gain) - 1 else None for n in range(len(gain))]
             out = out.append_column("whole", pa.array(whole, pa.list_(pa.float64())))
+        if vector is not None:
+            pos = chunk["pos"].to_numpy()
+            first, n = np.searchsorted(pos, pos, "left"), np.searchsorted(pos, pos, "right")
+            n -= first
+            step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            out = out.take(pa.array(np.repeat(np.arange(len(pos)), n)))
+            out = out.append_column(vector, x.take(pa.array(np.repeat(first, n) + step)).cast(pa.list_(pa.float64())))
         return out
 
     return run

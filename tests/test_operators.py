@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestream.functions import vectors as V
+from lodestream.operators import actions as actions_of
 from lodestream.operators import keyed_tables as K
 from lodestream.operators import optimizers, ordering, profiles, quality, recommend
 from lodestream.operators import ranking_metrics as M
@@ -188,6 +189,54 @@ def test_profile_fold_with_hot_user_equals_sequential(spark):
         assert all(np.allclose(after[e], v, atol=1e-12) for e, v in steps)
 
 
+def _plan_of(df) -> list[str]:
+    """Lines of the plan, the last operator first, before anything adapts."""
+    return df._jdf.queryExecution().executedPlan().toString().splitlines()
+
+
+@pytest.mark.parametrize("chunk", [256, 7])
+def test_examples_after_update_are_not_dealt_again(spark, monkeypatch, chunk):
+    """No row with a profile is shuffled or written; those on their way into the fold carry the stored floats."""
+    items = spark.createDataFrame([(i, [i + 1.0, -1.0 * i, 0.5 * i]) for i in range(7)], "item_id bigint, embedding array<float>")
+    written, write = [], profiles.cut_lineage
+    monkeypatch.setattr(profiles, "cut_lineage", lambda df: (written.append(df.schema.simpleString()), write(df))[1])
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        # at most 40 actions of a user: chunks of 7, not chunks of chunks
+        log = [(e, e % 5, e % 7, "Click", T0 + dt.timedelta(seconds=31 * e)) for e in range(200)]
+        done = profiles.history(_log(spark, log), items, chunk=chunk, item_features="item_features")
+        plan = _plan_of(actions_of.post_update_examples(done, items))
+        fold = next(n for n, line in enumerate(plan) if "InArrow" in line)
+        assert not any("Exchange" in line or "Join" in line for line in plan[:fold])
+        assert len(written) == 1 and "array" not in written[0]
+        vectors = [f.dataType.simpleString() for f in done.schema.fields if "array" in f.dataType.simpleString()]
+        assert vectors == ["array<double>"] * 2 and not any("cast(embedding" in line for line in plan)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+@pytest.mark.parametrize("chunk", [256, 5])
+def test_examples_after_update_equal_a_join(spark, chunk):
+    """Hot users, an item without a vector, one that is missing and one that comes twice."""
+    log = _busy_log(700)
+    table = {i: [i + 1.0, -1.0 * i, 0.5 * i] for i in range(6)} | {4: None}
+    items = spark.createDataFrame([*table.items(), (5, [9.0, 8.0, 7.0])], "item_id bigint, embedding array<float>")
+    examples = lambda **way: actions_of.post_update_examples(profiles.history(_log(spark, log), items, chunk=chunk, **way), items)
+    joined, carried = (
+        sorted((r.event_id, r.user_id, r.item_id, r.label, r.interaction_count, r.item_features or []) for r in examples(**way).collect())
+        for way in ({}, {"item_features": "item_features"})
+    )
+    assert joined == carried
+    once = items.filter("embedding IS NOT NULL AND embedding[0] != 6")
+    known = {i: np.array(v) for i, v in (table | {5: [9.0, 8.0, 7.0]}).items() if v is not None}
+    _, steps = _fold(log, known)
+    done = profiles.history(_log(spark, log), once, chunk=chunk, item_features="item_features")
+    got = {r.event_id: r for r in actions_of.post_update_examples(done, once).collect()}
+    assert got.keys() == {e for e, _ in steps}
+    assert all(np.allclose(got[e].user_features, v, atol=1e-12) for e, v in steps)
+    assert all(r.item_features == known[r.item_id].tolist() for r in got.values())
+
+
 @pytest.mark.parametrize("rate", [0.001, 0.1, 0.95, 1.0])
 def test_fold_and_history_agree_at_any_rate(spark, rate):
     """A long tail of zeros leaves what came before it, however small."""
