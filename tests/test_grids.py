@@ -132,3 +132,28 @@ def test_a_record_is_parsed_once(spark):
     raw = spark.range(3).select("id", F.to_json(F.struct("id", F.array(F.lit(0.5)).alias("vector"), F.lit("x").alias("metadata"))).alias("value"))
     good, _ = topics.decode(raw, schemas.feature_vector(LongType()))
     assert good._jdf.queryExecution().executedPlan().toString().count("from_json") == 1
+
+
+def test_short_vectors_share_a_lane(spark, monkeypatch):
+    short = spark.createDataFrame([(n, [1.0, float(n)]) for n in range(90)], f"user_id bigint, {VEC}")
+    items = short.withColumnRenamed("user_id", "item_id").filter("item_id < 40")
+    pairs = spark.createDataFrame([(n, n % 40) for n in range(90)], "user_id bigint, item_id bigint")
+    monkeypatch.setattr(grids, "ROWS", 10)
+    monkeypatch.setattr(grids, "VALUES", 60)
+    assert grids._least_lanes(short, "embedding", None, 2) == 3
+    monkeypatch.setattr(grids, "SHORT_ROWS", 20)
+    assert grids._least_lanes(short, "embedding", None, 2) == 5
+    assert grids._least_lanes(short, "embedding", 10, 2) == 9
+    assert grids._least_lanes(short.withColumn("embedding", F.lit(None).cast("array<double>")), "embedding", None, 2) == 5
+    got = grids.products(pairs, short, items, cosine=False, inner=True).collect()
+    assert sorted(map(tuple, got)) == [(n, n % 40, 1.0 + n * (n % 40)) for n in range(90)]
+
+
+def test_vectors_give_up_their_parts():
+    parts = [pa.record_batch({"id": pa.array([5, 2]), "_x": pa.array([[1.0], [None]])}), pa.record_batch({"id": pa.array([5]), "_x": pa.array([[3.0]])})]
+    held = grids._Vectors(parts, "id")
+    assert parts == [] and held.names.to_pylist() == [2, 5] and held.code.tolist() == [0, 1, 1] and held.whole.tolist() == [False, True, True]
+    rows, places = held.places(pa.array([9, 5, 2]))
+    assert rows.tolist() == [1, 1, 2] and places.tolist() == [1, 2, 0]
+    rows, places = held.places(pa.array([9, 5, None]))
+    assert rows.tolist() == [1, 1] and places.tolist() == [1, 2]

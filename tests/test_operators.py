@@ -5,6 +5,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.ml.recommendation import ALS
 from pyspark.sql import functions as F
 
 from lodestream.functions import vectors as V
@@ -649,6 +650,22 @@ def test_als_takes_any_ids(spark):
     assert len(out) == 36
 
 
+def test_als_blocks_follow_the_ratings(spark, monkeypatch):
+    rows = [(a, b, 1.0) for a in range(12) for b in range(9) if (a + b) % 3 == 0]
+    examples, blocks = spark.createDataFrame(rows + rows, "user_id bigint, item_id bigint, label double"), []
+
+    def als(**how):
+        blocks.append((how.get("numUserBlocks"), how.get("numItemBlocks")))
+        return ALS(**how)
+
+    monkeypatch.setattr(T, "ALS", als)
+    T.als_factors(examples, 2, iterations=1)
+    monkeypatch.setattr(T, "RATINGS_PER_BLOCK", 3)
+    people, things = T.als_factors(examples, 2, iterations=1)
+    assert blocks == [(10, 10), (12, 12)]
+    assert (people.count(), things.count()) == (12, 9)
+
+
 def test_snapshots(spark, tmp_path):
     root = str(tmp_path / "models")
     users = spark.createDataFrame([(1, [1.0])], "user_id bigint, vector array<double>")
