@@ -1,6 +1,7 @@
 """Pruned, bounded and halved searches against the full ones."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -231,3 +232,15 @@ def test_reranked_rows_keep_dot_products_and_carried_columns(spark):
         assert r.category == f"c{r.item_id}"
         assert r.dot == pytest.approx(m[r.query] @ m[r.item_id])
         assert r.score == pytest.approx(r.dot / np.linalg.norm(m[r.query]) / np.linalg.norm(m[r.item_id]))
+
+
+def test_a_cell_holds_its_own_columns_only():
+    """A part of a batch would hold the whole batch: here 800 kB of a query's column."""
+    ids, vectors = pa.array([7, 3, 7]), pa.array([[1.0], [2.0], [3.0]])
+    wide = pa.record_batch({"iid": ids, "ivec": vectors, "qid": ids, "qvec": pa.array([[0.0] * 33_000] * 3)})
+    cell = S._Cell(())
+    cell.add(S.ITEM, wide)
+    assert cell.item_parts[0].schema.names == ["iid", "ivec"]
+    assert cell.item_parts[0].column("iid").buffers()[1].address != wide.column("iid").buffers()[1].address
+    cell._prepare()
+    assert not cell.item_parts and cell.by_size[1].ids.to_pylist() == [3, 7, 7]
